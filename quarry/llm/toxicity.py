@@ -61,7 +61,7 @@ def screened(rows: list[np.ndarray], positive: np.ndarray, least: float = SCREEN
     return np.abs(p1 - p0) >= least * np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
 
 
-def fit_features(rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 12, batch: int = 256, rate: float = 0.02, decay: float = 1e-4, beta: float = 0.0, seed: int = 7) -> Model:
+def fit_features(rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 16, batch: int = 256, rate: float = 0.005, decay: float = 1e-4, beta: float = 0.0, seed: int = 7) -> Model:
     """Minimise the non-negative risk by Adam. ``rows``: features of each text; ``positive``: confirmed toxic or not."""
     rng = np.random.default_rng(seed)
     pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
