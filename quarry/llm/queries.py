@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, language_id, quality, toxicity
+from quarry.llm import common, language_id, mixing, quality, sharding, token_files, toxicity, warc
+
+#: The tokenizer file of the token queries; the operator takes any path.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +34,28 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.shared_path(spark, "warc")
+    warc.write(common.table(spark, sf_dir, "pages"), path)
+    return warc.records(spark, path)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.replicate(common.table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.round("repetition_rate", 9).alias("repetition_rate"), "copies", "copy_no", "text")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.shared_path(spark, "tokens")
+    token_files.write(common.table(spark, sf_dir, "documents"), tokenizer_path(), path)
+    return token_files.read(spark, path)
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(common.table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents")
     held = common.id_bucket("doc_id", 4) == 2
@@ -35,7 +66,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op5_warc": op5_warc,
+    "op7_mixing": op7_mixing,
+    "op8_token_files": op8_token_files,
+    "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc": warc.oracle(), "op7_mixing": mixing.oracle()}
