@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, language_id, mixing, quality, sharding, token_files, toxicity, warc
+from quarry.llm import common, embedding_dedup, language_id, mixing, ngram_join, quality, sharding, token_files, toxicity, warc
 
 #: The tokenizer file of the token queries; the operator takes any path.
 TOKENIZER = "word_bpe_49k.json"
@@ -34,12 +34,21 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(common.table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_path(spark, "warc")
     warc.write(common.table(spark, sf_dir, "pages"), path)
     return warc.records(spark, path)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.components(common.table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return joined.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.replicate(common.table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", F.round("repetition_rate", 9).alias("repetition_rate"), "copies", "copy_no", "text")
@@ -66,7 +75,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_warc": op5_warc,
+    "op6_ngram_join": op6_ngram_join,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
