@@ -1,7 +1,60 @@
-"""placeholder"""
-STAGES = []
-ORACLE_SQL = None
+"""From raw documents to token files: language, near duplicates, benchmark passages, source mix, tokens.
 
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet to the shared
+folder and rereads it as the next stage's documents. All stages but the last return the columns of ``documents``.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quarry.llm import common, decontaminate, language_id, mixing, ngram_join, token_files
+from quarry.llm.queries import tokenizer_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without letters and those whose language is not clear."""
+    return language_id.accepted(docs, language_id.fit(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose five-word shingles overlap by 0.8 or more, directly or in a chain, one stays."""
+    return ngram_join.keep_one(docs, words=5, num=80, den=100)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that contain a benchmark item."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents so that sources reach their target weights, in a global shuffle."""
+    return mixing.replicate(docs).select(*[f"`{c}`" for c in docs.columns])
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode, write compressed token shards and report them from the files."""
+    path = common.shared_path(spark, "tokens")
+    token_files.write(docs, tokenizer_path(), path)
+    return token_files.read(spark, path)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("decontamination", drop_benchmark_passages),
+    ("mixing", mix_sources),
+    ("token_files", write_tokens),
+]
+
+#: Classifying, edit distances and grammars are beyond SQL; tests hold every stage against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -174,3 +174,20 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def accepted(documents: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, whose language is known with at least ``least_score``.
+
+    Texts without any letter (``und``) go; without any language learned, every text with a letter stays.
+    """
+    common.prepare(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            names, score = score_texts(shared.value, batch.column("text").to_pylist())
+            keep = [n != "und" and s >= least_score for n, s in zip(names, score, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema) if model.languages else documents.where(F.col("text").rlike(r"\p{L}"))

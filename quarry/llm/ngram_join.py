@@ -198,6 +198,16 @@ def components(documents: DataFrame, words: int = 3, num: int = 90, den: int = 1
     return out.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
 
 
+def keep_one(documents: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, with the smallest id of their component; repeated rows stay once.
+
+    Rows with a null id all stay, but for repetitions.
+    """
+    found = components(documents, words, num, den)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("q_kept")).distinct()
+    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("q_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 def _products(documents: DataFrame, member: DataFrame, dealt: DataFrame, count: int, words: int, num: int, den: int) -> DataFrame:
     """Links found by all tasks: rows (cls, n, b) with n linked documents, and b a class it is connected to."""
 

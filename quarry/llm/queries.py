@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, embedding_dedup, language_id, mixing, ngram_join, quality, sharding, token_files, toxicity, warc
+from quarry.llm import common, decontaminate, embedding_dedup, language_id, mixing, ngram_join, quality, sharding, token_files, toxicity, warc
 
 #: The tokenizer file of the token queries; the operator takes any path.
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.links(common.table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -75,6 +79,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op3_decontaminate": op3_decontaminate,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_warc": op5_warc,
     "op6_ngram_join": op6_ngram_join,
