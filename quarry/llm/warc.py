@@ -51,10 +51,10 @@ def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> No
     total = own.agg(F.sum(F.octet_length("html") + 512)).first()[0] or 0
     n = int(total // archive_bytes) + 1
     revisit = roles(pages).withColumnRenamed("page_id", "q_id").withColumnRenamed("digest", "q_digest")
-    # one shuffle of the payloads, by the very key of the join; null ids spread by payload
-    rows = own.withColumn("q_key", F.coalesce("page_id", F.xxhash64("html"))).repartition(n, "q_key").withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
+    # one shuffle of the payloads, by all keys of the join; null ids spread by payload
+    rows = own.withColumn("q_key", F.coalesce("page_id", F.xxhash64("html"))).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).repartition(n, "q_key", "digest")
     same = (F.col("q_key") == F.col("q_id")) & (F.col("digest") == F.col("q_digest")) & F.col("page_id").isNotNull()
-    joined = rows.join(revisit.repartition(n, "q_id"), same, "left")
+    joined = rows.join(revisit.repartition(n, "q_id", "q_digest"), same, "left")
     sized = joined.withColumn("bytes", F.octet_length("html")).withColumn("again", F.col("refers_to").isNotNull())
     parts = F.when(F.col("again"), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.length("html") / CHUNK_CHARS)).cast("int"))
     segments = sized.withColumn("parts", parts).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("parts"))))
