@@ -4,7 +4,7 @@ The documents are the rows and the shingles the columns of a 0/1 incidence matri
 Documents with equal sets are one row (a class). Columns are dealt by hash into blocks, and a size-derived bound
 discards pairs before any product: two sets of a level of similar sizes that reach the threshold differ in at most D
 shingles, so of k > D column blocks at least k - D must be equal in both rows. Only classes that share such an equal
-block (found by one aggregation over block signatures) can link. They form groups; each group's product
+block (found by one sort of block signatures) can link. They form groups; each group's product
 is accumulated column block by column block - frequent columns as dense float32 products, rare ones by counting -
 over pairs of row blocks of bounded size, so a group with very many near copies spreads over many tasks. A task emits
 link counts and a spanning forest of its links, never the pairs themselves. The overlap counts are exact.
@@ -146,34 +146,75 @@ def _scatter(flat: np.ndarray, m: int) -> np.ndarray:
     return out.reshape(m, m)
 
 
-def describe(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``cls`` (digest of the set, null if empty) and block signatures of every document."""
+def _digest(s: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
+
+
+def describe(documents: DataFrame, words: int) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``cls`` (digest of the set, null if empty) of every document."""
 
     def run(batches):
         for batch in batches:
-            n, cls, sigs, cut = [], [], [], [0]
+            n, cls = [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), words)
                 n.append(len(s))
-                cls.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None)
-                sigs.append(signatures(s, num, den))
-                cut.append(cut[-1] + len(sigs[-1]))
-            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), lists], ["doc_id", "n_shingles", "cls", "sigs"])
+                cls.append(_digest(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "n_shingles", "cls"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long, sigs array<bigint>")
+
+def stars(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Edges (a, b) from every class to the smallest class that shares a column block's signature with it.
+
+    Signatures are shuffled once and sorted within partitions; one streaming pass turns each run of equal signatures
+    into edges and holds only the run's first class. Repeated classes are left out per task before the shuffle.
+    """
+
+    def blocks(batches):
+        seen = set()
+        for batch in batches:
+            sigs, cls = [], []
+            for text in batch.column(0):
+                s = shingles(text.as_py(), words)
+                own = _digest(s) if len(s) else None
+                if own is not None and own not in seen:
+                    seen.add(own)
+                    sigs.append(signatures(s, num, den))
+                    cls.append(np.full(len(sigs[-1]), own, np.int64))
+            if sigs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(cls))], ["sig", "cls"])
+
+    def runs(batches):
+        sig, low = None, None
+        for batch in batches:
+            s, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(s):
+                continue
+            start = np.concatenate(([sig is None or s[0] != sig], s[1:] != s[:-1]))
+            first = np.flatnonzero(start)
+            lows = np.empty(len(s), np.int64)
+            if not start[0]:
+                lows[: first[0] if len(first) else len(s)] = low
+            lows[first[0] if len(first) else len(s) :] = np.repeat(c[first], np.diff(np.append(first, len(s))))
+            sig, low = s[-1], lows[-1]
+            other = np.flatnonzero(c != lows)
+            if len(other):
+                yield pa.RecordBatch.from_arrays([pa.array(c[other]), pa.array(lows[other])], ["a", "b"])
+
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = documents.select("text").mapInArrow(blocks, "sig long, cls long").repartition(parts, "sig").sortWithinPartitions("sig", "cls")
+    return dealt.mapInArrow(runs, "a long, b long").distinct()
 
 
 def components(documents: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``n_links``, ``component_id`` of every document; links have den * overlap >= num * union."""
     spark = documents.sparkSession
     common.prepare(spark)
-    docs = common.saved(describe(documents, words, num, den), "shingles")
+    docs = common.saved(describe(documents, words), "shingles")
     classes = docs.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("low"), F.first("n_shingles").alias("n"))
-    blocks = docs.where("cls is not null").select("cls", F.explode("sigs").alias("sig"))
-    shared = blocks.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("sig", "lo")
-    stars = blocks.join(shared, "sig").where("cls <> lo").select(F.col("cls").alias("a"), F.col("lo").alias("b")).distinct()
-    groups = common.connected_components(stars).withColumnRenamed("id", "cls").withColumnRenamed("label", "grp")
+    groups = common.connected_components(stars(documents, words, num, den)).withColumnRenamed("id", "cls").withColumnRenamed("label", "grp")
 
     member = common.saved(classes.join(groups, "cls"), "members")
     sizes = member.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
@@ -216,7 +257,7 @@ def _products(documents: DataFrame, member: DataFrame, dealt: DataFrame, count:
             cls, own = [], []
             for text, want in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text.as_py(), words)
-                if len(s) and int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) == want:
+                if len(s) and _digest(s) == want:
                     cls.append(want)
                     own.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(own, pa.binary())], ["cls", "own"])
