@@ -26,6 +26,10 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def trim(c: Column) -> Column:
+    return F.trim(c)
+
+
 def lits(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
@@ -79,26 +83,36 @@ def _escaped(s: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}/-])", r"\\\1", s)
 
 
+def _apply_rule(out: Column, rule: Column, reach: int) -> Column:
+    """One keyword rule: its whole-word matches are expanded unless its expansion or one of its words is near."""
+    low = F.lower(out)
+    parts = F.split(low, rule["word"])
+
+    def near(i):
+        start = F.length(F.array_join(F.slice(parts, 1, i + 1), "")) + i * rule["size"]
+        begin = F.greatest(F.lit(0), start - reach)
+        return F.arrays_overlap(split_words(F.substring(low, begin + 1, start + rule["size"] + reach - begin)), rule["others"])
+
+    keep = (F.size(parts) < 2) | F.contains(low, rule["expansion"]) | F.exists(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), near)
+    return F.when(keep, out).otherwise(F.regexp_replace(out, rule["word"], rule["value"]))
+
+
 def domain_rules(c: Column, pairs: Sequence[tuple[str, str]] = rules.DOMAIN_RULES, reach: int = 30) -> Column:
-    """Expand keywords in order, unless the expansion is there already or one of its words is near a match."""
-    out = c
-    for key, value in pairs:
-        word = rf"(?iU)\b{_escaped(key)}\b"
-        low = F.lower(out)
-        parts = F.split(low, word)
-        others = lits(sorted(set(value.lower().split()) - {key.lower()}))
-        size = len(key)
-
-        def near(i, parts=parts, low=low, size=size, others=others):
-            start = F.length(F.array_join(F.slice(parts, 1, i + 1), "")) + i * size
-            begin = F.greatest(F.lit(0), start - reach)
-            context = F.substring(low, begin + 1, start + size + reach - begin)
-            return F.arrays_overlap(split_words(context), others)
-
-        close = F.when(F.size(parts) > 1, F.exists(F.sequence(F.lit(0), F.size(parts) - 2), near)).otherwise(False)
-        keep = F.contains(low, F.lit(value.lower())) | F.coalesce(close, F.lit(False)) | (F.size(parts) < 2)
-        out = F.when(keep, out).otherwise(F.regexp_replace(out, word, value.replace("\\", "\\\\").replace("$", "\\$")))
-    return out
+    """Expand keywords in order, unless the expansion is there already or one of its words is near a match.
+
+    A fold over the rules as data: as nested expressions each rule would repeat the whole text expression several times.
+    """
+    table = [
+        F.struct(
+            F.lit(rf"(?iU)\b{_escaped(key)}\b").alias("word"),
+            F.lit(len(key)).alias("size"),
+            F.lit(value.lower()).alias("expansion"),
+            F.lit(value.replace("\\", "\\\\").replace("$", "\\$")).alias("value"),
+            lits(sorted(set(value.lower().split()) - {key.lower()})).alias("others"),
+        )
+        for key, value in pairs
+    ]
+    return F.aggregate(F.array(*table), c, lambda out, rule: _apply_rule(out, rule, reach)) if table else c
 
 
 def transform_query(c: Column, special: dict[str, str] | None = None, pairs: Sequence[tuple[str, str]] = rules.DOMAIN_RULES) -> Column:
@@ -210,7 +224,7 @@ def sub_queries(c: Column) -> Column:
     q = text(c)
     halves = F.split(q, "(?i) and ")
     asked = F.filter(F.split(q, r"[.!?]+"), lambda s: s.rlike(r"(?i)\b(what|how|when|where|who|why|which)\b"))
-    parts = F.concat(F.array(q), F.when(F.size(halves) == 2, F.transform(halves, F.trim)).otherwise(F.array().cast("array<string>")), F.transform(asked, F.trim))
+    parts = F.concat(F.array(q), F.when(F.size(halves) == 2, F.transform(halves, trim)).otherwise(F.array().cast("array<string>")), F.transform(asked, trim))
     return F.slice(F.array_distinct(F.filter(parts, lambda s: s != "")), 1, 3)
 
 
@@ -222,6 +236,16 @@ def clarify(c: Column, pairs: Sequence[tuple[str, str]] = rules.CLARIFIERS) -> C
     return F.when((F.size(added) > 0) & (text(c) != ""), F.concat(text(c), F.lit(" "), F.array_join(added, " ")))
 
 
+def _span(parts: Column, n: int, reply: str):
+    """Start, end and reply of the i-th match of a phrase of ``n`` characters that split the text into ``parts``."""
+
+    def make(i):
+        at = F.length(F.array_join(F.slice(parts, 1, i + 1), "")) + i * n
+        return F.struct(at.alias("start"), F.lit(-n).alias("neg"), (at + n).alias("end"), F.lit(reply).alias("reply"))
+
+    return make
+
+
 def canned_reply(c: Column, phrases: Sequence[tuple[str, str]] = rules.CANNED, replies: dict[str, str] | None = None) -> Column:
     """Replies to all whole phrases found, from left to right, longest first, without overlap; null if none is."""
     said = replies or rules.REPLIES
@@ -232,8 +256,7 @@ def canned_reply(c: Column, phrases: Sequence[tuple[str, str]] = rules.CANNED, r
             continue
         parts = F.split(t, rf"(?U)\b{_escaped(phrase)}\b")
         n = len(phrase)
-        at = lambda i, parts=parts, n=n: F.length(F.array_join(F.slice(parts, 1, i + 1), "")) + i * n
-        hit = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i, at=at, n=n, kind=kind: F.struct(at(i).alias("start"), F.lit(-n).alias("neg"), (at(i) + n).alias("end"), F.lit(said[kind]).alias("reply")))
+        hit = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), _span(parts, n, said[kind]))
         empty = F.array().cast("array<struct<start:int,neg:int,end:int,reply:string>>")
         spans.append(F.when(F.size(parts) > 1, hit.cast("array<struct<start:int,neg:int,end:int,reply:string>>")).otherwise(empty))
     ordered = F.array_sort(F.concat(*spans))

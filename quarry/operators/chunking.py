@@ -27,7 +27,7 @@ def good_chunk(c: Column) -> Column:
 
 def header(title: Column) -> Column:
     """The title's parts without those that repeat the one before."""
-    parts = F.transform(F.split(text.text(title), " - "), F.trim)
+    parts = F.transform(F.split(text.text(title), " - "), text.trim)
     return F.array_join(F.filter(parts, lambda p, i: (i == 0) | (p != F.element_at(parts, F.greatest(i, F.lit(1))))), " - ")
 
 

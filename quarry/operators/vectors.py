@@ -33,22 +33,23 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, query_block: int = QUERY_
     places before ranking, so equal vectors tie whatever the order of summation.
     """
     nq, nr = (max(1, -(-d.count() // b)) for d, b in ((queries, query_block), (rows, row_block)))
-    left = queries.select(F.lit(True).alias("is_query"), F.col("query_id").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("q"))
-    right = rows.select(F.lit(False).alias("is_query"), F.col("row_id").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.pmod(F.xxhash64("row_id"), F.lit(nr)).cast("int").alias("r"))
-    left = left.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).select("q", "r", "is_query", "id", "vector")
-    right = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select("q", "r", "is_query", "id", "vector")
-
-    def block(table):
-        is_query, ids = table.column("is_query").to_numpy(zero_copy_only=False), table.column("id").to_numpy()
-        vectors = table.column("vector").to_pylist()
-        matrix = np.array([v or [0.0] for v in vectors]) if len({len(v or [0.0]) for v in vectors}) == 1 else None
-        if matrix is None:  # rows of another length than the queries' are as far as a zero vector
-            size = max((len(v) for v, q in zip(vectors, is_query, strict=True) if q and v), default=1)
-            matrix = np.array([v if v and len(v) == size else [0.0] * size for v in vectors])
-        size = np.sqrt((matrix * matrix).sum(1))
-        matrix = np.where(size[:, None] > 1e-8, matrix / np.where(size > 1e-8, size, 1)[:, None], 0.0)
-        qid, rid = ids[is_query], ids[~is_query]
-        sim = np.round(matrix[is_query] @ matrix[~is_query].T, 9)
+    doubles = F.transform("vector", lambda x: x.cast("double")).alias("vector")
+    left = queries.select(F.col("query_id").cast("long").alias("id"), doubles, F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("q"))
+    right = rows.select(F.col("row_id").cast("long").alias("id"), doubles, F.pmod(F.xxhash64("row_id"), F.lit(nr)).cast("int").alias("r"))
+    left = left.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).select("q", "r", "id", "vector")
+    right = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select("q", "r", "id", "vector")
+
+    def unit(vectors, size):
+        # null vectors and those of another length are as far as a zero vector
+        matrix = np.array([v if v is not None and len(v) == size and None not in v else [0.0] * size for v in vectors], np.float64).reshape(len(vectors), size)
+        length = np.sqrt((matrix * matrix).sum(1))
+        return np.where(length[:, None] > 1e-8, matrix / np.where(length > 1e-8, length, 1)[:, None], 0.0)
+
+    def block(asked, given):
+        qid, rid = asked.column("id").to_numpy(), given.column("id").to_numpy()
+        vectors = asked.column("vector").to_pylist()
+        size = max((len(v) for v in vectors if v), default=1)
+        sim = np.round(unit(vectors, size) @ unit(given.column("vector").to_pylist(), size).T, 9)
         out_q, out_r, out_s = [], [], []
         for i in range(len(qid)):
             s = sim[i]
@@ -62,7 +63,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, query_block: int = QUERY_
         columns = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((out_q, np.int64), (out_r, np.int64), (out_s, np.float64))]
         return pa.Table.from_arrays([pa.array(c) for c in columns], ["query_id", "row_id", "sim"])
 
-    found = left.unionByName(right).groupBy("q", "r").applyInArrow(block, "query_id long, row_id long, sim double")
+    found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(block, "query_id long, row_id long, sim double")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "row_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -1,4 +1,909 @@
-"""All queries of the retrieval and evaluation engine, by name."""
+"""All queries of the retrieval and evaluation engine, by name, with SQL that checks them on the same tables.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Roles of the tables: ``documents`` are section texts, ``pages`` crawled pages, ``embeddings`` chunk vectors (ids divisible
+by 100 are the query set, tier = label % 5), ``benchmark`` gold questions, ``labels`` runs and relevance,
+``conversations`` sessions and messages, ``events`` states and latencies. Where patterns have word boundaries, other
+than ASCII characters become "x" on both sides, since engines disagree on them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import rules, text, web
+from quarry.operators import chunking, dedup, evaluation, gold, ranking, sessions, tfidf, vectors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quoted(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def ascii_text(c: Column | str) -> Column:
+    return F.regexp_replace(text.text(c), r"[^\x00-\x7F]", "x")
+
+
+ASCII = "regexp_replace(coalesce({c}, ''), '[^\\x00-\\x7F]', 'x', 'g')"
+T = ASCII.format(c="text")
+WORDS = "list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> '')"
+
+# ---- vectors -------------------------------------------------------------------------------------------------------
+
+
+def query_vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+    return q, e.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), "label")
+
+
+SIMS = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, label AS q_label FROM embeddings WHERE vec_id % 100 = 0),
+c AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 100 <> 0),
+s AS (SELECT query_id, row_id, q_label, label, round(list_cosine_similarity(q.v, c.v), 9) AS sim FROM q CROSS JOIN c)"""
+RANKED = SIMS + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, row_id) AS rank FROM s)"
+
+
+@query("vec_topk", f"WITH {RANKED} SELECT query_id, row_id, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+def vec_topk(spark, sf_dir):
+    q, c = query_vectors(spark, sf_dir)
+    return vectors.top_k(q, c, 10).withColumn("sim", F.round("sim", 6))
+
+
+@query("vec_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings")
+def vec_norms(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+
+
+def predicted_labels(spark, sf_dir):
+    q, c = query_vectors(spark, sf_dir)
+    top = vectors.top_k(q, c, 10).join(c.select("row_id", F.col("label").alias("row_label")), "row_id")
+    lists = top.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "row_label"))), lambda x: x["row_label"]).alias("predicted"))
+    return lists.join(q.select("query_id", F.array("label").alias("wanted")), "query_id")
+
+
+@query("vec_recall_at_k", f"WITH {RANKED} SELECT query_id, " + ", ".join(f"CAST(max(CASE WHEN rank <= {k} AND label = q_label THEN 1 ELSE 0 END) AS DOUBLE) AS recall_{k}" for k in (1, 3, 5)) + " FROM r GROUP BY query_id")
+def vec_recall_at_k(spark, sf_dir):
+    p = predicted_labels(spark, sf_dir)
+    return p.select("query_id", *[evaluation.recall_at(F.col("predicted"), F.col("wanted"), k).cast("double").alias(f"recall_{k}") for k in (1, 3, 5)])
+
+
+_IDEAL = "list_sum(list_transform(range(0, CAST(hits{k} AS BIGINT)), lambda i: 1 / log2(i + 2)))"
+
+
+@query(
+    "vec_ndcg_retrieved",
+    f"WITH {RANKED}, g AS (SELECT query_id, " + ", ".join(f"sum(CASE WHEN rank <= {k} AND label = q_label THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg{k}, sum(CASE WHEN rank <= {k} AND label = q_label THEN 1 ELSE 0 END) AS hits{k}" for k in (1, 3, 5)) + " FROM r GROUP BY query_id) SELECT query_id, " + ", ".join(f"CASE WHEN hits{k} > 0 THEN round(dcg{k} / {_IDEAL.format(k=k)}, 6) ELSE 0.0 END AS ndcg_{k}" for k in (1, 3, 5)) + " FROM g",
+)
+def vec_ndcg_retrieved(spark, sf_dir):
+    p = predicted_labels(spark, sf_dir)
+    return p.select("query_id", *[F.round(evaluation.ndcg_retrieved(F.col("predicted"), F.col("wanted"), k), 6).alias(f"ndcg_{k}") for k in (1, 3, 5)])
+
+
+@query(
+    "vec_ndcg_standard",
+    f"WITH {RANKED}, f AS (SELECT query_id, q_label, label, min(rank) AS rank FROM r WHERE rank <= 10 GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos FROM f) SELECT query_id, " + ", ".join(f"round(sum(CASE WHEN pos <= {k} AND label = q_label THEN 1 / log2(pos + 1) ELSE 0 END), 6) AS ndcg_{k}" for k in (1, 3, 5)) + " FROM p GROUP BY query_id",
+)
+def vec_ndcg_standard(spark, sf_dir):
+    p = predicted_labels(spark, sf_dir).withColumn("predicted", F.array_distinct("predicted"))
+    return p.select("query_id", *[F.round(evaluation.ndcg_standard(F.col("predicted"), F.col("wanted"), k), 6).alias(f"ndcg_{k}") for k in (1, 3, 5)])
+
+
+BEST_GOLD = SIMS + ", b AS (SELECT row_id, query_id, sim, row_number() OVER (PARTITION BY row_id ORDER BY sim DESC, query_id) AS p FROM s)"
+
+
+@query("gold_best_match", f"WITH {BEST_GOLD} SELECT row_id AS query_id, query_id AS gold_id, round(sim, 6) AS sim FROM b WHERE p = 1")
+def gold_best_match(spark, sf_dir):
+    g, rows = query_vectors(spark, sf_dir)
+    best = vectors.best_match(rows.select(F.col("row_id").alias("query_id"), "vector"), g.select(F.col("query_id").alias("row_id"), "vector"))
+    return best.select("query_id", F.col("row_id").alias("gold_id"), F.round("sim", 6).alias("sim"))
+
+
+@query("gold_direct_answer", f"WITH {BEST_GOLD} SELECT row_id AS query_id, item_id, text AS answer, round(sim, 6) AS sim FROM b JOIN benchmark ON item_id = query_id // 100 WHERE p = 1 AND sim >= 0.3")
+def gold_direct_answer(spark, sf_dir):
+    best = gold_best_match(spark, sf_dir).where("sim >= 0.3").withColumn("item_id", F.expr("gold_id div 100"))
+    return best.join(table(spark, sf_dir, "benchmark"), "item_id").select("query_id", "item_id", F.col("text").alias("answer"), "sim")
+
+
+_BOOST = "CASE label % 5 WHEN 0 THEN 3.0 WHEN 1 THEN 1.5 WHEN 2 THEN 1.2 ELSE 1.0 END"
+BOOSTED = RANKED + f", t AS (SELECT *, label % 5 AS tier, round(sim * {_BOOST}, 9) AS boosted FROM r WHERE rank <= 240), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, sim DESC, row_id) AS place FROM t)"
+
+
+def boosted(spark, sf_dir):
+    q, c = query_vectors(spark, sf_dir)
+    near = vectors.top_k(q, c, 240).drop("rank").join(c.select("row_id", (F.col("label") % 5).alias("tier")), "row_id")
+    return near.withColumn("boosted", F.round(F.col("sim") * ranking.tier_boost(F.col("tier")), 9))
+
+
+@query("tier_boosted_topk", f"WITH {BOOSTED} SELECT query_id, row_id, tier, round(boosted, 6) AS boosted, CAST(place AS INTEGER) AS rank FROM o WHERE place <= 10")
+def tier_boosted_topk(spark, sf_dir):
+    return ranking.rank_boosted(boosted(spark, sf_dir), 10).select("query_id", "row_id", "tier", F.round("boosted", 6).alias("boosted"), "rank")
+
+
+@query(
+    "ensure_gold",
+    f"""WITH {BOOSTED.replace('THEN 3.0', 'THEN 0.9')},
+    g AS (SELECT *, max(CASE WHEN tier = 0 AND place <= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS has_gold,
+                 min(CASE WHEN tier = 0 AND boosted > 0.05 THEN place END) OVER (PARTITION BY query_id) AS best FROM o),
+    m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN has_gold = 0 AND place = best THEN 1.5 ELSE place END) AS new_rank FROM g)
+    SELECT query_id, row_id, tier, CAST(new_rank AS INTEGER) AS rank, CAST(place AS INTEGER) AS original_rank FROM m WHERE new_rank <= 5""",
+)
+def ensure_gold(spark, sf_dir):
+    q, c = query_vectors(spark, sf_dir)
+    near = vectors.top_k(q, c, 240).drop("rank").join(c.select("row_id", (F.col("label") % 5).alias("tier")), "row_id")
+    low = near.withColumn("boosted", F.round(F.col("sim") * ranking.tier_boost(F.col("tier"), boosts=rules.TIER_BOOSTS | {0: 0.9}), 9))
+    return ranking.ensure_gold(low, 5, least=0.05).select("query_id", "row_id", "tier", "rank", "original_rank")
+
+
+# ---- addresses -----------------------------------------------------------------------------------------------------
+
+_FOLDERS = {"en": "graduate/academic-regulations-degree-requirements", "fr": "graduate/general-information", "de": "graduate/course-descriptions", "es": "graduate/programs-study"}
+
+
+def foldered(c: Column) -> Column:
+    """Page addresses with a catalog folder in place of the language."""
+    for k, v in _FOLDERS.items():
+        c = F.replace(c, F.lit(f"/{k}/"), F.lit(f"/{v}/"))
+    return c
+
+
+FOLDERED = "url"
+for _k, _v in _FOLDERS.items():
+    FOLDERED = f"replace({FOLDERED}, '/{_k}/', '/{_v}/')"
+PATH_SQL = "regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+_P = "lower(" + PATH_SQL.format(u=FOLDERED) + ")"
+TIER_SQL = f"CASE WHEN contains({_P}, '/graduate/academic-regulations-degree-requirements/') THEN 1 WHEN contains({_P}, '/graduate/general-information/') THEN 2 WHEN contains({_P}, '/graduate/course-descriptions/') THEN 3 WHEN contains({_P}, '/graduate/programs-study/') THEN 4 ELSE 2 END"
+
+
+def tiered(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", foldered(F.col("url")).alias("url")).withColumn("m", web.meta(F.col("url"), F.lit("")))
+
+
+@query("tier_of_url", f"SELECT page_id, {TIER_SQL} AS tier, CASE {TIER_SQL} WHEN 1 THEN 'academic_regulations' WHEN 2 THEN 'general_info' WHEN 3 THEN 'course_desc' ELSE 'program' END AS tier_name, {TIER_SQL} = 4 AS is_program_page FROM pages")
+def tier_of_url(spark, sf_dir):
+    return tiered(spark, sf_dir).select("page_id", "m.tier", "m.tier_name", "m.is_program_page")
+
+
+@query("tier_counts", f"SELECT CAST(i AS INTEGER) AS tier, count(page_id) AS n_chunks FROM range(0, 5) r(i) LEFT JOIN (SELECT page_id, {TIER_SQL} AS tier FROM pages) p ON p.tier = i GROUP BY i")
+def tier_counts(spark, sf_dir):
+    return chunking.tier_counts(tiered(spark, sf_dir).select("m.tier"))
+
+
+SEGMENTS_SQL = "list_filter(string_split(" + PATH_SQL.format(u="url") + ", '/'), lambda s: s <> '')"
+
+
+@query("doc_slug", f"SELECT page_id, CASE WHEN slug = '' THEN 'catalog' ELSE slug END AS slug FROM (SELECT page_id, regexp_replace(coalesce({SEGMENTS_SQL}[-1], ''), '\\.html?$', '') AS slug FROM pages)")
+def doc_slug(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", web.slug(F.col("url")).alias("slug"))
+
+
+# ---- chunks --------------------------------------------------------------------------------------------------------
+
+LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """Documents with their non-empty lines as items and a title made of source and language."""
+    items = F.filter(F.transform(F.split(text.text("text"), "\n"), text.trim), lambda x: x != "")
+    return docs.select("doc_id", "source", F.concat_ws(" - ", "source", "source", "lang", "lang").alias("title"), items.alias("items"))
+
+
+@query("chunk_items", f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, items[i] AS item FROM (SELECT doc_id, {LINES} AS items, unnest(range(1, len({LINES}) + 1)) AS i FROM documents)")
+def chunk_items(spark, sf_dir):
+    return lines_of(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode("items").alias("pos", "item"))
+
+
+@query("chunk_overlap", f"SELECT doc_id, CAST(i // 2 AS INTEGER) AS pos, array_to_string(items[i + 1 : i + 3], ' ') AS chunk FROM (SELECT doc_id, items, unnest(range(0, greatest(len(items), 1), 2)) AS i FROM (SELECT doc_id, {LINES} AS items FROM documents)) WHERE len(items) > 0 AND (i = 0 OR i + 1 < len(items))")
+def chunk_overlap(spark, sf_dir):
+    d = lines_of(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.posexplode(chunking.overlapping(F.col("items"), 3, 1)).alias("pos", "chunk"))
+
+
+@query("chunk_header", "SELECT doc_id, source || CASE WHEN lang IS NOT NULL AND lang <> source THEN ' - ' || lang ELSE '' END AS header FROM documents")
+def chunk_header(spark, sf_dir):
+    return lines_of(table(spark, sf_dir, "documents")).select("doc_id", chunking.header(F.col("title")).alias("header"))
+
+
+@query("chunk_quality", f"SELECT doc_id, count(*) AS n_items, count(*) FILTER (WHERE len({WORDS.format(c='item')}) >= 3 AND (regexp_matches(item, '[.!?]') OR length(item) >= 30)) AS n_good FROM (SELECT doc_id, unnest({LINES}) AS item FROM documents) GROUP BY doc_id")
+def chunk_quality(spark, sf_dir):
+    d = lines_of(table(spark, sf_dir, "documents")).select("doc_id", F.explode("items").alias("item"))
+    return d.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.count_if(chunking.good_chunk(F.col("item"))).alias("n_good"))
+
+
+@query("chunk_exact_dedup", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY trim(lower(coalesce(text, '')), ' ' || chr(9) || chr(10) || chr(13))")
+def chunk_exact_dedup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(text.strip(F.lower(text.text("text"))), 256).alias("key"))
+    n = d.groupBy("key").agg(F.count("*").alias("copies"))
+    return chunking.first_of_equals(d, "text", "doc_id").join(n, "key").select("doc_id", "copies")
+
+
+TOKENS_SQL = f"list_distinct({WORDS.format(c='lower(coalesce(text, $$$$))')})"
+
+
+@query(
+    "near_dup_pairs",
+    f"""WITH t AS (SELECT doc_id, list_sort({TOKENS_SQL}) AS s FROM documents), r AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM t WHERE len(s) > 0 GROUP BY s),
+    p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS o, a.n AS na, b.n AS nb FROM r a JOIN r b ON a.id < b.id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n))
+    SELECT a, b, round(o / (na + nb - o), 6) AS jaccard FROM p WHERE o / (na + nb - o) > 0.8""",
+)
+def near_dup_pairs(spark, sf_dir):
+    return dedup.similar_pairs(table(spark, sf_dir, "documents")).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query("greedy_diversity")
+def greedy_diversity(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    return dedup.greedy_keep(c, 0.1, "conv_id", "rank", "text", at_least=3).select("conv_id", "turn", "rank")
+
+
+# ---- text ----------------------------------------------------------------------------------------------------------
+
+
+@query("norm_text", f"SELECT doc_id, trim(regexp_replace(regexp_replace(lower({T}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS program_form, regexp_replace(trim({T}, ' ' || chr(9) || chr(10) || chr(13)), '\\s+', ' ', 'g') AS spaced FROM documents")
+def norm_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", ascii_text("text").alias("t"))
+    return d.select("doc_id", text.program_norm(F.col("t")).alias("program_form"), text.clean_space(F.col("t")).alias("spaced"))
+
+
+@query("dedupe_words")
+def dedupe_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.merge_repeated_words(text.text("text")).alias("merged"))
+
+
+ALPHA = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')"
+
+
+@query("content_tokens", f"SELECT doc_id, len(list_filter(list_distinct({ALPHA}), lambda w: NOT list_contains({quoted(rules.CONTENT_STOPWORDS)}, w))) AS n_tokens, list_sort(list_filter(list_distinct({ALPHA}), lambda w: NOT list_contains({quoted(rules.CONTENT_STOPWORDS)}, w))) AS tokens FROM documents")
+def content_tokens(spark, sf_dir):
+    tokens = text.content_tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_sort(tokens).alias("tokens"))
+
+
+@query("dup_words_flag", f"SELECT doc_id, coalesce(list_bool_or(list_transform(range(1, len(w)), lambda i: w[i] = w[i + 1])), FALSE) AS has_repeat FROM (SELECT doc_id, {ALPHA} AS w FROM documents)")
+def dup_words_flag(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.has_repeated_word(F.col("text")).alias("has_repeat"))
+
+
+PROSE_RULES = [("the", "the whole"), ("or", "either or"), ("and", "and also"), ("was", "it was once"), *rules.DOMAIN_RULES]
+
+
+@query("domain_rules")
+def domain_rules(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return c.select("conv_id", "turn", text.transform_query(F.col("text"), pairs=PROSE_RULES).alias("rewritten"))
+
+
+PROSE_ACRONYMS = [(r"\bis\b", "it is"), (r"\bla\b", "le ou la"), (r"\bdie\b", "der die das"), *rules.ACRONYMS]
+_acr = f"lower({T})"
+for _p, _v in PROSE_ACRONYMS:
+    _acr = f"regexp_replace({_acr}, '{_p}', '{_v}', 'g')"
+
+
+@query("acronym_expand", f"SELECT conv_id, turn, {_acr} AS expanded FROM conversations")
+def acronym_expand(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.expand_acronyms(ascii_text("text"), PROSE_ACRONYMS).alias("expanded"))
+
+
+PROSE_CLARIFIERS = [("than", "than before"), ("ing", "during"), ("la ", "la question"), *rules.CLARIFIERS]
+_clar = ", ".join(f"CASE WHEN contains(l, '{k}') AND NOT contains(l, '{v.lower()}') THEN '{v}' END" for k, v in PROSE_CLARIFIERS)
+
+
+@query("clarify", f"SELECT conv_id, turn, CASE WHEN len(x) > 0 THEN text || ' ' || array_to_string(x, ' ') END AS clarified FROM (SELECT *, list_filter([{_clar}], lambda y: y IS NOT NULL) AS x FROM (SELECT *, lower(text) AS l FROM conversations WHERE text IS NOT NULL))")
+def clarify(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    return c.select("conv_id", "turn", text.clarify(F.col("text"), PROSE_CLARIFIERS).alias("clarified"))
+
+
+PROSE_TERMS = ["tion", "keit", "mente", *rules.PROGRAM_TERMS]
+_hits = f"list_filter({quoted(PROSE_TERMS)}, lambda t: contains(lower(coalesce(text, '')), t))"
+
+
+@query("boost_terms", f"SELECT conv_id, turn, coalesce(text, '') || CASE WHEN len({_hits}) > 0 THEN ' ' || array_to_string({_hits}, ' ') ELSE '' END AS boosted FROM conversations")
+def boost_terms(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.boosted(F.col("text"), PROSE_TERMS).alias("boosted"))
+
+
+_kw = WORDS.format(c=f"lower({T})")
+_stop = quoted(rules.KEY_TERM_STOPWORDS)
+
+
+@query("key_terms", f"SELECT conv_id, turn, array_to_string(list_concat(list_filter(w, lambda x: NOT list_contains({_stop}, x) AND length(x) > 2), list_transform(list_filter(range(1, len(w)), lambda i: NOT list_contains({_stop}, w[i]) AND NOT list_contains({_stop}, w[i + 1])), lambda i: w[i] || ' ' || w[i + 1])), '|') AS terms FROM (SELECT conv_id, turn, {_kw} AS w FROM conversations)")
+def key_terms(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.key_terms(ascii_text("text")), "|").alias("terms"))
+
+
+_any = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+_L = "lower(coalesce(text, ''))"
+
+
+@query("intent_case", f"SELECT conv_id, turn, CASE " + " ".join(f"WHEN {_any(_L, ws)} THEN '{label}'" for label, ws in rules.INTENTS) + " ELSE 'general' END AS intent FROM conversations")
+def intent_case(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.intent(F.col("text")).alias("intent"))
+
+
+@query("policy_filter", f"SELECT doc_id, {_any(_L, rules.POLICY_WORDS)} AS has_policy, {_any(_L, rules.ADMISSION_WORDS)} AS has_admissions, len(list_filter({quoted(rules.KEY_TOKEN_HINTS)}, lambda k: contains({_L}, k))) AS n_hints FROM documents")
+def policy_filter(spark, sf_dir):
+    low = F.lower(text.text("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.any_in(low, rules.POLICY_WORDS).alias("has_policy"), text.any_in(low, rules.ADMISSION_WORDS).alias("has_admissions"), F.size(text.key_tokens(F.col("text"))).cast("long").alias("n_hints"))
+
+
+def user_pairs(spark, sf_dir):
+    """Each user turn with the one before it in the conversation."""
+    u = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", ascii_text("text").alias("text"))
+    return u.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
+
+
+_ct = lambda c: f"list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-z]+')), lambda w: NOT list_contains({quoted(rules.CONTENT_STOPWORDS)}, w))"
+
+
+@query(
+    "rewrite_guard",
+    f"""WITH u AS (SELECT conv_id, turn, {T} AS text, lag({T}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'user')
+    SELECT conv_id, turn,
+      len(list_filter(list_distinct(regexp_extract_all(before, '\\b[A-Z]{{2,4}}\\s?\\d{{3}}[A-Z]?\\b')), lambda x: NOT list_contains(regexp_extract_all(text, '\\b[A-Z]{{2,4}}\\s?\\d{{3}}[A-Z]?\\b'), x))) = 0
+      AND len(list_filter(list_distinct(regexp_extract_all(before, '\\d+')), lambda x: NOT list_contains(regexp_extract_all(text, '\\d+'), x))) = 0
+      AND len({WORDS.format(c='text')}) >= 3 AS valid,
+      round(CASE WHEN len({_ct('before')}) = 0 OR len({_ct('text')}) = 0 THEN 0.0 ELSE len(list_intersect({_ct('before')}, {_ct('text')})) / len({_ct('before')}) END, 6) AS score
+    FROM u WHERE before IS NOT NULL""",
+)
+def rewrite_guard(spark, sf_dir):
+    return user_pairs(spark, sf_dir).select("conv_id", "turn", text.valid_rewrite(F.col("before"), F.col("text")).alias("valid"), F.round(text.rewrite_score(F.col("before"), F.col("text")), 6).alias("score"))
+
+
+@query("rewrite_accepted")
+def rewrite_accepted(spark, sf_dir):
+    return user_pairs(spark, sf_dir).select("conv_id", "turn", text.accepted_rewrite(F.col("before"), F.concat("text", F.lit("?")), most=200).alias("accepted"))
+
+
+PROSE_CANNED = [("the", "hello"), ("la", "hi"), ("in the", "okay"), ("de la", "good"), *rules.CANNED]
+
+
+@query("generic_reply_spans")
+def generic_reply_spans(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.canned_reply(F.col("text"), PROSE_CANNED).alias("reply"))
+
+
+_spaced = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+_sent = "list_filter(string_split(regexp_replace({c}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
+
+
+@query(
+    "snippet",
+    f"""WITH s AS (SELECT doc_id, {_sent.format(c=_spaced.format(c=T))}[1] AS s FROM documents), c AS (SELECT doc_id, s, substr(s, 1, 140) AS cut FROM s)
+    SELECT doc_id, CASE WHEN s IS NULL THEN '' WHEN length(s) <= 140 THEN s WHEN instr(cut, ' ') = 0 THEN cut ELSE regexp_extract(cut, '^(.*) [^ ]*$', 1) END AS snippet FROM c""",
+)
+def snippet(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(ascii_text("text")).alias("snippet"))
+
+
+@query("snippet_hint")
+def snippet_hint(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("n"), F.col("text").alias("hint")), F.pmod("doc_id", F.lit(40)) == F.col("n"))
+    return d.select("doc_id", text.snippet(F.col("text"), F.col("hint"), 160).alias("snippet"))
+
+
+@query("fragment_url", f"SELECT page_id, CASE WHEN ends_with(lower(url), '.pdf') OR contains(lower(url), 'content=pdf') THEN url ELSE split_part(url, '#', 1) || '#:~:text=' || replace(split_part({PATH_SQL.format(u='url')}, '/', 2) || ' page', ' ', '%20') END AS link FROM pages")
+def fragment_url(spark, sf_dir):
+    first = F.split_part(F.regexp_extract("url", web.PATH, 1), F.lit("/"), F.lit(2))
+    return table(spark, sf_dir, "pages").select("page_id", text.fragment_url(F.col("url"), F.concat(first, F.lit(" page"))).alias("link"))
+
+
+_src = "regexp_replace(regexp_replace({c}, '\\[Source \\d+\\]', '', 'g'), '\\bSource \\d+\\b', '', 'g')"
+_bare = f"trim({_src.format(c=T)}, ' ' || chr(9) || chr(10) || chr(13))"
+_allsent = "string_split(regexp_replace({c}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(
+    "clean_answer",
+    f"""WITH a AS (SELECT doc_id, {_bare} AS b FROM documents), s AS (SELECT doc_id, b, {_allsent.format(c='b')} AS p FROM a),
+    t AS (SELECT doc_id, CASE WHEN len(p) > 3 THEN array_to_string(p[1:3], ' ') ELSE b END AS x FROM s), u AS (SELECT doc_id, x, {_allsent.format(c='x')} AS q FROM t)
+    SELECT doc_id, trim(CASE WHEN length(x) <= 400 THEN x WHEN len(q) > 1 AND length(q[1] || ' ' || q[2]) <= 400 THEN q[1] || ' ' || q[2] ELSE q[1] END, ' ' || chr(9) || chr(10) || chr(13)) AS answer FROM u""",
+)
+def clean_answer(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_answer(ascii_text("text")).alias("answer"))
+
+
+@query("boilerplate", "SELECT doc_id, trim(" + "regexp_replace(" * 4 + T + "".join(f", '(?is){p}', '', 'g')" for p in rules.BOILERPLATE) + ", ' ' || chr(9) || chr(10) || chr(13)) AS cleaned FROM documents")
+def boilerplate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.remove_boilerplate(ascii_text("text")).alias("cleaned"))
+
+
+_cred = "nullif(regexp_extract({c}, '(?i)\\bCredits:\\s*([0-9]+)\\b', 1), '')"
+_line = "'Credits: ' || (doc_id % 9) || '. Grade Mode: Letter' || chr(10) || " + T
+
+
+@query("course_fallbacks", f"SELECT doc_id, {_cred.format(c=_line)} AS credits, nullif(regexp_extract({_line}, '(?i)(\\d{{1,3}})\\s*(credits|credit hours?)', 1), '') AS degree_credits FROM documents")
+def course_fallbacks(spark, sf_dir):
+    t = F.concat(F.lit("Credits: "), (F.col("doc_id") % 9).cast("string"), F.lit(". Grade Mode: Letter\n"), ascii_text("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.credits_of(t).alias("credits"), text.degree_credits_of(t).alias("degree_credits"))
+
+
+@query("question_cleaning")
+def question_cleaning(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.clean_question(F.col("text")).alias("question")).where("question is not null")
+    w = Window.partitionBy(F.lower("question")).orderBy("conv_id", "turn")
+    return c.withColumn("p", F.row_number().over(w)).where("p = 1").drop("p")
+
+
+# ---- ranking -------------------------------------------------------------------------------------------------------
+
+
+def items_of(spark, sf_dir):
+    """The user turns of each conversation: the first is the query, the others are its items."""
+    u = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("item_id"), "text")
+    return u.withColumn("is_query", F.col("item_id") == F.min("item_id").over(Window.partitionBy("group_id")))
+
+
+_terms = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{{2,}}'), lambda x: NOT list_contains({quoted(rules.STOPWORDS)}, x))"
+TFIDF_SQL = f"""items AS (SELECT conv_id AS group_id, turn AS item_id, text, turn = min(turn) OVER (PARTITION BY conv_id) AS is_query FROM conversations),
+w AS (SELECT group_id, item_id, is_query, {_terms} AS w FROM items),
+t AS (SELECT group_id, item_id, is_query, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+c AS (SELECT group_id, item_id, is_query, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT group_id, count(*) AS n FROM items GROUP BY group_id),
+d AS (SELECT group_id, term, count(*) AS df, sum(tf) AS total FROM c GROUP BY ALL),
+d2 AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY total DESC, term) AS place FROM d),
+x AS (SELECT c.*, tf * (ln((1 + n) / (1 + df)) + 1) AS v FROM c JOIN d2 USING (group_id, term) JOIN n USING (group_id) WHERE place <= 1000),
+l AS (SELECT group_id, item_id, is_query, sqrt(sum(v * v)) AS len FROM x GROUP BY ALL),
+dots AS (SELECT a.group_id, a.item_id, sum(a.v * b.v) AS dot FROM x a JOIN x b ON a.group_id = b.group_id AND a.term = b.term AND b.is_query AND NOT a.is_query GROUP BY ALL),
+f AS (SELECT i.group_id, i.item_id, i.text, coalesce(dot / (l.len * q.len), 0.0) AS tfidf FROM items i LEFT JOIN dots USING (group_id, item_id)
+      LEFT JOIN l ON l.group_id = i.group_id AND l.item_id = i.item_id LEFT JOIN l q ON q.group_id = i.group_id AND q.is_query WHERE NOT i.is_query)"""
+
+
+@query("tfidf_scores", f"WITH {TFIDF_SQL} SELECT group_id, item_id, round(tfidf, 6) AS tfidf FROM f")
+def tfidf_scores(spark, sf_dir):
+    return tfidf.scores(items_of(spark, sf_dir)).withColumn("tfidf", F.round("tfidf", 6))
+
+
+@query("compress_sentences")
+def compress_sentences(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("n"), F.col("text").alias("query")), F.pmod("doc_id", F.lit(40)) == F.col("n"))
+    return tfidf.relevant_sentences(d.select(F.col("doc_id").alias("group_id"), "query", "text"))
+
+
+@query("key_info")
+def key_info(spark, sf_dir):
+    from quarry.operators import compression
+
+    return compression.key_information(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query("compress_chunks")
+def compress_chunks(spark, sf_dir):
+    from quarry.operators import compression
+
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("n"), F.col("text").alias("query")), F.pmod("doc_id", F.lit(40)) == F.col("n"))
+    return compression.compress(d.select(F.col("doc_id").alias("id"), "query", "text", (F.col("doc_id") % 4 + 1).cast("int").alias("tier")))
+
+
+_qw = f"list_distinct({WORDS.format(c='lower(b.text)')})"
+_META = f"""SELECT p.page_id, b.item_id, round(least(greatest(0.5 + (4 - ({TIER_SQL})) * 0.15
+  + least(len(list_intersect({_qw}, list_distinct({WORDS.format(c="lower(regexp_extract(p.html, '<title>([^<]*)', 1))")}))) * 0.1, 0.3)
+  + CASE WHEN len(list_filter({_qw}, lambda w: contains(lower({FOLDERED}), w))) > 0 THEN 0.15 ELSE 0 END, 0), 1), 6) AS score
+  FROM pages p JOIN benchmark b ON b.item_id = p.page_id % 40"""
+
+
+@query("metadata_score", _META)
+def metadata_score(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", foldered(F.col("url")).alias("url"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return p.join(b, F.pmod("page_id", F.lit(40)) == F.col("item_id")).select("page_id", "item_id", F.round(ranking.metadata_score(F.col("text"), F.col("title"), F.col("url"), web.tier(F.col("url"), F.lit(""))), 6).alias("score"))
+
+
+@query("position_bias", f"WITH {RANKED} SELECT query_id, row_id, round(sim * (0.85 + 0.15 / (1 + ln(1 + rank - 1))), 6) AS adjusted FROM r WHERE rank <= 20")
+def position_bias(spark, sf_dir):
+    q, c = query_vectors(spark, sf_dir)
+    top = vectors.top_k(q, c, 20)
+    return top.select("query_id", "row_id", F.round(ranking.position_bias(F.col("sim"), F.col("rank") - 1), 6).alias("adjusted"))
+
+
+@query(
+    "rerank_fusion",
+    f"""WITH {RANKED}, p AS (SELECT *, rank - 1 AS position, (label % 5) / 5.0 AS metadata, (row_id % 7) / 7.0 AS cross_, (row_id % 3) / 3.0 AS tf FROM r WHERE rank <= 40),
+    z AS (SELECT query_id, row_id, position, 0.25 * sim * (0.85 + 0.15 / (1 + ln(1 + position))) + 0.15 * metadata + 0.45 * (CASE WHEN position < 20 THEN cross_ ELSE 0.3 END) + 0.15 * tf AS score FROM p),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, position) AS rank FROM z)
+    SELECT query_id, row_id, round(score, 6) AS final_score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""",
+)
+def rerank_fusion(spark, sf_dir):
+    q, c = query_vectors(spark, sf_dir)
+    top = vectors.top_k(q, c, 40).join(c.select("row_id", "label"), "row_id")
+    given = top.select("query_id", "row_id", "sim", (F.col("rank") - 1).alias("position"), ((F.col("label") % 5) / 5.0).alias("metadata"), ((F.col("row_id") % 7) / 7.0).alias("cross"), ((F.col("row_id") % 3) / 3.0).alias("tfidf"))
+    return ranking.fuse(given, 5).select("query_id", "row_id", F.round("final_score", 6).alias("final_score"), "rank")
+
+
+@query(
+    "fusion_best",
+    f"""WITH v AS (SELECT conv_id AS query_id, turn AS variant, text AS answer, turn % 4 AS n_sources, turn % 3 AS n_path, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations),
+    t AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(coalesce(q, '')), '[a-z]+')), lambda w: NOT list_contains({quoted(rules.ANSWER_STOPWORDS)}, w)) AS tok FROM v),
+    s AS (SELECT query_id, variant, CASE WHEN n_sources > 0 THEN 1 + 0.1 * n_sources ELSE 0 END + CASE WHEN n_path > 0 THEN 0.05 * n_path ELSE 0 END + CASE WHEN len(tok) > 0 AND len(list_filter(tok, lambda w: NOT contains(lower(coalesce(answer, '')), w))) = 0 THEN 0.5 ELSE 0 END AS score FROM t),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, variant) AS p FROM s)
+    SELECT query_id, variant, round(score, 6) AS score FROM r WHERE p = 1""",
+)
+def fusion_best(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    q = F.first("text").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    v = c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("variant"), F.round(ranking.retrieval_score(F.col("text"), F.col("turn") % 4, F.col("turn") % 3, q), 9).alias("score"))
+    return ranking.best_variant(v).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "program_match",
+    f"""WITH p AS (SELECT page_id AS row_id, lower(regexp_extract(html, '<title>([^<]*)', 1)) AS title, url FROM pages),
+    pt AS (SELECT row_id, list_distinct(list_concat(list_filter(string_split(regexp_replace(regexp_replace(title, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: length(w) >= 3),
+      list_filter(string_split_regex(lower({PATH_SQL.format(u='url')}), '[/\\-._]'), lambda w: length(w) >= 3 AND NOT list_contains({quoted(rules.URL_STOP)}, w)))) AS tokens FROM p),
+    m AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: length(w) >= 3)) AS tokens FROM benchmark),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id - 100 AS row_id, 0.5 + 0.5 * list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a, embeddings b),
+    j AS (SELECT query_id, row_id, round(sim, 9) AS sim, len(list_intersect(m.tokens, pt.tokens)) AS overlap FROM s JOIN m USING (query_id) JOIN pt USING (row_id)),
+    k AS (SELECT *, round(0.9 * sim + 0.1 * least(overlap, 3) / 3, 9) AS combined FROM j), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, row_id) AS q FROM k)
+    SELECT query_id, row_id, round(combined, 6) AS combined FROM r WHERE q = 1 AND (sim >= 0.68 OR (sim >= 0.62 AND overlap >= 1))""",
+)
+def program_match(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    items, pages = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "pages")
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    programs = pages.select(F.col("page_id").alias("row_id"), F.array_distinct(F.concat(web.match_tokens(title), web.url_tokens(F.col("url")))).alias("tokens"), web.degree_flags(title, F.col("url")).alias("flags"))
+    messages = items.select(F.col("item_id").alias("query_id"), F.array_distinct(web.match_tokens(F.col("text"))).alias("tokens"), web.degree_intent(F.col("text")).alias("degree"))
+    n = pages.count()
+    # all programs take part, so every message is compared with each of them
+    found = vectors.top_k(e.join(messages.select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select((F.col("vec_id") - 100).alias("row_id"), F.col("embedding").alias("vector")).join(programs.select("row_id"), "row_id"), n)
+    sims = found.select("query_id", "row_id", F.round(0.5 + 0.5 * F.col("sim"), 9).alias("sim"))
+    return ranking.program_match(messages, programs, sims).withColumn("combined", F.round("combined", 6))
+
+
+# ---- gold ----------------------------------------------------------------------------------------------------------
+
+_GOLD = "SELECT 'c' || (item_id % 4) || ':q' || item_id AS id, text AS query, reverse(text) AS reference_answer, 'c' || (item_id % 4) AS category FROM benchmark"
+
+
+def gold_tables(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    records = b.select(F.concat(F.lit("c"), (F.col("item_id") % 4).cast("string"), F.lit(":q"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("query"), F.reverse("text").alias("reference_answer"), F.lit("").alias("url"), text.sentences(F.col("text")).alias("nuggets"), F.split("text", "\n").alias("gold_passages"))
+    questions = records.select("id", "query", "reference_answer", "url", gold.category(F.col("id")).alias("category"))
+    return questions, gold.children(records, "nuggets", "nugget"), gold.children(records, "gold_passages", "passage"), records
+
+
+@query("gold_stats", f"WITH g AS ({_GOLD}) SELECT category, count(*) AS n FROM g GROUP BY category")
+def gold_stats(spark, sf_dir):
+    return gold.categories(gold_tables(spark, sf_dir)[0])
+
+
+@query("gold_statistics")
+def gold_statistics(spark, sf_dir):
+    q, n, p, _ = gold_tables(spark, sf_dir)
+    return gold.statistics(q, n, p, table(spark, sf_dir, "embeddings"))
+
+
+@query("gold_search", f"WITH g AS ({_GOLD}) SELECT * FROM g WHERE contains(lower(query), 'tion') OR contains(lower(reference_answer), 'tion')")
+def gold_search(spark, sf_dir):
+    return gold.search(gold_tables(spark, sf_dir)[0], "tion").drop("url")
+
+
+@query("gold_by_category", f"WITH g AS ({_GOLD}) SELECT * FROM g WHERE category = 'c2'")
+def gold_by_category(spark, sf_dir):
+    return gold.by_category(gold_tables(spark, sf_dir)[0], "c2").drop("url")
+
+
+@query("gold_by_id", f"WITH g AS ({_GOLD}) SELECT id, query, len(list_filter(list_transform(string_split(query, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS n_passages FROM g")
+def gold_by_id(spark, sf_dir):
+    q, n, p, _ = gold_tables(spark, sf_dir)
+    return gold.with_children(q, n, p).select("id", "query", F.size("passages").cast("long").alias("n_passages"))
+
+
+@query("gold_upsert", "SELECT CAST(item_id AS VARCHAR) AS id, text AS query, 'uncategorized' AS category FROM benchmark")
+def gold_upsert(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.lit("").alias("reference_answer"), F.lit("").alias("url"), F.col("item_id"))
+    old = b.where("item_id % 3 <> 0").withColumn("category", gold.category(F.col("id"))).drop("item_id")
+    return gold.import_records(old, b.drop("item_id")).select("id", "query", "category")
+
+
+@query("log_upsert", "SELECT item_id AS id, CASE WHEN item_id % 2 = 0 THEN reverse(text) ELSE text END AS line, CASE WHEN item_id % 3 = 0 THEN (CASE WHEN item_id % 2 = 0 THEN 'created' END) WHEN item_id % 2 = 0 THEN 'updated' ELSE 'kept' END AS change FROM benchmark WHERE item_id % 3 <> 0 OR item_id % 2 = 0")
+def log_upsert(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    old = b.where("item_id % 3 <> 0").select(F.col("item_id").alias("id"), F.col("text").alias("line"))
+    new = b.where("item_id % 2 = 0").select(F.col("item_id").alias("id"), F.reverse("text").alias("line"))
+    return gold.upsert(old, new, "id")
+
+
+_K = "trim(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '\\s+', ' ', 'g'))"
+
+
+@query(
+    "qa_merge_replace",
+    f"""WITH c AS (SELECT doc_id AS chunk_idx, text, {_K} AS k FROM documents), m AS (SELECT k, max(chunk_idx) AS chunk_idx FROM c GROUP BY k),
+    g AS (SELECT DISTINCT {_K} AS k FROM documents WHERE doc_id % 5 = 0)
+    SELECT m.chunk_idx, TRUE AS is_synthetic_qa FROM g JOIN m USING (k) UNION ALL SELECT chunk_idx, FALSE FROM c WHERE k NOT IN (SELECT k FROM g)""",
+)
+def qa_merge_replace(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    key = text.clean_space(text.text("text"))
+    made = d.where("doc_id % 5 = 0").select("text", key.alias("k")).dropDuplicates(["k"]).select(F.col("text").alias("original_text"), text.qa_chunk(F.col("text"), F.array(F.lit("What is it?"))).alias("qa_text"))
+    return gold.merge_generated(d.select(F.col("doc_id").alias("chunk_idx"), "text"), made).select("chunk_idx", "is_synthetic_qa")
+
+
+@query("gold_documents")
+def gold_documents(spark, sf_dir):
+    q, n, p, _ = gold_tables(spark, sf_dir)
+    return gold.documents(gold.with_children(q, n, p))
+
+
+# ---- evaluation ----------------------------------------------------------------------------------------------------
+
+
+@query("eval_join", "SELECT d.doc_id AS id, coalesce(CAST(l.quality AS VARCHAR), '') AS model_answer FROM documents d LEFT JOIN labels l USING (doc_id)")
+def eval_join(spark, sf_dir):
+    g = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    p = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("model_answer"))
+    return evaluation.join_predictions(g, p).select("id", "model_answer")
+
+
+@query("eval_summary", "SELECT count(*) AS count, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM labels")
+def eval_summary(spark, sf_dir):
+    s = evaluation.summary(table(spark, sf_dir, "labels"), ["quality", "toxic"])
+    return s.select("count", F.round("quality", 6).alias("quality"), F.round("toxic", 6).alias("toxic"))
+
+
+@query("latency_percentiles", "WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, len(v) AS n, round((v[(len(v) + 1) // 2] + v[len(v) // 2 + 1]) / 2, 6) AS p50, v[greatest(CAST(floor(len(v) * 0.95) AS BIGINT), 1)] AS p95, v[greatest(CAST(floor(len(v) * 0.99) AS BIGINT), 1)] AS p99 FROM s")
+def latency_percentiles(spark, sf_dir):
+    return evaluation.latency_percentiles(table(spark, sf_dir, "events"), "value", ["event_type"]).withColumn("p50", F.round("p50", 6))
+
+
+def runs(spark, sf_dir):
+    """Labels as questions of two runs: metric values differ by run, and a ninth of the ids is only in one of them."""
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+    base = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.col("text").alias("query"), F.col("source").alias("model_answer"), F.col("lang").alias("reference_answer"), F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
+    return base.where("id % 9 <> 0"), base.where("id % 9 <> 1").withColumn("quality", F.col("quality") * 0.5)
+
+
+_RUN = "SELECT doc_id AS id, lang AS category, text AS query, source AS model_answer, lang AS reference_answer, quality, toxic FROM labels JOIN documents USING (doc_id)"
+
+
+@query("run_compare", f"WITH r AS ({_RUN}) SELECT id, round((quality * 0.5 - quality) * 100, 6) AS delta_quality, 0.0 AS delta_toxic FROM r WHERE id % 9 <> 0 AND id % 9 <> 1")
+def run_compare(spark, sf_dir):
+    a, b = runs(spark, sf_dir)
+    return evaluation.compare(a, b, ["quality", "toxic"]).withColumn("delta_quality", F.round("delta_quality", 6))
+
+
+@query("run_categories", f"WITH r AS ({_RUN}) SELECT DISTINCT coalesce(nullif(category, ''), 'Uncategorized') AS category FROM r WHERE id % 9 <> 0 INTERSECT SELECT DISTINCT coalesce(nullif(category, ''), 'Uncategorized') FROM r WHERE id % 9 <> 1")
+def run_categories(spark, sf_dir):
+    return evaluation.shared_categories(*runs(spark, sf_dir))
+
+
+@query("same_gold_set", f"WITH r AS ({_RUN}) SELECT count(*) FILTER (WHERE id % 9 = 1) AS only_a, count(*) FILTER (WHERE id % 9 = 0) AS only_b, count(*) FILTER (WHERE id % 9 < 2) = 0 AS same FROM r")
+def same_gold_set(spark, sf_dir):
+    return evaluation.same_questions(*runs(spark, sf_dir))
+
+
+@query("pred_filter", f"WITH r AS ({_RUN}) SELECT id, category FROM r WHERE id % 9 <> 0 AND category = 'en' AND (contains(lower(query), 'tion') OR contains(lower(model_answer), 'tion') OR contains(lower(reference_answer), 'tion'))")
+def pred_filter(spark, sf_dir):
+    return evaluation.filter_predictions(runs(spark, sf_dir)[0], "en", "tion").select("id", "category")
+
+
+@query("metric_bands", "SELECT event_id, CASE WHEN value >= 70 THEN 'green' WHEN value >= 50 THEN 'yellow' ELSE 'red' END AS band, format('{:02d}:{:02d}:{:02d}', event_id // 3600, (event_id // 60) % 60, event_id % 60) AS clock FROM events")
+def metric_bands(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.band(F.col("value")).alias("band"), text.clock(F.col("event_id")).alias("clock"))
+
+
+@query("nugget_recall", f"WITH {SIMS}, n AS (SELECT query_id AS id, count(*) FILTER (WHERE sim >= 0.1) AS hits, count(*) AS n FROM s GROUP BY query_id) SELECT id, 1.0 AS nugget_precision, round(hits / n, 6) AS nugget_recall, round(2 * (hits / n) / (1 + hits / n), 6) AS nugget_f1 FROM n")
+def nugget_recall(spark, sf_dir):
+    q, c = query_vectors(spark, sf_dir)
+    sims = vectors.top_k(q, c, c.count()).select(F.col("query_id").alias("id"), "sim")
+    n = sims.groupBy("id").agg(F.count("*").alias("n_nuggets")).withColumn("has_answer", F.lit(True))
+    return evaluation.nugget_scores(sims, n, 0.1).select("id", "nugget_precision", F.round("nugget_recall", 6).alias("nugget_recall"), F.round("nugget_f1", 6).alias("nugget_f1"))
+
+
+# ---- sessions ------------------------------------------------------------------------------------------------------
+
+
+@query("session_last5", "SELECT conv_id, turn, role, text, CAST(p AS INTEGER) AS recency FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS p FROM conversations) WHERE p <= 5")
+def session_last5(spark, sf_dir):
+    return sessions.last_turns(table(spark, sf_dir, "conversations"))
+
+
+@query("session_state", "SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn, arg_max(text, turn) FILTER (WHERE role = 'user') AS last_question, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS last_answer FROM conversations GROUP BY conv_id")
+def session_state(spark, sf_dir):
+    return sessions.state(table(spark, sf_dir, "conversations")).drop("intent")
+
+
+@query("prev_user_turn", "SELECT conv_id, turn, question FROM (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question FROM conversations) WHERE role = 'assistant'")
+def prev_user_turn(spark, sf_dir):
+    return sessions.previous_question(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "question")
+
+
+DOWN_SQL = """WITH m AS (SELECT user_id, event_id, ts, event_type = 'error' AS down, lag(event_type = 'error', 1, FALSE) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events),
+c AS (SELECT user_id, ts, down, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM m WHERE down <> was),
+i AS (SELECT user_id, ts AS down_since, until AS up_at, CAST(floor(epoch_us(until) / 1000000) - floor(epoch_us(ts) / 1000000) AS BIGINT) AS seconds FROM c WHERE down)"""
+
+
+@query("downtime_intervals", DOWN_SQL + " SELECT user_id, CAST(epoch_us(down_since) AS BIGINT) AS down_us, CAST(epoch_us(up_at) AS BIGINT) AS up_us, seconds FROM i")
+def downtime_intervals(spark, sf_dir):
+    i = sessions.downtimes(table(spark, sf_dir, "events"), ["user_id"], F.col("event_type") == "error")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return i.select("user_id", micros("down_since").alias("down_us"), micros("up_at").alias("up_us"), "seconds")
+
+
+@query("downtime_total", DOWN_SQL + " SELECT user_id, count(*) AS crashes, CAST(coalesce(sum(seconds), 0) AS BIGINT) AS total_seconds FROM i GROUP BY user_id")
+def downtime_total(spark, sf_dir):
+    return sessions.downtime_totals(sessions.downtimes(table(spark, sf_dir, "events"), ["user_id"], F.col("event_type") == "error"), ["user_id"])
+
+
+_CODES = [0, 1, 125, 126, 127, 137, 139, 143, 2]
+_LOG = "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Out of memory' WHEN 1 THEN 'panic: x' WHEN 2 THEN 'Connection refused' WHEN 3 THEN 'permission denied' WHEN 4 THEN 'no such file' WHEN 5 THEN 'port 80 already in use' ELSE 'Segfault' END AS line, [0, 1, 125, 126, 127, 137, 139, 143, 2][event_id % 9 + 1] AS exit_code FROM events"
+
+
+@query("log_classify", f"WITH l AS ({_LOG}) SELECT event_id, " + ", ".join(f"regexp_matches(line, '(?i){p}') AS {n}" for n, p in rules.LOG_CAUSES) + ", CASE exit_code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in rules.EXIT_CODES.items()) + " ELSE 'unexpected exit' END AS exit_meaning FROM l")
+def log_classify(spark, sf_dir):
+    words = ["Out of memory", "panic: x", "Connection refused", "permission denied", "no such file", "port 80 already in use", "Segfault"]
+    e = table(spark, sf_dir, "events").select("event_id", F.element_at(text.lits(words), (F.col("event_id") % 7 + 1).cast("int")).alias("line"), F.element_at(F.array(*[F.lit(c) for c in _CODES]), (F.col("event_id") % 9 + 1).cast("int")).alias("exit_code"))
+    return sessions.classify_log(e).drop("line", "exit_code")
+
+
+@query("selection_log", "SELECT event_id, printf('%.4f', value) AS gold_similarity FROM events WHERE value IS NOT NULL")
+def selection_log(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("value is not null")
+    rows = e.select(F.col("event_id").cast("string").alias("timestamp"), *[F.lit("a\nb").alias(c) for c in ("session_id", "selected_version", "answer_mode", "question", "primary_answer", "alternative_answer")], F.col("value").alias("gold_similarity"))
+    return sessions.selection_log(rows).select(F.col("timestamp").cast("long").alias("event_id"), "gold_similarity")
+
+
+_TL = "SELECT page_id, page_id // 10 AS g, 'T' || (page_id % 4) AS title FROM pages"
+
+
+@query("title_labels", f"WITH t AS ({_TL}), n AS (SELECT *, count(*) OVER (PARTITION BY g, title) AS n, row_number() OVER (PARTITION BY g, title ORDER BY page_id) AS i, row_number() OVER (PARTITION BY g ORDER BY page_id) AS p FROM t) SELECT page_id, CASE WHEN n > 1 THEN title || ' (' || i || ')' ELSE title END AS label, p <= 3 AS visible FROM n")
+def title_labels(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.expr("page_id div 10").alias("g"), F.concat(F.lit("T"), (F.col("page_id") % 4).cast("string")).alias("title"))
+    return sessions.title_labels(p, ["g"], "page_id").select("page_id", "label", "visible")
+
+
+# ---- pages ---------------------------------------------------------------------------------------------------------
+
+
+@query("html_blocks")
+def html_blocks(spark, sf_dir):
+    from quarry.sources import html
+
+    return html.blocks(table(spark, sf_dir, "pages"))
+
+
+@query("html_sections")
+def html_sections(spark, sf_dir):
+    from quarry.sources import html
+
+    return html.sections(html.blocks(table(spark, sf_dir, "pages")))
+
+
+@query("html_nav_lists")
+def html_nav_lists(spark, sf_dir):
+    from quarry.sources import html
+
+    b = html.blocks(table(spark, sf_dir, "pages"))
+    return b.groupBy("page_id").agg(F.count_if("nav").alias("n_nav"), F.count_if(F.size("items") > 0).alias("n_lists"), F.sum(F.size("links")).alias("n_links"))
+
+
+@query("html_titles", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(coalesce(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)', 1), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
+def html_titles(spark, sf_dir):
+    from quarry.sources import html
+
+    return html.page_title(html.blocks(table(spark, sf_dir, "pages"))).withColumn("title", F.trim("title"))
+
+
+@query("program_level", f"SELECT page_id, CASE WHEN regexp_matches(t, '\\b(ph\\.?d\\.?|phd|doctor(al|ate)|dnp)\\b') THEN 'phd' WHEN regexp_matches(t, '\\b(ms|m\\.?s\\.?|ma|m\\.?a\\.?|m\\.?sc|mba|mph|mfa|meng|m\\.?eng)\\b') THEN 'grad' WHEN regexp_matches(t, '\\b(bs|b\\.?s\\.?|ba|b\\.?a\\.?)\\b') THEN 'undergrad' ELSE 'unknown' END AS level FROM (SELECT page_id, ['ph.d. in x', 'm.s. study', 'b.a. of arts', 'other'][page_id % 4 + 1] AS t FROM pages)")
+def program_level(spark, sf_dir):
+    t = F.element_at(text.lits(["Ph.D. in X", "M.S. study", "B.A. of arts", "other"]), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", web.program_level(t, F.lit("http://x.example/y"), F.array().cast("array<string>")).alias("level"))
+
+
+@query("program_aliases")
+def program_aliases(spark, sf_dir):
+    title = F.concat(F.regexp_extract("html", "<title>([^<]{0,40})", 1), F.lit(" (M.S.)"))
+    return table(spark, sf_dir, "pages").select("page_id", web.program_aliases(title, F.col("url")).alias("aliases"))
+
+
+@query("course_fields", "SELECT page_id, 'CS ' || (700 + page_id % 200) AS course_code, CAST(page_id % 5 AS INTEGER) AS credits, 'Letter Grading' AS grade_mode FROM pages")
+def course_fields(spark, sf_dir):
+    title = F.concat(F.lit("CS "), (700 + F.col("page_id") % 200).cast("string"), F.lit(" - Topic"))
+    lines = F.array(F.concat(F.lit("Credits: "), (F.col("page_id") % 5).cast("string")), F.lit("Grade Mode: Letter Grading"))
+    return table(spark, sf_dir, "pages").select("page_id", web.course_fields(title, lines).alias("c")).select("page_id", "c.*")
+
+
+# ---- training data -------------------------------------------------------------------------------------------------
+
+
+@query("triplet_mining", f"WITH {SIMS}, a AS (SELECT query_id, min(CASE WHEN label = q_label THEN row_id END) AS positive, min(CASE WHEN label <> q_label THEN row_id END) AS negative FROM s GROUP BY query_id) SELECT * FROM a WHERE positive IS NOT NULL AND negative IS NOT NULL")
+def triplet_mining(spark, sf_dir):
+    from quarry.operators import training
+
+    q, c = query_vectors(spark, sf_dir)
+    return training.triplets(q.select("query_id", "label"), c.select("row_id", "label"))
+
+
+@query("train_split", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'validation' ELSE 'train' END AS part FROM documents")
+def train_split(spark, sf_dir):
+    from quarry.operators import training
+
+    return training.split(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id") % 5 == 0)
+
+
+@query("train_prompts")
+def train_prompts(spark, sf_dir):
+    from quarry.operators import training
+
+    return training.prompts(table(spark, sf_dir, "benchmark").select(F.col("text").alias("question"), F.col("text").alias("context"), F.reverse("text").alias("output")))
+
+
+# ---- pipelines and streams -----------------------------------------------------------------------------------------
+
+
+def index_and_gold(spark, sf_dir):
+    from quarry.plans import answering
+    from quarry.plans.models import hashed_vector
+
+    docs = lines_of(table(spark, sf_dir, "documents"))
+    items = docs.select("doc_id", "title", F.posexplode("items").alias("pos", "item")).where(chunking.good_chunk(F.col("item")))
+    chunks = items.select(((F.col("doc_id") + 1) * 100_000 + F.col("pos")).alias("chunk_idx"), chunking.with_header(F.col("title"), F.col("item")).alias("text"), "title", F.concat(F.lit("http://x.example/"), F.col("doc_id").cast("string")).alias("url"), F.lit(2).alias("tier"), F.lit(None).cast("string").alias("gold_id"), hashed_vector(F.col("item")).alias("embedding"))
+    q = gold_tables(spark, sf_dir)[0].select(F.col("id").alias("gold_id"), "query", "reference_answer")
+    return chunks, q, answering
+
+
+@query("answer_batch")
+def answer_batch(spark, sf_dir):
+    chunks, q, answering = index_and_gold(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    made = answering.answer_batch(asked, chunks, q, answering.Config(k=3, topn=20, dual=True))
+    return made.select("query_id", "question", "answer", "alternative_answer", "answer_mode", "gold_similarity", F.size("sources").alias("n_sources"))
+
+
+@query("context_build")
+def context_build(spark, sf_dir):
+    chunks, _, answering = index_and_gold(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    path = answering.retrieve(asked, chunks, answering.Config(k=4, topn=10, gold_on=False))
+    return answering.context(path).join(answering.citations(path), "query_id")
+
+
+def streamed(spark, sf_dir: str, name: str, start, mode: str):
+    """Run a streaming query over the files of a table once and return what it wrote."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-stream-")
+    own = f"{root}/stream-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    is_folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    schema = table(spark, sf_dir, name).schema
+    reader = spark.readStream.schema(schema)
+    # a file source watches folders: a table that is one file is picked from its folder by name
+    stream = reader.parquet(f"{sf_dir}/{name}.parquet") if is_folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    write = start(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{own}/state").trigger(availableNow=True)
+    write.foreachBatch(lambda batch, i: batch.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{own}/out")).start().awaitTermination()
+    return spark.read.parquet(f"{own}/out")
+
+
+@query("stream_session_last5", ORACLE_SQL["session_last5"])
+def stream_session_last5(spark, sf_dir):
+    from quarry.streaming import stateful
+
+    out = streamed(spark, sf_dir, "conversations", stateful.last_turns, "update")
+    newest = out.withColumn("q_last", F.max("batch").over(Window.partitionBy("conv_id"))).where("batch = q_last")
+    return newest.drop("batch", "q_last")
+
+
+@query("stream_downtime", DOWN_SQL + " SELECT user_id, CAST(epoch_us(down_since) AS BIGINT) AS down_us, CAST(epoch_us(up_at) AS BIGINT) AS up_us, seconds FROM i WHERE up_at IS NOT NULL")
+def stream_downtime(spark, sf_dir):
+    from quarry.streaming import stateful
+
+    out = streamed(spark, sf_dir, "events", lambda s: stateful.downtimes(s, "user_id", F.col("event_type") == "error"), "append")
+    return out.select("user_id", F.unix_micros("down_since").alias("down_us"), F.unix_micros("up_at").alias("up_us"), "seconds")
