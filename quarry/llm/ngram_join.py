@@ -36,6 +36,9 @@ BLOCK_ROWS = 512
 TASK_SHINGLES = 1 << 20
 #: Up to this many candidate classes (16 bytes each) are broadcast to fetch their texts; beyond it the join shuffles.
 BROADCAST_CLASSES = 500_000
+BROADCAST_IDS = 2_000_000
+#: Up to this many rows (about 60 bytes each) the table that deals classes to tasks is broadcast.
+BROADCAST_DEALT = 200_000
 _DENSE = 16
 _NO_ID = (1 << 63) - 1
 
@@ -217,6 +220,7 @@ def components(documents: DataFrame, words: int = 3, num: int = 90, den: int = 1
     groups = common.connected_components(stars(documents, words, num, den)).withColumnRenamed("id", "cls").withColumnRenamed("label", "grp")
 
     member = common.saved(classes.join(groups, "cls"), "members")
+    common.release(spark)
     sizes = member.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     parts = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("total") / (TASK_SHINGLES // 2))).cast("int")
     sizes = sizes.withColumn("parts", F.when((F.col("m") <= 2 * BLOCK_ROWS) & (F.col("total") <= TASK_SHINGLES), 1).otherwise(parts))
@@ -229,6 +233,7 @@ def components(documents: DataFrame, words: int = 3, num: int = 90, den: int = 1
     dealt = dealt.select("cls", "copies", "grp", "home", "p", "q", task.alias("task"))
 
     found = common.saved(_products(documents, member.select("cls", "low"), dealt, count, words, num, den), "links")
+    common.release(spark)
     labels = common.connected_components(found.where("cls <> b").select(F.col("cls").alias("a"), F.col("b").alias("b")))
     linked = found.groupBy("cls").agg(F.sum("n").alias("n_links"))
     joined = classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").join(linked, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -244,9 +249,23 @@ def keep_one(documents: DataFrame, words: int = 3, num: int = 90, den: int = 100
 
     Rows with a null id all stay, but for repetitions.
     """
-    found = components(documents, words, num, den)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("q_kept")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("q_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    spark = documents.sparkSession
+    found = common.saved(components(documents, words, num, den).select("doc_id", "component_id"), "components")
+    common.release(spark)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("q_gone")).distinct()
+    left = documents.join(_small(gone), F.col("doc_id") == F.col("q_gone"), "left_anti")
+    # rows that repeat an id are few or none: only they are shuffled to find equal ones
+    again = found.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("q_again")).agg(F.count("*").alias("n")).where("n > 1").select("q_again")
+    if again.isEmpty():
+        return left
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)) == F.col("q_again")
+    repeated = left.join(_small(again), key, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(_small(again), key, "left_anti").unionByName(repeated)
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """Ids as a broadcast if there are at most ``BROADCAST_IDS`` (8 bytes each); else the join shuffles."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def _products(documents: DataFrame, member: DataFrame, dealt: DataFrame, count: int, words: int, num: int, den: int) -> DataFrame:
@@ -267,12 +286,14 @@ def _products(documents: DataFrame, member: DataFrame, dealt: DataFrame, count:
         wanted = F.broadcast(wanted)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
     texts = documents.select(key.alias("low"), "text").join(wanted, "low").select("text", "cls")
-    matrix = texts.mapInArrow(sets, "cls long, own binary").dropDuplicates(["cls"])
+    matrix = texts.mapInArrow(sets, "cls long, own binary")
 
     def product(key, rows):
         grp, p, q, cls, copies, home = (rows.column(c).to_numpy() for c in ("grp", "p", "q", "cls", "copies", "home"))
         own = rows.column("own")
         order = np.lexsort((cls, q, p, grp))
+        # repeated rows bring a class more than once
+        order = order[np.concatenate(([True], (np.diff(np.stack([grp, p, q, cls])[:, order], axis=1) != 0).any(0)))] if len(order) else order
         keys = np.stack([grp[order], p[order], q[order]])
         starts = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(0))))
         out_cls, out_n, out_b = [], [], []
@@ -293,4 +314,6 @@ def _products(documents: DataFrame, member: DataFrame, dealt: DataFrame, count:
         columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_cls, out_n, out_b)]
         return pa.Table.from_arrays([pa.array(x) for x in columns], ["cls", "n", "b"])
 
-    return dealt.join(matrix, "cls").groupBy("task").applyInArrow(product, "cls long, n long, b long")
+    # the sets are shuffled once, straight to their tasks, unless the dealing table is large
+    dealt = F.broadcast(dealt) if dealt.count() <= BROADCAST_DEALT else dealt
+    return matrix.join(dealt, "cls").groupBy("task").applyInArrow(product, "cls long, n long, b long")
