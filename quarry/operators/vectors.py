@@ -33,7 +33,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, query_block: int = QUERY_
     places before ranking, so equal vectors tie whatever the order of summation.
     """
     nq, nr = (max(1, -(-d.count() // b)) for d, b in ((queries, query_block), (rows, row_block)))
-    doubles = F.transform("vector", lambda x: x.cast("double")).alias("vector")
+    doubles = F.col("vector").cast("array<double>").alias("vector")
     left = queries.select(F.col("query_id").cast("long").alias("id"), doubles, F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("q"))
     right = rows.select(F.col("row_id").cast("long").alias("id"), doubles, F.pmod(F.xxhash64("row_id"), F.lit(nr)).cast("int").alias("r"))
     left = left.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).select("q", "r", "id", "vector")

@@ -80,10 +80,11 @@ def citations(path: DataFrame, most: int = 160) -> DataFrame:
     Of equal titles and links the first stays.
     """
     link = F.when((text.text("url") == "") | text.is_label(F.col("text")), F.col("url")).otherwise(text.fragment_url(F.col("url"), text.snippet(F.col("text"), F.col("question"), most)))
-    first = path.select("query_id", F.col("rank").alias("i"), "title", link.alias("url"))
-    rest = path.where("rank > 3").select("query_id", (F.col("rank") + (1 << 20)).alias("i"), "title", "url")
+    first = F.struct(F.col("rank").alias("i"), "title", link.alias("url"))
+    again = F.struct((F.col("rank") + (1 << 20)).alias("i"), "title", "url")
+    each = path.select("query_id", F.explode(F.when(F.col("rank") > 3, F.array(first, again)).otherwise(F.array(first))).alias("x")).select("query_id", "x.*")
     w = Window.partitionBy("query_id", "title", "url").orderBy("i")
-    own = first.unionByName(rest).withColumn("p", F.row_number().over(w)).where("p = 1")
+    own = each.withColumn("p", F.row_number().over(w)).where("p = 1")
     line = F.concat(F.lit("- "), F.coalesce("title", F.lit("Source")), F.when(text.text("url") != "", F.concat(F.lit(" ("), F.col("url"), F.lit(")"))).otherwise(""))
     return own.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("l")))), lambda x: x["l"]).alias("sources"))
 
@@ -113,7 +114,8 @@ def answer_batch(questions: DataFrame, chunks: DataFrame, gold: DataFrame | None
     distinct = keyed.groupBy("q_key").agg(F.min("query_id").alias("query_id"), F.first("question").alias("question"))
     distinct = distinct.withColumn("canned", text.canned_reply(F.col("question")))
     open_ = distinct.where("canned is null")
-    rewritten = open_.withColumn("transformed", own.rewrite(F.col("question")))
+    # used by several branches: computed once
+    rewritten = open_.withColumn("transformed", own.rewrite(F.col("question"))).persist()
     direct = None
     if gold is not None and cfg.gold_on:
         known = gold.select(F.xxhash64("gold_id").alias("row_id"), "gold_id", "reference_answer", own.embed(F.col("query")).alias("vector"))

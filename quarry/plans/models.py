@@ -33,13 +33,13 @@ def vector_of(words: list[str], dimension: int = DIMENSION) -> np.ndarray:
 def hashed_vector(c: Column, dimension: int = DIMENSION) -> Column:
     """Stand-in for a sentence embedding: unit vector of hashed words, each counted by sign of another bit.
 
-    An Arrow-batched function, as an embedding model would be.
+    An Arrow-batched function, as an embedding model would be; marked so that plans neither repeat nor merge it.
     """
 
     def encode(texts: pd.Series) -> pd.Series:
         return pd.Series([vector_of(_WORD.findall((t or "").lower()), dimension).tolist() for t in texts])
 
-    return F.pandas_udf(encode, "array<double>")(text.text(c))
+    return F.pandas_udf(encode, "array<double>").asNondeterministic()(text.text(c))
 
 
 def overlap_score(query: Column, passage: Column, most: int = 512) -> Column:
