@@ -79,6 +79,20 @@ def _levels(num: int, den: int, most: int) -> np.ndarray:
     return np.array(bounds)
 
 
+@cache
+def _blocks(differ: int, least: int) -> int:
+    """Column blocks of a level: more than differ by so many that sets of ``least`` shingles hardly ever have as many empty blocks.
+
+    A pair's equal blocks could otherwise all be empty, and signatures of empty blocks join what has nothing in common.
+    """
+    spare = 1
+    for _ in range(4):
+        k = differ + spare
+        mean = k * float(np.exp(-least / k))
+        spare = min(max(1, differ // 3), 1 + int(np.ceil(mean + 5 * np.sqrt(mean))))
+    return differ + spare
+
+
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Signatures of the column blocks of a set, for its own level and the next."""
     if not len(s):
@@ -89,7 +103,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     for at in (level, level + 1):
         largest = int(bounds[at + 1]) - 1
         differ = 2 * largest * (den - num) // (den + num)
-        k = differ + 1 + min(2, differ // 4)
+        k = _blocks(differ, int(bounds[max(at - 1, 0)]))
         with np.errstate(over="ignore"):
             block = ((s >> U(32)) * U(k) >> U(32)).astype(np.int64)
             filled = np.bincount(block, minlength=k) > 0
@@ -102,12 +116,15 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def linked_pairs(sets: list[np.ndarray], home: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j whose sets reach the threshold; with ``home``, pairs of different homes only."""
+def linked_pairs(sets: list[np.ndarray], home: np.ndarray | None, num: int, den: int, lower: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j whose sets reach the threshold; with ``home``, pairs of different homes only.
+
+    ``lower``: sets of a smaller level, whose pairs among themselves belong to another part.
+    """
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     m = len(sets)
     if m == 2:
-        if home is not None and home[0] == home[1]:
+        if home is not None and home[0] == home[1] or lower is not None and lower.all():
             return np.empty(0, np.int64), np.empty(0, np.int64)
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         yes = both * (den + num) >= num * (size[0] + size[1])
@@ -140,6 +157,8 @@ def linked_pairs(sets: list[np.ndarray], home: np.ndarray | None, num: int, den:
     yes = fits & (overlap.astype(np.int64) * (den + num) >= num * total) & (overlap > 0)
     if home is not None:
         yes &= home[:, None] != home[None, :]
+    if lower is not None:
+        yes &= ~(lower[:, None] & lower[None, :])
     return np.nonzero(yes)
 
 
@@ -221,16 +240,24 @@ def components(documents: DataFrame, words: int = 3, num: int = 90, den: int = 1
 
     member = common.saved(classes.join(groups, "cls"), "members")
     common.release(spark)
-    sizes = member.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    count, total, largest = member.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
+    big = (F.col("m") > 2 * BLOCK_ROWS) | (F.col("total") > TASK_SHINGLES)
+    whole = member.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select("grp", big.alias("big"))
+    # a large group falls apart by size: only sets of one level or of neighbouring ones can link, and those of level c
+    # and c + 1 meet in the part c + 1 (where those of c do not meet each other again)
+    bounds = F.array(*[F.lit(int(x)) for x in _levels(num, den, int(largest))])
+    level = F.size(F.filter(bounds, lambda x: x <= F.col("n")))
+    parted = member.join(whole, "grp").withColumn("lev", F.when(F.col("big"), level).otherwise(0))
+    parted = parted.withColumn("at", F.explode(F.when(F.col("big"), F.array("lev", F.col("lev") + 1)).otherwise(F.array(F.lit(0)))))
+    sizes = parted.groupBy("grp", "at").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     parts = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("total") / (TASK_SHINGLES // 2))).cast("int")
-    sizes = sizes.withColumn("parts", F.when((F.col("m") <= 2 * BLOCK_ROWS) & (F.col("total") <= TASK_SHINGLES), 1).otherwise(parts))
-    count, total = member.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sizes = sizes.where("m > 1").select("grp", "at", F.when(big, parts).otherwise(1).alias("parts"))
     tasks = max(256, -(-total // (TASK_SHINGLES // 4)))
     home = F.pmod(F.xxhash64("cls", F.lit(5)), F.col("parts")).cast("int")
-    dealt = member.join(sizes, "grp").withColumn("home", home).withColumn("away", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = parted.join(sizes, ["grp", "at"]).withColumn("home", home).withColumn("away", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumn("p", F.least("home", "away")).withColumn("q", F.greatest("home", "away"))
-    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(F.xxhash64("grp", "p", "q"))
-    dealt = dealt.select("cls", "copies", "grp", "home", "p", "q", task.alias("task"))
+    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("grp", "at"), F.lit(tasks))).otherwise(F.xxhash64("grp", "at", "p", "q"))
+    dealt = dealt.select("cls", "copies", F.xxhash64("grp", "at").alias("grp"), "home", "p", "q", (F.col("lev") < F.col("at")).alias("lower"), task.alias("task"))
 
     found = common.saved(_products(documents, member.select("cls", "low"), dealt, count, words, num, den), "links")
     common.release(spark)
@@ -290,7 +317,7 @@ def _products(documents: DataFrame, member: DataFrame, dealt: DataFrame, count:
 
     def product(key, rows):
         grp, p, q, cls, copies, home = (rows.column(c).to_numpy() for c in ("grp", "p", "q", "cls", "copies", "home"))
-        own = rows.column("own")
+        own, lower = rows.column("own"), rows.column("lower").to_numpy(zero_copy_only=False)
         order = np.lexsort((cls, q, p, grp))
         # repeated rows bring a class more than once
         order = order[np.concatenate(([True], (np.diff(np.stack([grp, p, q, cls])[:, order], axis=1) != 0).any(0)))] if len(order) else order
@@ -302,7 +329,7 @@ def _products(documents: DataFrame, member: DataFrame, dealt: DataFrame, count:
                 continue
             at = order[a:b]
             values = [np.frombuffer(own[int(i)].as_py(), U) for i in at]
-            i, j = linked_pairs(values, home[at] if p[at[0]] != q[at[0]] else None, num, den)
+            i, j = linked_pairs(values, home[at] if p[at[0]] != q[at[0]] else None, num, den, lower[at])
             if not len(i):
                 continue
             n = np.bincount(i, copies[at][j], b - a) + np.bincount(j, copies[at][i], b - a)

@@ -122,6 +122,9 @@ def test_ngram_join(spark, words, num, monkeypatch):
     rows = [(0, None), (1, ""), (2, "one"), (3, "One"), (4, "one two"), (5, " \n")]
     for base in range(12):
         own = [f"w{rng.randrange(400)}" for _ in range(rng.choice([6, 12, 40, 150]))]
+        size = len(own)
+        if base % 4 == 0:  # sizes on both sides of level bounds
+            own += own[: size // 9]
         for _ in range(9):
             w = list(own)
             for _ in range(rng.randrange(0, max(2, len(w) // 20))):
