@@ -6,12 +6,19 @@ import gc
 import os
 import tempfile
 import uuid
+from functools import partial
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Links a task contracts at a time (16 bytes each), and the most that one task finishes.
+CHUNK_LINKS = 1 << 17
+#: Up to this many labels (16 bytes each) are broadcast; beyond it the join shuffles.
+BROADCAST_LABELS = 1_000_000
+
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -28,6 +35,11 @@ def prepare(spark: SparkSession) -> None:
     sc.environment.setdefault("OMP_NUM_THREADS", "1")
     sc.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
     sc.environment.setdefault("TOKENIZERS_PARALLELISM", "false")
+    # workers live on from stage to stage: what they free goes back to the system, fragments are not kept
+    sc.environment.setdefault("MALLOC_ARENA_MAX", "2")
+    sc.environment.setdefault("MALLOC_MMAP_THRESHOLD_", str(4 << 20))
+    sc.environment.setdefault("MALLOC_TRIM_THRESHOLD_", str(16 << 20))
+    sc.environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_root(spark))
 
@@ -88,36 +100,81 @@ def unite(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest vertex reachable from each vertex that has an edge.
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of the links (a, b), ascending, and the smallest vertex each one reaches over them."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return ids, ids[unite(len(ids), at[: len(a)], at[len(a) :])]
+
+
+def _chunks(batches, chunk: int):
+    """Column pairs of at least ``chunk`` rows, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+        if n >= chunk:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def contract(batches, chunk: int = CHUNK_LINKS):
+    """Chunks of links (a, b) as stars: rows (x, r) from every vertex of a chunk to the smallest it reaches there."""
+    for a, b in _chunks(batches, chunk):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _forest(a, b)], ["x", "r"])
+
+
+def _meet(batches, chunk: int):
+    """Of rows sorted by (x, r): x's smallest r as a pointer, and the stars of what joins its other r to that one."""
+    x0 = m0 = None
+    for x, r in _chunks(batches, chunk):
+        start = np.concatenate(([x0 is None or x[0] != x0], x[1:] != x[:-1]))
+        first = np.flatnonzero(start)
+        m = r[np.maximum.accumulate(np.where(start, np.arange(len(x)), 0))]
+        if not start[0]:  # the first run began in the chunk before
+            m[: first[0] if len(first) else len(x)] = m0
+        x0, m0 = x[-1], m[-1]
+        other = r != m
+        ids, low = _forest(r[other], m[other]) if other.any() else (x[:0], x[:0])
+        columns = np.concatenate([x[first], ids]), np.concatenate([m[first], low]), np.repeat([False, True], [len(first), len(ids)])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "r", "further"])
+
+
+def connected_components(edges: DataFrame, chunk: int = CHUNK_LINKS) -> DataFrame:
+    """Smallest vertex reachable from each vertex that has an edge: ``id``, ``label`` (a vertex without edges is not listed).
+
+    ``edges`` has long columns ``a`` and ``b``; null ends and loops are ignored.
+    """
+    prepare(edges.sparkSession)
+    links = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
+    return connected_stars(links.mapInArrow(partial(contract, chunk=chunk), "x long, r long"), chunk)
+
+
+def connected_stars(stars: DataFrame, chunk: int = CHUNK_LINKS) -> DataFrame:
+    """``connected_components`` of links that each task has put through ``contract`` already.
 
-    ``edges`` has long columns ``a`` and ``b``; null ends and loops are ignored. Alternates large-star and small-star
-    steps until the edge set no longer changes, writing each round to the shared checkpoint folder. Every step is an
-    aggregation with map-side combining followed by a join that adaptive execution can split, so a vertex with very
-    many neighbours is not gathered in one task. Returns ``id``, ``label`` (a vertex without edges is not listed).
+    As every task contracts its own links to stars, a vertex with very many neighbours leaves a task as one row. Stars
+    of all tasks meet by vertex in one shuffle: a vertex points to its smallest root, and only links between roots,
+    contracted again, go on to the next round. Each round is one table in the shared folder and loses at least the
+    largest vertex of every component, in practice nearly all. What at last fits a chunk (a fixed number of rows) one
+    task finishes. Then the pointers are followed backwards; a round's labels are broadcast if few, else joined by a
+    shuffle that can be split.
     """
-    links = (
-        edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-        .checkpoint()
-    )
-    state = None
-    for _ in range(max_rounds):
-        both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        links = small.select("e.u", "e.v").where("u != v").distinct().checkpoint()
-        row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now = (row[0], row[1])
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError("connected components did not settle")
-    roots = links.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
-    return links.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots)
+    spark = stars.sparkSession
+    pointers, labels = [], None
+    while labels is None:
+        met = stars.repartition("x").sortWithinPartitions("x", "r").mapInArrow(partial(_meet, chunk=chunk), "x long, r long, further boolean")
+        met = saved(met, "components")
+        release(spark)
+        pointers.append(met.where("not further").select("x", "r"))
+        stars = met.where("further").select("x", "r")
+        left = stars.count()
+        if left <= chunk:
+            labels = saved(stars.coalesce(1).mapInArrow(partial(contract, chunk=chunk), "x long, r long"), "components") if left else pointers.pop()
+    for layer in reversed(pointers):
+        known = labels.select(F.col("x").alias("k"), F.col("r").alias("l"))
+        known = F.broadcast(known) if labels.count() <= BROADCAST_LABELS else known
+        labels = saved(layer.join(known, F.col("r") == F.col("k"), "left").select("x", F.coalesce("l", "r").alias("r")), "components")
+    return labels.select(F.col("x").alias("id"), F.col("r").alias("label"))

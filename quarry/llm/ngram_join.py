@@ -188,10 +188,10 @@ def describe(documents: DataFrame, words: int) -> DataFrame:
 
 
 def stars(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Edges (a, b) from every class to the smallest class that shares a column block's signature with it.
+    """Edges from every class to the smallest class that shares a column block's signature with it, contracted to stars.
 
     Signatures are shuffled once and sorted within partitions; one streaming pass turns each run of equal signatures
-    into edges and holds only the run's first class. Repeated classes are left out per task before the shuffle.
+    into edges and holds only the run's first class and a chunk of edges. Repeated classes are left out per task before the shuffle.
     """
 
     def blocks(batches):
@@ -227,7 +227,7 @@ def stars(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = documents.select("text").mapInArrow(blocks, "sig long, cls long").repartition(parts, "sig").sortWithinPartitions("sig", "cls")
-    return dealt.mapInArrow(runs, "a long, b long").distinct()
+    return dealt.mapInArrow(lambda batches: common.contract(runs(batches)), "x long, r long")
 
 
 def components(documents: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -236,7 +236,7 @@ def components(documents: DataFrame, words: int = 3, num: int = 90, den: int = 1
     common.prepare(spark)
     docs = common.saved(describe(documents, words), "shingles")
     classes = docs.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("low"), F.first("n_shingles").alias("n"))
-    groups = common.connected_components(stars(documents, words, num, den)).withColumnRenamed("id", "cls").withColumnRenamed("label", "grp")
+    groups = common.connected_stars(stars(documents, words, num, den)).withColumnRenamed("id", "cls").withColumnRenamed("label", "grp")
 
     member = common.saved(classes.join(groups, "cls"), "members")
     common.release(spark)

@@ -41,6 +41,16 @@ def test_components(spark):
     got = {r.id: r.label for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7}
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    # chains, hubs and cycles over many tasks, with chunks so small that several rounds are needed
+    rng = random.Random(1)
+    name = rng.sample(range(-(10**9), 10**9), 700)
+    edges = [(i, i + 1) for i in range(299)] + [(300, 301 + i) for i in range(200)] + [(520 + i, 520 + (i + 1) % 50) for i in range(50)] + [(600 + rng.randrange(60), 600 + rng.randrange(60)) for _ in range(40)]
+    a, b = (np.array(e) for e in zip(*edges, strict=True))
+    low = common.unite(700, a, b)
+    want = {name[i]: min(name[j] for j in np.flatnonzero(low == low[i])) for i, j in edges + [(j, i) for i, j in edges] if i != j}
+    rows = spark.createDataFrame([(name[i], name[j]) for i, j in edges], "a long, b long").repartition(7)
+    for chunk in (4, 1 << 17):
+        assert {r.id: r.label for r in common.connected_components(rows, chunk).collect()} == want
 
 
 def test_scan_long_texts():
