@@ -3,8 +3,8 @@
 The documents are the rows and the shingles the columns of a 0/1 incidence matrix M; overlaps are the entries of M*M'.
 Documents with equal sets are one row (a class). Columns are dealt by hash into blocks, and a size-derived bound
 discards pairs before any product: two sets of a level of similar sizes that reach the threshold differ in at most D
-shingles, so of k > D column blocks at least k - D must be equal in both rows. Only classes that share such an equal
-block (found by one sort of block signatures) can link. They form groups; each group's product
+shingles, so of k > D column blocks at least k - D must be equal in both rows, at least one of them among the D + 1 fullest of
+each row. Only classes that share such an equal block (found by one sort of block signatures) can link. They form groups; each group's product
 is accumulated column block by column block - frequent columns as dense float32 products, rare ones by counting -
 over pairs of row blocks of bounded size, so a group with very many near copies spreads over many tasks. A task emits
 link counts and a spanning forest of its links, never the pairs themselves. The overlap counts are exact.
@@ -79,22 +79,13 @@ def _levels(num: int, den: int, most: int) -> np.ndarray:
     return np.array(bounds)
 
 
-@cache
-def _blocks(differ: int, least: int) -> int:
-    """Column blocks of a level: more than differ by so many that sets of ``least`` shingles hardly ever have as many empty blocks.
+def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Signatures of column blocks of a set, for its own level and the next.
 
-    A pair's equal blocks could otherwise all be empty, and signatures of empty blocks join what has nothing in common.
+    Of k blocks a pair that links has more than k - differ - 1 in common. So any order of signatures that all sets
+    share lets each set leave out its last k - differ - 1: here those of the blocks that hold least, which join sets
+    that have little in common.
     """
-    spare = 1
-    for _ in range(4):
-        k = differ + spare
-        mean = k * float(np.exp(-least / k))
-        spare = min(max(1, differ // 3), 1 + int(np.ceil(mean + 5 * np.sqrt(mean))))
-    return differ + spare
-
-
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of the column blocks of a set, for its own level and the next."""
     if not len(s):
         return np.empty(0, np.int64)
     bounds = _levels(num, den, 1 << max(10, (2 * len(s)).bit_length()))
@@ -103,16 +94,16 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     for at in (level, level + 1):
         largest = int(bounds[at + 1]) - 1
         differ = 2 * largest * (den - num) // (den + num)
-        k = _blocks(differ, int(bounds[max(at - 1, 0)]))
+        k = differ + 1 + differ // 3
         with np.errstate(over="ignore"):
             block = ((s >> U(32)) * U(k) >> U(32)).astype(np.int64)
-            filled = np.bincount(block, minlength=k) > 0
+            held = np.bincount(block, minlength=k)
+            filled = held > 0
             first = np.searchsorted(block, np.flatnonzero(filled))  # s is sorted, so blocks are runs
             sums = np.zeros(k, U)
             sums[filled] = np.add.reduceat(scan.mix(s ^ U(0xA5A5A5A5)), first)
             sig = scan.mix(sums + scan.mix(np.arange(k, dtype=U) + U(at) * U(0x1000003)))
-        # equal blocks of a pair may all be empty only if a set has that many empty ones
-        out.append(sig if (~filled).sum() >= k - differ else sig[filled])
+        out.append(sig[np.lexsort((sig, -held))[: differ + 1]])
     return np.concatenate(out).view(np.int64)
 
 
