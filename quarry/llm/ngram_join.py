@@ -3,11 +3,12 @@
 The documents are the rows and the shingles the columns of a 0/1 incidence matrix M; overlaps are the entries of M*M'.
 Documents with equal sets are one row (a class). Columns are dealt by hash into blocks, and a size-derived bound
 discards pairs before any product: two sets of a level of similar sizes that reach the threshold differ in at most D
-shingles, so of k > D column blocks at least k - D must be equal in both rows, at least one of them among the D + 1 fullest of
-each row. Only classes that share such an equal block (found by one sort of block signatures) can link. They form groups; each group's product
-is accumulated column block by column block - frequent columns as dense float32 products, rare ones by counting -
-over pairs of row blocks of bounded size, so a group with very many near copies spreads over many tasks. A task emits
-link counts and a spanning forest of its links, never the pairs themselves. The overlap counts are exact.
+shingles, so of k > D column blocks at least k - D must be equal in both rows, at least one of them among the D + 1
+fullest of each row. Only classes that share such an equal block, and k - D blocks with any others, can link (found by
+sorting block signatures). They form groups; each group's product is accumulated column block by column block -
+frequent columns as dense float32 products, rare ones by counting - over pairs of row blocks of bounded size, so a
+group with very many near copies spreads over many tasks. A task emits link counts and a spanning forest of its links,
+never the pairs themselves. The overlap counts are exact.
 
 Words are runs of bytes other than blank and 0x09-0x0D with A-Z lower-cased; shingles are compared by 64-bit hashes and
 sets by a 64-bit digest (expected collisions among n sets: n**2 / 2**65).
@@ -40,6 +41,8 @@ BROADCAST_IDS = 2_000_000
 #: Up to this many rows (about 60 bytes each) the table that deals classes to tasks is broadcast.
 BROADCAST_DEALT = 200_000
 _DENSE = 16
+#: A larger need is taken as this one, which is still necessary.
+_MOST_NEED = (1 << 16) - 1
 _NO_ID = (1 << 63) - 1
 
 
@@ -79,18 +82,20 @@ def _levels(num: int, den: int, most: int) -> np.ndarray:
     return np.array(bounds)
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of column blocks of a set, for its own level and the next.
+def signatures(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the column blocks of a set, for its own level and the next, and their tags.
 
-    Of k blocks a pair that links has more than k - differ - 1 in common. So any order of signatures that all sets
-    share lets each set leave out its last k - differ - 1: here those of the blocks that hold least, which join sets
-    that have little in common.
+    Of k blocks a pair that links has k - differ or more in common. So a set that shares fewer of its filled blocks
+    with any other than that, less its empty ones, links with nothing: its need. And in any order of signatures that
+    all sets follow, the first differ + 1 of each suffice to bring a pair together: here those of the fullest blocks,
+    as blocks that hold little join sets that have little in common. A tag holds the level and the need, and in its
+    lowest bit whether the block is among the first.
     """
     if not len(s):
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int32)
     bounds = _levels(num, den, 1 << max(10, (2 * len(s)).bit_length()))
     level = int(np.searchsorted(bounds, len(s), side="right")) - 1
-    out = []
+    out, tags = [], []
     for at in (level, level + 1):
         largest = int(bounds[at + 1]) - 1
         differ = 2 * largest * (den - num) // (den + num)
@@ -103,8 +108,12 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
             sums = np.zeros(k, U)
             sums[filled] = np.add.reduceat(scan.mix(s ^ U(0xA5A5A5A5)), first)
             sig = scan.mix(sums + scan.mix(np.arange(k, dtype=U) + U(at) * U(0x1000003)))
-        out.append(sig[np.lexsort((sig, -held))[: differ + 1]])
-    return np.concatenate(out).view(np.int64)
+        many = int(filled.sum())
+        need = min(max(0, k - differ - (k - many)), _MOST_NEED)
+        order = np.lexsort((sig, -held))[: max(many, differ + 1)]
+        out.append(sig[order])
+        tags.append((at * (_MOST_NEED + 1) + need) * 2 + (np.arange(len(order)) <= differ))
+    return np.concatenate(out).view(np.int64), np.concatenate(tags).astype(np.int32)
 
 
 def linked_pairs(sets: list[np.ndarray], home: np.ndarray | None, num: int, den: int, lower: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -181,23 +190,45 @@ def describe(documents: DataFrame, words: int) -> DataFrame:
 def stars(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Edges from every class to the smallest class that shares a column block's signature with it, contracted to stars.
 
-    Signatures are shuffled once and sorted within partitions; one streaming pass turns each run of equal signatures
-    into edges and holds only the run's first class and a chunk of edges. Repeated classes are left out per task before the shuffle.
+    Signatures are shuffled and sorted within partitions; a streaming pass, which holds one row, keeps those that two
+    classes or more share. Classes that share fewer than their need are out. What the others have in their first blocks
+    is shuffled again, and one streaming pass turns each run of equal signatures into edges and holds only the run's
+    first class and a chunk of edges. Repeated classes are left out per task before the first shuffle.
     """
+    spark = documents.sparkSession
 
     def blocks(batches):
         seen = set()
         for batch in batches:
-            sigs, cls = [], []
+            sigs, tags, cls = [], [], []
             for text in batch.column(0):
                 s = shingles(text.as_py(), words)
                 own = _digest(s) if len(s) else None
                 if own is not None and own not in seen:
                     seen.add(own)
-                    sigs.append(signatures(s, num, den))
-                    cls.append(np.full(len(sigs[-1]), own, np.int64))
+                    sig, tag = signatures(s, num, den)
+                    sigs.append(sig)
+                    tags.append(tag)
+                    cls.append(np.full(len(sig), own, np.int64))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(cls))], ["sig", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, cls, tags)], ["sig", "cls", "tag"])
+
+    def shared(batches):
+        last = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        joined = False  # whether the row held back shares its signature with the one before it
+        for batch in batches:
+            s, c, t = (np.concatenate([x, y.to_numpy()]) for x, y in zip(last, batch.columns, strict=True))
+            if not len(s):
+                continue
+            new = np.concatenate(([True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])))
+            s, c, t = s[new], c[new], t[new]
+            same = s[1:] == s[:-1]
+            before = np.concatenate(([joined], same))
+            yes = before[:-1] | same
+            last, joined = [s[-1:], c[-1:], t[-1:]], bool(before[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][yes]) for x in (s, c, t)], ["sig", "cls", "tag"])
+        if joined:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], ["sig", "cls", "tag"])
 
     def runs(batches):
         sig, low = None, None
@@ -216,11 +247,23 @@ def stars(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
             if len(other):
                 yield pa.RecordBatch.from_arrays([pa.array(c[other]), pa.array(lows[other])], ["a", "b"])
 
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = documents.select("text").mapInArrow(blocks, "sig long, cls long").repartition(parts, "sig").sortWithinPartitions("sig", "cls")
+    columns = "sig long, cls long, tag int"
+    dealt = documents.select("text").mapInArrow(blocks, columns).repartition(_parts(spark), "sig").sortWithinPartitions("sig", "cls")
+    both = common.saved(dealt.mapInArrow(shared, columns), "signatures").withColumn("need", F.shiftright("tag", 1))
+    common.release(spark)
+    enough = both.groupBy("cls", "need").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("need").bitwiseAND(_MOST_NEED)).select("cls", "need")
+    enough = common.saved(enough, "candidates")
+    if enough.count() <= BROADCAST_CLASSES:
+        enough = F.broadcast(enough)
+    left = both.where("tag % 2 = 1").join(enough, ["cls", "need"], "left_semi").select("sig", "cls")
+    dealt = left.repartition(_parts(spark), "sig").sortWithinPartitions("sig", "cls")
     return dealt.mapInArrow(lambda batches: common.contract(runs(batches)), "x long, r long")
 
 
+def _parts(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def components(documents: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``n_links``, ``component_id`` of every document; links have den * overlap >= num * union."""
     spark = documents.sparkSession

@@ -147,6 +147,33 @@ def test_ngram_join(spark, words, num, monkeypatch):
     assert ngram_join.components(empty(spark), words, num, 100).count() == 0
 
 
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (50, 100)])
+def test_signatures_lose_no_pair(num, den):
+    """Pairs just above the threshold share as many signatures as they need, and one of the first of both."""
+    rng = np.random.default_rng(num)
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        cut, more = (int(x) for x in rng.integers(0, n * (den - num) // den + 1, 2))
+        other = np.unique(np.concatenate([base[cut:], rng.integers(0, 1 << 63, more, dtype=np.uint64)]))
+        both = len(np.intersect1d(base, other))
+        if not both or both * den < num * (len(base) + len(other) - both):
+            continue
+        found = []
+        for s in (base, other):
+            sig, tag = ngram_join.signatures(s, num, den)
+            found.append(dict(zip(sig.tolist(), tag.tolist(), strict=True)))
+        shared = [(found[0][x], found[1][x]) for x in found[0].keys() & found[1].keys()]
+        levels = [(a >> 17, b >> 17) for a, b in shared]
+        assert all(a == b for a, b in levels)
+        good = False
+        for level in {a for a, _ in levels}:
+            here = [x for x, y in zip(shared, levels, strict=True) if y[0] == level]
+            enough = all(len(here) >= ((x[i] >> 1) & 0xFFFF) for x in here for i in (0, 1))
+            good |= enough and any(a & 1 and b & 1 for a, b in here)
+        assert good
+
+
 def test_keep_one(spark, corpus):
     kept = ngram_join.keep_one(corpus, 5, 80, 100)
     ids = [r.doc_id for r in kept.collect()]
