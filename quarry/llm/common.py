@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch between Spark and a Python worker, about; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 #: Links a task contracts at a time (16 bytes each), and the most that one task finishes.
 CHUNK_LINKS = 1 << 17
 #: Up to this many labels (16 bytes each) are broadcast; beyond it the join shuffles.
@@ -40,6 +42,8 @@ def prepare(spark: SparkSession) -> None:
     sc.environment.setdefault("MALLOC_MMAP_THRESHOLD_", str(4 << 20))
     sc.environment.setdefault("MALLOC_TRIM_THRESHOLD_", str(16 << 20))
     sc.environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    # texts reach the workers in batches bounded by bytes: rows are no bound, and both sides hold several batches
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_root(spark))
 
