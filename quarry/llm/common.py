@@ -125,9 +125,15 @@ def _chunks(batches, chunk: int):
 
 
 def contract(batches, chunk: int = CHUNK_LINKS):
-    """Chunks of links (a, b) as stars: rows (x, r) from every vertex of a chunk to the smallest it reaches there."""
+    """Links (a, b) as stars: rows (x, r) from every vertex to the smallest it reaches; a forest of half a chunk at most is carried on."""
+    x = r = np.empty(0, np.int64)
     for a, b in _chunks(batches, chunk):
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _forest(a, b)], ["x", "r"])
+        x, r = _forest(np.concatenate([x, a]), np.concatenate([r, b]))
+        if len(x) > chunk // 2:
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(r)], ["x", "r"])
+            x = r = x[:0]
+    if len(x):
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(r)], ["x", "r"])
 
 
 def _meet(batches, chunk: int):

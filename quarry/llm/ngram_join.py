@@ -248,7 +248,8 @@ def stars(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c[other]), pa.array(lows[other])], ["a", "b"])
 
     columns = "sig long, cls long, tag int"
-    dealt = documents.select("text").mapInArrow(blocks, columns).repartition(_parts(spark), "sig").sortWithinPartitions("sig", "cls")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = documents.select("text").mapInArrow(blocks, columns).repartition(parts, "sig").sortWithinPartitions("sig", "cls")
     both = common.saved(dealt.mapInArrow(shared, columns), "signatures").withColumn("need", F.shiftright("tag", 1))
     common.release(spark)
     enough = both.groupBy("cls", "need").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("need").bitwiseAND(_MOST_NEED)).select("cls", "need")
@@ -256,14 +257,11 @@ def stars(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
     if enough.count() <= BROADCAST_CLASSES:
         enough = F.broadcast(enough)
     left = both.where("tag % 2 = 1").join(enough, ["cls", "need"], "left_semi").select("sig", "cls")
-    dealt = left.repartition(_parts(spark), "sig").sortWithinPartitions("sig", "cls")
+    # without a number, adaptive execution deals by size: a class leaves every task it is in as a row or two
+    dealt = left.repartition("sig").sortWithinPartitions("sig", "cls")
     return dealt.mapInArrow(lambda batches: common.contract(runs(batches)), "x long, r long")
 
 
-def _parts(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def components(documents: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``n_links``, ``component_id`` of every document; links have den * overlap >= num * union."""
     spark = documents.sparkSession
