@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from quarry.functions import rules, text, web
 from quarry.operators import chunking, dedup, evaluation, gold, ranking, sessions, tfidf, vectors
@@ -34,6 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_turn(rows: DataFrame, id_: Column, others: DataFrame, other_id: str) -> DataFrame:
+    """Each row with the other whose place in the order of ids is the row's id modulo the number of others.
+
+    Every row finds one, and every other is in use as soon as the ids go through its place, whatever the others' ids are.
+    """
+    schema = types.StructType([others.schema[other_id], types.StructField("place", types.LongType())])
+    ids = others.select(other_id).distinct().orderBy(other_id)
+    places = ids.sparkSession.createDataFrame(ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])), schema)
+    turn = F.pmod(id_, F.lit(max(ids.count(), 1)))
+    return rows.withColumn("place", turn).join(places, "place").drop("place").join(others, other_id)
+
+
 def quoted(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -395,7 +408,7 @@ def snippet(spark, sf_dir):
 
 @query("snippet_hint")
 def snippet_hint(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("n"), F.col("text").alias("hint")), F.pmod("doc_id", F.lit(40)) == F.col("n"))
+    d = in_turn(table(spark, sf_dir, "documents"), F.col("doc_id"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("hint")), "item_id")
     return d.select("doc_id", text.snippet(F.col("text"), F.col("hint"), 160).alias("snippet"))
 
 
@@ -472,7 +485,7 @@ def tfidf_scores(spark, sf_dir):
 
 @query("compress_sentences")
 def compress_sentences(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("n"), F.col("text").alias("query")), F.pmod("doc_id", F.lit(40)) == F.col("n"))
+    d = in_turn(table(spark, sf_dir, "documents"), F.col("doc_id"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query")), "item_id")
     return tfidf.relevant_sentences(d.select(F.col("doc_id").alias("group_id"), "query", "text"))
 
 
@@ -487,7 +500,7 @@ def key_info(spark, sf_dir):
 def compress_chunks(spark, sf_dir):
     from quarry.operators import compression
 
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("n"), F.col("text").alias("query")), F.pmod("doc_id", F.lit(40)) == F.col("n"))
+    d = in_turn(table(spark, sf_dir, "documents"), F.col("doc_id"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query")), "item_id")
     return compression.compress(d.select(F.col("doc_id").alias("id"), "query", "text", (F.col("doc_id") % 4 + 1).cast("int").alias("tier")))
 
 
@@ -502,7 +515,7 @@ _META = f"""SELECT p.page_id, b.item_id, round(least(greatest(0.5 + (4 - ({TIER_
 def metadata_score(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", foldered(F.col("url")).alias("url"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return p.join(b, F.pmod("page_id", F.lit(40)) == F.col("item_id")).select("page_id", "item_id", F.round(ranking.metadata_score(F.col("text"), F.col("title"), F.col("url"), web.tier(F.col("url"), F.lit(""))), 6).alias("score"))
+    return in_turn(p, F.col("page_id"), b, "item_id").select("page_id", "item_id", F.round(ranking.metadata_score(F.col("text"), F.col("title"), F.col("url"), web.tier(F.col("url"), F.lit(""))), 6).alias("score"))
 
 
 @query("position_bias", f"WITH {RANKED} SELECT query_id, row_id, round(sim * (0.85 + 0.15 / (1 + ln(1 + rank - 1))), 6) AS adjusted FROM r WHERE rank <= 20")
