@@ -554,6 +554,14 @@ def fusion_best(spark, sf_dir):
     return ranking.best_variant(v).withColumn("score", F.round("score", 6))
 
 
+def with_vectors(rows: DataFrame, id_: Column, e: DataFrame, pool: DataFrame) -> DataFrame:
+    """Each row with the vector of its id, or one of the pool in turn where there is none."""
+    own = rows.withColumn("vec_id", id_)
+    rest = own.join(e, "vec_id", "left_anti").withColumnRenamed("vec_id", "own_id")
+    lent = in_turn(rest, F.col("own_id"), pool, "vec_id").drop("own_id")
+    return own.join(e, "vec_id").unionByName(lent)
+
+
 @query(
     "program_match",
     f"""WITH p AS (SELECT page_id AS row_id, lower(regexp_extract(html, '<title>([^<]*)', 1)) AS title, url FROM pages),
@@ -573,7 +581,10 @@ def program_match(spark, sf_dir):
     messages = items.select(F.col("item_id").alias("query_id"), F.array_distinct(web.match_tokens(F.col("text"))).alias("tokens"), web.degree_intent(F.col("text")).alias("degree"))
     n = pages.count()
     # all programs take part, so every message is compared with each of them
-    found = vectors.top_k(e.join(messages.select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select((F.col("vec_id") - 100).alias("row_id"), F.col("embedding").alias("vector")).join(programs.select("row_id"), "row_id"), n)
+    asked = with_vectors(messages.select("query_id"), F.col("query_id"), e, e).select("query_id", F.col("embedding").alias("vector"))
+    free = e.join(messages.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+    given = with_vectors(programs.select("row_id"), F.col("row_id") + 100, e, e if free.isEmpty() else free).select("row_id", F.col("embedding").alias("vector"))
+    found = vectors.top_k(asked, given, n)
     sims = found.select("query_id", "row_id", F.round(0.5 + 0.5 * F.col("sim"), 9).alias("sim"))
     return ranking.program_match(messages, programs, sims).withColumn("combined", F.round("combined", 6))
 
