@@ -260,6 +260,12 @@ def near_dup_pairs(spark, sf_dir):
     return dedup.similar_pairs(table(spark, sf_dir, "documents")).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("near_dup_classes", f"WITH t AS (SELECT doc_id, list_sort({TOKENS_SQL}) AS s FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM t WHERE len(s) > 0")
+def near_dup_classes(spark, sf_dir):
+    """Which representative stands for a document in near_dup_pairs; documents without words have none."""
+    return dedup.classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "rep")
+
+
 @query("greedy_diversity")
 def greedy_diversity(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
