@@ -838,7 +838,7 @@ def program_level(spark, sf_dir):
 
 @query("program_aliases")
 def program_aliases(spark, sf_dir):
-    title = F.concat(F.regexp_extract("html", "<title>([^<]{0,40})", 1), F.lit(" (M.S.)"))
+    title = F.concat(F.regexp_extract("html", "<title>([^<]*)", 1), F.lit(" (M.S.)"))
     return table(spark, sf_dir, "pages").select("page_id", web.program_aliases(title, F.col("url")).alias("aliases"))
 
 
