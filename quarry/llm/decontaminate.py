@@ -8,7 +8,8 @@ some window is within ``max_edits`` of it: at most 15 % of its words inserted, d
 2. Embedding: ``ROUNDS`` random walks map windows and items to sequences in which k edits become O(k*k) differing
    positions; each walk repeats or consumes the current word by a hash of (walk, step, word).
 3. Bit sampling: from every embedding ``samples`` position sets are drawn; equal samples make a candidate. How many
-   walks are needed for ``RECALL`` is measured when the index is built, on randomly edited copies of the items.
+   walks are needed for ``RECALL`` is measured when the index is built, on randomly edited copies of the items. For
+   sizes where ``MAX_ROUNDS`` walks do not reach it (long items), every gated window is a candidate of every item.
 4. Verification: the edit distance of every candidate pair is computed exactly, with free ends within the window.
 
 The index of at most ``BLOCK_ITEMS`` items is broadcast; a larger benchmark is handled block by block, each against all
@@ -111,7 +112,7 @@ def edit_distance(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int,
 
 @dataclass
 class Size:
-    """Items of one number of words."""
+    """Items of one number of words; without walks, all gated windows are verified."""
 
     items: np.ndarray
     grams: np.ndarray
@@ -163,7 +164,7 @@ def build(ids: list[int], texts: list[str | None]) -> Index:
 
 
 def _walks(items: np.ndarray, edits: int, trials: int = 64) -> int:
-    """Walks that bring the recall of copies with the most edits to RECALL, by trying."""
+    """Walks that bring the recall of copies with the most edits to RECALL, by trying; 0 if MAX_ROUNDS do not."""
     n = items.shape[1]
     if edits == 0:
         return 1
@@ -187,7 +188,7 @@ def _walks(items: np.ndarray, edits: int, trials: int = 64) -> int:
         met |= (samples(embed(base, walk), walk) == samples(embed(other, walk), walk)).any(1)
         if met.mean() >= RECALL:
             return walk + 1
-    return MAX_ROUNDS
+    return 0
 
 
 def batch_matches(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
@@ -255,6 +256,12 @@ def _gated(index: Index, h: np.ndarray):
 def _candidates(index: Index, n: int, own: list[tuple[int, np.ndarray]], words: dict[int, np.ndarray], out: dict) -> None:
     """Add the windows that share a sample with an item: (text, item position) -> start words."""
     size = index.sizes[n]
+    if not size.walks:
+        for i, starts in own:
+            if len(starts):
+                for item in size.items.tolist():
+                    out[i, item] = starts.tolist()
+        return
     text = np.concatenate([np.full(len(s), i) for i, s in own])
     start = np.concatenate([s for _, s in own])
     base, joined = {}, []

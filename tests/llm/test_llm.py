@@ -214,6 +214,21 @@ def test_decontamination(spark):
     assert decontaminate.report(docs, bench.limit(0)).count() == 0 and decontaminate.report(docs.limit(0), bench).count() == 0
 
 
+def test_edited_copies_of_long_items_are_found():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [[word() for _ in range(600)] for _ in range(8)]
+    texts = []
+    for k in range(40):
+        own = list(items[k % 8])
+        for _ in range(decontaminate.max_edits(600)):
+            at, kind = rng.randrange(len(own)), rng.randrange(3)
+            own[at : at + (kind != 1)] = [] if kind == 2 else [word()]
+        texts.append(" ".join([word() for _ in range(30)] + own + [word() for _ in range(30)]))
+    index = decontaminate.build(list(range(8)), [" ".join(w) for w in items])
+    assert [[x[0] for x in found] for found in decontaminate.batch_matches(index, texts)] == [[k % 8] for k in range(40)]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(30, 16))
