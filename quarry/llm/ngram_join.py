@@ -264,6 +264,11 @@ def stars(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 def components(documents: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``n_links``, ``component_id`` of every document; links have den * overlap >= num * union."""
+    return _components(documents, words, num, den).drop("cls")
+
+
+def _components(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``components`` with the class ``cls`` of each row, which tells rows of one id apart."""
     spark = documents.sparkSession
     common.prepare(spark)
     docs = common.saved(describe(documents, words), "shingles")
@@ -300,26 +305,39 @@ def components(documents: DataFrame, words: int = 3, num: int = 90, den: int = 1
     by_class = joined.join(lowest, "label").select("cls", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = docs.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left")
     component = F.coalesce(F.when(F.col("component_id") < _NO_ID, F.col("component_id")), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), "cls")
 
 
 def keep_one(documents: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """The rows of ``documents``, all columns as they are, with the smallest id of their component; repeated rows stay once.
 
-    Rows with a null id all stay, but for repetitions.
+    Rows with a null id all stay, but for repetitions. Rows that share an id but not a text go each by its own component.
     """
     spark = documents.sparkSession
-    found = common.saved(components(documents, words, num, den).select("doc_id", "component_id"), "components")
+    found = common.saved(_components(documents, words, num, den).select("doc_id", "component_id", "cls"), "components")
     common.release(spark)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("q_gone")).distinct()
-    left = documents.join(_small(gone), F.col("doc_id") == F.col("q_gone"), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("q_gone"), F.col("cls").alias("q_cls")).distinct()
     # rows that repeat an id are few or none: only they are shuffled to find equal ones
     again = found.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("q_again")).agg(F.count("*").alias("n")).where("n > 1").select("q_again")
     if again.isEmpty():
-        return left
+        return documents.join(_small(gone.select("q_gone")), F.col("doc_id") == F.col("q_gone"), "left_anti")
+    again = _small(again)
+    once = gone.join(again, F.col("q_gone") == F.col("q_again"), "left_anti").select("q_gone")
+    left = documents.join(_small(once), F.col("doc_id") == F.col("q_gone"), "left_anti")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)) == F.col("q_again")
-    repeated = left.join(_small(again), key, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(_small(again), key, "left_anti").unionByName(repeated)
+    repeated = left.join(again, key, "left_semi").dropDuplicates(["doc_id", "text"])
+
+    def classed(batches):
+        for batch in batches:
+            sets = [shingles(text.as_py(), words) for text in batch.column(1)]
+            cls = pa.array([_digest(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, cls], ["q_id", "q_text", "q_own"])
+
+    # an id may stand for several texts: each goes by its own class
+    own = repeated.select(F.col("doc_id").cast("long"), "text").mapInArrow(classed, "q_id long, q_text string, q_own long")
+    copies = own.join(gone, (F.col("q_id") == F.col("q_gone")) & (F.col("q_own") == F.col("q_cls"))).select("q_id", "q_text")
+    repeated = repeated.join(copies, (F.col("doc_id").cast("long") == F.col("q_id")) & (F.col("text") == F.col("q_text")), "left_anti")
+    return left.join(again, key, "left_anti").unionByName(repeated)
 
 
 def _small(ids: DataFrame) -> DataFrame:

@@ -180,6 +180,13 @@ def test_keep_one(spark, corpus):
     assert kept.columns == corpus.columns and 5 in ids and 123 not in ids and 124 not in ids and None in ids and len(ids) == len(set(ids))
 
 
+def test_keep_one_where_an_id_has_several_texts(spark):
+    text = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = [(1, text("a")), (7, text("a")), (7, text("b")), (7, text("b")), (8, text("c")), (9, text("a")), (None, text("d"))]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept) == [(0, "d"), (1, "a"), (7, "b"), (8, "c")]
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
