@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 #: Characters handled at once. Longer texts are cut at white space, so memory does not depend on text length.
-CHUNK = 1 << 20
-_POW = 4096
+CHUNK = 1 << 18
+#: Longer words are hashed whole by xxhash: a sum over powers of one number is for short words only.
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,7 +28,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 @cache
 def powers() -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumprod(np.full(_POW, 0x9E3779B97F4A7C15, U), dtype=U)
+        return np.cumprod(np.full(LONG_WORD, 0x9E3779B97F4A7C15, U), dtype=U)
+
+
+def word_hashes(values: np.ndarray, raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word and the terms it is the sum of.
+
+    ``values`` are those of all characters inside words and ``raw`` the characters; word i begins at ``first[i]`` there.
+    """
+    pos = (np.arange(len(values), dtype=np.int32) - np.repeat(first.astype(np.int32), length)) % LONG_WORD
+    with np.errstate(over="ignore"):
+        terms = values * powers()[pos]
+        out = mix(np.add.reduceat(terms, first)) if len(first) else np.empty(0, U)
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[first[i] : first[i] + length[i]].tobytes(), seed=len(raw.dtype.str))
+    return out, terms
 
 
 @cache
@@ -39,6 +56,9 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
+_BREAK = re.compile(r"\s")
+
+
 def pieces(texts: list[str | None], limit: int = CHUNK) -> Iterator[list[tuple[int, str]]]:
     """Groups of (index, piece) of at most about ``limit`` characters; a longer text is cut at white space."""
     out, size = [], 0
@@ -51,7 +71,10 @@ def pieces(texts: list[str | None], limit: int = CHUNK) -> Iterator[list[tuple[i
             if end - at > limit:
                 end = at + limit
                 cut = max(t.rfind(" ", at + limit // 2, end), t.rfind("\n", at + limit // 2, end))
-                end = cut + 1 if cut > 0 else end
+                if cut < 0:  # a run of letters without a break is never cut: it is one word
+                    found = _BREAK.search(t, end)
+                    cut = found.start() if found else len(t) - 1
+                end = cut + 1
             if size and size + end - at > limit:
                 yield out
                 out, size = [], 0
@@ -78,21 +101,20 @@ class Words:
         self.length = np.flatnonzero(edge == -1) - self.start
         text = np.searchsorted(np.cumsum(sizes), self.start, side="right")
         self.doc = np.fromiter((i for i, _ in group), np.int64, len(group))[text]
-        self.at = np.flatnonzero(inside)
         self.first = np.concatenate(([0], np.cumsum(self.length)[:-1])) if len(self.length) else self.length
-        self.pos = np.arange(len(self.at)) - np.repeat(self.first, self.length)
-        with np.errstate(over="ignore"):
-            self.value = code_values()[self.codes[self.at]] * powers()[self.pos % _POW]
-            self.hash = mix(np.add.reduceat(self.value, self.first)) if len(self.first) else np.empty(0, U)
+        own = self.codes[inside]
+        self.hash, self.terms = word_hashes(code_values()[own], own, self.first, self.length)
 
     def prefix_hash(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the first ``n`` letters of the words longer than that, and which words these are."""
         if not len(self.first):
             return np.empty(0, U), np.empty(0, np.int64)
-        with np.errstate(over="ignore"):
-            h = mix(np.add.reduceat(np.where(self.pos < n, self.value, U(0)), self.first) + U(n))
         which = np.flatnonzero(self.length > n)
-        return h[which], which
+        with np.errstate(over="ignore"):
+            total = np.full(len(which), n, U)
+            for j in range(n):
+                total += self.terms[self.first[which] + j]
+        return mix(total), which
 
 
 _SPACE = np.zeros(256, bool)
@@ -111,6 +133,5 @@ def space_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, U), start, end
     length = end - start
     first = np.concatenate(([0], np.cumsum(length)[:-1]))
-    pos = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
-    with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(code_values()[raw[inside]] * powers()[pos % _POW], first)), start, end
+    own = raw[inside]
+    return word_hashes(code_values()[own], own, first, length)[0], start, end

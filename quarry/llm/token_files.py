@@ -1,42 +1,54 @@
 """Token ids in binary shards, compressed by Re-Pair grammars.
 
-``encode`` tokenises whole texts exactly as the tokenizers library does, through a bounded cache of word encodings.
-``write`` puts documents in ascending id order into shards, replaces frequent pairs of ids by nonterminals, round by
-round, and stores per shard the rules, the expansion lengths and the symbol sequence. ``read`` expands them again;
-``decode_range`` expands only the symbols that cover a range of ids.
-
-Shard format (all integers little-endian): ``rules`` pairs of uint16 (left, right; nonterminal i is FIRST_NONTERMINAL
-+ i), ``expansion`` uint16 per rule (ids it stands for), ``symbols`` uint16,
-``anchors`` uint64 per ANCHOR symbols (ids before them), ``ends`` uint64 per document (ids up to its end), ``doc_ids``.
-
-Defined results: null and empty texts give the end id alone; null ids come first; rows with equal ids are ordered by
-text; texts of any length are encoded whole; an empty table gives an empty result; only id and text are read.
+``Encoder`` tokenises whole texts exactly as the tokenizers library does: for tokenizer files of the kind it knows (lower
+case, runs of letters, single digits, runs of marks) through a bounded cache of word encodings, for all others by the
+library itself. ``write`` puts documents in ascending id order into shards of about ``SHARD_IDS`` ids and compresses each by
+Re-Pair: pairs of symbols that occur ``LEAST`` times or more become nonterminals, the most frequent first, round by round
+until no pair is that frequent. ``read`` expands the shards again; ``decode_range`` only the symbols that cover a range.
+
+Shard format (all integers little-endian): ``first`` the first nonterminal (ids are below it), ``rules`` pairs of uint32
+(left, right; nonterminal ``first`` + i is rule i), ``expansion`` uint32 per rule (ids it stands for), ``symbols`` the low 16
+bits of every symbol as uint16, then a bit plane for each further bit that the largest symbol needs, ``anchors`` uint64
+per ANCHOR symbols (ids before them), ``ends`` uint64 per document (ids up to its end), ``doc_ids``, ``before`` the ids of the
+shards of the same part before this one.
+
+Defined results: null and empty texts give the end id alone; null ids come first; rows with equal ids are ordered by a
+hash of their text, then by text; texts of any length are encoded whole; words of any length are told apart by 64-bit
+hashes (expected collisions among n distinct words: n**2 / 2**65); an empty table gives an empty result; only id and text
+are read, so other columns of any name do not matter.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import common, scan
 
 END_ID = 1
 #: Ids of a shard, about: bounds the memory of a task.
-SHARD_IDS = 1 << 21
-#: Words whose encoding a worker keeps.
-CACHE_WORDS = 600_000
-#: Ids are below this, nonterminals from here to 65,535: every symbol has 16 bits.
-FIRST_NONTERMINAL = 49_408
-MAX_RULES = (1 << 16) - FIRST_NONTERMINAL
+SHARD_IDS = 1 << 20
+#: Words whose encoding a worker keeps (about 20 bytes each).
+CACHE_WORDS = 400_000
+#: A pair is frequent, and becomes a rule, if it occurs so often in its shard without overlap.
+LEAST = 16
 ANCHOR = 1024
-ROUNDS, PER_ROUND, LEAST, PAIR_BITS = 3, 5376, 32, 20
+#: Up to this many parts (16 bytes each) the table of their first ids is broadcast.
+BROADCAST_PARTS = 500_000
+
+#: What a tokenizer file must say for the word cache to give the library's ids.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 _encoders: dict[str, Encoder] = {}
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNUSUAL = range(5)
@@ -70,33 +82,47 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        self.by_words = own["normalizer"] == NORMALIZER and own["pre_tokenizer"] == PRE_TOKENIZER and own["model"]["type"] == "BPE" and not own["model"].get("dropout") and not own["truncation"]
+        # special tokens are found before anything else: texts with the first two characters of one go to the library
+        self.marks = tuple({x["content"][:2] for x in own["added_tokens"]}) if self.by_words else ()
+        self.n_ids = max(chain(self.whole.get_vocab(with_added_tokens=True).values(), [0])) + 1
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.pool, self.filled = np.empty(1 << 16, np.uint16), 0
-        self.offset, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        """Forget all words: sorted hashes, and where in the pool each one's ids begin and how many they are."""
+        self.keys, self.offset, self.length = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.pool, self.filled = np.empty(1 << 16, np.uint32), 0
 
     @classmethod
     def at(cls, path: str) -> Encoder:
         if path not in _encoders:
+            _encoders.clear()  # a worker keeps one
             _encoders[path] = cls(path)
         return _encoders[path]
 
     def _library(self, text: str) -> np.ndarray:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16)
-
-    def _learn(self, key: int, word: str) -> None:
-        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_byte_letters()))]
-        at = len(self.index)
-        if at == len(self.offset):
-            self.offset, self.length = (np.concatenate([x, np.empty(len(x), np.int64)]) for x in (self.offset, self.length))
-        while self.filled + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty(len(self.pool), np.uint16)])
-        self.pool[self.filled : self.filled + len(ids)] = ids
-        self.offset[at], self.length[at] = self.filled, len(ids)
-        self.filled += len(ids)
-        self.index[key] = at
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Add words whose (sorted) hashes are not known yet."""
+        tokenize, letters = self.model.tokenize, _byte_letters()
+        got = [[t.id for t in tokenize(w if w.isascii() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))] for w in words]
+        length = np.fromiter(map(len, got), np.int32, len(got))
+        total = int(length.sum())
+        if self.filled + total > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.filled], np.empty(self.filled + total, np.uint32)])
+        self.pool[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.length = np.insert(self.keys, at, keys), np.insert(self.length, at, length)
+        self.offset = np.insert(self.offset, at, self.filled + np.cumsum(length, dtype=np.int32) - length)
+        self.filled += total
+
+    def _rows(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
@@ -105,7 +131,7 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if "<|" in t or "'" in t or len(t) > scan.CHUNK and max(map(len, t.split())) > scan.CHUNK // 4:
+            if not self.by_words or "'" in t or any(m in t for m in self.marks) or len(t) > scan.CHUNK and max(map(len, t.split())) > scan.CHUNK // 4:
                 parts[i].append(self._library(t))
             else:
                 plain.append(i)
@@ -113,7 +139,7 @@ class Encoder:
             for (i, piece), ids in zip(group, self._group([t for _, t in group]), strict=True):
                 # a piece with an unusual character makes its whole text go to the library
                 parts[plain[i]].append(ids)
-        return [self._library(texts[i]) if any(x is None for x in p) else np.concatenate(p) if p else np.empty(0, np.uint16) for i, p in enumerate(parts)]
+        return [self._library(texts[i]) if any(x is None for x in p) else np.concatenate(p) if p else np.empty(0, np.uint32) for i, p in enumerate(parts)]
 
     def _group(self, texts: list[str]) -> list[np.ndarray | None]:
         low = [t.lower() for t in texts]
@@ -121,195 +147,256 @@ class Encoder:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = _kinds()[codes]
         ends = np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + 1)
-        odd = np.unique(np.searchsorted(ends, np.flatnonzero(kind == _UNUSUAL), side="right"))
+        odd = np.unique(np.searchsorted(ends, np.flatnonzero(kind == _UNUSUAL), side="right")).tolist()
         before = np.concatenate(([_SPACE], kind[:-1]))
-        first = (kind != _SPACE) & ((kind != before) | (kind == _NUMBER))
-        start = np.flatnonzero(first)
+        begins = (kind != _SPACE) & ((kind != before) | (kind == _NUMBER))
+        start = np.flatnonzero(begins)
         if not len(start):
-            return [np.empty(0, np.uint16) if i not in set(odd.tolist()) else None for i in range(len(texts))]
+            return [None if i in odd else np.empty(0, np.uint32) for i in range(len(texts))]
         inside = np.flatnonzero(kind != _SPACE)
-        lead = np.flatnonzero(first[inside])
-        size = np.diff(np.append(lead, len(inside)))
-        pos = np.arange(len(inside)) - np.repeat(lead, size)
-        with np.errstate(over="ignore"):
-            hashes = scan.mix(np.add.reduceat(scan.code_values()[codes[inside]] * scan.powers()[pos % len(scan.powers())], lead))
+        first = np.flatnonzero(begins[inside])
+        size = np.diff(np.append(first, len(inside)))
+        own = codes[inside]
+        hashes = scan.word_hashes(scan.code_values()[own], own, first, size)[0]
         distinct, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.index) + len(distinct) > CACHE_WORDS:
-            self.clear()
-        index, keys = self.index, distinct.tolist()
-        for k, j in zip(keys, one.tolist(), strict=True):
-            if k not in index:
-                self._learn(k, text[start[j] : start[j] + size[j]])
-        row = np.fromiter(map(index.__getitem__, keys), np.int64, len(keys))[back]
+        at, known = self._rows(distinct)
+        if not known.all():
+            if len(self.keys) + int((~known).sum()) > CACHE_WORDS:
+                self.clear()
+                known[:] = False
+            new = np.flatnonzero(~known)
+            a = start[one[new]]
+            self._learn(distinct[new], [text[i:j] for i, j in zip(a.tolist(), (a + size[one[new]]).tolist(), strict=True)])
+            at, _ = self._rows(distinct)
+        row = at[back]
         length = self.length[row]
-        stop = np.cumsum(length)
+        stop = np.cumsum(length, dtype=np.int64)
         ids = self.pool[np.repeat(self.offset[row] - (stop - length), length) + np.arange(stop[-1])]
         word_cut = np.searchsorted(start, ends)
         cut = np.concatenate(([0], np.concatenate(([0], stop))[word_cut]))
         out: list[np.ndarray | None] = [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        for i in odd.tolist():
+        for i in odd:
             out[i] = None
         return out
 
 
-def repair(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (n, 2) and symbols of a sequence of ids below FIRST_NONTERMINAL, all of 16 bits.
+def repair(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Rules (n, 2) and symbols of a sequence of ids below ``first``: Re-Pair until no pair occurs ``least`` times.
 
-    Each round counts the adjacent pairs, makes nonterminals of the most frequent ones and replaces their
-    occurrences from left to right without overlap. A round with no pair that occurs ``least`` times ends it.
+    Each round counts the pairs exactly, without overlap, and makes a nonterminal of every frequent one. Where chosen pairs
+    overlap, the more frequent one is replaced; a pair that is left with fewer than ``least`` places waits for a later
+    round. The most frequent pair loses no place, so each round makes a rule. Only pairs with a symbol of the round before,
+    or that waited, can have become frequent: from the second round on, only these are counted.
     """
-    seq = ids.astype(np.uint16)
+    seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
-    made = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        pair = seq[:-1].astype(np.uint32) << np.uint32(16)
-        pair |= seq[1:]
-        bucket = (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - PAIR_BITS)
-        counts = np.bincount(bucket, minlength=1 << PAIR_BITS)
-        top = np.argpartition(counts, -per_round)[-per_round:]
-        top = np.sort(top[counts[top] >= least])[: MAX_RULES - made]
-        if not len(top):
+    made, active = first, np.arange(max(0, len(seq) - 1))
+    while len(active) >= least:
+        left, right = seq[active], seq[active + 1]
+        run = np.flatnonzero(left == right)
+        passed = active[:0]
+        if len(run):  # of the places of a pair of equal symbols in a run of them, every other counts
+            at = active[run]
+            start = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
+            odd = (np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))) % 2 == 1
+            counted = np.ones(len(active), bool)
+            counted[run[odd]] = False
+            passed = at[odd]
+            active, left, right = active[counted], left[counted], right[counted]
+        bits, wide = max(1, int(len(seq)).bit_length()), int(made).bit_length()
+        if bits + 2 * wide <= 64:
+            key = (left.astype(np.uint64) << np.uint64(wide) | right) << np.uint64(bits) | active.astype(np.uint64)
+            key.sort()
+            pair, place = key >> np.uint64(bits), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+        else:
+            pair = left.astype(np.uint64) << np.uint64(32) | right
+            order = np.argsort(pair, kind="stable")
+            pair, place, wide = pair[order], active[order], 32
+        lead = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        count = np.diff(np.append(lead, len(pair)))
+        often = count >= least
+        if not often.any():
             break
-        # one pair stands for a bucket: of pairs that share it, the one that occurs last
-        chosen = np.zeros(1 << PAIR_BITS, np.uint32)
-        chosen[bucket] = pair
-        code = np.zeros(1 << PAIR_BITS, np.uint16)
-        code[top] = FIRST_NONTERMINAL + made + np.arange(len(top))
-        at = np.flatnonzero(code[bucket])
-        at = at[chosen[bucket[at]] == pair[at]]
-        new = code[bucket[at]]
-        # of overlapping occurrences the first, third, ... of each run stay
-        start = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
-        place = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
-        keep = place % 2 == 0
-        at = at[keep]
-        seq[at] = new[keep]
+        chosen, count = pair[lead[often]], count[often]
+        place = place[np.repeat(often, np.diff(np.append(lead, len(pair))))]
+        # ranks from the most frequent (1) on; 0: no chosen pair begins here
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(1, len(order) + 1)
+        rank = np.repeat(rank, count)
+        at = np.zeros(len(seq) + 1, np.int32)  # the last stands for both ends
+        at[place] = rank
+        ahead, behind = at[place - 1], at[place + 1]
+        won = ((behind == 0) | (rank <= behind)) & ((ahead == 0) | (rank < ahead))
+        uses = np.bincount(rank[won], minlength=len(order) + 1)
+        good = uses >= least
+        won &= good[rank]
+        # rules in the order of ranks
+        number = np.cumsum(good) - 1 + made
+        of_rank = chosen[order][good[1:]]
+        rules.append(np.stack([of_rank >> np.uint64(wide), of_rank & np.uint64((1 << wide) - 1)], axis=1).astype(np.uint32))
+        here = place[won]
+        at[:] = 0
+        at[place[~won]] = at[passed] = 1  # these wait, unless one of their symbols goes
+        seq[here] = number[rank[won]]
         alive = np.ones(len(seq), bool)
-        alive[at + 1] = False
+        alive[here + 1] = False
+        waits = at[:-1][alive] > 0
         seq = seq[alive]
-        rules.append(np.stack([chosen[top] >> np.uint32(16), chosen[top] & np.uint32(0xFFFF)], axis=1).astype(np.uint16))
-        made += len(top)
-    return (np.concatenate(rules) if rules else np.empty((0, 2), np.uint16)), seq
+        fresh = seq >= made
+        made += int(good.sum())
+        near = waits[:-1] | fresh[:-1] | fresh[1:]
+        active = np.flatnonzero(near)
+    return (np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)), seq
 
 
-def flattened(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pool of the ids that every symbol below FIRST_NONTERMINAL + len(rules) stands for, with offsets and lengths."""
-    parts: list[list[int]] = []
+def expansions(rules: np.ndarray, first: int) -> np.ndarray:
+    """How many ids each rule stands for."""
+    out: list[int] = []
     for a, b in rules.tolist():
-        left = parts[a - FIRST_NONTERMINAL] if a >= FIRST_NONTERMINAL else [a]
-        parts.append(left + (parts[b - FIRST_NONTERMINAL] if b >= FIRST_NONTERMINAL else [b]))
-    size = np.concatenate([np.ones(FIRST_NONTERMINAL, np.int64), np.fromiter(map(len, parts), np.int64, len(parts))])
-    pool = np.concatenate([np.arange(FIRST_NONTERMINAL), np.array([x for p in parts for x in p], np.int64)]).astype(np.uint16)
-    return pool, np.cumsum(size) - size, size
+        out.append((out[a - first] if a >= first else 1) + (out[b - first] if b >= first else 1))
+    return np.array(out, np.int64)
+
+
+def expand(rules: np.ndarray, symbols: np.ndarray, first: int) -> np.ndarray:
+    """The ids that symbols stand for, level by level; takes no more memory than the ids do."""
+    out = symbols.astype(np.uint32)
+    while len(out) and len(open_ := np.flatnonzero(out >= first)):
+        pair = rules[out[open_] - first]
+        out[open_] = pair[:, 0]
+        out = np.insert(out, open_ + 1, pair[:, 1])
+    return out
 
 
-def expand(rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for."""
-    if not len(symbols):
-        return np.empty(0, np.uint16)
-    pool, offset, size = flattened(rules)
-    length = size[symbols]
-    stop = np.cumsum(length)
-    return pool[np.repeat(offset[symbols] - (stop - length), length) + np.arange(stop[-1])]
+def stored(symbols: np.ndarray) -> bytes:
+    """Low 16 bits of all symbols, then a bit plane for each further bit in use."""
+    planes = max(0, int(symbols.max(initial=0)).bit_length() - 16)
+    return b"".join([symbols.astype("<u2").tobytes(), *(np.packbits((symbols >> np.uint32(16 + p)) & np.uint32(1)).tobytes() for p in range(planes))])
 
 
-def _lengths(symbols: np.ndarray, expansion: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.ones(FIRST_NONTERMINAL, np.int64), expansion.astype(np.int64)])[symbols]
+def loaded(data: bytes, n: int, start: int = 0, end: int | None = None) -> np.ndarray:
+    """Symbols ``start`` (a multiple of 8) to ``end`` of ``n`` stored ones."""
+    end = n if end is None else min(end, n)
+    out = np.frombuffer(data, "<u2", max(0, end - start), 2 * start).astype(np.uint32)
+    size = -(-n // 8)
+    for p in range((len(data) - 2 * n) // size if n else 0):
+        plane = np.frombuffer(data, np.uint8, -(-(end - start) // 8), 2 * n + p * size + start // 8)
+        out |= np.unpackbits(plane, count=end - start).astype(np.uint32) << np.uint32(16 + p)
+    return out
 
 
 def decode_range(shard: dict, start: int, end: int) -> np.ndarray:
     """Ids start to end of a shard, expanding only the symbols that cover them."""
-    rules = np.frombuffer(shard["rules"], "<u2").reshape(-1, 2)
+    first, rules = shard["first"], np.frombuffer(shard["rules"], "<u4").reshape(-1, 2)
     anchors = np.frombuffer(shard["anchors"], "<u8")
-    first = max(0, int(np.searchsorted(anchors, start, side="right")) - 1)
-    last = int(np.searchsorted(anchors, end, side="left"))
-    own = np.frombuffer(shard["symbols"], "<u2")[first * ANCHOR : last * ANCHOR]
-    if not len(own):
-        return np.empty(0, np.uint16)
-    lengths = _lengths(own, np.frombuffer(shard["expansion"], "<u2"))
-    before = int(anchors[first]) + np.cumsum(lengths) - lengths
+    if not len(anchors) or end <= start:
+        return np.empty(0, np.uint32)
+    low = max(0, int(np.searchsorted(anchors, start, side="right")) - 1)
+    high = int(np.searchsorted(anchors, end, side="left"))
+    own = loaded(shard["symbols"], shard["n_symbols"], low * ANCHOR, high * ANCHOR)
+    lengths = _lengths(own, np.frombuffer(shard["expansion"], "<u4"), first)
+    before = int(anchors[low]) + np.cumsum(lengths) - lengths
     inside = (before + lengths > start) & (before < end)
     if not inside.any():
-        return np.empty(0, np.uint16)
-    ids = expand(rules, own[inside])
+        return np.empty(0, np.uint32)
     offset = start - int(before[inside][0])
-    return ids[offset : offset + end - start]
+    return expand(rules, own[inside], first)[offset : offset + end - start]
+
+
+def _lengths(symbols: np.ndarray, expansion: np.ndarray, first: int) -> np.ndarray:
+    out = np.ones(len(symbols), np.int64)
+    own = np.flatnonzero(symbols >= first)
+    out[own] = expansion[symbols[own] - first]
+    return out
 
 
-def pack(doc_ids: list[int | None], encoded: list[np.ndarray]) -> dict:
-    ids = np.concatenate(encoded) if encoded else np.empty(0, np.uint16)
-    rules, symbols = repair(ids)
-    expansion = flattened(rules)[2][FIRST_NONTERMINAL:].astype("<u2")
-    lengths = _lengths(symbols, expansion)
+def pack(doc_ids: list[int | None], encoded: list[np.ndarray], first: int) -> dict:
+    """A shard of documents whose ids are all below ``first``."""
+    ids = np.concatenate(encoded) if encoded else np.empty(0, np.uint32)
+    rules, symbols = repair(ids, first)
+    expansion = expansions(rules, first)
+    lengths = _lengths(symbols, expansion, first)
     before = np.cumsum(lengths) - lengths
     return {
         "n_ids": len(ids),
-        "rules": rules.astype("<u2").tobytes(),
-        "expansion": expansion.tobytes(),
-        "symbols": symbols.astype("<u2").tobytes(),
+        "first": first,
+        "n_symbols": len(symbols),
+        "rules": rules.astype("<u4").tobytes(),
+        "expansion": expansion.astype("<u4").tobytes(),
+        "symbols": stored(symbols),
         "anchors": before[::ANCHOR].astype("<u8").tobytes(),
         "ends": np.cumsum([len(x) for x in encoded]).astype("<u8").tobytes(),
         "doc_ids": doc_ids,
     }
 
 
-SHARD_SCHEMA = "part int, shard int, n_ids long, rules binary, expansion binary, symbols binary, anchors binary, ends binary, doc_ids array<bigint>"
+SHARD_SCHEMA = "part int, shard int, before long, n_ids long, first int, n_symbols long, rules binary, expansion binary, symbols binary, anchors binary, ends binary, doc_ids array<bigint>"
 
 
 def write(documents: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, partitions: int | None = None) -> None:
-    """Write the shards of ``documents`` in ascending id order below ``path``: part is the range of ids, shard its piece."""
+    """Write the shards of ``documents`` in ascending id order below ``path``: part is the range of ids, shard its piece.
+
+    ``tokenizer``: a file of the tokenizers library that every executor can open. Rows that share an id spread over
+    parts by a hash of their text.
+    """
     spark = documents.sparkSession
     common.prepare(spark)
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        part, shard = TaskContext.get().partitionId(), 0
+        part, shard, before = TaskContext.get().partitionId(), 0, 0
         encoder = Encoder.at(tokenizer)
+        first = max(encoder.n_ids, end_id + 1)
         doc_ids, encoded, size = [], [], 0
 
         def shard_row():
-            row = {"part": part, "shard": shard} | pack(doc_ids, encoded)
+            row = {"part": part, "shard": shard, "before": before} | pack(doc_ids, encoded, first)
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1).to_pylist()), strict=True):
-                encoded.append(np.append(ids, np.uint16(end_id)))
+                encoded.append(np.append(ids, np.uint32(end_id)))
                 doc_ids.append(doc_id)
                 size += len(encoded[-1])
                 if size >= shard_ids:
                     yield shard_row()
-                    doc_ids, encoded, size = [], [], 0
+                    doc_ids, encoded, before, size = [], [], before + size, 0
                     shard += 1
         if doc_ids:
             yield shard_row()
 
     binary = pa.binary()
-    schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_ids", pa.int64()), ("rules", binary), ("expansion", binary), ("symbols", binary), ("anchors", binary), ("ends", binary), ("doc_ids", pa.list_(pa.int64()))])
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": binary, "array<bigint>": pa.list_(pa.int64())}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split(" ") for x in SHARD_SCHEMA.split(", "))])
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     ordered.mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` of every document, from the files."""
+    common.prepare(spark)
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    sizes = sorted((r["part"], r["shard"], r["n_ids"]) for r in shards.select("part", "shard", "n_ids").collect())  # one row a shard
-    before = np.cumsum([0] + [n for *_, n in sizes])
-    offsets = spark.sparkContext.broadcast({(p, s): int(b) for (p, s, _), b in zip(sizes, before, strict=False)})
+    # one row a part, not a shard: its number of ids, and from that where it begins
+    parts = common.saved(shards.groupBy("part").agg(F.sum("n_ids").alias("n")), "parts")
+    begins = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("begins"))
+    begins = F.broadcast(begins) if parts.count() <= BROADCAST_PARTS else begins
+    rows = shards.join(begins, "part").select((F.col("begins") + F.col("before")).alias("start"), "first", "n_symbols", "rules", "symbols", "ends", "doc_ids")
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = expand(np.frombuffer(row["rules"], "<u2").reshape(-1, 2), np.frombuffer(row["symbols"], "<u2")).astype("<u4")
-                ends = np.frombuffer(row["ends"], "<u8").astype(np.int64)
-                starts = np.concatenate(([0], ends[:-1]))
-                first = offsets.value[row["part"], row["shard"]]
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(first + starts), pa.array(ends - starts), pa.array(crc, pa.int64())]
+            for i in range(batch.num_rows):
+                row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
+                start, first, n = (row[c].as_py() for c in ("start", "first", "n_symbols"))
+                symbols = loaded(row["symbols"].as_buffer(), n)
+                ids = expand(np.frombuffer(row["rules"].as_buffer(), "<u4").reshape(-1, 2), symbols, first).astype("<u4", copy=False)
+                ends = np.frombuffer(row["ends"].as_buffer(), "<u8").astype(np.int64)
+                begin = np.concatenate(([0], ends[:-1]))
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
+                columns = [row["doc_ids"].values, pa.array(start + begin), pa.array(ends - begin), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.drop("n_ids", "expansion", "anchors").select("part", "shard", "rules", "symbols", "ends", "doc_ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
