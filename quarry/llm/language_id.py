@@ -7,9 +7,9 @@ constant penalty per step back. The score is the posterior of the best language
 the number of words), 0 to 1.
 
 Defined results: null, empty or letter-free texts give ``und`` with score 0; texts of any length are read whole, in
-pieces; equal scores go to the language first in alphabetical order; repeated rows are scored alike; an empty table
-gives an empty result; without any training row every text is ``und``. Only the id, text and language columns are
-read, so extra columns cannot clash.
+pieces; equal scores go to the language first in alphabetical order; repeated rows are scored alike and count once in
+the training sample; an empty table gives an empty result; without any training row every text is ``und``. Only the id,
+text and language columns are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -18,22 +18,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import common, scan
 
 U = np.uint64
-#: Training texts per language, at most; and characters of them, the bound of the driver's memory.
+#: Training texts per language, at most; and characters of them, the bound of the driver's memory. Longer texts than a
+#: hundredth of that are not drawn.
 TEXTS_PER_LANGUAGE = 1500
+CHARS_PER_LANGUAGE = 20_000_000
 MAX_N = 5
 BACK_OFF = 1.2
-WORD_BITS, GRAM_BITS = 19, 18
 
 
 @dataclass
 class Model:
-    """Direct-address tables: slot of a key is its top bits; ``*_key`` holds the key for exact look-up (0: free)."""
+    """Sorted keys (hashes of words, and of n-grams by n) and, beside them, log frequencies by language."""
 
     languages: list[str]
     word_key: np.ndarray
@@ -42,8 +43,11 @@ class Model:
     gram_value: list[np.ndarray]
 
 
-def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> U(64 - bits)).astype(np.int64)
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in a sorted table, and whether it is there."""
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    return at, table[at] == keys if len(table) else np.zeros(len(keys), bool)
 
 
 def _grams(words: scan.Words, n: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,15 +64,10 @@ def _grams(words: scan.Words, n: int, which: np.ndarray) -> tuple[np.ndarray, np
         return scan.mix(h), owner
 
 
-def _table(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log frequencies by language; of keys with the same slot the most frequent stays."""
+def _values(counts: np.ndarray) -> np.ndarray:
+    """Smoothed log frequencies by language."""
     total = counts.sum(0, keepdims=True)
-    value = np.log(counts + 0.5) - np.log(total + 0.5 * max(1, len(keys)))
-    order = np.argsort(counts.sum(1), kind="stable")
-    slot = _slots(keys[order], bits)
-    key_of, value_of = np.zeros(1 << bits, U), np.zeros((1 << bits, counts.shape[1]), np.float32)
-    key_of[slot], value_of[slot] = keys[order], value[order]
-    return key_of, value_of
+    return (np.log(counts + 0.5) - np.log(total + 0.5 * max(1, len(counts)))).astype(np.float32)
 
 
 def fit_texts(texts: list[str], langs: list[str]) -> Model:
@@ -98,7 +97,7 @@ def fit_texts(texts: list[str], langs: list[str]) -> Model:
             keys, at = np.unique(key, return_inverse=True)
             counts = np.zeros((len(keys), len(names)))
             np.add.at(counts, (at, which), n)
-        tables.append(_table(keys, counts, WORD_BITS if level == 0 else GRAM_BITS))
+        tables.append((keys, _values(counts)))
     return Model(names, *tables[0], [k for k, _ in tables[1:]], [v for _, v in tables[1:]])
 
 
@@ -109,16 +108,14 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.nd
         words = scan.Words(group)
         if not len(words.hash):
             continue
-        slot = _slots(words.hash, WORD_BITS)
-        known = model.word_key[slot] == words.hash
-        value = np.zeros((len(words.hash), len(model.languages)), np.float32)
-        value[known] = model.word_value[slot[known]]
-        left = np.flatnonzero(~known)
-        if len(left):
-            _, one, back = np.unique(words.hash[left], return_index=True, return_inverse=True)
-            value[left] = _unseen(model, words, left[one])[back]
+        distinct, one, back = np.unique(words.hash, return_index=True, return_inverse=True)
+        at, known = _find(model.word_key, distinct)
+        value = np.zeros((len(distinct), len(model.languages)), np.float32)
+        value[known] = model.word_value[at[known]]
+        if not known.all():
+            value[~known] = _unseen(model, words, one[~known])
         for j in range(len(model.languages)):
-            sums[:, j] += np.bincount(words.doc, value[:, j], len(texts))
+            sums[:, j] += np.bincount(words.doc, value[back, j], len(texts))
         seen += np.bincount(words.doc, minlength=len(texts))
     best = sums.argmax(1) if model.languages else np.zeros(len(texts), int)
     temper = np.maximum(1.0, np.sqrt(seen))[:, None]
@@ -134,11 +131,10 @@ def _unseen(model: Model, words: scan.Words, which: np.ndarray) -> np.ndarray:
         if not len(open_):
             break
         keys, owner = _grams(words, n, which[open_])
-        slot = _slots(keys, GRAM_BITS)
-        hit = model.gram_key[n - 1][slot] == keys
+        at, hit = _find(model.gram_key[n - 1], keys)
         if not hit.any():
             continue
-        owner, value = owner[hit], model.gram_value[n - 1][slot[hit]]
+        owner, value = owner[hit], model.gram_value[n - 1][at[hit]]
         count = np.bincount(owner, minlength=len(open_))
         got = count > 0
         for j in range(out.shape[1]):
@@ -148,18 +144,23 @@ def _unseen(model: Model, words: scan.Words, which: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(documents: DataFrame, train: F.Column | None = None, texts_per_language: int = TEXTS_PER_LANGUAGE) -> Model:
-    """Fit on at most ``texts_per_language`` texts of each language: of the rows that ``train`` admits, those with the smallest hash of doc_id."""
+def fit(documents: DataFrame, train: F.Column | None = None, texts_per_language: int = TEXTS_PER_LANGUAGE, chars_per_language: int = CHARS_PER_LANGUAGE) -> Model:
+    """Fit on a bounded sample of each language: of the distinct rows that ``train`` admits, those with the smallest hash of
+    doc_id and text, at most ``texts_per_language`` texts and ``chars_per_language`` characters."""
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.where(train) if train is not None else rows
-    # one narrow pass for the ids, then the texts of that bounded list
+    rows = (rows.where(train) if train is not None else rows).select("lang", "text", F.col("doc_id").alias("q_id"))
+    rows = rows.withColumn("q_n", F.length("text")).where(F.col("q_n") <= chars_per_language // 100)
+    # one narrow pass for the sizes; then about twice as many texts as are wanted, distinct ones, of which exactly the first stay
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit_texts([], [])
     top = 1 << 62
-    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(top, int(top / n * texts_per_language)))])
-    rows = rows.where(F.xxhash64("doc_id").bitwiseAND(top - 1) < F.element_at(limit, F.col("lang")))
-    got = rows.select("text", "lang").collect()
+    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(top, int(top / n * (2 * texts_per_language + 50))))])
+    rows = rows.withColumn("q_hash", F.xxhash64("q_id", "text").bitwiseAND(top - 1)).where(F.col("q_hash") < F.element_at(limit, F.col("lang")))
+    first = Window.partitionBy("lang").orderBy("q_hash", "text")
+    drawn = rows.dropDuplicates(["lang", "q_hash"]).withColumn("q_rank", F.row_number().over(first)).where(F.col("q_rank") <= texts_per_language)
+    drawn = drawn.withColumn("q_sum", F.sum("q_n").over(first.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("q_sum") <= chars_per_language)
+    got = drawn.select("text", "lang").collect()
     return fit_texts([r["text"] for r in got], [r["lang"] for r in got])
 
 
