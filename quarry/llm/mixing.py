@@ -1,17 +1,19 @@
 """Mixing sources to target weights by Poisson replication.
 
 Each source's target share of the output gives its rows a mean repetition rate; every document's count is the inverse
-of that Poisson distribution at a uniform number made from a hash of seed and document id, so counts are reproducible
-and independent of partitioning. Documents are exploded by their counts and shuffled globally: rows go to partitions
-by a hash of (seed, id, copy) and are sorted by it there.
+of that Poisson distribution at a uniform number made from a hash of seed, document id and text, so counts are
+reproducible and independent of partitioning. Documents are exploded by their counts and shuffled globally: rows go to
+partitions by a hash of (seed, id, text, copy) and are sorted by it there.
 
 Target weights default to tempered sizes (rows ** 0.7), which lifts small sources. Rates come from one aggregation by
 source with map-side combining; the table of sources is broadcast up to ``BROADCAST_SOURCES`` rows and else joined
 with salted keys, so a source with a third of all rows does not land in one task.
 
-Defined results: a null source is a source of its own; sources without a weight (or weight 0) get rate 0; null ids
-hash as the empty text; null and empty texts are replicated like others; repeated rows get equal counts; an empty
-table gives an empty result; all columns are kept, helper columns start with ``q_mix_``.
+Defined results: a null source is a source of its own; sources without a weight (or weight 0) get rate 0; null and empty
+texts are replicated like others; rows that share an id, or have none, draw by their texts, rows that repeat both get
+equal counts; an empty table gives an empty result. All columns are kept as they are; of the added columns
+``repetition_rate``, ``copies`` and ``copy_no`` one whose name is taken gets ``q_mix_`` before it (again, until it is free),
+which ``added_columns`` tells; columns named like the helper columns do not matter.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import common
+
 SEED = 17
 TEMPER = 0.7
 BROADCAST_SOURCES = 20_000
@@ -26,12 +30,28 @@ SALTS = 16
 NULL_SOURCE = "\x00null"
 
 
-def uniform(doc_id: Column, seed: int, tag: str = "") -> Column:
-    """52 bits of md5(seed:tag:id) as a number in (0, 1)."""
-    text = F.concat(F.lit(f"{seed}:{tag}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def draw_key(doc_id: Column, text: Column) -> Column:
+    """What a row draws by: its id and its text's digest."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def uniform(key: Column, seed: int) -> Column:
+    """52 bits of md5(seed:key) as a number in (0, 1)."""
+    text = F.concat(F.lit(f"{seed}:"), key)
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def added_columns(columns: list[str]) -> tuple[str, str, str]:
+    """Names of the rate, the number of copies and the copy's number beside ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in ("repetition_rate", "copies", "copy_no"):
+        while name in taken:
+            name = f"q_mix_{name}"
+        taken.add(name)
+        out.append(name)
+    return tuple(out)
+
+
 def rates(documents: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, temper: float = TEMPER) -> DataFrame:
     """``q_mix_source``, ``repetition_rate`` and the cumulative Poisson probabilities of every source."""
     name = F.coalesce(F.col("source"), F.lit(NULL_SOURCE))
@@ -59,23 +79,27 @@ def rates(documents: DataFrame, weights: dict[str | None, float] | None = None,
 
 
 def replicate(documents: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = SEED, temper: float = TEMPER, partitions: int | None = None) -> DataFrame:
-    """All columns of ``documents`` plus ``repetition_rate``, ``copies`` and ``copy_no`` (from 0), globally shuffled."""
+    """All columns of ``documents`` plus those of ``added_columns``, globally shuffled; the copies' numbers begin with 0."""
     spark = documents.sparkSession
-    by_source = rates(documents, weights, total, temper).persist()
-    u = uniform(F.col("doc_id"), seed)
-    rows = documents.withColumn("q_mix_source", F.coalesce(F.col("source"), F.lit(NULL_SOURCE)))
+    common.prepare(spark)
+    by_source = common.saved(rates(documents, weights, total, temper), "rates")
+    names = added_columns(documents.columns)
+    # the row travels as one struct, so no name of its columns can meet a helper's
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    rows = documents.select(row.alias("q_row"), F.coalesce(F.col("source"), F.lit(NULL_SOURCE)).alias("q_mix_source"), draw_key(F.col("doc_id"), F.col("text")).alias("q_mix_key"))
     if by_source.count() <= BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(by_source), "q_mix_source")
     else:
         salted = by_source.withColumn("q_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("q_mix_salt", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SALTS)).cast("int")).join(salted, ["q_mix_source", "q_mix_salt"])
-    copies = F.size(F.filter("q_mix_cdf", lambda c: c < u))
-    counted = joined.withColumn("copies", copies).where("copies > 0")
-    keep = [F.col(f"`{c}`") for c in documents.columns]
-    out = counted.select(*keep, "repetition_rate", "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy_no"))
-    out = out.withColumn("q_mix_order", F.xxhash64(F.lit(seed), "doc_id", "copy_no"))
+        joined = rows.withColumn("q_mix_salt", F.pmod(F.xxhash64("q_mix_key"), F.lit(SALTS)).cast("int")).join(salted, ["q_mix_source", "q_mix_salt"])
+    drawn = uniform(F.col("q_mix_key"), seed)
+    counted = joined.withColumn("q_mix_copies", F.size(F.filter("q_mix_cdf", lambda c: c < drawn))).where("q_mix_copies > 0")
+    out = counted.select("q_row", "q_mix_key", "repetition_rate", "q_mix_copies", F.explode(F.sequence(F.lit(0), F.col("q_mix_copies") - 1)).alias("q_mix_no"))
+    out = out.withColumn("q_mix_order", F.xxhash64(F.lit(seed), "q_mix_key", "q_mix_no")).drop("q_mix_key")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(n, "q_mix_order").sortWithinPartitions("q_mix_order").drop("q_mix_order")
+    dealt = out.repartition(n, "q_mix_order").sortWithinPartitions("q_mix_order")
+    own = [F.col("q_row").getField(c).alias(c) for c in documents.columns]
+    return dealt.select(*own, *[F.col(c).alias(name) for c, name in zip(("repetition_rate", "q_mix_copies", "q_mix_no"), names, strict=True)])
 
 
 def oracle(seed: int = SEED, temper: float = TEMPER) -> str:
@@ -87,7 +111,7 @@ def oracle(seed: int = SEED, temper: float = TEMPER) -> str:
            FROM rated, LATERAL (SELECT unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate)) AS BIGINT) + 31)) AS k)),
     terms AS (SELECT source, rate, k, exp(sum(step) OVER (PARTITION BY source ORDER BY k)) AS p FROM ks),
     cdf AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
-    drawn AS (SELECT doc_id, source, text, (CAST(CAST('0x' || substr(md5('{seed}::' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM documents),
+    drawn AS (SELECT doc_id, source, text, (CAST(CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM documents),
     counted AS (SELECT d.doc_id, d.source, d.text, r.rate, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source AND cdf.c < d.u) AS copies
                 FROM drawn d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source)
     SELECT doc_id, source, round(rate, 9) AS repetition_rate, CAST(copies AS INTEGER) AS copies, CAST(copy_no AS INTEGER) AS copy_no, text
