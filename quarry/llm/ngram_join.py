@@ -35,11 +35,13 @@ U = np.uint64
 #: Rows of a block of a group, and shingles of a task, about: bound a task's memory.
 BLOCK_ROWS = 512
 TASK_SHINGLES = 1 << 20
-#: Up to this many candidate classes (16 bytes each) are broadcast to fetch their texts; beyond it the join shuffles.
+#: Up to this many candidate classes (24 bytes each) are broadcast to fetch their texts; beyond it the join shuffles.
 BROADCAST_CLASSES = 500_000
 BROADCAST_IDS = 2_000_000
 #: Up to this many rows (about 60 bytes each) the table that deals classes to tasks is broadcast.
 BROADCAST_DEALT = 200_000
+#: Digests of classes a task remembers to send each only once; what it forgets is sent again, at no harm.
+SEEN_CLASSES = 200_000
 _DENSE = 16
 #: A larger need is taken as this one, which is still necessary.
 _MOST_NEED = (1 << 16) - 1
@@ -135,7 +137,7 @@ def linked_pairs(sets: list[np.ndarray], home: np.ndarray | None, num: int, den:
     value, row = value[order], row[order]
     start = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
     df = np.diff(np.append(start, len(value)))
-    overlap = np.zeros((m, m), np.float32)
+    overlap = np.zeros((m, m))  # counts; each product adds at most 1,024 to one, exact in float32
     often = np.flatnonzero(df >= _DENSE)
     for c in range(0, len(often), 1024):
         part = often[c : c + 1024]
@@ -150,7 +152,10 @@ def linked_pairs(sets: list[np.ndarray], home: np.ndarray | None, num: int, den:
             i, j = np.triu_indices(d, 1)
             for a, b in zip(i, j, strict=True):
                 flat = row[part + a].astype(np.int64) * m + row[part + b]
-                overlap += np.bincount(flat, minlength=m * m).reshape(m, m) if len(flat) * 8 > m * m else _scatter(flat, m)
+                if len(flat) * 8 > m * m:
+                    overlap += np.bincount(flat, minlength=m * m).reshape(m, m)
+                else:
+                    np.add.at(overlap.ravel(), flat, 1)
     overlap = np.triu(overlap, 1)
     total = size[:, None] + size[None, :]
     fits = np.minimum(size[:, None], size[None, :]) * den >= num * np.maximum(size[:, None], size[None, :])
@@ -162,18 +167,12 @@ def linked_pairs(sets: list[np.ndarray], home: np.ndarray | None, num: int, den:
     return np.nonzero(yes)
 
 
-def _scatter(flat: np.ndarray, m: int) -> np.ndarray:
-    out = np.zeros(m * m, np.float32)
-    np.add.at(out, flat, 1)
-    return out.reshape(m, m)
-
-
 def _digest(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
 
 def describe(documents: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``cls`` (digest of the set, null if empty) of every document."""
+    """``doc_id``, ``text_hash``, ``n_shingles``, ``cls`` (digest of the set, null if empty) of every document."""
 
     def run(batches):
         for batch in batches:
@@ -182,9 +181,10 @@ def describe(documents: DataFrame, words: int) -> DataFrame:
                 s = shingles(text.as_py(), words)
                 n.append(len(s))
                 cls.append(_digest(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "text_hash", "n_shingles", "cls"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, cls long")
 
 
 def stars(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -205,6 +205,8 @@ def stars(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 s = shingles(text.as_py(), words)
                 own = _digest(s) if len(s) else None
                 if own is not None and own not in seen:
+                    if len(seen) >= SEEN_CLASSES:
+                        seen.clear()
                     seen.add(own)
                     sig, tag = signatures(s, num, den)
                     sigs.append(sig)
@@ -272,7 +274,8 @@ def _components(documents: DataFrame, words: int, num: int, den: int) -> DataFra
     spark = documents.sparkSession
     common.prepare(spark)
     docs = common.saved(describe(documents, words), "shingles")
-    classes = docs.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("low"), F.first("n_shingles").alias("n"))
+    classes = docs.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("low"), "text_hash")).alias("least"), F.first("n_shingles").alias("n"))
+    classes = classes.select("cls", "copies", "least.low", "least.text_hash", "n")
     groups = common.connected_stars(stars(documents, words, num, den)).withColumnRenamed("id", "cls").withColumnRenamed("label", "grp")
 
     member = common.saved(classes.join(groups, "cls"), "members")
@@ -296,7 +299,7 @@ def _components(documents: DataFrame, words: int, num: int, den: int) -> DataFra
     task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("grp", "at"), F.lit(tasks))).otherwise(F.xxhash64("grp", "at", "p", "q"))
     dealt = dealt.select("cls", "copies", F.xxhash64("grp", "at").alias("grp"), "home", "p", "q", (F.col("lev") < F.col("at")).alias("lower"), task.alias("task"))
 
-    found = common.saved(_products(documents, member.select("cls", "low"), dealt, count, words, num, den), "links")
+    found = common.saved(_products(documents, member.select("cls", "low", "text_hash"), dealt, count, words, num, den), "links")
     common.release(spark)
     labels = common.connected_components(found.where("cls <> b").select(F.col("cls").alias("a"), F.col("b").alias("b")))
     linked = found.groupBy("cls").agg(F.sum("n").alias("n_links"))
@@ -349,20 +352,27 @@ def _products(documents: DataFrame, member: DataFrame, dealt: DataFrame, count:
     """Links found by all tasks: rows (cls, n, b) with n linked documents, and b a class it is connected to."""
 
     def sets(batches):
+        seen = set()
         for batch in batches:
             cls, own = [], []
             for text, want in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if want in seen:
+                    continue
                 s = shingles(text.as_py(), words)
                 if len(s) and _digest(s) == want:
+                    if len(seen) >= SEEN_CLASSES:
+                        seen.clear()
+                    seen.add(want)
                     cls.append(want)
                     own.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(own, pa.binary())], ["cls", "own"])
 
-    wanted = member.select("cls", "low")
+    # a class is fetched from one of its rows, known by id and text: a row meets one class, whatever ids repeat or lack
+    wanted = member.select("cls", "low", "text_hash")
     if count <= BROADCAST_CLASSES:
         wanted = F.broadcast(wanted)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    texts = documents.select(key.alias("low"), "text").join(wanted, "low").select("text", "cls")
+    texts = documents.select(key.alias("low"), F.xxhash64("text").alias("text_hash"), "text").join(wanted, ["low", "text_hash"]).select("text", "cls")
     matrix = texts.mapInArrow(sets, "cls long, own binary")
 
     def product(key, rows):
