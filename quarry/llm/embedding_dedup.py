@@ -3,11 +3,14 @@
 Every vector is normalised and quantised to int8 with its own scale; the exact norm of what quantisation lost is kept
 per vector. For x = s*q + e the true cosine differs from s*s'*(q.q') by at most |s*q||e'| + |e||x'|, so a pair whose
 quantised product plus bound stays below the threshold cannot link; all others are recomputed in double precision. The
-integer products of a tile run as float32 matrix products, which are exact here (64 * 127**2 < 2**24).
+integer products of a tile run as float32 matrix products over at most ``SLICE`` components at a time, which are exact
+(1,024 * 127**2 < 2**24); slices add up in double precision.
 
 Identical vectors are one class and enter once. Classes are dealt into blocks by hash; the tasks are the pairs of blocks, each
 of bounded size, so a large group of near copies spreads over many tasks; a task emits, per vector, how many rows it
-links with, and a spanning forest of the links it found, never the pairs themselves.
+links with, and a spanning forest of the links it found, never the pairs themselves. n classes make n / BLOCK copies of
+each and n**2 / 2 products: the contract compares all pairs, and at this threshold no bound on angles to a centre excludes
+blocks of vectors of many dimensions without losing links.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
 different lengths do not link; equal vectors link; repeated vec_ids count as rows of their own (n_links counts rows);
@@ -27,9 +30,11 @@ from pyspark.sql import functions as F
 from quarry.llm import common
 
 THRESHOLD = 0.95
-#: Classes of a block; a task holds two blocks.
-BLOCK = 8192
+#: Classes of a block, at most; a task holds two blocks. Few classes make smaller blocks, for some tasks each.
+BLOCK, LEAST_BLOCK, LEAST_BLOCKS = 8192, 512, 8
 TILE = 1024
+#: Components of an exact float32 product of int8 codes, at most.
+SLICE = 1024
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -41,6 +46,13 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return code, scale, np.sqrt((coded**2).sum(1)) * slack, np.sqrt(((x - coded) ** 2).sum(1)) * slack + 1e-12
 
 
+def _product(qx: np.ndarray, qy: np.ndarray) -> np.ndarray:
+    """Exact integer products of codes, as float32 or, beyond a slice, float64."""
+    if qx.shape[1] <= SLICE:
+        return qx @ qy.T
+    return sum((qx[:, a : a + SLICE] @ qy[:, a : a + SLICE].T).astype(np.float64) for a in range(0, qx.shape[1], SLICE))
+
+
 def link_tiles(x: np.ndarray, y: np.ndarray | None, threshold: float = THRESHOLD, tile: int = TILE):
     """Yields index arrays (i, j) of the linked pairs of two blocks of unit vectors, tile by tile.
 
@@ -53,7 +65,7 @@ def link_tiles(x: np.ndarray, y: np.ndarray | None, threshold: float = THRESHOLD
     for a in range(0, len(x), tile):
         for b in range(a if y is None else 0, len(y_), tile):
             ra, rb = slice(a, a + tile), slice(b, b + tile)
-            product = qx[ra] @ qy[rb].T
+            product = _product(qx[ra], qy[rb])
             # possible where scale*scale'*product + bound >= threshold; the bound is taken at its largest in the tile first
             bound = own[2][ra].max() * other[3][rb].max() + own[3][ra].max()
             scale = own[1][ra].max() * other[1][rb].max()
@@ -97,11 +109,11 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     # a number for each class: its smallest vec_id is unique unless ids repeat, its digest decides then
     classes = common.saved(classes.withColumn("cid", F.xxhash64("cls", "low")), "classes")
     n = classes.count()
-    blocks = max(1, -(-n // block))
+    blocks = max(1, -(-n // block), min(LEAST_BLOCKS, n // LEAST_BLOCK))
     home = F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(blocks)).cast("int")
     each = classes.withColumn("home", home).withColumn("away", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     lo, hi = F.least("home", "away"), F.greatest("home", "away")
-    dealt = each.select((lo * blocks + hi).alias("task"), "home", "cid", "copies", F.size("v").alias("d"), "v")
+    dealt = each.select((lo.cast("long") * blocks + hi).alias("task"), "home", "cid", "copies", F.size("v").alias("d"), "v")
 
     def run(key, rows):
         ids, copies, home, dims = (rows.column(c).to_numpy() for c in ("cid", "copies", "home", "d"))
@@ -155,28 +167,3 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     out = rows.select("vec_id", "cls").join(by_class, "cls", "left")
     component = F.coalesce(F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")), F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
-
-
-
-def brute_force(ids: list, vectors: list, threshold: float = THRESHOLD) -> dict:
-    """Links and components by all pairs, for tests."""
-    ok = [v is not None and len(v) > 0 and all(c is not None and math.isfinite(c) for c in v) and any(v) for v in vectors]
-    label, count = list(range(len(ids))), [0] * len(ids)
-
-    def root(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    for i in range(len(ids)):
-        for j in range(i):
-            if ok[i] and ok[j] and len(vectors[i]) == len(vectors[j]):
-                a, b = np.asarray(vectors[i], float), np.asarray(vectors[j], float)
-                if a @ b / np.sqrt((a @ a) * (b @ b)) >= threshold:
-                    count[i] += 1
-                    count[j] += 1
-                    label[root(i)] = root(j)
-    lows: dict = {}
-    for i, k in enumerate(ids):
-        lows[root(i)] = min(lows.get(root(i), k), k)
-    return {k: (count[i], lows[root(i)]) for i, k in enumerate(ids)}
