@@ -5,25 +5,29 @@ some window is within ``max_edits`` of it: at most 15 % of its words inserted, d
 
 1. Gate: a window that close to an item of n words keeps at least n - 2 - 3k of its 3-word grams (each edit
    destroys at most three), so only windows with that many grams of items of its size are looked at: nothing is lost.
-2. Embedding: ``ROUNDS`` random walks map windows and items to sequences in which k edits become O(k*k) differing
+2. Embedding: random walks map windows and items to sequences in which k edits become O(k*k) differing
    positions; each walk repeats or consumes the current word by a hash of (walk, step, word).
-3. Bit sampling: from every embedding ``samples`` position sets are drawn; equal samples make a candidate. How many
-   walks are needed for ``RECALL`` is measured when the index is built, on randomly edited copies of the items. For
-   sizes where ``MAX_ROUNDS`` walks do not reach it (long items), every gated window is a candidate of every item.
+3. Bit sampling: from every embedding ``SAMPLES`` position sets are drawn; equal samples make a candidate. How many
+   walks a size needs is measured when the index is built, on ``TRIALS`` copies of items with the most edits: enough that
+   the recall lies above ``RECALL`` by ``MARGIN``, about two standard errors. For sizes where ``MAX_WALKS`` do not reach it
+   (long items), every gated window is a candidate of every item. ``Size.recall`` keeps what was measured.
 4. Verification: the edit distance of every candidate pair is computed exactly, with free ends within the window.
 
-The index of at most ``BLOCK_ITEMS`` items is broadcast; a larger benchmark is handled block by block, each against all
-documents, so what a worker holds does not grow with the benchmark.
+The index of at most ``BLOCK_ITEMS`` items (about 3 KB each) is broadcast; a larger benchmark is handled block by block: each
+block's result is written before the next block's index is built, so neither driver nor workers hold more than one. That
+takes a pass over the documents for each block.
 
-Defined results: null, empty and short texts match nothing; items without ``MIN_WORDS`` words (or null) are compared as
-they are if they have at least one word and must then match exactly; repeated documents are reported row by row;
-equal items each report; an empty benchmark or document table gives an empty result; extra columns are ignored.
+Defined results: null, empty and short texts match nothing; items of fewer than 7 words allow no edit and must match
+exactly; items without any word (or null) are left out; repeated documents are reported row by row; equal items each
+report; an empty benchmark or document table gives an empty result; ``report`` reads doc_id and text only and ``clean``
+keeps all columns, so other columns of any name do not matter.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +38,10 @@ from quarry.llm import common, scan
 
 U = np.uint64
 EDIT_SHARE = 0.15
-RECALL = 0.97
-MAX_ROUNDS = 24
+RECALL, MARGIN, TRIALS = 0.97, 0.015, 512
+MAX_WALKS = 48
 SAMPLES, SAMPLE_SIZE = 8, 4
-BLOCK_ITEMS = 5_000
+BLOCK_ITEMS = 20_000
 SEED = 20_011
 _END = U(0xE0E0E0E0E0E0E0E1)
 
@@ -117,8 +121,10 @@ class Size:
     items: np.ndarray
     grams: np.ndarray
     need: int
-    buckets: dict[int, list[int]]
+    keys: np.ndarray  # sorted samples of the items' walks, and beside them whose they are
+    owner: np.ndarray
     walks: int
+    recall: float
 
 
 @dataclass
@@ -152,43 +158,48 @@ def build(ids: list[int], texts: list[str | None]) -> Index:
     index = Index(list(ids), words, np.unique(np.concatenate(every)) if every else np.empty(0, U))
     for n, own in by_size.items():
         matrix = np.stack([words[i] for i in own])
-        walks = _walks(matrix, max_edits(n))
-        buckets = defaultdict(list)
-        for walk in range(walks):
-            for key_row, i in zip(samples(embed(matrix, walk), walk).tolist(), own, strict=True):
-                for key in key_row:
-                    buckets[key].append(i)
+        walks, recall = _walks(matrix, max_edits(n))
+        keys = np.concatenate([samples(embed(matrix, w), w).ravel() for w in range(walks)]) if walks else np.empty(0, U)
+        owner = np.tile(np.repeat(np.array(own, np.int32), SAMPLES), walks)
+        order = np.argsort(keys, kind="stable")
         own_grams = np.unique(np.concatenate([every[i] for i in own]))
-        index.sizes[n] = Size(np.array(own), own_grams, max(1, n - 2 - 3 * max_edits(n)), dict(buckets), walks)
+        index.sizes[n] = Size(np.array(own), own_grams, max(1, n - 2 - 3 * max_edits(n)), keys[order], owner[order], walks, recall)
     return index
 
 
-def _walks(items: np.ndarray, edits: int, trials: int = 64) -> int:
-    """Walks that bring the recall of copies with the most edits to RECALL, by trying; 0 if MAX_ROUNDS do not."""
+def edited(row: list[int], edits: int, rng: np.random.Generator) -> list[int]:
+    """A copy of a word sequence with so many random replacements, insertions and deletions."""
+    row = list(row)
+    for _ in range(edits):
+        at, kind = int(rng.integers(0, len(row))), int(rng.integers(0, 3))
+        if kind == 0:
+            row[at] = int(rng.integers(1, 1 << 62))
+        elif kind == 1:
+            row.insert(at, int(rng.integers(1, 1 << 62)))
+        elif len(row) > 1:
+            del row[at]
+    return row
+
+
+def _walks(items: np.ndarray, edits: int, trials: int = TRIALS) -> tuple[int, float]:
+    """Walks that bring the recall of copies with the most edits above RECALL by MARGIN, and that recall; none (all gated
+    windows are verified, recall 1) if MAX_WALKS do not."""
     n = items.shape[1]
     if edits == 0:
-        return 1
+        return 1, 1.0
     rng = np.random.default_rng([SEED, n])
     base = items[rng.integers(0, len(items), trials)]
     other = np.empty_like(base)
     for r in range(trials):
-        row = base[r].tolist()
-        for _ in range(edits):
-            at, kind = int(rng.integers(0, len(row))), int(rng.integers(0, 3))
-            if kind == 0:
-                row[at] = int(rng.integers(1, 1 << 62))
-            elif kind == 1:
-                row.insert(at, int(rng.integers(1, 1 << 62)))
-            elif len(row) > 1:
-                del row[at]
+        row = edited(base[r].tolist(), edits, rng)
         row = (row + rng.integers(1, 1 << 62, n).tolist())[:n]  # what follows in the document
         other[r] = np.array(row, U)
     met = np.zeros(trials, bool)
-    for walk in range(MAX_ROUNDS):
+    for walk in range(MAX_WALKS):
         met |= (samples(embed(base, walk), walk) == samples(embed(other, walk), walk)).any(1)
-        if met.mean() >= RECALL:
-            return walk + 1
-    return 0
+        if met.mean() >= RECALL + MARGIN:
+            return walk + 1, float(met.mean())
+    return 0, 1.0
 
 
 def batch_matches(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
@@ -270,16 +281,15 @@ def _candidates(index: Index, n: int, own: list[tuple[int, np.ndarray]], words:
         joined += [words[i], np.full(n, _END)]
     flat = np.concatenate(joined)
     first = np.array([base[i] for i in text.tolist()], np.int64) + start
-    keys = np.fromiter(size.buckets, U, len(size.buckets))
-    keys.sort()
     for c in range(0, len(first), 8192):
         window = flat[first[c : c + 8192][:, None] + np.arange(n)]
         for walk in range(size.walks):
             found = samples(embed(window, walk), walk)
-            at = np.searchsorted(keys, found)
-            at[at == len(keys)] = 0
-            for r, s in zip(*np.nonzero(keys[at] == found), strict=True):
-                for item in size.buckets[int(found[r, s])]:
+            at = np.searchsorted(size.keys, found)
+            at[at == len(size.keys)] = 0
+            for r, s in zip(*np.nonzero(size.keys[at] == found), strict=True):
+                last = int(np.searchsorted(size.keys, found[r, s], side="right"))
+                for item in size.owner[at[r, s] : last].tolist():
                     starts = out[int(text[c + r]), item]
                     if not starts or starts[-1] != start[c + r]:
                         starts.append(int(start[c + r]))
@@ -312,11 +322,9 @@ def report(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS)
     spark = documents.sparkSession
     common.prepare(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for index in _blocks(benchmark, block):
-        shared = spark.sparkContext.broadcast(index)
 
-        def run(batches, shared=shared):
+    def matches(shared):
+        def run(batches):
             own = shared.value
             for batch in batches:
                 found = batch_matches(own, batch.column(1).to_pylist())
@@ -325,36 +333,51 @@ def report(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "start_word", "end_word", "edits", "item_words"])
 
-        part = docs.mapInArrow(run, REPORT)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], REPORT)
+        return docs.mapInArrow(run, REPORT)
+
+    parts = []
+    for index, last in _blocks(benchmark, block):
+        shared = spark.sparkContext.broadcast(index)
+        parts.append(matches(shared))
+        if parts[1:] or not last:  # of several blocks each is done before the next one's index
+            parts[-1] = common.saved(parts[-1], "matches")
+            shared.destroy()
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], REPORT)
 
 
 def _blocks(benchmark: DataFrame, block: int):
-    """Indexes of at most ``block`` items each; the driver holds one block at a time."""
+    """(index of at most ``block`` items, whether it is the last); the driver holds one block at a time."""
     ids, texts = [], []
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").toLocalIterator():
-        ids.append(row["item_id"])
-        texts.append(row["text"])
         if len(ids) == block:
-            yield build(ids, texts)
+            yield build(ids, texts), False
             ids, texts = [], []
+        ids.append(row["item_id"])
+        texts.append(row["text"])
     if ids:
-        yield build(ids, texts)
+        yield build(ids, texts), True
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of ``documents``, all columns as they are, that contain no item of ``benchmark``."""
     spark = documents.sparkSession
     common.prepare(spark)
-    out = documents
-    for index in _blocks(benchmark, block):
-        shared = spark.sparkContext.broadcast(index)
 
-        def run(batches, shared=shared):
+    def without(docs, shared):
+        place = documents.columns.index("text")
+
+        def run(batches):
             for batch in batches:
-                found = batch_matches(shared.value, batch.column("text").to_pylist())
+                found = batch_matches(shared.value, batch.column(place).to_pylist())
                 yield batch.filter(pa.array([not x for x in found], pa.bool_()))
 
-        out = out.mapInArrow(run, documents.schema)
+        return docs.mapInArrow(run, documents.schema)
+
+    out = documents
+    for index, last in _blocks(benchmark, block):
+        shared = spark.sparkContext.broadcast(index)
+        out = without(out, shared)
+        if not last:
+            out = common.saved(out, "clean")
+            shared.destroy()
     return out
