@@ -7,11 +7,13 @@ virtual node whose shard has room. Only rows beyond a shard's bound move, and ba
 
 The walk needs counts only: rows are counted by cell (RING numbers, whatever the input), the driver plays the
 overflow over these counts, and its plan - intervals of ranks within a cell - joins back as a broadcast of at most
-RING + overflow splits rows. Ranks within a cell come from one window partitioned by cell, ordered by key hash, so
-no task sees more than one cell's rows at a time and the result does not depend on the input's partitioning.
+RING + overflow splits rows. A row's cell is made of its id, size and checksum, so rows that share an id or have none spread
+over the ring; rows that repeat all three are added up before the shuffle and made rows again at the end. Ranks within a
+cell come from one window partitioned by cell, ordered by key hash, so no task sees more than one cell's rows at a time
+and the result does not depend on the input's partitioning.
 
-Defined results: a null text has size 16 and crc 0; null ids hash as the empty text; equal rows tie by their hash,
-size and crc and get different slots; an empty table gives an empty result; only id and text are read, so extra
+Defined results: a null text has size 16 and crc 0; null ids hash as the empty text; rows equal in id, size and checksum
+are interchangeable and get different slots; an empty table gives an empty result; only id and text are read, so extra
 columns cannot clash.
 """
 
@@ -73,14 +75,17 @@ def assign(documents: DataFrame, shards: int = 40, vnodes: int = VNODES, ring: i
     spark = documents.sparkSession
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = documents.select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"))
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("q_key", key).withColumn("q_cell", F.pmod(F.shiftrightunsigned("q_key", 20), F.lit(ring)).cast("int"))
-    cells = documents.select(F.pmod(F.shiftrightunsigned(key, 20), F.lit(ring)).cast("int").alias("q_cell")).groupBy("q_cell").count()
-    counts = {r["q_cell"]: r["count"] for r in cells.collect()}  # at most `ring` numbers
+    alike = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_crc32")
+    cell = F.pmod(F.shiftrightunsigned(key, 20), F.lit(ring)).cast("int")
+    counts = {r["c"]: r["n"] for r in rows.groupBy(cell.alias("c")).agg(F.count("*").alias("n")).collect()}  # at most `ring` numbers
     placed = [{"c": c, "a": a, "b": b, "s": s, "f": f} for c, a, b, s, f in plan(counts, shards, vnodes, ring)]
     intervals = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(placed)), "array<struct<c:int,a:long,b:long,s:int,f:long>>")))
-    rank = F.row_number().over(Window.partitionBy("q_cell").orderBy("q_key", "doc_id", "text_crc32", "size")) - 1
-    ranked = rows.withColumn("q_rank", rank.cast("long"))
+    order = Window.partitionBy("q_cell").orderBy("q_key", "doc_id", "size", "text_crc32")
+    ranked = alike.withColumn("q_key", key).withColumn("q_cell", cell).withColumn("q_end", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # the plan has at most one row a cell plus one for each virtual node passed: a bounded broadcast
-    joined = ranked.join(F.broadcast(intervals), (F.col("q_cell") == F.col("c")) & (F.col("q_rank") >= F.col("a")) & (F.col("q_rank") < F.col("b")))
-    return joined.select("doc_id", "size", "text_crc32", F.col("s").alias("shard"), (F.col("f") + F.col("q_rank") - F.col("a")).alias("slot"))
+    start = F.col("q_end") - F.col("n")
+    joined = ranked.join(F.broadcast(intervals), (F.col("q_cell") == F.col("c")) & (start < F.col("b")) & (F.col("q_end") > F.col("a")))
+    own = F.sequence(F.greatest("a", start), F.least("b", "q_end") - 1)
+    each = joined.select("doc_id", "size", "text_crc32", "s", "a", "f", F.explode(own).alias("q_rank"))
+    return each.select("doc_id", "size", "text_crc32", F.col("s").alias("shard"), (F.col("f") + F.col("q_rank") - F.col("a")).alias("slot"))
