@@ -135,20 +135,19 @@ class _Stream:
 
     def _more(self) -> bool:
         while True:
-            if self.gz.unconsumed_tail:
-                piece = self.gz.unconsumed_tail
-            elif self.gz.eof and self.gz.unused_data:
+            if self.gz.eof:  # what is left belongs to the next member, whatever else the object says of it
                 piece, self.gz = self.gz.unused_data, zlib.decompressobj(31)
-            elif self.at < len(self.data):
+            else:
+                piece = self.gz.unconsumed_tail
+            if not piece:
                 piece = self.data[self.at : self.at + _READ]
                 self.at += len(piece)
-                if self.gz.eof:
-                    self.gz = zlib.decompressobj(31)
-            else:
-                return False
-            if got := self.gz.decompress(piece, _READ):
+            got = self.gz.decompress(piece, _READ)
+            if got:
                 self.buffer += got
                 return True
+            if not piece:
+                return False
 
     def until(self, mark: bytes) -> bytes | None:
         start = 0

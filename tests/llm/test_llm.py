@@ -1,5 +1,6 @@
 """Every operator against a brute-force version, an exact round trip or planted cases, with nulls and empty tables."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -369,6 +370,22 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     assert warc.records(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_warc_reads_members_of_any_size():
+    rng = random.Random(4)
+    pages = [(i, "".join(rng.choice("abcdé <>/") for _ in range(rng.choice([0, 10, 900, 70_000, 400_000])))) for i in range(40)]
+    data = b"".join(m for i, h in pages for m in warc.members(i, "u", memoryview(h.encode()), None, f"0-{i}", "2024-01-01T00:00:00Z"))
+    sizes, whole = defaultdict(int), defaultdict(bytes)
+    for r in warc.parse(data):
+        sizes[r["page_id"]] += r["bytes"]
+        whole[r["page_id"]] += r["data"] or b""
+        assert r["last"] == (sizes[r["page_id"]] == r["declared_bytes"])
+    assert sizes == {i: len(h.encode()) for i, h in pages} and all(whole[i] in (b"", h.encode()) for i, h in pages)
+    with pytest.raises(ValueError):
+        list(warc.parse(data[: len(data) // 2]))
+    again = b"".join(f"WARC/1.1\r\n{''.join(f'{k}: {v}' + chr(13) + chr(10) for k, v in f.items())}\r\n".encode() + b + b"\r\n\r\n" for f, b in read_warc(data))
+    assert again == b"".join(gzip.decompress(m) for i, h in pages for m in warc.members(i, "u", memoryview(h.encode()), None, f"0-{i}", "2024-01-01T00:00:00Z"))
+
+
 def poisson_count(u, rate):
     """Smallest k whose cumulative Poisson probability reaches u."""
     k, p = 0, math.exp(-rate)
