@@ -115,12 +115,66 @@ def domain_rules(c: Column, pairs: Sequence[tuple[str, str]] = rules.DOMAIN_RULE
     return F.aggregate(F.array(*table), c, lambda out, rule: _apply_rule(out, rule, reach)) if table else c
 
 
-def transform_query(c: Column, special: dict[str, str] | None = None, pairs: Sequence[tuple[str, str]] = rules.DOMAIN_RULES) -> Column:
-    """Exact special rewrites first, else white space, domain rules and repeated words."""
+def of_school(phrases: Sequence[str], school: str) -> list[str]:
+    """Fixed phrases with the caller's institution in its place, lower-cased and without blanks it leaves behind."""
+    return [" ".join(p.replace("{school}", school).lower().split()) for p in phrases]
+
+
+def special_rewrites(school: str = "") -> dict[str, str]:
+    return {k: " ".join(v.replace("{school}", school).split()) for k, v in rules.SPECIAL_REWRITES.items()}
+
+
+def transform_query(c: Column, special: dict[str, str] | None = None, pairs: Sequence[tuple[str, str]] = rules.DOMAIN_RULES, candidates=None, school: str = "") -> Column:
+    """Exact special rewrites first, else white space, domain rules and repeated words.
+
+    ``candidates`` (question, prompt) -> array of a model's rewrites: the best one that passes all guards and keeps codes
+    and numbers of the original is taken instead. Their prompt depends on the intent.
+    """
     ruled = merge_repeated_words(domain_rules(clean_space(text(c)), pairs))
-    for key, value in (special or {}).items():
-        ruled = F.when(strip(F.lower(text(c))) == key, F.lit(value)).otherwise(ruled)
-    return ruled
+    out = ruled
+    if candidates is not None:
+        best = best_rewrite(ruled, candidates(ruled, rewrite_prompt(ruled, school)), school=school)
+        out = F.when(valid_rewrite(c, best), best).otherwise(ruled)
+    known = special_rewrites(school) if special is None else special
+    if known:
+        table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+        out = F.coalesce(F.try_element_at(table, strip(F.lower(text(c)))), out)
+    return out
+
+
+def rewrite_prompt(c: Column, school: str = "") -> Column:
+    """What a rewriting model is given: the task, the hint of the question's intent, and the question."""
+    task = f"Turn the message into one clear question about graduate study{' at ' + school if school else ''}. Keep its meaning and its key words, add no facts."
+    hints = F.create_map(*[F.lit(x) for pair in rules.INTENT_HINTS.items() for x in pair])
+    return F.concat(F.lit(task + " "), F.element_at(hints, intent(c)), F.lit("\nMessage: "), text(c), F.lit("\nQuestion:"))
+
+
+def best_rewrite(original: Column, candidates: Column, similarity=None, least: float = 0.6, school: str = "") -> Column:
+    """Of an array of candidates the one that keeps most content words among those all guards accept, the first of equals;
+    without one, the original. ``similarity`` (original, candidate) -> number, at least ``least`` if given."""
+
+    def scored(candidate, i):
+        said = strip(text(candidate))
+        repaired = F.when(has_repeated_word(said), merge_repeated_words(said)).otherwise(said)
+        ok = accepted_rewrite(original, said, school=school)
+        if similarity is not None:
+            ok = ok & (similarity(original, repaired) >= least)
+        return F.when(ok, F.struct((-rewrite_score(original, repaired)).alias("score"), i.alias("i"), repaired.alias("said")))
+
+    passed = F.filter(F.transform(candidates, scored), lambda x: x.isNotNull())
+    return F.when(F.size(passed) > 0, F.array_min(passed)["said"]).otherwise(text(original))
+
+
+def rewrite_flags(original: Column, transformed: Column, least: int = 5, most: int = 25, forbidden: Sequence[str] = ("external graduate transfer credits",)) -> Column:
+    """Struct of kept_tokens_ok, forbidden_hit, dup_words_fixed and the reason why a rewrite counts as fallen back."""
+    before, after = content_tokens(original), content_tokens(transformed)
+    kept = (F.size(before) == 0) | F.arrays_overlap(before, after)
+    hit = any_in(F.lower(text(transformed)), list(forbidden)) & ~F.array_contains(before, "transfer")
+    fixed = ~has_repeated_word(transformed)
+    n = F.size(F.regexp_extract_all(text(transformed), F.lit("[a-zA-Z]+"), F.lit(0)))
+    by_rules = text(transformed) == domain_rules(clean_space(text(original)))
+    reason = F.when(by_rules, "rule_fallback").when(~kept, "lost_tokens").when(hit, "forbidden_phrase").when(~fixed, "duplicate_words").when(~n.between(least, most), "length_out_of_range").otherwise("")
+    return F.struct(kept.alias("kept_tokens_ok"), hit.alias("forbidden_hit"), fixed.alias("dup_words_fixed"), reason.alias("fallback_reason"))
 
 
 def valid_rewrite(original: Column, rewritten: Column) -> Column:
@@ -139,12 +193,12 @@ def policy_nouns(c: Column) -> Column:
     return found_in(F.lower(text(c)), rules.POLICY_NOUNS)
 
 
-def sane(original: Column, rewritten: Column, once: Sequence[str] = ("transfer credit", "graduate catalog")) -> Column:
+def sane(original: Column, rewritten: Column, school: str = "") -> Column:
     """No listed phrase occurs twice, and some key token of the original survives if it has any."""
     low = F.lower(text(rewritten))
     keys = key_tokens(original)
     ok = (F.size(keys) == 0) | F.exists(keys, lambda k: F.contains(low, k))
-    for phrase in once:
+    for phrase in of_school(rules.ONCE_PHRASES, school):
         ok = ok & (F.regexp_count(low, F.lit(_escaped(phrase))) <= 1)
     return ok
 
@@ -155,22 +209,24 @@ def rewrite_score(original: Column, rewritten: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def accepted_rewrite(original: Column, rewritten: Column, least: int = 5, most: int = 25, echoes: Sequence[str] = (), forbidden: Sequence[str] = ()) -> Column:
+def accepted_rewrite(original: Column, rewritten: Column, least: int = 5, most: int = 25, echoes: Sequence[str] | None = None, forbidden: Sequence[str] | None = None, school: str = "") -> Column:
     """All guards a generated rewrite has to pass, but for the one on similarity."""
+    echoes = of_school(rules.ECHO_PHRASES, school) if echoes is None else list(echoes)
+    forbidden = of_school(rules.TRANSFER_PHRASES, school) if forbidden is None else list(forbidden)
     low, said = F.lower(text(rewritten)), F.lower(text(original))
     repaired = F.when(has_repeated_word(rewritten), merge_repeated_words(rewritten)).otherwise(rewritten)
     a, b = content_tokens(original), content_tokens(repaired)
     pa, pb = policy_nouns(original), policy_nouns(repaired)
     n = F.size(F.regexp_extract_all(text(repaired), F.lit("[a-zA-Z]+"), F.lit(0)))
     return (
-        ~any_in(low, list(echoes))
-        & ~(any_in(low, list(forbidden)) & ~F.contains(said, F.lit("transfer")))
+        ~any_in(low, echoes)
+        & ~(any_in(low, forbidden) & ~F.contains(said, F.lit("transfer")))
         & ~(F.contains(low, F.lit("are not eligible")) & ~F.contains(said, F.lit("not eligible")))
         & ((F.size(a) == 0) | F.arrays_overlap(a, b))
         & ((F.size(pa) == 0) | F.arrays_overlap(pa, pb))
         & (F.size(F.array_except(pb, pa)) == 0)
         & n.between(least, most)
-        & sane(original, repaired)
+        & sane(original, repaired, school)
         & strip(text(repaired)).endswith("?")
     )
 
@@ -410,9 +466,15 @@ def qa_chunk(passage: Column, questions: Column) -> Column:
     return F.when(F.size(questions) == 1, F.concat(F.lit("Question: "), F.element_at(questions, 1), F.lit("\n\nAnswer: "), clean)).otherwise(F.concat(F.lit("Questions:\n"), many, F.lit("\n\nAnswer: "), clean))
 
 
-def prompt(question: Column, context: Column, unknown: str = UNKNOWN) -> Column:
+def prompt_parts(unknown: str = UNKNOWN) -> tuple[str, str, str]:
+    """What stands before the context, between it and the question, and behind that."""
     head = f"Answer from the context alone, in two or three full sentences. Mention requirements, deadlines or procedures it has. If it does not suffice, say exactly: {unknown}\n\nContext: "
-    return F.concat(F.lit(head), text(context), F.lit("\n\nQuestion: "), text(question), F.lit("\n\nAnswer:"))
+    return head, "\n\nQuestion: ", "\n\nAnswer:"
+
+
+def prompt(question: Column, context: Column, unknown: str = UNKNOWN) -> Column:
+    head, between, tail = prompt_parts(unknown)
+    return F.concat(F.lit(head), text(context), F.lit(between), text(question), F.lit(tail))
 
 
 def selection_log_text(c: Column) -> Column:
@@ -438,3 +500,34 @@ def category_colour(c: Column, colours: int = 10) -> Column:
     codes = F.transform(F.filter(F.split(text(c), ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
     wrapped = lambda v: F.pmod(v + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
     return (F.abs(F.aggregate(codes, F.lit(0).cast("long"), lambda acc, x: wrapped(acc * 31 + x))) % colours).cast("int")
+
+
+def source_line(c: Column) -> Column:
+    """Struct of title and url of a line "- Title (url)"; without an address the line less its dash, url null."""
+    pattern = r"^-\s*(.+?)\s*\(([^)]+)\)\s*$"
+    t = text(c)
+    bare = F.trim(F.regexp_replace(t, r"^-+\s*", ""))
+    both = F.struct(F.regexp_extract(t, pattern, 1).alias("title"), F.regexp_extract(t, pattern, 2).alias("url"))
+    alone = F.struct(F.when(bare == "", t).otherwise(bare).alias("title"), F.lit(None).cast("string").alias("url"))
+    return F.when(t.rlike(pattern), both).otherwise(alone)
+
+
+def linked(c: Column) -> Column:
+    """Markdown links, or else bare addresses, as anchors."""
+    anchor = lambda href, label: f'<a href="{href}" target="_blank" rel="noopener noreferrer">{label}</a>'
+    marked = r"\[([^\]]+)\]\((https?://[^\s)]+)\)"
+    t = text(c)
+    return F.when(t.rlike(marked), F.regexp_replace(t, marked, anchor("$2", "$1"))).otherwise(F.regexp_replace(t, r"(https?://[^\s)]+)(\)?)", anchor("$1", "$1")))
+
+
+def wrapped(c: Column, width: int = 80) -> Column:
+    """Lines of whole words of at most ``width`` characters; a longer word is cut."""
+    pieces = F.flatten(F.transform(split_words(text(c)), lambda w: F.regexp_extract_all(w, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+
+    def step(acc, w):
+        fits = (acc["line"] == "") | (F.length(acc["line"]) + 1 + F.length(w) <= width)
+        longer = F.when(acc["line"] == "", w).otherwise(F.concat(acc["line"], F.lit(" "), w))
+        return F.when(fits, F.struct(acc["done"].alias("done"), longer.alias("line"))).otherwise(F.struct(F.concat(acc["done"], F.array(acc["line"])).alias("done"), w.alias("line")))
+
+    return F.aggregate(pieces, start, step, lambda acc: F.array_join(F.concat(acc["done"], F.filter(F.array(acc["line"]), lambda x: x != "")), "\n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.sources import shared
 
 
 def valid_items(items: Column) -> Column:
@@ -78,10 +79,13 @@ def chunk_sections(found: DataFrame, size: int | None = None, overlap: int = 1)
 
 
 def number(chunks: DataFrame, order: list[str]) -> DataFrame:
-    """Dense ``chunk_idx`` from 0 in the given order: a range sort, then offsets of its partitions; no single-task window."""
+    """Dense ``chunk_idx`` from 0 in the given order: a range sort, then offsets of its partitions; no single-task window.
+
+    The sorted table is written once, since its partitions must not change between counting and numbering them.
+    """
     spark = chunks.sparkSession
     ordered = chunks.orderBy(*order).withColumn("q_part", F.spark_partition_id()).withColumn("q_id", F.monotonically_increasing_id())
-    ordered = ordered.persist()
+    ordered = shared.saved(ordered, "numbered")
     counts = sorted((r["q_part"], r["n"]) for r in ordered.groupBy("q_part").agg(F.count("*").alias("n")).collect())  # one row a partition
     offsets, total = [], 0
     for part, n in counts:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import rules, text
 from quarry.operators import tfidf
+from quarry.sources import shared
 
 AROUND = 50
 
@@ -33,13 +34,17 @@ def key_information(passages: DataFrame) -> DataFrame:
     return passages.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, key_info string")
 
 
-def compress(chunks: DataFrame, least: int = 200, aggressive: bool = False) -> DataFrame:
+def compress(chunks: DataFrame, least: int = 200, aggressive: bool = False, max_chunks: int | None = None) -> DataFrame:
     """``id``, ``compressed``: key information or relevant sentences of passages without boilerplate, if short enough.
 
-    ``chunks`` (id, query, text, tier). Passages under ``least`` characters stay; so do those that compress badly:
-    beyond 0.8 of the length for tier 1 and 0.6 for others, 0.2 less if aggressive.
+    ``chunks`` (id, query, text, tier; with ``max_chunks`` also query_id and rank, of which the first stay). Passages under
+    ``least`` characters stay; so do those that compress badly: beyond 0.8 of the length for tier 1 and 0.6 for others, 0.2
+    less if aggressive. The cleaned passages are written once, as two branches read them.
     """
-    cleaned = chunks.withColumn("cleaned", text.remove_boilerplate(F.col("text")))
+    if max_chunks is not None:
+        first = Window.partitionBy("query_id").orderBy("rank")
+        chunks = chunks.withColumn("q_place", F.row_number().over(first)).where(F.col("q_place") <= max_chunks).drop("q_place")
+    cleaned = shared.saved(chunks.select("id", "query", "text", "tier", text.remove_boilerplate(F.col("text")).alias("cleaned")), "cleaned")
     info = key_information(cleaned.select("id", F.col("cleaned").alias("text")))
     short = tfidf.relevant_sentences(cleaned.select(F.col("id").alias("group_id"), "query", F.col("cleaned").alias("text"))).withColumnRenamed("group_id", "id")
     joined = cleaned.join(info, "id").join(short, "id")

@@ -42,6 +42,32 @@ def by_category(questions: DataFrame, name: str) -> DataFrame:
     return questions.where(F.col("category") == name).orderBy("id")
 
 
+def in_order(questions: DataFrame) -> DataFrame:
+    """All questions by category and id."""
+    return questions.orderBy("category", "id")
+
+
+def embeddings_in_order(embedded: DataFrame) -> DataFrame:
+    """``question_id``, ``embedding`` (float32 values) by question."""
+    return embedded.select("question_id", F.col("embedding").cast("array<float>").alias("embedding")).orderBy("question_id")
+
+
+def store_embeddings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Vectors after a store: those of the same question are replaced as a whole."""
+    return new.unionByName(old.join(new.select("question_id").distinct(), "question_id", "left_anti"))
+
+
+def import_children(existing: DataFrame, records: DataFrame, known: DataFrame, column: str, name: str, overwrite: bool = False) -> DataFrame:
+    """Nuggets or passages after an import: those of new questions are appended; everything is replaced on overwrite.
+
+    ``known``: the questions before the import (id).
+    """
+    new = children(records.where(F.col("id").isNotNull() & F.col("query").isNotNull()).dropDuplicates(["id"]), column, name)
+    if overwrite:
+        return new
+    return existing.unionByName(new.join(known.select(F.col("id").alias("question_id")).distinct(), "question_id", "left_anti"))
+
+
 def by_id(questions: DataFrame, id_) -> DataFrame:
     return questions.where(F.col("id") == id_)
 
@@ -73,6 +99,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return joined.select(*[F.coalesce(f"n_{c}", f"o_{c}").alias(c) for c in old.columns], change.alias("change"))
 
 
+def changes(upserted: DataFrame) -> DataFrame:
+    """One row: how many rows an upsert created, updated and kept."""
+    return upserted.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("created", "updated", "kept")])
+
+
 def merge_generated(chunks: DataFrame, generated: DataFrame, keep_originals: bool = False) -> DataFrame:
     """Question-and-answer chunks of matched originals, and the originals without any (or all).
 

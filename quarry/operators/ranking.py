@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import rules, text
+from quarry.functions import rules, text, web
+from quarry.operators import vectors
 
 
 def tier_boost(tier: Column, query: Column | None = None, boosts: dict[int, float] | None = None, tiers_on: bool = True, gold_on: bool = True, policy: Sequence[str] = rules.POLICY_TERMS) -> Column:
@@ -20,14 +24,13 @@ def tier_boost(tier: Column, query: Column | None = None, boosts: dict[int, floa
     return F.when((tier == 0) & F.lit(gold_on), F.lit(table.get(0, 3.0))).otherwise(factor if tiers_on else F.lit(1.0))
 
 
-def gold_boost(is_gold: Column, url: Column, gold_urls: Column, says_answer: Column, is_match: Column, factors: Sequence[float] = (2.5, 1.5, 1.8, 2.0)) -> Column:
+def gold_boost(is_gold: Column, known_url: Column, says_answer: Column, is_match: Column, factors: Sequence[float] = (2.5, 1.5, 1.8, 2.0)) -> Column:
     """Product of the factors for gold rows, gold addresses, rows that hold the gold answer, and the matched gold row.
 
-    An empty address is no gold address.
+    An empty address is no gold address. A null flag counts as false.
     """
     yes = lambda c: F.coalesce(c, F.lit(False))
-    known = (text.text(url) != "") & F.exists(F.coalesce(gold_urls, F.array().cast("array<string>")), lambda g: F.contains(g, url))
-    base = F.when(yes(is_gold), factors[0]).otherwise(1.0) * F.when(yes(known), factors[1]).otherwise(1.0) * F.when(yes(says_answer), factors[2]).otherwise(1.0)
+    base = F.when(yes(is_gold), factors[0]).otherwise(1.0) * F.when(yes(known_url), factors[1]).otherwise(1.0) * F.when(yes(says_answer), factors[2]).otherwise(1.0)
     return base * F.when((base > 1) & yes(is_match), factors[3]).otherwise(1.0)
 
 
@@ -100,23 +103,79 @@ def answer_score(answer: Column, context: Column, unknown: str = text.UNKNOWN) -
     return F.when(text.strip(text.text(answer)) == unknown, -100.0).otherwise(short + shared)
 
 
-def program_match(messages: DataFrame, programs: DataFrame, sims: DataFrame) -> DataFrame:
+def program_match(messages: DataFrame, programs: DataFrame) -> DataFrame:
     """Best program of each message by 0.9 cosine + 0.1 shared words; degree-filtered pool first, then all.
 
-    ``messages`` (query_id, tokens, degree), ``programs`` (row_id, tokens, flags), ``sims`` (query_id, row_id, sim).
+    ``messages`` (query_id, vector, tokens, degree), ``programs`` (row_id, vector, tokens, flags). The cosine counts as
+    0.5 + 0.5 cos. Each pair of blocks keeps the best program of both pools of a message.
     """
-    from quarry.functions import web
-
-    pairs = sims.join(messages.select("query_id", F.col("tokens").alias("q_tokens"), "degree"), "query_id").join(programs.select("row_id", "tokens", "flags"), "row_id")
-    overlap = F.size(F.array_intersect("q_tokens", "tokens"))
-    pairs = pairs.withColumn("overlap", overlap).withColumn("combined", F.round(0.9 * F.col("sim") + 0.1 * F.least(F.col("overlap"), F.lit(3)) / 3, 9))
-    asked = F.col("degree.ms") | F.col("degree.phd") | F.col("degree.cert")
-    ok = (F.col("sim") >= 0.68) | ((F.col("sim") >= 0.62) & (F.col("overlap") >= 1))
-
-    def best(pool: DataFrame) -> DataFrame:
-        w = Window.partitionBy("query_id").orderBy(F.desc("combined"), "row_id")
-        return pool.withColumn("p", F.row_number().over(w)).where("p = 1").where(ok).select("query_id", "row_id", "combined")
-
-    first = best(pairs.where(asked & web.degree_allowed(F.col("degree"), F.col("flags"))))
-    second = best(pairs).join(first, "query_id", "left_anti")
-    return first.unionByName(second)
+    degrees = list(rules.DEGREE_MARKS)
+    wants = messages.select("query_id", "vector", "tokens", F.array(*[F.col("degree")[d].cast("int") for d in degrees]).alias("wants"))
+    shows = programs.select("row_id", "vector", "tokens", F.array(*[F.col("flags")[d].cast("int") for d in degrees]).alias("shows"))
+
+    def flags(column):
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(degrees)).astype(bool)
+
+    def best(asked, given, sim):
+        sim = np.round(0.5 + 0.5 * sim, 9)
+        shared = shared_tokens(asked.column("tokens").combine_chunks(), given.column("tokens").combine_chunks())
+        combined = np.round(0.9 * sim + 0.1 * np.minimum(shared, 3) / 3, 9)
+        want, show = flags(asked.column("wants")), flags(given.column("shows"))
+        allowed = (~want[:, None, :] | show[None, :, :]).all(2) & want.any(1)[:, None]
+        rid = given.column("row_id").to_numpy()
+        order = np.argsort(rid, kind="stable")  # the first of equals is the smallest id
+        out = []
+        for pool, score in ((1, np.where(allowed, combined, -np.inf)), (2, combined)):
+            at = order[np.argmax(score[:, order], axis=1)]
+            each = np.arange(len(at))
+            some = np.isfinite(score[each, at])
+            i, j = each[some], at[some]
+            out.append([asked.column("query_id").to_numpy()[i], np.full(len(i), pool), rid[j], sim[i, j], shared[i, j], combined[i, j]])
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["query_id", "pool", "row_id", "sim", "shared", "combined"])
+
+    found = vectors.by_blocks(wants, shows, best, "query_id long, pool int, row_id long, sim double, shared long, combined double")
+    w = Window.partitionBy("query_id", "pool").orderBy(F.desc("combined"), "row_id")
+    first = found.withColumn("q_place", F.row_number().over(w)).where("q_place = 1")
+    good = first.where((F.col("sim") >= 0.68) | ((F.col("sim") >= 0.62) & (F.col("shared") >= 1)))
+    pool = Window.partitionBy("query_id").orderBy("pool")
+    return good.withColumn("q_place", F.row_number().over(pool)).where("q_place = 1").select("query_id", "row_id", "combined")
+
+
+def shared_tokens(asked: pa.ListArray, given: pa.ListArray) -> np.ndarray:
+    """How many distinct tokens each list of ``asked`` shares with each of ``given``."""
+    out = np.zeros((len(asked), len(given)), np.int64)
+    words = pc.unique(asked.flatten())
+    sides = []
+    for lists in (asked, given):
+        row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+        word = pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False)
+        pairs = np.unique(np.stack([word, row])[:, word >= 0], axis=1)
+        sides.append(pairs)
+    (wa, ra), (wb, rb) = sides
+    start, stop = np.searchsorted(wb, np.arange(len(words))), np.searchsorted(wb, np.arange(len(words)), side="right")
+    for w, r in zip(wa.tolist(), ra.tolist(), strict=True):
+        out[r, rb[start[w] : stop[w]]] += 1
+    return out
+
+
+def build_program_index(chunks: DataFrame) -> DataFrame:
+    """``row_id``, ``title``, ``url``, ``tokens``, ``flags`` of the program pages among chunks: tiers 3 and 4 with a title and an
+    address of a program, one row an address (the first chunk's)."""
+    w = Window.partitionBy("url").orderBy("chunk_idx")
+    wanted = chunks.where(F.col("tier").isin(3, 4) & (text.text("title") != "") & web.is_program_url(F.col("url")))
+    first = wanted.withColumn("q_place", F.row_number().over(w)).where("q_place = 1")
+    tokens = F.array_distinct(F.concat(web.match_tokens(F.col("title")), web.url_tokens(F.col("url"))))
+    return first.select(F.col("chunk_idx").alias("row_id"), "title", "url", tokens.alias("tokens"), web.degree_flags(F.col("title"), F.col("url")).alias("flags"))
+
+
+def near_title(found: DataFrame, embed, least: float = 0.42) -> DataFrame:
+    """Rows of tier 4 stay only if the question is near enough to their title and address; other tiers stay.
+
+    ``found`` (question, title, url, tier); ``embed`` makes a vector column of a text column.
+    """
+    shown = web.tail_title(F.col("title"), F.col("url"))
+    both = found.withColumns({"q_asked": embed(F.col("question")), "q_shown": embed(shown)})
+    near = (shown != "") & (vectors.cosine(F.col("q_asked"), F.col("q_shown"), "product") >= least)
+    return both.where((F.coalesce("tier", F.lit(2)) != 4) | near).drop("q_asked", "q_shown")

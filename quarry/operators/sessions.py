@@ -58,9 +58,9 @@ def classify_log(lines: DataFrame, c: str = "line", code: str = "exit_code") ->
     return lines.withColumns({name: text.text(c).rlike(f"(?i){pattern}") for name, pattern in rules.LOG_CAUSES} | {"exit_meaning": reason})
 
 
-def last_errors(lines: DataFrame, group: list[str], order: str, keep: int = 5) -> DataFrame:
+def last_errors(lines: DataFrame, group: list[str], order: str, keep: int = 5, pattern: str = "(?i)error|exception|fatal|panic") -> DataFrame:
     w = Window.partitionBy(*group).orderBy(F.desc(order))
-    return lines.where(text.text("line").rlike("(?i)error|exception|fatal|panic")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep)
+    return lines.where(text.text("line").rlike(pattern)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep)
 
 
 def title_labels(sources: DataFrame, group: list[str], order: str, visible: int = 3) -> DataFrame:

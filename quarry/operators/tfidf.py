@@ -21,24 +21,25 @@ def scores(items: DataFrame, stop: Sequence[str] = rules.STOPWORDS, max_features
     """``group_id``, ``item_id``, ``tfidf``: cosine of each item to its group's query.
 
     ``items`` (group_id, item_id, is_query, text), one query a group. idf = ln((1+n)/(1+df)) + 1 over the group's
-    items and query; the ``max_features`` most frequent terms of a group (ties: alphabetical) take part. All stages are
-    aggregations keyed by (group, term) or (group, item), so one large group spreads over its terms.
+    items and query; the ``max_features`` most frequent terms of a group (ties: alphabetical) take part. A group is a
+    short list (the results of a query, the sentences of a passage): all is one shuffle by group, and every
+    window and aggregate after it keeps that distribution.
     """
-    counted = items.select("group_id", "item_id", "is_query", F.explode(terms("text", stop)).alias("term")).groupBy("group_id", "item_id", "is_query", "term").agg(F.count("*").alias("tf"))
-    n = items.groupBy("group_id").agg(F.count("*").alias("n"))
-    df = counted.groupBy("group_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    every = Window.partitionBy("group_id")
+    by_term = Window.partitionBy("group_id", "term")
+    dealt = items.select("group_id", "item_id", "is_query", terms("text", stop).alias("terms")).repartition("group_id")
+    each = dealt.withColumn("n", F.count("*").over(every)).select("group_id", "item_id", "is_query", "n", F.explode_outer("terms").alias("term"))
+    counted = each.groupBy("group_id", "item_id", "is_query", "n", "term").agg(F.count("term").alias("tf"))
+    known = counted.withColumns({"df": F.count("*").over(by_term), "total": F.sum("tf").over(by_term)})
     if max_features is not None:
-        w = Window.partitionBy("group_id").orderBy(F.desc("total"), "term")
-        df = df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_features).drop("place")
-    idf = df.join(n, "group_id").select("group_id", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = counted.join(idf, ["group_id", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    length = weighted.groupBy("group_id", "item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    asked = weighted.where("is_query").select("group_id", "term", F.col("w").alias("qw"))
-    q_length = asked.groupBy("group_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_length"))
-    dots = weighted.where("not is_query").join(asked, ["group_id", "term"]).groupBy("group_id", "item_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    own = items.where("not is_query").select("group_id", "item_id")
-    joined = own.join(dots, ["group_id", "item_id"], "left").join(length, ["group_id", "item_id"], "left").join(q_length, "group_id", "left")
-    return joined.select("group_id", "item_id", F.coalesce(F.col("dot") / (F.col("length") * F.col("q_length")), F.lit(0.0)).alias("tfidf"))
+        known = known.withColumn("place", F.dense_rank().over(every.orderBy(F.desc("total"), "term")))
+        known = known.withColumn("tf", F.when(F.col("place") <= max_features, F.col("tf")).otherwise(0))
+    weighted = known.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    weighted = weighted.withColumn("qw", F.max(F.when(F.col("is_query"), F.col("w"))).over(by_term))
+    summed = weighted.groupBy("group_id", "item_id", "is_query").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    summed = summed.withColumn("q_length", F.max(F.when(F.col("is_query"), F.col("length"))).over(every))
+    both = F.nullif(F.col("length") * F.col("q_length"), F.lit(0.0))
+    return summed.where("not is_query").select("group_id", "item_id", F.coalesce(F.col("dot") / both, F.lit(0.0)).alias("tfidf"))
 
 
 def relevant_sentences(passages: DataFrame, top_n: int = 3, stop: Sequence[str] = rules.STOPWORDS) -> DataFrame:

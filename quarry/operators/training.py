@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
 
 
 def triplets(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """First positive (same label) and first negative row of each query; from per-label minima, not from pairs."""
-    lows = rows.groupBy("label").agg(F.min("row_id").alias("low"))
-    positive = queries.join(lows, "label").select("query_id", F.col("low").alias("positive"))
+    """First positive (same label, not the query itself) and first negative row of each query; from the two smallest ids of
+    each label, not from pairs."""
+    w = Window.partitionBy("label").orderBy("row_id")
+    lows = rows.withColumn("place", F.row_number().over(w)).where("place <= 2").select("label", F.col("row_id").alias("low"))
+    positive = queries.join(lows, "label").where("low <> query_id").groupBy("query_id").agg(F.min("low").alias("positive"))
     # the first row of another label is one of the two smallest minima
-    two = lows.orderBy("low").limit(2).select(F.col("label").alias("n_label"), F.col("low").alias("negative"))
+    two = lows.groupBy("label").agg(F.min("low").alias("negative")).orderBy("negative").limit(2).withColumnRenamed("label", "n_label")
     negative = queries.join(F.broadcast(two), F.col("label") != F.col("n_label")).groupBy("query_id").agg(F.min("negative").alias("negative"))
     return positive.join(negative, "query_id")
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 QUERY_BLOCK, ROW_BLOCK = 1024, 16_384
 
@@ -18,38 +21,64 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 where a norm is tiny or the lengths differ."""
+def cosine(a: Column, b: Column, guard: str = "zero") -> Column:
+    """Cosine of two vectors; 0 where the lengths differ.
+
+    ``guard``: "zero" gives 0 where a norm is tiny; "product" and "each" add 1e-8 to the product of the norms or to each;
+    "none" divides as it is, null where a norm is 0.
+    """
     na, nb = norm(a), norm(b)
-    return F.when((F.size(a) == F.size(b)) & (na > 1e-8) & (nb > 1e-8), dot(a, b) / (na * nb)).otherwise(0.0)
+    below = {"zero": na * nb, "product": na * nb + 1e-8, "each": (na + 1e-8) * (nb + 1e-8), "none": F.nullif(na * nb, F.lit(0.0))}[guard]
+    fits = F.size(a) == F.size(b)
+    return F.when(fits & (na > 1e-8) & (nb > 1e-8) if guard == "zero" else fits, dot(a, b) / below).otherwise(0.0)
+
+
+def matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """Unit vectors, one a row. Null vectors, those of another length and those with a null or non-finite part are zero."""
+    lists = column.combine_chunks()
+    length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(length), size))
+    own = np.flatnonzero(length == size) if size else np.empty(0, np.int64)
+    start = np.cumsum(length) - length
+    out[own] = values[start[own][:, None] + np.arange(size)]
+    out[~np.isfinite(out).all(1)] = 0
+    norms = np.sqrt((out * out).sum(1))
+    return np.where(norms[:, None] > 1e-8, out / np.where(norms > 1e-8, norms, 1)[:, None], 0.0)
+
+
+def by_blocks(queries: DataFrame, rows: DataFrame, work, schema: str, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
+    """What ``work`` makes of every pair of a block of queries and a block of rows.
+
+    ``queries`` (query_id, vector, ...) and ``rows`` (row_id, vector, ...) are dealt into blocks by hash; each pair of
+    blocks is one task, which calls ``work(asked, given, sim)`` with both tables and the cosines, rounded to 9 places so
+    that equal vectors tie whatever the order of summation. Nothing is broadcast, and only what ``work`` returns leaves.
+    """
+    nq, nr = (max(1, -(-d.count() // b)) for d, b in ((queries, query_block), (rows, row_block)))
+    doubles = F.col("vector").cast("array<double>")
+    left = queries.withColumns({"query_id": F.col("query_id").cast("long"), "vector": doubles, "q": F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")})
+    right = rows.withColumns({"row_id": F.col("row_id").cast("long"), "vector": doubles, "r": F.pmod(F.xxhash64("row_id"), F.lit(nr)).cast("int")})
+    left = left.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
+    right = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def block(asked, given):
+        if not asked.num_rows or not given.num_rows:
+            return empty.empty_table()
+        size = pc.max(pc.list_value_length(asked.column("vector"))).as_py() or 0
+        return work(asked, given, np.round(matrix(asked.column("vector"), size) @ matrix(given.column("vector"), size).T, 9))
+
+    empty = to_arrow_schema(_parse_datatype_string(schema))
+    return left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(block, schema)
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """``query_id``, ``row_id``, ``sim``, ``rank`` of the k nearest rows of each query; ties go to the smaller row id.
 
-    ``queries`` (query_id, vector) and ``rows`` (row_id, vector). Both sides are dealt into blocks by hash; each pair
-    of blocks is one task with a matrix product that keeps k rows a query, and a window ranks what the blocks kept.
-    Nothing is broadcast and no pair leaves a task that cannot be in the result. Similarities are rounded to 9
-    places before ranking, so equal vectors tie whatever the order of summation.
+    A pair of blocks keeps k rows a query, and a window ranks what the blocks kept.
     """
-    nq, nr = (max(1, -(-d.count() // b)) for d, b in ((queries, query_block), (rows, row_block)))
-    doubles = F.col("vector").cast("array<double>").alias("vector")
-    left = queries.select(F.col("query_id").cast("long").alias("id"), doubles, F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("q"))
-    right = rows.select(F.col("row_id").cast("long").alias("id"), doubles, F.pmod(F.xxhash64("row_id"), F.lit(nr)).cast("int").alias("r"))
-    left = left.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).select("q", "r", "id", "vector")
-    right = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select("q", "r", "id", "vector")
-
-    def unit(vectors, size):
-        # null vectors and those of another length are as far as a zero vector
-        matrix = np.array([v if v is not None and len(v) == size and None not in v else [0.0] * size for v in vectors], np.float64).reshape(len(vectors), size)
-        length = np.sqrt((matrix * matrix).sum(1))
-        return np.where(length[:, None] > 1e-8, matrix / np.where(length > 1e-8, length, 1)[:, None], 0.0)
 
-    def block(asked, given):
-        qid, rid = asked.column("id").to_numpy(), given.column("id").to_numpy()
-        vectors = asked.column("vector").to_pylist()
-        size = max((len(v) for v in vectors if v), default=1)
-        sim = np.round(unit(vectors, size) @ unit(given.column("vector").to_pylist(), size).T, 9)
+    def nearest(asked, given, sim):
+        qid, rid = asked.column("query_id").to_numpy(), given.column("row_id").to_numpy()
         out_q, out_r, out_s = [], [], []
         for i in range(len(qid)):
             s = sim[i]
@@ -60,14 +89,37 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, query_block: int = QUERY_
             out_q.append(np.full(len(keep), qid[i]))
             out_r.append(rid[keep])
             out_s.append(s[keep])
-        columns = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((out_q, np.int64), (out_r, np.int64), (out_s, np.float64))]
-        return pa.Table.from_arrays([pa.array(c) for c in columns], ["query_id", "row_id", "sim"])
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_r, out_s)], ["query_id", "row_id", "sim"])
 
-    found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(block, "query_id long, row_id long, sim double")
+    own, given = queries.select("query_id", "vector"), rows.select("row_id", "vector")
+    found = by_blocks(own, given, nearest, "query_id long, row_id long, sim double", query_block, row_block)
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "row_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_others(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """``top_k`` of the rows that are not the query itself, where queries are rows too."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "row_id")
+    others = top_k(queries, rows, k + 1).where("query_id <> row_id")
+    return others.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def similar_counts(queries: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """``query_id``, ``hits``, ``n``: of the rows other than the query itself, how many are as similar as ``threshold``.
+
+    Counted in each pair of blocks: a row a query leaves a task, no pair does.
+    """
+
+    def count(asked, given, sim):
+        qid = asked.column("query_id").to_numpy()
+        other = qid[:, None] != given.column("row_id").to_numpy()[None, :]
+        columns = [qid, ((sim >= threshold) & other).sum(1), other.sum(1)]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "hits", "n"])
+
+    found = by_blocks(queries.select("query_id", "vector"), rows.select("row_id", "vector"), count, "query_id long, hits long, n long")
+    return found.groupBy("query_id").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+
+
 def best_match(queries: DataFrame, rows: DataFrame, threshold: float | None = None) -> DataFrame:
     """The nearest row of each query, if near enough."""
     best = top_k(queries, rows, 1).drop("rank")

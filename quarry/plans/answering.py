@@ -1,15 +1,22 @@
-"""Composed pipelines: building the index of chunks and answering a batch of questions."""
+"""Composed pipelines: building the index of chunks and answering a batch of questions.
+
+Every stage that several others read is written to the shared folder once: plans stay short, and no vector or rewrite is
+made twice.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from collections.abc import Sequence
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import rules, text, web
-from quarry.operators import chunking, ranking, vectors
+from quarry.operators import chunking, compression, dedup, ranking, tfidf, vectors
 from quarry.plans.models import Models
+from quarry.sources import html, shared
 
 
 @dataclass(frozen=True)
@@ -20,15 +27,59 @@ class Config:
     topn: int = 120
     tiers_on: bool = False
     gold_on: bool = True
+    ensure_gold: bool = True
     dual: bool = False
     direct_threshold: float = 0.85
     short_circuit: float = 0.95
+    match_threshold: float = 0.85
+    synthetic_boost: float = 1.3
+    hyde_on: bool = False
     rerank_on: bool = False
+    diversity: float = 0.7
     calendar_on: bool = False
     calendar_url: str = ""
+    school: str = ""
     boosts: dict[int, float] = field(default_factory=lambda: dict(rules.TIER_BOOSTS))
 
 
+def read_config(source: str) -> Config:
+    """A configuration from JSON text, or YAML where a YAML library is at hand; unknown keys are ignored, missing ones default.
+
+    An empty or unreadable text gives the defaults.
+    """
+    try:
+        found = json.loads(source)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError:
+            found = None
+        else:
+            try:
+                found = yaml.safe_load(source)
+            except yaml.YAMLError:
+                found = None
+    found = found if isinstance(found, dict) else {}
+    known = {f.name for f in fields(Config)}
+    boosts = {int(k): float(v) for k, v in (found.get("boosts") or {}).items()} or dict(rules.TIER_BOOSTS)
+    return Config(**{k: v for k, v in found.items() if k in known and k != "boosts"}, boosts=boosts)
+
+
+def read_rules(source: str, default: Sequence[tuple[str, str]] = tuple(rules.DOMAIN_RULES)) -> list[tuple[str, str]]:
+    """Domain rules from a JSON object, in its order; the default where it cannot be read."""
+    try:
+        found = json.loads(source)
+    except ValueError:
+        return list(default)
+    return [(str(k), str(v)) for k, v in found.items()] if isinstance(found, dict) else list(default)
+
+
+def sections_of_pages(pages: DataFrame, domain: str | None = None) -> DataFrame:
+    """Sections of HTML pages as ``chunking.chunk_sections`` takes them."""
+    found = html.sections(html.blocks(pages, domain))
+    return found.select(F.col("url").alias("page_url"), F.array("section").alias("path"), F.array_join("path", " - ").alias("title"), "section_url", "text", "lists").withColumnRenamed("section_url", "url")
+
+
 def build_index(found: DataFrame, gold: DataFrame | None = None, models: Models | None = None, size: int | None = None, overlap: int = 1) -> DataFrame:
     """Chunks of sections with tier, vector and norm; gold documents come first. Write the result once as Parquet."""
     own = models or Models()
@@ -37,30 +88,105 @@ def build_index(found: DataFrame, gold: DataFrame | None = None, models: Models
     chunks = chunking.first_of_equals(chunks, "text", "q_order")
     base = chunks.select(F.lit(1).alias("q_kind"), F.col("q_order.page_url").alias("q_url"), F.col("q_order.path").alias("q_path"), F.col("q_order.pos").alias("q_pos"), "text", "title", "url", web.tier(F.col("url"), F.col("title")).alias("tier"), F.lit(None).cast("string").alias("gold_id"))
     if gold is not None:
-        first = gold.select(F.lit(0).alias("q_kind"), F.col("gold_id").alias("q_url"), F.array(F.lit(0)).alias("q_path"), F.lit(0).alias("q_pos"), "text", "title", "url", F.lit(0).alias("tier"), F.col("gold_id").cast("string").alias("gold_id"))
+        first = gold.select(F.lit(0).alias("q_kind"), F.col("gold_id").cast("string").alias("q_url"), F.array(F.lit(0)).alias("q_path"), F.lit(0).alias("q_pos"), "text", "title", "url", F.lit(0).alias("tier"), F.col("gold_id").cast("string").alias("gold_id"))
         base = first.unionByName(base)
     numbered = chunking.number(base, ["q_kind", "q_url", "q_path", "q_pos"]).drop("q_kind", "q_url", "q_path", "q_pos")
-    vector = own.embed(F.col("text"))
-    return numbered.withColumn("embedding", vector).withColumn("norm", vectors.norm(F.col("embedding")))
+    embedded = numbered.withColumn("embedding", own.embed(F.col("text")))
+    return embedded.withColumns({"norm": vectors.norm(F.col("embedding")), "is_synthetic_qa": F.lit(False)})
+
+
+def gold_matches(questions: DataFrame, gold: DataFrame, least: float) -> DataFrame:
+    """``query_id``, ``gold_id``, ``gold_similarity``, ``reference_answer``, ``gold_url`` of the nearest gold question, if near enough.
+
+    ``questions`` (query_id, vector), ``gold`` (gold_id, reference_answer, url, vector).
+    """
+    known = gold.withColumn("row_id", F.xxhash64("gold_id"))
+    best = vectors.best_match(questions.select("query_id", "vector"), known.select("row_id", "vector"), least)
+    return best.join(known.select("row_id", "gold_id", "reference_answer", F.col("url").alias("gold_url")), "row_id").select("query_id", "gold_id", F.col("sim").alias("gold_similarity"), "reference_answer", "gold_url")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, cfg: Config, models: Models | None = None) -> DataFrame:
-    """``query_id``, ``row_id``, ``rank``, ``sim``, ``boosted`` and the chunk's columns: the best k chunks of each question.
+def retrieve(questions: DataFrame, chunks: DataFrame, cfg: Config, models: Models | None = None, gold: DataFrame | None = None) -> DataFrame:
+    """``query_id``, ``row_id``, ``rank``, ``sim``, ``boosted`` and the chunk's columns: the best chunks of each question.
 
-    ``questions`` (query_id, question). Twice ``topn`` nearest chunks are boosted by tier and gold, ordered, and a gold
-    chunk is moved to position 2 if none is among the first k.
+    ``questions`` (query_id, question), ``gold`` (gold_id, query, reference_answer, url, vector). A gold question as near as
+    ``short_circuit`` settles it: its chunk is all there is. For the others, twice ``topn`` nearest chunks are boosted by tier,
+    generated questions and gold, ordered, and a gold chunk is moved to position 2 if none is among the first k. With
+    re-ranking on, the first 20 are fused with metadata, cross and term scores; of the best those that differ enough stay.
     """
     own = models or Models()
-    asked = questions.select("query_id", "question", own.embed(F.col("question")).alias("vector"))
+    imagined = text.hyde_clean(own.imagine(F.col("question")))
+    search = F.when(text.hyde_wanted(F.col("question")), imagined).otherwise(F.col("question")) if cfg.hyde_on else F.col("question")
+    asked = questions.select("query_id", "question", own.embed(F.col("question")).alias("vector"), *([own.embed(search).alias("search")] if cfg.hyde_on else []))
+    asked = shared.saved(asked if cfg.hyde_on else asked.withColumn("search", F.col("vector")), "asked")
+    columns = set(chunks.columns)
+    generated = F.coalesce("is_synthetic_qa", F.lit(False)) if "is_synthetic_qa" in columns else F.lit(False)
+    info = chunks.select(F.col("chunk_idx").alias("row_id"), "text", "title", "url", "tier", "gold_id", generated.alias("is_synthetic_qa"))
+    direct = match = None
+    if cfg.gold_on and gold is not None:
+        match = shared.saved(gold_matches(asked, gold, cfg.match_threshold), "matches")
+        sure = match.where(F.col("gold_similarity") >= cfg.short_circuit)
+        first = info.where("gold_id is not null").groupBy("gold_id").agg(F.min_by(F.struct("row_id", "text"), "row_id").alias("c"))
+        direct = sure.join(first, "gold_id").join(questions.select("query_id", "question"), "query_id")
+        direct = direct.select("query_id", "question", F.col("c.row_id").alias("row_id"), F.col("gold_similarity").alias("sim"), F.col("c.text").alias("text"), F.concat(F.lit("Gold Q&A: "), "gold_id").alias("title"), F.col("gold_url").alias("url"), F.lit(0).alias("tier"), "gold_id", F.lit(False).alias("is_synthetic_qa"), F.col("gold_similarity").alias("boosted"), F.lit(1).alias("rank"))
+        direct = shared.saved(direct, "direct")
+        asked = asked.join(direct.select("query_id"), "query_id", "left_anti")
     rows = chunks.select(F.col("chunk_idx").alias("row_id"), F.col("embedding").alias("vector"))
-    near = vectors.top_k(asked.select("query_id", "vector"), rows, 2 * cfg.topn).drop("rank")
-    info = chunks.select(F.col("chunk_idx").alias("row_id"), "text", "title", "url", "tier", "gold_id")
+    near = vectors.top_k(asked.select("query_id", F.col("search").alias("vector")), rows, 2 * cfg.topn).drop("rank")
     joined = near.join(info, "row_id").join(questions.select("query_id", "question"), "query_id")
     factor = ranking.tier_boost(F.col("tier"), F.col("question"), cfg.boosts, cfg.tiers_on, cfg.gold_on)
+    factor = factor * F.when(F.col("is_synthetic_qa"), cfg.synthetic_boost).otherwise(1.0)
     if cfg.gold_on:
-        factor = factor * ranking.gold_boost(F.col("tier") == 0, F.lit(""), F.lit(None).cast("array<string>"), F.lit(False), (F.col("tier") == 0) & (F.col("sim") >= 0.85))
-    boosted = joined.withColumn("boosted", F.round(F.col("sim") * factor, 9))
-    return ranking.ensure_gold(boosted, cfg.k) if cfg.gold_on else ranking.rank_boosted(boosted, cfg.k)
+        joined, known, says, is_match = _gold_signs(joined, gold, match)
+        factor = factor * ranking.gold_boost(F.col("tier") == 0, known, says, is_match)
+    boosted = shared.saved(joined.withColumn("boosted", F.round(F.col("sim") * factor, 9)).drop("q_known", "q_says", "q_match"), "boosted")
+    deep = min(cfg.topn, 20) if cfg.rerank_on else cfg.k
+    best = ranking.ensure_gold(boosted, deep).drop("original_rank", "moved") if cfg.gold_on and cfg.ensure_gold else ranking.rank_boosted(boosted, deep)
+    if cfg.rerank_on:
+        best = rerank(best, cfg, own)
+    return best if direct is None else best.unionByName(direct.select(*best.columns))
+
+
+def _gold_signs(found: DataFrame, gold: DataFrame | None, match: DataFrame | None):
+    """``found`` with what tells of gold: whether the address begins one of a gold question, the text holds the answer of the
+    very question that was asked, and the chunk is the matched question's own."""
+    if gold is None:
+        no = F.lit(False)
+        return found, no, no, no
+    begins = gold.where("url is not null and url <> ''").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("url")), lambda n: F.substring("url", F.lit(1), n))).alias("url")).distinct()
+    same = gold.select(F.lower("query").alias("q_asked"), F.lower("reference_answer").alias("q_answer")).where("q_answer <> ''").dropDuplicates(["q_asked"])
+    out = found.join(begins.withColumn("q_known", F.lit(True)), "url", "left").withColumn("q_asked", F.lower("question")).join(same, "q_asked", "left")
+    out = out.withColumn("q_says", F.contains(F.lower("text"), F.col("q_answer"))).drop("q_asked", "q_answer")
+    out = out.join(match.select("query_id", F.col("gold_id").alias("q_match")), "query_id", "left")
+    return out, F.col("q_known"), F.col("q_says"), F.col("gold_id") == F.col("q_match")
+
+
+def rerank(path: DataFrame, cfg: Config, models: Models | None = None) -> DataFrame:
+    """The best chunks of each question by fused scores: twice k, of which those that differ enough from better ones, k in all.
+
+    Questions with k chunks or fewer stay as they are.
+    """
+    own = models or Models()
+    path = shared.saved(path, "path")
+    n = path.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    few, many = n.where(F.col("n") <= cfg.k).drop("n"), n.where(F.col("n") > cfg.k).drop("n")
+    asked = many.select(F.col("query_id").alias("group_id"), F.lit(-1).cast("long").alias("item_id"), F.lit(True).alias("is_query"), F.col("question").alias("text")).distinct()
+    items = many.select(F.col("query_id").alias("group_id"), F.col("row_id").alias("item_id"), F.lit(False).alias("is_query"), "text").unionByName(asked)
+    terms = tfidf.scores(items).select(F.col("group_id").alias("query_id"), F.col("item_id").alias("row_id"), "tfidf")
+    meta = ranking.metadata_score(F.col("question"), F.col("title"), F.col("url"), F.col("tier"))
+    given = many.join(terms, ["query_id", "row_id"]).withColumns({"position": F.col("rank") - 1, "metadata": meta, "cross": own.cross(F.col("question"), F.col("text"))}).drop("rank")
+    fused = shared.saved(ranking.fuse(given, 2 * cfg.k), "fused")
+    kept = dedup.greedy_keep(fused, cfg.diversity, at_least=3)
+    again = Window.partitionBy("query_id").orderBy("rank")
+    out = kept.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= cfg.k)
+    return out.select(*few.columns).unionByName(few)
+
+
+def compressed(path: DataFrame) -> DataFrame:
+    """A path without chunks that nearly repeat a better one, and with texts cut to what the question needs."""
+    kept = shared.saved(dedup.greedy_keep(path, 0.8).withColumn("id", F.xxhash64("query_id", "row_id")), "kept")
+    short = compression.compress(kept.select("id", F.col("question").alias("query"), "text", "tier"))
+    again = Window.partitionBy("query_id").orderBy("rank")
+    return kept.drop("text").join(short.withColumnRenamed("compressed", "text"), "id").drop("id").withColumn("rank", F.row_number().over(again))
 
 
 def context(path: DataFrame) -> DataFrame:
@@ -96,8 +222,8 @@ def apply_fallbacks(answer, question, passages):
     points = first(text.degree_credits_of)
     idk = text.strip(a) == text.UNKNOWN
     out = F.when(text.any_in(q, ["credits required", "how many credits", "total credits", "credit requirement"]) & points.isNotNull() & (idk | ~a.rlike(r"\b\d{1,3}\b")), F.concat(points, F.lit("."))).otherwise(a)
-    fields = {"Credits": first(text.credits_of), "Prerequisite(s)": first(text.prerequisites_of), "Grade Mode": first(text.grade_mode_of)}
-    said = F.concat_ws(". ", *[F.concat(F.lit(f"{k}: "), v) for k, v in fields.items()])
+    fields_ = {"Credits": first(text.credits_of), "Prerequisite(s)": first(text.prerequisites_of), "Grade Mode": first(text.grade_mode_of)}
+    said = F.concat_ws(". ", *[F.concat(F.lit(f"{k}: "), v) for k, v in fields_.items()])
     need = text.text(question).rlike(r"\b[A-Z]{2,4}\s*\d{3,4}\b") & ((text.strip(out) == text.UNKNOWN) | ~out.rlike("(?i)credits|prereq|grade")) & (said != "")
     return F.when(need, F.concat(said, F.lit("."))).otherwise(out)
 
@@ -105,39 +231,42 @@ def apply_fallbacks(answer, question, passages):
 def answer_batch(questions: DataFrame, chunks: DataFrame, gold: DataFrame | None = None, cfg: Config | None = None, models: Models | None = None) -> DataFrame:
     """One row a question: answer, sources, context, rewritten query, mode and gold similarity.
 
-    ``questions`` (query_id, question), ``chunks`` an index, ``gold`` (gold_id, query, reference_answer). Equal questions
+    ``questions`` (query_id, question), ``chunks`` an index, ``gold`` (gold_id, query, reference_answer, url). Equal questions
     are answered once. Canned replies and direct gold matches skip retrieval unless both answers are wanted.
     """
     cfg, own = cfg or Config(), models or Models()
-    key = F.sha2(text.text("question"), 256)
-    keyed = questions.withColumn("q_key", key)
+    keyed = questions.withColumn("q_key", F.sha2(text.text("question"), 256))
     distinct = keyed.groupBy("q_key").agg(F.min("query_id").alias("query_id"), F.first("question").alias("question"))
     distinct = distinct.withColumn("canned", text.canned_reply(F.col("question")))
-    open_ = distinct.where("canned is null")
-    # used by several branches: computed once
-    rewritten = open_.withColumn("transformed", own.rewrite(F.col("question"))).persist()
-    direct = None
+    distinct = shared.saved(distinct.withColumn("transformed", F.when(F.col("canned").isNull(), own.rewrite(F.col("question")))), "questions")
+    open_ = distinct.where("canned is null").select("query_id", "question", "transformed")
+    direct = known = None
     if gold is not None and cfg.gold_on:
-        known = gold.select(F.xxhash64("gold_id").alias("row_id"), "gold_id", "reference_answer", own.embed(F.col("query")).alias("vector"))
-        best = vectors.best_match(rewritten.select("query_id", own.embed(F.col("transformed")).alias("vector")), known.select("row_id", "vector"), cfg.direct_threshold)
-        direct = best.join(known.select("row_id", "gold_id", "reference_answer"), "row_id").select("query_id", F.col("sim").alias("gold_similarity"), "reference_answer", "gold_id")
+        url = F.col("url") if "url" in gold.columns else F.lit("")
+        known = shared.saved(gold.select("gold_id", "query", "reference_answer", url.alias("url"), own.embed(F.col("query")).alias("vector")), "gold")
+        direct = shared.saved(gold_matches(open_.select("query_id", own.embed(F.col("transformed")).alias("vector")), known, cfg.direct_threshold), "direct")
         if not cfg.dual:
             open_ = open_.join(direct.select("query_id"), "query_id", "left_anti")
-    base = rewritten.join(open_.select("query_id"), "query_id", "left_semi")
     clear = F.when(F.col("transformed") == F.col("question"), text.clarify(F.col("question")))
     named = F.array(F.struct(F.lit(0).alias("variant"), F.col("question").alias("v")), F.struct(F.lit(1).alias("variant"), F.col("transformed").alias("v")), F.struct(F.lit(2).alias("variant"), clear.alias("v")))
-    variants = base.select("query_id", "question", F.explode(named).alias("x")).select("query_id", F.col("x.variant").alias("variant"), F.col("x.v").alias("v")).where("v is not null").dropDuplicates(["query_id", "v"])
-    variants = variants.withColumn("q_variant", F.xxhash64("query_id", "variant"))
-    path = retrieve(variants.select(F.col("q_variant").alias("query_id"), F.col("v").alias("question")), chunks, cfg, own)
+    each = open_.select("query_id", F.explode(named).alias("x")).select("query_id", "x.variant", "x.v").where("v is not null")
+    first = Window.partitionBy("query_id", "v").orderBy("variant")
+    variants = each.withColumn("q_first", F.row_number().over(first)).where("q_first = 1").drop("q_first")
+    if cfg.rerank_on:
+        variants = variants.withColumn("v", text.enhance(F.col("v"))["rewritten"])
+    variants = shared.saved(variants.withColumn("q_variant", F.xxhash64("query_id", "variant")), "variants")
+    path = retrieve(variants.select(F.col("q_variant").alias("query_id"), F.col("v").alias("question")), chunks, cfg, own, known)
+    path = shared.saved(compressed(path) if cfg.rerank_on else path, "path")
     passages = path.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("passages"), F.collect_list("title").alias("titles"), F.count("*").alias("n_path"))
     made = passages.join(context(path), "query_id").join(citations(path), "query_id").withColumnRenamed("query_id", "q_variant").join(variants, "q_variant")
     raw = own.generate(F.col("v"), F.element_at("passages", 1))
     answered = made.withColumn("answer", apply_fallbacks(text.clean_answer(raw), F.col("v"), F.col("passages")))
     if cfg.calendar_on:
-        answered = answered.withColumn("answer", F.coalesce(text.calendar_fallback(F.col("v"), F.col("answer"), F.col("titles"), cfg.calendar_url), "answer"))
+        pointer = text.calendar_fallback(F.col("v"), F.col("answer"), F.col("titles"), cfg.calendar_url)
+        answered = answered.withColumn("q_pointer", pointer).withColumns({"answer": F.coalesce("q_pointer", "answer"), "sources": F.when(F.col("q_pointer").isNull(), F.col("sources")).otherwise(text.lits([]))})
     scored = answered.withColumn("score", ranking.retrieval_score(F.col("answer"), F.size("sources"), F.col("n_path"), F.col("v")))
-    best = ranking.best_variant(scored).select("query_id", F.col("answer").alias("r_answer"), "sources", "context")
-    out = distinct.join(rewritten.select("query_id", "transformed"), "query_id", "left").join(best, "query_id", "left")
+    best = shared.saved(ranking.best_variant(scored).select("query_id", F.col("answer").alias("r_answer"), "sources", "context"), "answers")
+    out = distinct.join(best, "query_id", "left")
     if direct is not None:
         out = out.join(direct, "query_id", "left")
     else:

@@ -60,9 +60,32 @@ def token_f1(reference: Column, answer: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * both / (F.size(a) + F.size(b))).otherwise(0.0)
 
 
+def letter_vector(c: Column) -> Column:
+    """A vector anyone can check: how often each of the 26 letters occurs."""
+    low = F.lower(text.text(c))
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in "abcdefghijklmnopqrstuvwxyz"])
+
+
+def asked_of_title(passage: Column, title: Column) -> Column:
+    """Stand-in for a generator of questions: one on the last part of the title, one on the first words of the passage."""
+    last = F.element_at(F.split(text.text(title), " - "), -1)
+    words = F.array_join(F.slice(text.split_words(text.text(passage)), 1, 8), " ")
+    return F.array(F.concat(F.lit("What does the catalog say about "), last, F.lit("?")), F.concat(F.lit("Where does it say "), words, F.lit("?")))
+
+
 @dataclass(frozen=True)
 class Models:
+    """What a neural model would do, as column functions; every field can be replaced.
+
+    ``candidates``: rewrites of a question, given it and its prompt; none by default, as no model is at hand. ``imagine``: a
+    passage that would answer a question, to search by.
+    """
+
     embed: Callable[[Column], Column] = hashed_vector
     cross: Callable[[Column, Column], Column] = overlap_score
     generate: Callable[[Column, Column], Column] = lambda question, passage: first_sentences(passage)
     rewrite: Callable[[Column], Column] = text.transform_query
+    candidates: Callable[[Column, Column], Column] | None = None
+    imagine: Callable[[Column], Column] = lambda question: F.concat(F.lit("The catalog describes "), text.text(question))
+    similarity: Callable[[Column, Column], Column] = token_f1
+    ask: Callable[[Column, Column], Column] = asked_of_title

@@ -1,8 +1,8 @@
 """All queries of the retrieval and evaluation engine, by name, with SQL that checks them on the same tables.
 
-Roles of the tables: ``documents`` are section texts, ``pages`` crawled pages, ``embeddings`` chunk vectors (ids divisible
-by 100 are the query set, tier = label % 5), ``benchmark`` gold questions, ``labels`` runs and relevance,
-``conversations`` sessions and messages, ``events`` states and latencies. Where patterns have word boundaries, other
+Roles of the tables: ``documents`` are section texts, ``pages`` crawled pages, ``embeddings`` chunk vectors (those whose id is
+divisible by 100 are the queries, searched against all others; tier = label % 5), ``benchmark`` gold questions, ``labels`` runs
+and relevance, ``conversations`` sessions and messages, ``events`` states and latencies. Where patterns have word boundaries, other
 than ASCII characters become "x" on both sides, since engines disagree on them.
 """
 
@@ -12,10 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types
 
 from quarry.functions import rules, text, web
 from quarry.operators import chunking, dedup, evaluation, gold, ranking, sessions, tfidf, vectors
+from quarry.sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,13 +40,15 @@ def in_turn(rows: DataFrame, id_: Column, others: DataFrame, other_id: str) -> D
 
     Every row finds one, and every other is in use as soon as the ids go through its place, whatever the others' ids are.
     """
-    schema = types.StructType([others.schema[other_id], types.StructField("place", types.LongType())])
-    ids = others.select(other_id).distinct().orderBy(other_id)
-    places = ids.sparkSession.createDataFrame(ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])), schema)
-    turn = F.pmod(id_, F.lit(max(ids.count(), 1)))
+    places = chunking.number(others.select(other_id).distinct(), [other_id]).withColumnRenamed("chunk_idx", "place")
+    turn = F.pmod(id_, F.lit(max(places.count(), 1)))
     return rows.withColumn("place", turn).join(places, "place").drop("place").join(others, other_id)
 
 
+#: The same in SQL: benchmark items with their places, and how many there are.
+PLACED = "placed AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS place FROM benchmark), total AS (SELECT greatest(count(*), 1) AS n_items FROM benchmark)"
+
+
 def quoted(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -63,21 +65,22 @@ WORDS = "list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> '')"
 
 
 def query_vectors(spark, sf_dir):
+    """The query vectors, and all vectors: a query is compared with every other row."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
-    return q, e.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), "label")
+    return q, e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), "label")
 
 
 SIMS = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, label AS q_label FROM embeddings WHERE vec_id % 100 = 0),
-c AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 100 <> 0),
-s AS (SELECT query_id, row_id, q_label, label, round(list_cosine_similarity(q.v, c.v), 9) AS sim FROM q CROSS JOIN c)"""
+c AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+s AS (SELECT query_id, row_id, q_label, label, round(list_cosine_similarity(q.v, c.v), 9) AS sim FROM q JOIN c ON query_id <> row_id)"""
 RANKED = SIMS + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, row_id) AS rank FROM s)"
 
 
 @query("vec_topk", f"WITH {RANKED} SELECT query_id, row_id, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def vec_topk(spark, sf_dir):
     q, c = query_vectors(spark, sf_dir)
-    return vectors.top_k(q, c, 10).withColumn("sim", F.round("sim", 6))
+    return vectors.nearest_others(q, c, 10).withColumn("sim", F.round("sim", 6))
 
 
 @query("vec_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings")
@@ -87,7 +90,7 @@ def vec_norms(spark, sf_dir):
 
 def predicted_labels(spark, sf_dir):
     q, c = query_vectors(spark, sf_dir)
-    top = vectors.top_k(q, c, 10).join(c.select("row_id", F.col("label").alias("row_label")), "row_id")
+    top = vectors.nearest_others(q, c, 10).join(c.select("row_id", F.col("label").alias("row_label")), "row_id")
     lists = top.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "row_label"))), lambda x: x["row_label"]).alias("predicted"))
     return lists.join(q.select("query_id", F.array("label").alias("wanted")), "query_id")
 
@@ -125,7 +128,7 @@ BEST_GOLD = SIMS + ", b AS (SELECT row_id, query_id, sim, row_number() OVER (PAR
 @query("gold_best_match", f"WITH {BEST_GOLD} SELECT row_id AS query_id, query_id AS gold_id, round(sim, 6) AS sim FROM b WHERE p = 1")
 def gold_best_match(spark, sf_dir):
     g, rows = query_vectors(spark, sf_dir)
-    best = vectors.best_match(rows.select(F.col("row_id").alias("query_id"), "vector"), g.select(F.col("query_id").alias("row_id"), "vector"))
+    best = vectors.nearest_others(rows.select(F.col("row_id").alias("query_id"), "vector"), g.select(F.col("query_id").alias("row_id"), "vector"), 1)
     return best.select("query_id", F.col("row_id").alias("gold_id"), F.round("sim", 6).alias("sim"))
 
 
@@ -141,7 +144,7 @@ BOOSTED = RANKED + f", t AS (SELECT *, label % 5 AS tier, round(sim * {_BOOST},
 
 def boosted(spark, sf_dir):
     q, c = query_vectors(spark, sf_dir)
-    near = vectors.top_k(q, c, 240).drop("rank").join(c.select("row_id", (F.col("label") % 5).alias("tier")), "row_id")
+    near = vectors.nearest_others(q, c, 240).drop("rank").join(c.select("row_id", (F.col("label") % 5).alias("tier")), "row_id")
     return near.withColumn("boosted", F.round(F.col("sim") * ranking.tier_boost(F.col("tier")), 9))
 
 
@@ -160,7 +163,7 @@ def tier_boosted_topk(spark, sf_dir):
 )
 def ensure_gold(spark, sf_dir):
     q, c = query_vectors(spark, sf_dir)
-    near = vectors.top_k(q, c, 240).drop("rank").join(c.select("row_id", (F.col("label") % 5).alias("tier")), "row_id")
+    near = vectors.nearest_others(q, c, 240).drop("rank").join(c.select("row_id", (F.col("label") % 5).alias("tier")), "row_id")
     low = near.withColumn("boosted", F.round(F.col("sim") * ranking.tier_boost(F.col("tier"), boosts=rules.TIER_BOOSTS | {0: 0.9}), 9))
     return ranking.ensure_gold(low, 5, least=0.05).select("query_id", "row_id", "tier", "rank", "original_rank")
 
@@ -266,10 +269,24 @@ def near_dup_classes(spark, sf_dir):
     return dedup.classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "rep")
 
 
-@query("greedy_diversity")
+def ranked_sentences(spark, sf_dir):
+    """The lines of each document as a ranked list: among them are repeated and nearly repeated ones."""
+    return lines_of(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode("items").alias("pos", "text")).withColumn("rank", F.col("pos") + 1)
+
+
+GREEDY_SQL = f"""WITH l AS (SELECT doc_id, {LINES} AS items FROM documents), w AS (SELECT doc_id, list_transform(items, lambda x: list_distinct({WORDS.format(c='lower(x)')})) AS sets FROM l WHERE len(items) > 0),
+k AS (SELECT doc_id, CASE WHEN len(sets) <= {{least}} THEN range(1, len(sets) + 1) ELSE list_reduce(list_transform(range(1, len(sets) + 1), lambda i: [i]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda j: len(list_intersect(sets[j], sets[x[1]])) / greatest(len(sets[j]) + len(sets[x[1]]) - len(list_intersect(sets[j], sets[x[1]])), 1) > {{most}})) > 0 THEN acc ELSE list_concat(acc, x) END) END AS kept FROM w)
+SELECT doc_id, CAST(unnest(kept) AS INTEGER) AS rank FROM k"""
+
+
+@query("greedy_diversity", GREEDY_SQL.format(least=3, most=0.7))
 def greedy_diversity(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
-    return dedup.greedy_keep(c, 0.1, "conv_id", "rank", "text", at_least=3).select("conv_id", "turn", "rank")
+    return dedup.greedy_keep(ranked_sentences(spark, sf_dir), 0.7, "doc_id", at_least=3).select("doc_id", "rank")
+
+
+@query("greedy_near_dups", GREEDY_SQL.format(least=1, most=0.8))
+def greedy_near_dups(spark, sf_dir):
+    return dedup.greedy_keep(ranked_sentences(spark, sf_dir), 0.8, "doc_id", at_least=1).select("doc_id", "rank")
 
 
 # ---- text ----------------------------------------------------------------------------------------------------------
@@ -391,7 +408,20 @@ def rewrite_accepted(spark, sf_dir):
     return user_pairs(spark, sf_dir).select("conv_id", "turn", text.accepted_rewrite(F.col("before"), F.concat("text", F.lit("?")), most=200).alias("accepted"))
 
 
-PROSE_CANNED = [("the", "hello"), ("la", "hi"), ("in the", "okay"), ("de la", "good"), *rules.CANNED]
+@query(
+    "rewrite_flags",
+    f"""WITH u AS (SELECT conv_id, turn, {T} AS text, lag({T}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'user'),
+    f AS (SELECT conv_id, turn, text, {_ct('before')} AS a, {_ct('text')} AS b, regexp_extract_all(lower(text), '[a-z]+') AS w FROM u WHERE before IS NOT NULL),
+    g AS (SELECT conv_id, turn, len(a) = 0 OR len(list_intersect(a, b)) > 0 AS kept_tokens_ok, coalesce(list_bool_or(list_transform(range(1, len(w)), lambda i: w[i] = w[i + 1])), FALSE) AS has_repeat, len(w) AS n FROM f)
+    SELECT conv_id, turn, kept_tokens_ok, NOT has_repeat AS dup_words_fixed, CASE WHEN NOT kept_tokens_ok THEN 'lost_tokens' WHEN has_repeat THEN 'duplicate_words' WHEN n NOT BETWEEN 5 AND 25 THEN 'length_out_of_range' ELSE '' END AS fallback_reason FROM g""",
+)
+def rewrite_flags(spark, sf_dir):
+    """Each user turn judged as a rewrite of the one before it, which no turn is by domain rules alone."""
+    flags = user_pairs(spark, sf_dir).select("conv_id", "turn", text.rewrite_flags(F.col("before"), F.col("text")).alias("f"))
+    return flags.select("conv_id", "turn", "f.kept_tokens_ok", "f.dup_words_fixed", "f.fallback_reason")
+
+
+PROSE_CANNED = [("the", "greeting"), ("la", "thanks"), ("in the", "pause"), ("de la", "help"), *rules.CANNED]
 
 
 @query("generic_reply_spans")
@@ -412,10 +442,21 @@ def snippet(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.snippet(ascii_text("text")).alias("snippet"))
 
 
-@query("snippet_hint")
+_hint_words = "list_distinct(regexp_extract_all(lower({c}), '[a-z0-9'']+'))"
+_cut = "CASE WHEN length(s) <= 160 THEN s WHEN instr(substr(s, 1, 160), ' ') = 0 THEN substr(s, 1, 160) ELSE regexp_extract(substr(s, 1, 160), '^(.*) [^ ]*$', 1) END"
+
+
+@query(
+    "snippet_hint",
+    f"""WITH {PLACED}, d AS (SELECT doc_id, {_spaced.format(c=ASCII.format(c='body'))} AS p, list_filter({_hint_words.format(c=_spaced.format(c=ASCII.format(c='hint')))}, lambda w: length(w) > 2) AS wanted FROM (SELECT doc_id, text AS body, doc_id % n_items AS place FROM documents, total) JOIN (SELECT place, text AS hint FROM placed) USING (place)),
+    e AS (SELECT doc_id, p, {_sent.format(c='p')} AS parts, wanted FROM d),
+    k AS (SELECT doc_id, p, parts, list_transform(parts, lambda x: len(list_intersect({_hint_words.format(c='x')}, wanted))) AS hits FROM e),
+    c AS (SELECT doc_id, coalesce(parts[list_position(hits, list_max(hits))], p) AS s FROM k)
+    SELECT doc_id, {_cut} AS snippet FROM c""",
+)
 def snippet_hint(spark, sf_dir):
     d = in_turn(table(spark, sf_dir, "documents"), F.col("doc_id"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("hint")), "item_id")
-    return d.select("doc_id", text.snippet(F.col("text"), F.col("hint"), 160).alias("snippet"))
+    return d.select("doc_id", text.snippet(ascii_text("text"), ascii_text("hint"), 160).alias("snippet"))
 
 
 @query("fragment_url", f"SELECT page_id, CASE WHEN ends_with(lower(url), '.pdf') OR contains(lower(url), 'content=pdf') THEN url ELSE split_part(url, '#', 1) || '#:~:text=' || replace(split_part({PATH_SQL.format(u='url')}, '/', 2) || ' page', ' ', '%20') END AS link FROM pages")
@@ -444,14 +485,23 @@ def boilerplate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.remove_boilerplate(ascii_text("text")).alias("cleaned"))
 
 
-_cred = "nullif(regexp_extract({c}, '(?i)\\bCredits:\\s*([0-9]+)\\b', 1), '')"
-_line = "'Credits: ' || (doc_id % 9) || '. Grade Mode: Letter' || chr(10) || " + T
+_line = "'Credits: ' || n_chars || chr(10) || 'Prerequisite(s): ' || source || '.' || chr(10) || 'Grade Mode: ' || coalesce(lang, '')"
+_field = "nullif(trim(regexp_extract({c}, '{p}', 1)), '')"
 
 
-@query("course_fallbacks", f"SELECT doc_id, {_cred.format(c=_line)} AS credits, nullif(regexp_extract({_line}, '(?i)(\\d{{1,3}})\\s*(credits|credit hours?)', 1), '') AS degree_credits FROM documents")
+@query(
+    "course_fallbacks",
+    f"""WITH t AS (SELECT doc_id, {T} || chr(10) || ({_line}) AS t, {_line.split(" || chr(10) || 'Grade")[0]} AS p, 'Grade Mode: ' || coalesce(lang, '') AS g FROM documents WHERE source IS NOT NULL)
+    SELECT doc_id, {_field.format(c='t', p='(?i)\\bCredits:\\s*([0-9]+)\\b')} AS credits, nullif(regexp_extract(t, '(?i)(\\d{{1,3}})\\s*(credits|credit hours?)', 1), '') AS degree_credits,
+    {_field.format(c='p', p='(?i)\\bPrerequisite\\(s\\):\\s*(.+?)(?:\\.\\s*$|$)')} AS prerequisites, {_field.format(c='g', p='(?i)\\bGrade\\s*Mode:\\s*([A-Za-z/ \\-]+)$')} AS grade_mode FROM t""",
+)
 def course_fallbacks(spark, sf_dir):
-    t = F.concat(F.lit("Credits: "), (F.col("doc_id") % 9).cast("string"), F.lit(". Grade Mode: Letter\n"), ascii_text("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.credits_of(t).alias("credits"), text.degree_credits_of(t).alias("degree_credits"))
+    """Fields that are looked for in the text, and in lines made of a document's own size, source and language."""
+    d = table(spark, sf_dir, "documents").where("source is not null")
+    credit, before = F.concat(F.lit("Credits: "), F.col("n_chars").cast("string")), F.concat(F.lit("Prerequisite(s): "), "source", F.lit("."))
+    mode = F.concat(F.lit("Grade Mode: "), F.coalesce("lang", F.lit("")))
+    whole = F.concat_ws("\n", ascii_text("text"), credit, before, mode)
+    return d.select("doc_id", text.credits_of(whole).alias("credits"), text.degree_credits_of(whole).alias("degree_credits"), text.prerequisites_of(F.concat_ws("\n", credit, before)).alias("prerequisites"), text.grade_mode_of(mode).alias("grade_mode"))
 
 
 @query("question_cleaning")
@@ -511,10 +561,10 @@ def compress_chunks(spark, sf_dir):
 
 
 _qw = f"list_distinct({WORDS.format(c='lower(b.text)')})"
-_META = f"""SELECT p.page_id, b.item_id, round(least(greatest(0.5 + (4 - ({TIER_SQL})) * 0.15
+_META = f"""WITH {PLACED} SELECT p.page_id, b.item_id, round(least(greatest(0.5 + (4 - ({TIER_SQL})) * 0.15
   + least(len(list_intersect({_qw}, list_distinct({WORDS.format(c="lower(regexp_extract(p.html, '<title>([^<]*)', 1))")}))) * 0.1, 0.3)
   + CASE WHEN len(list_filter({_qw}, lambda w: contains(lower({FOLDERED}), w))) > 0 THEN 0.15 ELSE 0 END, 0), 1), 6) AS score
-  FROM pages p JOIN benchmark b ON b.item_id = p.page_id % 40"""
+  FROM pages p, total JOIN placed b ON b.place = p.page_id % n_items"""
 
 
 @query("metadata_score", _META)
@@ -527,21 +577,34 @@ def metadata_score(spark, sf_dir):
 @query("position_bias", f"WITH {RANKED} SELECT query_id, row_id, round(sim * (0.85 + 0.15 / (1 + ln(1 + rank - 1))), 6) AS adjusted FROM r WHERE rank <= 20")
 def position_bias(spark, sf_dir):
     q, c = query_vectors(spark, sf_dir)
-    top = vectors.top_k(q, c, 20)
+    top = vectors.nearest_others(q, c, 20)
     return top.select("query_id", "row_id", F.round(ranking.position_bias(F.col("sim"), F.col("rank") - 1), 6).alias("adjusted"))
 
 
+_cw = lambda c: f"list_filter(list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[a-z]+')), lambda w: NOT list_contains({quoted(rules.CONTENT_STOPWORDS)}, w))"
+_sw = lambda c: f"list_distinct({WORDS.format(c=f'lower(coalesce({c}, $$$$))')})"
+
+
 @query(
     "rerank_fusion",
-    f"""WITH {RANKED}, p AS (SELECT *, rank - 1 AS position, (label % 5) / 5.0 AS metadata, (row_id % 7) / 7.0 AS cross_, (row_id % 3) / 3.0 AS tf FROM r WHERE rank <= 40),
-    z AS (SELECT query_id, row_id, position, 0.25 * sim * (0.85 + 0.15 / (1 + ln(1 + position))) + 0.15 * metadata + 0.45 * (CASE WHEN position < 20 THEN cross_ ELSE 0.3 END) + 0.15 * tf AS score FROM p),
-    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, position) AS rank FROM z)
-    SELECT query_id, row_id, round(score, 6) AS final_score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""",
+    f"""WITH {TFIDF_SQL}, q AS (SELECT group_id, text AS asked FROM items WHERE is_query),
+    m AS (SELECT f.group_id, f.item_id, f.tfidf, row_number() OVER (PARTITION BY f.group_id ORDER BY f.item_id) - 1 AS position, {_sw('asked')} AS a, {_sw('f.text')} AS b, {_cw('asked')} AS ca, {_cw('substr(f.text, 1, 512)')} AS cb, f.item_id % 5 AS tier FROM f JOIN q USING (group_id)),
+    p AS (SELECT group_id, item_id, position, tfidf, len(list_intersect(a, b)) / greatest(len(a) + len(b) - len(list_intersect(a, b)), 1) AS sim,
+      least(greatest(0.5 + (4 - tier) * 0.15 + least(len(list_intersect(a, b)) * 0.1, 0.3), 0), 1) AS metadata, CASE WHEN len(ca) > 0 THEN len(list_intersect(ca, cb)) / len(ca) ELSE 0 END AS cross_ FROM m),
+    z AS (SELECT group_id, item_id, position, 0.25 * sim * (0.85 + 0.15 / (1 + ln(1 + position))) + 0.15 * metadata + 0.45 * (CASE WHEN position < 20 THEN cross_ ELSE 0.3 END) + 0.15 * tfidf AS score FROM p),
+    k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY round(score, 9) DESC, position) AS rank FROM z)
+    SELECT group_id AS query_id, item_id AS row_id, round(score, 6) AS final_score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""",
 )
 def rerank_fusion(spark, sf_dir):
-    q, c = query_vectors(spark, sf_dir)
-    top = vectors.top_k(q, c, 40).join(c.select("row_id", "label"), "row_id")
-    given = top.select("query_id", "row_id", "sim", (F.col("rank") - 1).alias("position"), ((F.col("label") % 5) / 5.0).alias("metadata"), ((F.col("row_id") % 7) / 7.0).alias("cross"), ((F.col("row_id") % 3) / 3.0).alias("tfidf"))
+    """The turns of a conversation ranked for its first one: word overlap as similarity, titles are the turns themselves."""
+    from quarry.plans.models import overlap_score
+
+    items = items_of(spark, sf_dir)
+    asked = items.where("is_query").select(F.col("group_id"), F.col("text").alias("asked"))
+    rows = items.where("not is_query").join(asked, "group_id").join(tfidf.scores(items), ["group_id", "item_id"])
+    words = lambda c: F.array_distinct(text.split_words(F.lower(text.text(c))))
+    position = F.row_number().over(Window.partitionBy("group_id").orderBy("item_id")) - 1
+    given = rows.select(F.col("group_id").alias("query_id"), F.col("item_id").alias("row_id"), position.alias("position"), "tfidf", dedup.jaccard(words("asked"), words("text")).alias("sim"), ranking.metadata_score(F.col("asked"), F.col("text"), F.lit(""), F.col("item_id") % 5).alias("metadata"), overlap_score(F.col("asked"), text.text("text")).alias("cross"))
     return ranking.fuse(given, 5).select("query_id", "row_id", F.round("final_score", 6).alias("final_score"), "rank")
 
 
@@ -560,39 +623,35 @@ def fusion_best(spark, sf_dir):
     return ranking.best_variant(v).withColumn("score", F.round("score", 6))
 
 
-def with_vectors(rows: DataFrame, id_: Column, e: DataFrame, pool: DataFrame) -> DataFrame:
-    """Each row with the vector of its id, or one of the pool in turn where there is none."""
-    own = rows.withColumn("vec_id", id_)
-    rest = own.join(e, "vec_id", "left_anti").withColumnRenamed("vec_id", "own_id")
-    lent = in_turn(rest, F.col("own_id"), pool, "vec_id").drop("own_id")
-    return own.join(e, "vec_id").unionByName(lent)
+_PTOK = "list_distinct(list_concat(list_filter(string_split(regexp_replace(regexp_replace(title, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: length(w) >= 3), list_filter(string_split_regex(lower(" + PATH_SQL.format(u="url") + f"), '[/\\-._]'), lambda w: length(w) >= 3 AND NOT list_contains({quoted(rules.URL_STOP)}, w))))"
+_MARKS = ", ".join("(" + " OR ".join([f"contains(title, '{m}')" for m in marks[0]] + [f"contains(lower(url), '{m}')" for m in marks[1]]) + f") AS p_{d}" for d, marks in rules.DEGREE_MARKS.items())
+_WANTS = ", ".join(f"regexp_matches(' ' || lower(text) || ' ', '{quote}') AS m_{d}" for d, quote in ((d, p.replace("'", "''")) for d, p in rules.DEGREE_INTENTS.items()))
+_ALLOWED = " AND ".join(f"(NOT m_{d} OR p_{d})" for d in rules.DEGREE_MARKS)
+_ASKED = " OR ".join(f"m_{d}" for d in rules.DEGREE_MARKS)
 
 
 @query(
     "program_match",
-    f"""WITH p AS (SELECT page_id AS row_id, lower(regexp_extract(html, '<title>([^<]*)', 1)) AS title, url FROM pages),
-    pt AS (SELECT row_id, list_distinct(list_concat(list_filter(string_split(regexp_replace(regexp_replace(title, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: length(w) >= 3),
-      list_filter(string_split_regex(lower({PATH_SQL.format(u='url')}), '[/\\-._]'), lambda w: length(w) >= 3 AND NOT list_contains({quoted(rules.URL_STOP)}, w)))) AS tokens FROM p),
-    m AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: length(w) >= 3)) AS tokens FROM benchmark),
-    s AS (SELECT a.vec_id AS query_id, b.vec_id - 100 AS row_id, 0.5 + 0.5 * list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a, embeddings b),
-    j AS (SELECT query_id, row_id, round(sim, 9) AS sim, len(list_intersect(m.tokens, pt.tokens)) AS overlap FROM s JOIN m USING (query_id) JOIN pt USING (row_id)),
-    k AS (SELECT *, round(0.9 * sim + 0.1 * least(overlap, 3) / 3, 9) AS combined FROM j), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, row_id) AS q FROM k)
-    SELECT query_id, row_id, round(combined, 6) AS combined FROM r WHERE q = 1 AND (sim >= 0.68 OR (sim >= 0.62 AND overlap >= 1))""",
+    f"""WITH e AS (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings),
+    p AS (SELECT page_id AS row_id, lower(regexp_extract(html, '<title>([^<]*)', 1)) AS title, url, CAST(embedding AS DOUBLE[]) AS v FROM pages, n JOIN e ON e.place = page_id % n.n),
+    pt AS (SELECT row_id, v, {_PTOK} AS tokens, {_MARKS} FROM p),
+    m AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: length(w) >= 3)) AS tokens, {_WANTS} FROM benchmark, n JOIN e ON e.place = item_id % n.n),
+    j AS (SELECT query_id, row_id, round(0.5 + 0.5 * round(list_cosine_similarity(m.v, pt.v), 9), 9) AS sim, len(list_intersect(m.tokens, pt.tokens)) AS shared, ({_ASKED}) AND {_ALLOWED} AS in_pool FROM m, pt),
+    k AS (SELECT *, round(0.9 * sim + 0.1 * least(shared, 3) / 3, 9) AS combined FROM j),
+    r AS (SELECT query_id, row_id, sim, shared, combined, 2 AS pool, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, row_id) AS q FROM k
+      UNION ALL SELECT query_id, row_id, sim, shared, combined, 1 AS pool, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, row_id) AS q FROM k WHERE in_pool),
+    g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pool) AS first FROM r WHERE q = 1 AND (sim >= 0.68 OR (sim >= 0.62 AND shared >= 1)))
+    SELECT query_id, row_id, round(combined, 6) AS combined FROM g WHERE first = 1""",
 )
 def program_match(spark, sf_dir):
+    """Every message against every page; both have the vector whose place is their id, in turn."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    items, pages = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "<title>([^<]*)", 1)
-    programs = pages.select(F.col("page_id").alias("row_id"), F.array_distinct(F.concat(web.match_tokens(title), web.url_tokens(F.col("url")))).alias("tokens"), web.degree_flags(title, F.col("url")).alias("flags"))
-    messages = items.select(F.col("item_id").alias("query_id"), F.array_distinct(web.match_tokens(F.col("text"))).alias("tokens"), web.degree_intent(F.col("text")).alias("degree"))
-    n = pages.count()
-    # all programs take part, so every message is compared with each of them
-    asked = with_vectors(messages.select("query_id"), F.col("query_id"), e, e).select("query_id", F.col("embedding").alias("vector"))
-    free = e.join(messages.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
-    given = with_vectors(programs.select("row_id"), F.col("row_id") + 100, e, e if free.isEmpty() else free).select("row_id", F.col("embedding").alias("vector"))
-    found = vectors.top_k(asked, given, n)
-    sims = found.select("query_id", "row_id", F.round(0.5 + 0.5 * F.col("sim"), 9).alias("sim"))
-    return ranking.program_match(messages, programs, sims).withColumn("combined", F.round("combined", 6))
+    pages = in_turn(table(spark, sf_dir, "pages"), F.col("page_id"), e, "vec_id")
+    items = in_turn(table(spark, sf_dir, "benchmark"), F.col("item_id"), e, "vec_id")
+    programs = pages.select(F.col("page_id").alias("row_id"), F.col("embedding").alias("vector"), F.array_distinct(F.concat(web.match_tokens(title), web.url_tokens(F.col("url")))).alias("tokens"), web.degree_flags(title, F.col("url")).alias("flags"))
+    messages = items.select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"), F.array_distinct(web.match_tokens(F.col("text"))).alias("tokens"), web.degree_intent(F.col("text")).alias("degree"))
+    return ranking.program_match(messages, programs).withColumn("combined", F.round("combined", 6))
 
 
 # ---- gold ----------------------------------------------------------------------------------------------------------
@@ -612,7 +671,11 @@ def gold_stats(spark, sf_dir):
     return gold.categories(gold_tables(spark, sf_dir)[0])
 
 
-@query("gold_statistics")
+_sentences = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
+_passages = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
+
+
+@query("gold_statistics", f"SELECT (SELECT count(*) FROM benchmark) AS questions, (SELECT CAST(sum(len({_sentences})) AS BIGINT) FROM benchmark) AS nuggets, (SELECT CAST(sum(len({_passages})) AS BIGINT) FROM benchmark) AS passages, (SELECT count(*) FROM embeddings) AS embeddings, (SELECT count(*) > 0 FROM embeddings) AS has_embeddings")
 def gold_statistics(spark, sf_dir):
     q, n, p, _ = gold_tables(spark, sf_dir)
     return gold.statistics(q, n, p, table(spark, sf_dir, "embeddings"))
@@ -634,13 +697,33 @@ def gold_by_id(spark, sf_dir):
     return gold.with_children(q, n, p).select("id", "query", F.size("passages").cast("long").alias("n_passages"))
 
 
-@query("gold_upsert", "SELECT CAST(item_id AS VARCHAR) AS id, text AS query, 'uncategorized' AS category FROM benchmark")
+@query("gold_upsert", "SELECT 'c' || (item_id % 4) || ':' || item_id AS id, CASE WHEN item_id % 3 <> 0 THEN reverse(text) ELSE text END AS query, 'c' || (item_id % 4) AS category FROM benchmark")
 def gold_upsert(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.lit("").alias("reference_answer"), F.lit("").alias("url"), F.col("item_id"))
-    old = b.where("item_id % 3 <> 0").withColumn("category", gold.category(F.col("id"))).drop("item_id")
+    """Two thirds of the questions are known already, with another wording: an import without overwriting keeps that."""
+    b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("c"), (F.col("item_id") % 4).cast("string"), F.lit(":"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("query"), F.lit("").alias("reference_answer"), F.lit("").alias("url"), F.col("item_id"))
+    old = b.where("item_id % 3 <> 0").withColumns({"category": gold.category(F.col("id")), "query": F.reverse("query")}).drop("item_id")
     return gold.import_records(old, b.drop("item_id")).select("id", "query", "category")
 
 
+@query("gold_in_order", f"WITH g AS ({_GOLD}) SELECT id, query, category, row_number() OVER (ORDER BY category, id) AS place FROM g")
+def gold_in_order(spark, sf_dir):
+    """The ordered scan, with each question's place in it."""
+    ordered = gold.in_order(gold_tables(spark, sf_dir)[0])
+    return chunking.number(ordered, ["category", "id"]).select("id", "query", "category", (F.col("chunk_idx") + 1).alias("place"))
+
+
+@query("gold_embeddings", "SELECT vec_id AS question_id, CASE WHEN vec_id % 2 = 0 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings")
+def gold_embeddings(spark, sf_dir):
+    """Vectors after a store that replaces those of every second question."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("question_id"), "embedding")
+    return gold.embeddings_in_order(gold.store_embeddings(e, e.where("question_id % 2 = 0").withColumn("embedding", F.reverse("embedding"))))
+
+
+@query("log_changes", "SELECT count(*) FILTER (WHERE item_id % 3 = 0 AND item_id % 2 = 0) AS created, count(*) FILTER (WHERE item_id % 3 <> 0 AND item_id % 2 = 0) AS updated, count(*) FILTER (WHERE item_id % 3 <> 0 AND item_id % 2 = 1) AS kept FROM benchmark")
+def log_changes(spark, sf_dir):
+    return gold.changes(QUERIES["log_upsert"](spark, sf_dir))
+
+
 @query("log_upsert", "SELECT item_id AS id, CASE WHEN item_id % 2 = 0 THEN reverse(text) ELSE text END AS line, CASE WHEN item_id % 3 = 0 THEN (CASE WHEN item_id % 2 = 0 THEN 'created' END) WHEN item_id % 2 = 0 THEN 'updated' ELSE 'kept' END AS change FROM benchmark WHERE item_id % 3 <> 0 OR item_id % 2 = 0")
 def log_upsert(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
@@ -656,21 +739,60 @@ _K = "trim(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '\\s+', '
     "qa_merge_replace",
     f"""WITH c AS (SELECT doc_id AS chunk_idx, text, {_K} AS k FROM documents), m AS (SELECT k, max(chunk_idx) AS chunk_idx FROM c GROUP BY k),
     g AS (SELECT DISTINCT {_K} AS k FROM documents WHERE doc_id % 5 = 0)
-    SELECT m.chunk_idx, TRUE AS is_synthetic_qa FROM g JOIN m USING (k) UNION ALL SELECT chunk_idx, FALSE FROM c WHERE k NOT IN (SELECT k FROM g)""",
+    SELECT m.chunk_idx, 'Question: What is it?' || chr(10) || chr(10) || 'Answer: ' || g.k AS text, TRUE AS is_synthetic_qa FROM g JOIN m USING (k) UNION ALL SELECT chunk_idx, text, FALSE FROM c WHERE k NOT IN (SELECT k FROM g)""",
 )
 def qa_merge_replace(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     key = text.clean_space(text.text("text"))
     made = d.where("doc_id % 5 = 0").select("text", key.alias("k")).dropDuplicates(["k"]).select(F.col("text").alias("original_text"), text.qa_chunk(F.col("text"), F.array(F.lit("What is it?"))).alias("qa_text"))
-    return gold.merge_generated(d.select(F.col("doc_id").alias("chunk_idx"), "text"), made).select("chunk_idx", "is_synthetic_qa")
+    return gold.merge_generated(d.select(F.col("doc_id").alias("chunk_idx"), "text"), made).select("chunk_idx", "text", "is_synthetic_qa")
+
 
+_points = f"CASE WHEN len({_sentences}) > 0 THEN chr(10) || chr(10) || 'Key Points: ' || array_to_string({_sentences}, '; ') ELSE '' END"
 
-@query("gold_documents")
+
+@query("gold_documents", f"SELECT 'c' || (item_id % 4) || ':q' || item_id AS gold_id, 'Question: ' || text || chr(10) || chr(10) || 'Answer: ' || reverse(text) || {_points} AS text, 'C' || (item_id % 4) || ' Information' AS title, '' AS url, 0 AS tier, TRUE AS is_gold, text AS original_query, {_passages} AS gold_passages FROM benchmark")
 def gold_documents(spark, sf_dir):
     q, n, p, _ = gold_tables(spark, sf_dir)
     return gold.documents(gold.with_children(q, n, p))
 
 
+def chunks_of_documents(spark, sf_dir):
+    """Documents as chunks: title of source and language, tier of the id, an address of its own."""
+    d = lines_of(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return d.select(F.col("doc_id").alias("chunk_idx"), text.text("text").alias("text"), "title", F.concat(F.lit("http://x.example/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), (F.col("doc_id") % 5).cast("int").alias("tier"))
+
+
+_title = "source || CASE WHEN lang IS NOT NULL THEN ' - ' || lang ELSE '' END"
+_q1 = "'What does the catalog say about ' || coalesce(lang, source) || ' ' || source || '?'"
+SYNTHETIC_SQL = f"""WITH c AS (SELECT doc_id AS chunk_idx, coalesce(text, '') AS text, source, lang, {_q1} AS question, (doc_id % 5 IN (1, 4) OR contains('http://x.example/' || source || '/' || doc_id, '/src1')) AS wanted, length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13))) >= 50 AS long_enough FROM documents WHERE source IS NOT NULL),
+a AS (SELECT * FROM c WHERE wanted AND long_enough AND length(question) BETWEEN 10 AND 150), f AS (SELECT *, row_number() OVER (PARTITION BY lower(question) ORDER BY chunk_idx) AS p FROM a)"""
+
+
+def asked_of_source(passage: Column, title: Column) -> Column:
+    """A question on the last and the first part of a title."""
+    parts = F.split(title, " - ")
+    return F.array(F.concat(F.lit("What does the catalog say about "), F.element_at(parts, -1), F.lit(" "), F.element_at(parts, 1), F.lit("?")))
+
+
+def made_questions(spark, sf_dir):
+    from quarry.operators import synthetic
+
+    chunks = chunks_of_documents(spark, sf_dir).where("url is not null")
+    return synthetic, chunks, synthetic.questions(chunks, asked_of_source, 3, [1, 4], ["/src1"])
+
+
+@query("synthetic_questions", SYNTHETIC_SQL + " SELECT chunk_idx, question FROM f WHERE p = 1")
+def synthetic_questions(spark, sf_dir):
+    return made_questions(spark, sf_dir)[2].select("chunk_idx", "question")
+
+
+@query("synthetic_statistics", SYNTHETIC_SQL + " SELECT (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM c WHERE NOT wanted) AS filtered, (SELECT count(*) FROM c WHERE wanted AND NOT long_enough) AS too_short, (SELECT count(*) FROM f WHERE p = 1) AS made, (SELECT count(*) FROM f WHERE p = 1) AS questions, CASE WHEN (SELECT count(*) FROM f WHERE p = 1) > 0 THEN 1.0 ELSE 0.0 END AS average")
+def synthetic_statistics(spark, sf_dir):
+    synthetic, chunks, asked = made_questions(spark, sf_dir)
+    return synthetic.statistics(chunks, synthetic.qa_chunks(chunks, asked), [1, 4], ["/src1"])
+
+
 # ---- evaluation ----------------------------------------------------------------------------------------------------
 
 
@@ -708,6 +830,74 @@ def run_compare(spark, sf_dir):
     return evaluation.compare(a, b, ["quality", "toxic"]).withColumn("delta_quality", F.round("delta_quality", 6))
 
 
+@query("category_counts", f"WITH r AS ({_RUN}) SELECT category, count(*) AS n FROM r GROUP BY category")
+def category_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category")), "doc_id")
+    return evaluation.category_counts(d)
+
+
+def evaluated(spark, sf_dir):
+    """Benchmark items as gold questions; the first answer of a conversation and the pages of an item's place as predictions.
+
+    The sentences of an item are its nuggets and every second of its pages a gold passage; every seventh item has no prediction.
+    """
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    placed = in_turn(table(spark, sf_dir, "pages").select("page_id", "url", title.alias("text")), F.col("page_id"), table(spark, sf_dir, "benchmark").select("item_id"), "item_id")
+    found = placed.groupBy(F.col("item_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("page_id").alias("idx"), "url", "text"))).alias("retrieved"), F.array_sort(F.collect_set(F.when(F.col("page_id") % 2 == 0, web.slug(F.col("url"))))).alias("gold_passages"))
+    told = table(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("model_answer"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("query"), F.col("text").alias("reference_answer"), text.sentences(F.col("text")).alias("nuggets"), F.lit("").alias("url"))
+    g = b.join(found.select("id", "gold_passages"), "id", "left")
+    p = found.where("id % 7 <> 0").join(told.withColumnRenamed("conv_id", "id"), "id", "left").select("id", "model_answer", "retrieved")
+    return g, p
+
+
+_letters = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda l: CAST(length(lower({c})) - length(replace(lower({c}), l, '')) AS DOUBLE))"
+_strip = "trim({c}, ' ' || chr(9) || chr(10) || chr(13))"
+_alpha = "list_distinct(regexp_extract_all(lower({c}), '[a-z]+'))"
+_slug = "CASE WHEN regexp_replace(coalesce(" + SEGMENTS_SQL + "[-1], ''), '\\.html?$', '') = '' THEN 'catalog' ELSE regexp_replace(coalesce(" + SEGMENTS_SQL + "[-1], ''), '\\.html?$', '') END"
+_rel = "list_transform(ids[1:{k}], lambda x: CASE WHEN list_contains(wanted, x) THEN 1 ELSE 0 END)"
+_gain = "coalesce(list_sum(list_transform(range(1, len({r}) + 1), lambda i: ({r})[i] / log2(i + 1))), 0)"
+EVAL_SQL = f"""WITH {PLACED}, pg AS (SELECT page_id, {_slug} AS slug, {_strip.format(c="regexp_extract(html, '<title>([^<]*)', 1)")} AS t, item_id FROM pages, total JOIN placed ON place = page_id % n_items),
+fd AS (SELECT item_id AS id, list(slug ORDER BY page_id) AS ids, list(t ORDER BY page_id) AS texts, coalesce(list(DISTINCT slug) FILTER (WHERE page_id % 2 = 0), []) AS wanted FROM pg GROUP BY item_id),
+tl AS (SELECT conv_id AS id, arg_min(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+q AS (SELECT b.item_id AS id, {_strip.format(c='b.text')} AS ref, {_sentences.replace('(text', '(b.text')} AS points, coalesce(fd.wanted, []) AS wanted, CASE WHEN b.item_id % 7 = 0 THEN [] ELSE coalesce(fd.ids, []) END AS ids,
+  CASE WHEN b.item_id % 7 = 0 THEN [] ELSE list_filter(coalesce(fd.texts, [])[1:3], lambda x: x <> '') END AS top, CASE WHEN b.item_id % 7 = 0 OR fd.id IS NULL THEN '' ELSE {_strip.format(c="coalesce(tl.answer, '')")} END AS ans FROM benchmark b LEFT JOIN fd ON fd.id = b.item_id LEFT JOIN tl ON tl.id = b.item_id),
+v AS (SELECT *, {_letters.format(c='ans')} AS va, {_letters.format(c='ref')} AS vr, {_alpha.format(c='ref')} AS wr, {_alpha.format(c='ans')} AS wa FROM q),
+m AS (SELECT id, CASE WHEN len(points) = 0 THEN 1.0 WHEN ans = '' THEN 0.0 ELSE len(list_filter(points, lambda p: list_cosine_similarity({_letters.format(c='p')}, va) >= 0.9)) / len(points) END AS r,
+  CASE WHEN ans <> '' AND ref <> '' THEN list_cosine_similarity(va, vr) ELSE 0.0 END AS cos, CASE WHEN ref <> '' THEN coalesce(list_max(list_transform(top, lambda t: list_cosine_similarity({_letters.format(c='t')}, vr))), 0.0) ELSE 0.0 END AS chunk,
+  CASE WHEN len(wr) > 0 AND len(wa) > 0 THEN 2 * len(list_intersect(wr, wa)) / (len(wr) + len(wa)) ELSE 0.0 END AS f1, wanted, ids FROM v)
+SELECT id, 1.0 AS nugget_precision, round(r, 6) AS nugget_recall, round(2 * r / (1 + r), 6) AS nugget_f1, round(cos, 6) AS sbert_cosine, round(chunk, 6) AS sbert_cosine_chunk, round(f1, 6) AS bertscore_f1, """ + ", ".join(
+    [f"round(CASE WHEN len(wanted) > 0 THEN len(list_intersect(list_distinct(ids[1:{k}]), wanted)) / len(wanted) ELSE 0.0 END, 6) AS recall_{k}" for k in (1, 3, 5)]
+    + [f"round(CASE WHEN {_gain.format(r='list_reverse_sort(' + _rel.format(k=k) + ')')} > 0 THEN {_gain.format(r=_rel.format(k=k))} / {_gain.format(r='list_reverse_sort(' + _rel.format(k=k) + ')')} ELSE 0.0 END, 6) AS ndcg_{k}" for k in (1, 3, 5)]
+) + " FROM m"
+
+
+def scored_questions(spark, sf_dir):
+    from quarry.plans.models import Models, letter_vector
+
+    return evaluation.evaluate(*evaluated(spark, sf_dir), Models(embed=letter_vector), 0.9)
+
+
+@query("eval_per_question", EVAL_SQL)
+def eval_per_question(spark, sf_dir):
+    """All twelve metrics, with counts of letters as vectors, which SQL can make too."""
+    return scored_questions(spark, sf_dir).select("id", *[F.round(F.col(f"`{m}`"), 6).alias(m.replace("@", "_")) for m in evaluation.METRICS])
+
+
+@query("eval_report", f"WITH e AS ({EVAL_SQL}) SELECT count(*) AS count, " + ", ".join(f"round(avg({m.replace('@', '_')}), 4) AS {m.replace('@', '_')}" for m in evaluation.METRICS) + " FROM e")
+def eval_report(spark, sf_dir):
+    """The summary of the stored report."""
+    made = evaluation.report(scored_questions(spark, sf_dir))
+    return made.select(F.col("summary")["count"].cast("long").alias("count"), *[F.round(F.col("summary")[m], 4).alias(m.replace("@", "_")) for m in evaluation.METRICS])
+
+
+@query("eval_prediction_metrics", f"WITH e AS ({EVAL_SQL}), p AS (SELECT DISTINCT page_id % (SELECT count(*) FROM benchmark) AS place FROM pages), b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place FROM benchmark) SELECT id, recall_5, ndcg_5, bertscore_f1 FROM e WHERE id % 7 <> 0 AND id IN (SELECT item_id FROM b JOIN p USING (place))")
+def eval_prediction_metrics(spark, sf_dir):
+    g, p = evaluated(spark, sf_dir)
+    joined = evaluation.prediction_metrics(p.withColumn("id", F.col("id").cast("string")), g.withColumn("id", F.col("id").cast("string")), scored_questions(spark, sf_dir).withColumn("id", F.col("id").cast("string")))
+    return joined.select(F.col("id").cast("long").alias("id"), *[F.round(F.col(f"`{m}`"), 6).alias(m.replace("@", "_")) for m in ("recall@5", "ndcg@5", "bertscore_f1")])
+
+
 @query("run_categories", f"WITH r AS ({_RUN}) SELECT DISTINCT coalesce(nullif(category, ''), 'Uncategorized') AS category FROM r WHERE id % 9 <> 0 INTERSECT SELECT DISTINCT coalesce(nullif(category, ''), 'Uncategorized') FROM r WHERE id % 9 <> 1")
 def run_categories(spark, sf_dir):
     return evaluation.shared_categories(*runs(spark, sf_dir))
@@ -731,9 +921,9 @@ def metric_bands(spark, sf_dir):
 @query("nugget_recall", f"WITH {SIMS}, n AS (SELECT query_id AS id, count(*) FILTER (WHERE sim >= 0.1) AS hits, count(*) AS n FROM s GROUP BY query_id) SELECT id, 1.0 AS nugget_precision, round(hits / n, 6) AS nugget_recall, round(2 * (hits / n) / (1 + hits / n), 6) AS nugget_f1 FROM n")
 def nugget_recall(spark, sf_dir):
     q, c = query_vectors(spark, sf_dir)
-    sims = vectors.top_k(q, c, c.count()).select(F.col("query_id").alias("id"), "sim")
-    n = sims.groupBy("id").agg(F.count("*").alias("n_nuggets")).withColumn("has_answer", F.lit(True))
-    return evaluation.nugget_scores(sims, n, 0.1).select("id", "nugget_precision", F.round("nugget_recall", 6).alias("nugget_recall"), F.round("nugget_f1", 6).alias("nugget_f1"))
+    counted = vectors.similar_counts(q, c, 0.1)
+    recall = F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(1.0)
+    return counted.select(F.col("query_id").alias("id"), F.lit(1.0).alias("nugget_precision"), F.round(recall, 6).alias("nugget_recall"), F.round(2 * recall / (1 + recall), 6).alias("nugget_f1"))
 
 
 # ---- sessions ------------------------------------------------------------------------------------------------------
@@ -771,22 +961,35 @@ def downtime_total(spark, sf_dir):
     return sessions.downtime_totals(sessions.downtimes(table(spark, sf_dir, "events"), ["user_id"], F.col("event_type") == "error"), ["user_id"])
 
 
-_CODES = [0, 1, 125, 126, 127, 137, 139, 143, 2]
-_LOG = "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Out of memory' WHEN 1 THEN 'panic: x' WHEN 2 THEN 'Connection refused' WHEN 3 THEN 'permission denied' WHEN 4 THEN 'no such file' WHEN 5 THEN 'port 80 already in use' ELSE 'Segfault' END AS line, [0, 1, 125, 126, 127, 137, 139, 143, 2][event_id % 9 + 1] AS exit_code FROM events"
+_LOG = "SELECT doc_id, coalesce(text, '') AS line, n_chars % 256 AS exit_code FROM documents"
 
 
-@query("log_classify", f"WITH l AS ({_LOG}) SELECT event_id, " + ", ".join(f"regexp_matches(line, '(?i){p}') AS {n}" for n, p in rules.LOG_CAUSES) + ", CASE exit_code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in rules.EXIT_CODES.items()) + " ELSE 'unexpected exit' END AS exit_meaning FROM l")
+@query("log_classify", f"WITH l AS ({_LOG}) SELECT doc_id, " + ", ".join(f"regexp_matches(line, '(?i){p}') AS {n}" for n, p in rules.LOG_CAUSES) + ", CASE WHEN exit_code IS NULL THEN 'exit code unavailable' ELSE CASE exit_code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in rules.EXIT_CODES.items()) + " ELSE 'unexpected exit' END END AS exit_meaning FROM l")
 def log_classify(spark, sf_dir):
-    words = ["Out of memory", "panic: x", "Connection refused", "permission denied", "no such file", "port 80 already in use", "Segfault"]
-    e = table(spark, sf_dir, "events").select("event_id", F.element_at(text.lits(words), (F.col("event_id") % 7 + 1).cast("int")).alias("line"), F.element_at(F.array(*[F.lit(c) for c in _CODES]), (F.col("event_id") % 9 + 1).cast("int")).alias("exit_code"))
-    return sessions.classify_log(e).drop("line", "exit_code")
+    """Documents as log lines, with the size in a byte as exit code."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.text("text").alias("line"), (F.col("n_chars") % 256).cast("int").alias("exit_code"))
+    return sessions.classify_log(d).drop("line", "exit_code")
+
+
+@query("last_errors", "WITH l AS (SELECT source, doc_id, coalesce(text, '') AS line FROM documents WHERE regexp_matches(coalesce(text, ''), '(?i)error|exception|fatal|panic|tion')), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS place FROM l) SELECT source, doc_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 5")
+def last_errors(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", text.text("text").alias("line"))
+    return sessions.last_errors(d, ["source"], "doc_id", pattern="(?i)error|exception|fatal|panic|tion").select("source", "doc_id", "place")
+
 
+_one_line = "translate(coalesce({c}, ''), chr(10) || chr(13), '  ')"
 
-@query("selection_log", "SELECT event_id, printf('%.4f', value) AS gold_similarity FROM events WHERE value IS NOT NULL")
+
+@query(
+    "selection_log",
+    f"""SELECT conv_id, turn, {_one_line.format(c='question')} AS question, {_one_line.format(c='text')} AS primary_answer, printf('%.4f', length(coalesce(text, '')) / 1000.0) AS gold_similarity
+    FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question FROM conversations) WHERE role = 'assistant'""",
+)
 def selection_log(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value is not null")
-    rows = e.select(F.col("event_id").cast("string").alias("timestamp"), *[F.lit("a\nb").alias(c) for c in ("session_id", "selected_version", "answer_mode", "question", "primary_answer", "alternative_answer")], F.col("value").alias("gold_similarity"))
-    return sessions.selection_log(rows).select(F.col("timestamp").cast("long").alias("event_id"), "gold_similarity")
+    """Answers with the question before them; their length in thousands stands for the similarity."""
+    c = sessions.previous_question(table(spark, sf_dir, "conversations"))
+    rows = c.select(F.col("turn").cast("string").alias("timestamp"), F.col("conv_id").cast("string").alias("session_id"), F.lit("primary").alias("selected_version"), F.col("role").alias("answer_mode"), "question", F.col("text").alias("primary_answer"), F.lit(None).cast("string").alias("alternative_answer"), (F.length(text.text("text")) / 1000.0).alias("gold_similarity"))
+    return sessions.selection_log(rows).select(F.col("session_id").cast("long").alias("conv_id"), F.col("timestamp").cast("long").alias("turn"), "question", "primary_answer", "gold_similarity")
 
 
 _TL = "SELECT page_id, page_id // 10 AS g, 'T' || (page_id % 4) AS title FROM pages"
@@ -830,10 +1033,17 @@ def html_titles(spark, sf_dir):
     return html.page_title(html.blocks(table(spark, sf_dir, "pages"))).withColumn("title", F.trim("title"))
 
 
-@query("program_level", f"SELECT page_id, CASE WHEN regexp_matches(t, '\\b(ph\\.?d\\.?|phd|doctor(al|ate)|dnp)\\b') THEN 'phd' WHEN regexp_matches(t, '\\b(ms|m\\.?s\\.?|ma|m\\.?a\\.?|m\\.?sc|mba|mph|mfa|meng|m\\.?eng)\\b') THEN 'grad' WHEN regexp_matches(t, '\\b(bs|b\\.?s\\.?|ba|b\\.?a\\.?)\\b') THEN 'undergrad' ELSE 'unknown' END AS level FROM (SELECT page_id, ['ph.d. in x', 'm.s. study', 'b.a. of arts', 'other'][page_id % 4 + 1] AS t FROM pages)")
+_lev = lambda c, place: "CASE " + " ".join(f"WHEN regexp_matches(lower({c}), '{p}') THEN '{label}'" for p, label in rules.LEVEL_PATTERNS[place]) + " END"
+_html_title = "regexp_extract(regexp_replace(html, '[^\\x00-\\x7F]', 'x', 'g'), '<title>([^<]*)', 1)"
+_html_lines = "regexp_extract_all(regexp_replace(html, '[^\\x00-\\x7F]', 'x', 'g'), '<p>([^<]*)', 1)"
+
+
+@query("program_level", f"SELECT page_id, coalesce({_lev('t', 'title')}, {_lev('url', 'url')}, list_filter(list_transform(lines, lambda x: {_lev('x', 'line')}), lambda x: x IS NOT NULL)[1], 'unknown') AS level FROM (SELECT page_id, {_html_title} AS t, regexp_replace(coalesce(url, ''), '[^\\x00-\\x7F]', 'x', 'g') AS url, {_html_lines} AS lines FROM pages WHERE html IS NOT NULL)")
 def program_level(spark, sf_dir):
-    t = F.element_at(text.lits(["Ph.D. in X", "M.S. study", "B.A. of arts", "other"]), (F.col("page_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "pages").select("page_id", web.program_level(t, F.lit("http://x.example/y"), F.array().cast("array<string>")).alias("level"))
+    """Level by title, address and the beginnings of all paragraphs."""
+    p = table(spark, sf_dir, "pages").where("html is not null").select("page_id", ascii_text("url").alias("url"), ascii_text("html").alias("html"))
+    lines = F.regexp_extract_all("html", F.lit("<p>([^<]*)"), F.lit(1))
+    return p.select("page_id", web.program_level(F.regexp_extract("html", "<title>([^<]*)", 1), F.col("url"), lines).alias("level"))
 
 
 @query("program_aliases")
@@ -842,11 +1052,14 @@ def program_aliases(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", web.program_aliases(title, F.col("url")).alias("aliases"))
 
 
-@query("course_fields", "SELECT page_id, 'CS ' || (700 + page_id % 200) AS course_code, CAST(page_id % 5 AS INTEGER) AS credits, 'Letter Grading' AS grade_mode FROM pages")
+@query("course_fields", f"SELECT page_id, nullif(regexp_extract(title, '^\\s*([A-Z]{{2,5}}\\s?\\d{{3,4}}[A-Z]?)\\b', 1), '') AS course_code, CAST(page_id % 100 AS INTEGER) AS credits, nullif(trim(regexp_extract(mode, '(?i)\\bgrade\\s*mode\\s*:\\s*([A-Za-z ]+)', 1)), '') AS grade_mode FROM (SELECT page_id, upper(substr(p, 2, 2)) || ' ' || (100 + page_id % 900) || ' ' || p AS title, 'Grade Mode: ' || substr(p, 2, 2) || ' letter' AS mode FROM (SELECT page_id, {PATH_SQL.format(u='url')} AS p FROM pages WHERE url IS NOT NULL))")
 def course_fields(spark, sf_dir):
-    title = F.concat(F.lit("CS "), (700 + F.col("page_id") % 200).cast("string"), F.lit(" - Topic"))
-    lines = F.array(F.concat(F.lit("Credits: "), (F.col("page_id") % 5).cast("string")), F.lit("Grade Mode: Letter Grading"))
-    return table(spark, sf_dir, "pages").select("page_id", web.course_fields(title, lines).alias("c")).select("page_id", "c.*")
+    """Fields of section heads made of each page's address and number."""
+    path = F.regexp_extract("url", web.PATH, 1)
+    two = F.substring(path, 2, 2)
+    title = F.concat(F.upper(two), F.lit(" "), (100 + F.col("page_id") % 900).cast("string"), F.lit(" "), path)
+    lines = F.array(F.concat(F.lit("credits: "), (F.col("page_id") % 100).cast("string")), F.concat(F.lit("Grade Mode: "), two, F.lit(" letter")))
+    return table(spark, sf_dir, "pages").where("url is not null").select("page_id", web.course_fields(title, lines).alias("c")).select("page_id", "c.*")
 
 
 # ---- training data -------------------------------------------------------------------------------------------------
@@ -867,7 +1080,10 @@ def train_split(spark, sf_dir):
     return training.split(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id") % 5 == 0)
 
 
-@query("train_prompts")
+_told = text.prompt_parts()
+
+
+@query("train_prompts", f"SELECT {quoted([_told[0]])[1:-1]} || text || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer:' AS input, reverse(text) AS output, text AS question FROM benchmark")
 def train_prompts(spark, sf_dir):
     from quarry.operators import training
 
@@ -878,39 +1094,72 @@ def train_prompts(spark, sf_dir):
 
 
 def index_and_gold(spark, sf_dir):
+    """Good lines of documents as chunks, after gold documents of tier 0; the index is written once."""
     from quarry.plans import answering
     from quarry.plans.models import hashed_vector
 
     docs = lines_of(table(spark, sf_dir, "documents"))
     items = docs.select("doc_id", "title", F.posexplode("items").alias("pos", "item")).where(chunking.good_chunk(F.col("item")))
-    chunks = items.select(((F.col("doc_id") + 1) * 100_000 + F.col("pos")).alias("chunk_idx"), chunking.with_header(F.col("title"), F.col("item")).alias("text"), "title", F.concat(F.lit("http://x.example/"), F.col("doc_id").cast("string")).alias("url"), F.lit(2).alias("tier"), F.lit(None).cast("string").alias("gold_id"), hashed_vector(F.col("item")).alias("embedding"))
-    q = gold_tables(spark, sf_dir)[0].select(F.col("id").alias("gold_id"), "query", "reference_answer")
-    return chunks, q, answering
+    chunks = items.select(((F.col("doc_id") + 1) * 100_000 + F.col("pos")).alias("chunk_idx"), chunking.with_header(F.col("title"), F.col("item")).alias("text"), "title", F.concat(F.lit("http://x.example/"), F.col("doc_id").cast("string")).alias("url"), F.lit(2).alias("tier"), F.lit(None).cast("string").alias("gold_id"))
+    questions, nuggets, passages, _ = gold_tables(spark, sf_dir)
+    told = gold.documents(gold.with_children(questions, nuggets, passages)).select(F.xxhash64("gold_id").alias("chunk_idx"), "text", "title", "url", "tier", "gold_id")
+    index = shared.saved(chunks.unionByName(told).withColumn("embedding", hashed_vector(F.col("text"))), "index")
+    return index, questions.select(F.col("id").alias("gold_id"), "query", "reference_answer", "url"), answering
 
 
 @query("answer_batch")
 def answer_batch(spark, sf_dir):
     chunks, q, answering = index_and_gold(spark, sf_dir)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
+    asked = asked.unionByName(table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), F.col("text").alias("question")))
     made = answering.answer_batch(asked, chunks, q, answering.Config(k=3, topn=20, dual=True))
     return made.select("query_id", "question", "answer", "alternative_answer", "answer_mode", "gold_similarity", F.size("sources").alias("n_sources"))
 
 
-@query("context_build")
+@query("answer_reranked")
+def answer_reranked(spark, sf_dir):
+    """The same with re-ranking and compression."""
+    chunks, q, answering = index_and_gold(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    made = answering.answer_batch(asked, chunks, None, answering.Config(k=3, topn=20, gold_on=False, rerank_on=True))
+    return made.select("query_id", "question", "answer", "answer_mode", F.size("sources").alias("n_sources"))
+
+
+_path = "SELECT conv_id AS query_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, text, role FROM conversations WHERE text IS NOT NULL"
+
+
+@query("context_build", f"WITH p AS ({_path}) SELECT query_id, array_to_string(list('[Source ' || i || '] ' || role || chr(10) || text ORDER BY i), chr(10) || chr(10)) AS context FROM p GROUP BY query_id")
 def context_build(spark, sf_dir):
+    """The turns of a conversation as given chunks, in their order, under titles that end in the role."""
+    from quarry.plans import answering
+
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    path = c.select(F.col("conv_id").alias("query_id"), rank.alias("rank"), "text", F.concat(F.lit("Turns - "), "role").alias("title"))
+    return answering.context(path)
+
+
+@query("citations")
+def citations(spark, sf_dir):
     chunks, _, answering = index_and_gold(spark, sf_dir)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    path = answering.retrieve(asked, chunks, answering.Config(k=4, topn=10, gold_on=False))
-    return answering.context(path).join(answering.citations(path), "query_id")
+    return answering.citations(answering.retrieve(asked, chunks, answering.Config(k=5, topn=10, gold_on=False)))
+
+
+@query("page_index")
+def page_index(spark, sf_dir):
+    """From pages to numbered chunks with tiers and vectors, gold documents first."""
+    from quarry.plans import answering
+
+    questions, nuggets, passages, _ = gold_tables(spark, sf_dir)
+    told = gold.documents(gold.with_children(questions, nuggets, passages))
+    index = answering.build_index(answering.sections_of_pages(table(spark, sf_dir, "pages")), told)
+    return index.select("chunk_idx", "title", "url", "tier", "gold_id", "text", F.round("norm", 6).alias("norm"))
 
 
 def streamed(spark, sf_dir: str, name: str, start, mode: str):
     """Run a streaming query over the files of a table once and return what it wrote."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-stream-")
-    own = f"{root}/stream-{name}-{uuid.uuid4().hex}"
+    own = shared.path(spark, f"stream-{name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
     is_folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
     schema = table(spark, sf_dir, name).schema

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import rules, text
+from quarry.functions import rules, text, web
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _SKIP = {"script", "style", "template", "noscript"}
@@ -165,9 +165,12 @@ def page_blocks(url: str, html: str | None, domain: str | None = None) -> list[d
                     except ValueError:
                         continue
                     if domain is None or domain in target:
-                        links.append({"label": a.text(), "url": target})
+                        links.append({"label": a.text().strip(), "url": target.strip()})
             items = [c.text() for c in node.children if isinstance(c, _Node) and c.tag == "li"] if node.tag in ("ul", "ol") else []
             out.append({"panel": name, "tag": node.tag, "text": node.text() if not items else "", "items": [x for x in items if x], "links": links, "nav": bool(items) and navigational(node)})
+    if not any(b["text"] or b["items"] for b in out[1:]) and (body := main.text()):
+        # a page without any block is one section of its whole text
+        out += [{"panel": "", "tag": "h2", "text": "Page", "items": [], "links": [], "nav": False}, {"panel": "", "tag": "p", "text": body, "items": [], "links": [], "nav": False}]
     return [b | {"pos": i} for i, b in enumerate(out)]
 
 
@@ -196,7 +199,8 @@ def sections(found: DataFrame) -> DataFrame:
     """Section of every block: the last heading of each level before it, unless a shallower one came since.
 
     The page's title is level 1; headings are one level down in the page and two in a panel. Returns one row a
-    section with its path of titles, paragraphs, lists and distinct links; a page without any gets one section "Page".
+    section with its path of titles, its address (with the panel's id behind #), paragraphs, lists, distinct links and course
+    fields; a page without any block gets one section "Page" with its whole text.
     """
     level = F.when(F.col("tag") == "title", 1).when(F.col("tag").rlike("^h[2-4]$"), F.substring("tag", 2, 1).cast("int") + F.when(F.col("panel") != "", 2).otherwise(1))
     w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -210,7 +214,8 @@ def sections(found: DataFrame) -> DataFrame:
     kept = out.where(~F.coalesce("nav", F.lit(False)))
     titles = F.transform(F.first("heads"), lambda x: x["text"])
     lists = F.filter(F.array_sort(F.collect_list(F.struct("pos", "tag", "text", "items", "links"))), lambda x: x["tag"].isin("p", "ul", "ol"))
-    grouped = kept.groupBy("page_id", "url", "section").agg(titles.alias("path"), lists.alias("b"))
+    grouped = kept.groupBy("page_id", "url", "section").agg(titles.alias("path"), F.max("panel").alias("panel"), lists.alias("b"))
+    lines = F.flatten(F.transform("b", lambda x: F.when(F.size(x["items"]) > 0, x["items"]).otherwise(F.array(x["text"]))))
     done = grouped.select(
         "page_id",
         "url",
@@ -219,6 +224,8 @@ def sections(found: DataFrame) -> DataFrame:
         F.filter(F.transform("b", lambda x: x["text"]), lambda t: t != "").alias("text"),
         F.transform(F.filter("b", lambda x: F.size(x["items"]) > 0), lambda x: x["items"]).alias("lists"),
         F.array_distinct(F.flatten(F.transform("b", lambda x: x["links"]))).alias("links"),
+        F.when(F.col("panel") != "", F.concat("url", F.lit("#"), "panel")).otherwise(F.col("url")).alias("section_url"),
+        web.course_fields(F.try_element_at("path", F.lit(-1)), lines).alias("course"),
     )
     return done.where((F.size("text") > 0) | (F.size("lists") > 0) | (F.col("section") > 0))
 

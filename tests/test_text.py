@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quarry.functions import text, web
+from quarry.functions import rules, text, web
 from quarry.operators import chunking, evaluation, ranking
 
 
@@ -24,7 +24,8 @@ def test_query_helpers(one):
     assert one(text.key_terms(F.lit("the thesis option"))) == ["thesis", "option", "thesis option"]
     assert one(text.valid_rewrite(F.lit("CS 725 credits"), F.lit("credits of CS 725"))) is True
     assert one(text.valid_rewrite(F.lit("CS 725 credits"), F.lit("credits of the course"))) is False
-    assert one(text.canned_reply(F.lit("Hi there, thanks!"))) == "Hello. You're welcome."
+    assert one(text.canned_reply(F.lit("Hi there, thanks!"))) == f"{rules.REPLIES['greeting']} {rules.REPLIES['thanks']}"
+    assert one(text.canned_reply(F.lit("bye"), replies={"farewell": "x"})) == "x"
     assert one(text.canned_reply(F.lit("zzz"))) is None
 
 
