@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
-import uuid
 from functools import partial
 from pathlib import Path
 
@@ -14,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources import shared
+from quarry.sources.shared import path as shared_path  # noqa: F401
+from quarry.sources.shared import saved
+
 #: Bytes of a batch between Spark and a Python worker, about; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
 #: Links a task contracts at a time (16 bytes each), and the most that one task finishes.
@@ -27,8 +29,8 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 def prepare(spark: SparkSession) -> None:
     """Make this package importable by Python workers and give ``checkpoint()`` a folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a folder all executors share and is used as it is; only a session
-    without it (tests on one machine) gets a temporary one.
+    On a cluster ``spark.checkpoint.dir`` names a folder all executors share and is used as it is; only a session on one
+    machine without it (as in tests) gets a temporary one.
     """
     sc = spark.sparkContext
     paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
@@ -45,26 +47,7 @@ def prepare(spark: SparkSession) -> None:
     # texts reach the workers in batches bounded by bytes: rows are no bound, and both sides hold several batches
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_root(spark))
-
-
-def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = getattr(shared_root, "own", None) or tempfile.mkdtemp(prefix="quarry-")
-        shared_root.own = root
-    return root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        sc.setCheckpointDir(shared.root(spark))
 
 
 def release(spark: SparkSession) -> None:
@@ -84,8 +67,14 @@ def id_bucket(doc_id: Column | str, modulus: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """At most ``limit`` rows, the smallest by a hash of ``key``: the same rows on every run."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(limit)
+    """At most ``limit`` distinct keys, the smallest by a hash: the same on every run.
+
+    Only keys below a hash that lets about four times the limit through are made distinct, so few rows are shuffled.
+    """
+    top, n = 1 << 62, max(1, df.count())
+    own = F.xxhash64(F.col(key)).bitwiseAND(top - 1)
+    few = df.select(key).where(own < min(top, int(top / n * 4 * limit)) + 1).distinct()
+    return few.orderBy(own, F.col(key)).limit(limit)
 
 
 def unite(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -167,3 +167,15 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     out = rows.select("vec_id", "cls").join(by_class, "cls", "left")
     component = F.coalesce(F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")), F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+
+
+def oracle(threshold: float = THRESHOLD) -> str:
+    """DuckDB SQL of ``links``: all pairs, then everything reachable from each vector."""
+    return f"""
+    WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+    n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {threshold}),
+    r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a, min(b) AS low FROM r GROUP BY a), k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+    SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, c.low AS component_id, vec_id = c.low AS kept FROM v JOIN c ON c.a = v.vec_id LEFT JOIN k ON k.a = v.vec_id
+    """

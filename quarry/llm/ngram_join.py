@@ -62,17 +62,9 @@ def shingles(text: str | None, words: int = 3) -> np.ndarray:
 
 
 def _word_hashes(data: bytes) -> np.ndarray:
-    """Hashes of the words; a long text in pieces cut at a blank."""
-    if len(data) <= scan.CHUNK:
-        return scan.space_words(data)[0]
-    out, at = [], 0
-    while at < len(data):
-        end = min(len(data), at + scan.CHUNK)
-        while end < len(data) and data[end] not in b" \t\n\v\f\r":
-            end += 1
-        out.append(scan.space_words(data[at:end])[0])
-        at = end
-    return np.concatenate(out)
+    """Hashes of the words; a long text goes in pieces."""
+    found = [scan.space_words(piece)[0] for _, piece in scan.space_pieces(data)] or [np.empty(0, U)]
+    return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 @cache
@@ -404,3 +396,18 @@ def _products(documents: DataFrame, member: DataFrame, dealt: DataFrame, count:
     # the sets are shuffled once, straight to their tasks, unless the dealing table is large
     dealt = F.broadcast(dealt) if dealt.count() <= BROADCAST_DEALT else dealt
     return matrix.join(dealt, "cls").groupBy("task").applyInArrow(product, "cls long, n long, b long")
+
+
+def oracle(words: int = 3, num: int = 90, den: int = 100) -> str:
+    """DuckDB SQL of ``components``: overlaps of distinct sets by a join on shingles, then everything reachable."""
+    joined = " || ' ' || ".join(f"w[i + {j}]" for j in range(words))
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: {joined}))) END AS s FROM d),
+    k AS (SELECT min(doc_id) AS id, s, len(s) AS n, count(*) AS copies FROM s WHERE len(s) > 0 GROUP BY s), u AS (SELECT id, n, unnest(s) AS x FROM k),
+    o AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS o FROM u a JOIN u b ON a.x = b.x AND a.id <> b.id AND {den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) GROUP BY ALL),
+    l AS (SELECT a, b FROM o WHERE {den} * o >= {num} * (na + nb - o)), r AS (SELECT id AS a, id AS b FROM k UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a AS id, min(b) AS low FROM r GROUP BY a), m AS (SELECT l.a AS id, sum(k.copies) AS links FROM l JOIN k ON k.id = l.b GROUP BY l.a)
+    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.low, s.doc_id) AS component_id, CAST(coalesce(m.links, 0) + coalesce(k.copies, 1) - 1 AS BIGINT) AS n_links
+    FROM s LEFT JOIN k ON k.s = s.s LEFT JOIN c ON c.id = k.id LEFT JOIN m ON m.id = k.id
+    """

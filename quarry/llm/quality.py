@@ -6,16 +6,19 @@ its scaled identity and factors it once. The score is the posterior of class 1 f
 densities, whose Mahalanobis distances use the cached Cholesky factors.
 
 Defined results: null and empty texts have the statistics of an empty text; a class without rows gets the pooled
-moments; without any label every score is the prior 0.5; texts of any length are read whole; repeated rows are scored
-alike; an empty table gives an empty result. Only the id and text columns are read.
+moments; without any label every score is the prior 0.5; texts of any length are read whole, in pieces; a label counts for
+every row of its id, repeated rows are scored alike; an empty table gives an empty result. Only the id and text columns
+are read, so other columns of any name do not matter.
 """
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +38,24 @@ _CLASS[[x for x in range(33, 128) if chr(x) in "!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~
 
 
 def text_statistics(text: str | None) -> np.ndarray:
+    """Figures of a whole text, which is gone through in pieces; only a hash and a length of each word are kept."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    kind = np.bincount(_CLASS[np.frombuffer(data, np.uint8)], minlength=8) if data else np.zeros(8, np.int64)
-    hash_, start, end = scan.space_words(data)
+    kind, hashes, lengths = np.zeros(8, np.int64), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for _, piece in scan.space_pieces(data):
+        kind += np.bincount(_CLASS[np.frombuffer(piece, np.uint8)], minlength=8)
+        found, start, end = scan.space_words(piece)
+        hashes.append(found)
+        lengths.append(end - start)
+    hash_, length = np.concatenate(hashes), np.concatenate(lengths)
     n = len(hash_)
-    length = end - start
-    distinct = np.unique(hash_, return_counts=True)[1] if n else np.zeros(0, np.int64)
-    pairs = len(np.unique(hash_[:-1] * np.uint64(3) ^ hash_[1:])) if n > 1 else 0
-    lines = [x for x in data.split(b"\n") if x.strip()]
+    distinct = np.unique(hash_, return_counts=True)[1]
+    pairs = len(np.unique(hash_[:-1] * np.uint64(3) ^ hash_[1:]))
+    seen, n_lines = set(), 0
+    for line in io.BytesIO(data):
+        if line := line.rstrip(b"\n"):
+            if line.strip():
+                n_lines += 1
+                seen.add(line if len(line) < 16 else xxhash.xxh3_128_digest(line))
     share = lambda a, b: np.log((a + 0.5) / (b + 1.0))
     return np.array([
         np.log1p(len(data)),
@@ -57,7 +70,7 @@ def text_statistics(text: str | None) -> np.ndarray:
         share(len(distinct), n),
         share(int(distinct.max()) if n else 0, n),
         share(pairs, n),
-        share(len(set(lines)), len(lines)),
+        share(len(seen), n_lines),
         share(int((length > 18).sum()), n),
     ])
 
@@ -110,11 +123,19 @@ def fit_moments(count: np.ndarray, total: np.ndarray, outer: np.ndarray, shrinka
     return Model((1 - share, share), centre, scale, mean, root, log_det)
 
 
+def forward(low: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Solves low @ y = x for a lower triangular matrix, column by column of x."""
+    y = np.empty_like(x)
+    for i in range(len(low)):
+        y[i] = (x[i] - low[i, :i] @ y[:i]) / low[i, i]
+    return y
+
+
 def score_statistics(model: Model, stats: np.ndarray) -> np.ndarray:
     x = (stats - model.centre) / model.scale
     log_p = []
     for c in (0, 1):
-        y = np.linalg.solve(model.cholesky[c], (x - model.mean[c]).T)
+        y = forward(model.cholesky[c], (x - model.mean[c]).T)
         log_p.append(np.log(model.prior[c]) - 0.5 * (model.log_det[c] + (y * y).sum(0)))
     return 1 / (1 + np.exp(np.clip(log_p[0] - log_p[1], -700, 700)))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common, decontaminate, embedding_dedup, language_id, mixing, ngram_join, quality, sharding, token_files, toxicity, warc
 
-#: The tokenizer file of the token queries; the operator takes any path.
+#: The tokenizer file of the token queries; the operator takes any file of the tokenizers library.
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -20,6 +20,7 @@ def tokenizer_path() -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document: confirmed toxic and unlabelled texts of the folds 1 to 4 train, all are scored."""
     documents, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     held = common.id_bucket("doc_id", 5) == 0
     model = toxicity.fit(documents, labels, ~held)
@@ -27,6 +28,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the discriminant of its statistics; labels of the folds 1 to 4 train."""
     held = common.id_bucket("doc_id", 5) == 0
     common.prepare(spark)
     stats = common.saved(quality.statistics(common.table(spark, sf_dir, "documents")), "quality")
@@ -35,41 +37,49 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item it contains, with the best window and its edits."""
     return decontaminate.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.95."""
     return embedding_dedup.links(common.table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records, written to the shared folder and read back."""
     path = common.shared_path(spark, "warc")
     warc.write(common.table(spark, sf_dir, "pages"), path)
     return warc.records(spark, path)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every document whose three-word shingles overlap by 0.9."""
     joined = ngram_join.components(common.table(spark, sf_dir, "documents"), words=3, num=90, den=100)
     return joined.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of documents that bring sources to their tempered weights."""
     mixed = mixing.replicate(common.table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", F.round("repetition_rate", 9).alias("repetition_rate"), "copies", "copy_no", "text")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as compressed token shards, written to the shared folder and read back."""
     path = common.shared_path(spark, "tokens")
     token_files.write(common.table(spark, sf_dir, "documents"), tokenizer_path(), path)
     return token_files.read(spark, path)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty shards by the law ``rows``: counts at most one apart."""
     placed = sharding.assign(common.table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the folds other than 2."""
     documents = common.table(spark, sf_dir, "documents")
     held = common.id_bucket("doc_id", 4) == 2
     model = language_id.fit(documents, ~held)
@@ -89,4 +99,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_warc": warc.oracle(), "op7_mixing": mixing.oracle()}
+ORACLE_SQL: dict[str, str] = {"op4_embedding_dedup": embedding_dedup.oracle(), "op5_warc": warc.oracle(), "op6_ngram_join": ngram_join.oracle(), "op7_mixing": mixing.oracle()}

@@ -135,3 +135,14 @@ def space_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.concatenate(([0], np.cumsum(length)[:-1]))
     own = raw[inside]
     return word_hashes(code_values()[own], own, first, length)[0], start, end
+
+
+def space_pieces(data: bytes, limit: int = CHUNK) -> Iterator[tuple[int, bytes]]:
+    """(offset, piece) of a text of any length, cut at white space."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + limit)
+        while end < len(data) and data[end] not in b" \t\n\v\f\r":
+            end += 1
+        yield at, data[at:end] if end - at < len(data) else data
+        at = end

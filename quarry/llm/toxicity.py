@@ -4,9 +4,10 @@ Confirmed toxic texts are the positives; all other training texts are unlabelled
 risk pi*R+ + max(0, Ru- - pi*R-) with the logistic loss; where the corrected negative part falls below zero, the step
 ascends it instead (Kiryo et al., 2017). Features are the distinct words and word beginnings of the whole text, hashed.
 
-Defined results: null and empty texts have no feature and get the score of the bias; without positives every score is
-0; texts of any length are read whole, in pieces; repeated rows are scored alike; an empty table gives an empty result.
-Only the id and text columns are read, so extra columns cannot clash.
+Defined results: null and empty texts have no feature and get the score of the bias; without positives (an empty table of
+labels, too) every score is 0; texts of any length are read whole, in pieces; repeated rows are scored alike, and of rows
+that share an id one is drawn to fit on; an empty table gives an empty result. Only the id and text columns are read, so
+extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -51,16 +52,38 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def screened(rows: list[np.ndarray], positive: np.ndarray, least: float = SCREEN) -> np.ndarray:
-    """Which features differ enough between the two samples to learn from; the others would only fit noise."""
-    n1, n0 = max(1, int(positive.sum())), max(1, int((~positive).sum()))
-    empty = [np.empty(0, np.int64)]
-    p1 = np.bincount(np.concatenate([r for r, p in zip(rows, positive, strict=True) if p] or empty), minlength=1 << BITS) / n1
-    p0 = np.bincount(np.concatenate([r for r, p in zip(rows, positive, strict=True) if not p] or empty), minlength=1 << BITS) / n0
-    p = (p1 * n1 + p0 * n0 + 1) / (n1 + n0 + 2)
+def screened(positive: np.ndarray, n1: int, unlabelled: np.ndarray, n0: int, least: float = SCREEN) -> np.ndarray:
+    """Which features differ enough between two samples to learn from; the others would only fit noise.
+
+    ``positive`` and ``unlabelled``: in how many of the ``n1`` and ``n0`` texts each feature is.
+    """
+    n1, n0 = max(1, n1), max(1, n0)
+    p1, p0 = positive / n1, unlabelled / n0
+    p = (positive + unlabelled + 1) / (n1 + n0 + 2)
     return np.abs(p1 - p0) >= least * np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
 
 
+def risk(z: np.ndarray, n1: int, prior: float) -> tuple[float, float]:
+    """(positive part, corrected negative part) of the risk with the logistic loss: the first ``n1`` of the scores are of
+    positives, the others of unlabelled texts."""
+    as_positive, as_negative = np.logaddexp(0, -z), np.logaddexp(0, z)
+    return prior * as_positive[:n1].mean(), as_negative[n1:].mean() - prior * as_negative[:n1].mean()
+
+
+def direction(z: np.ndarray, n1: int, prior: float, beta: float = 0.0) -> np.ndarray:
+    """Gradient by score that a step descends: that of the whole risk, or, where the corrected negative part is below -beta,
+    that of its negative alone (so that part rises)."""
+    s = _sigmoid(z)
+    g = np.empty(len(z))
+    if risk(z, n1, prior)[1] >= -beta:
+        g[:n1] = -prior / n1
+        g[n1:] = s[n1:] / (len(z) - n1)
+    else:
+        g[:n1] = prior * s[:n1] / n1
+        g[n1:] = -s[n1:] / (len(z) - n1)
+    return g
+
+
 def fit_features(rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 16, batch: int = 256, rate: float = 0.005, decay: float = 1e-4, beta: float = 0.0, seed: int = 7) -> Model:
     """Minimise the non-negative risk by Adam. ``rows``: features of each text; ``positive``: confirmed toxic or not."""
     rng = np.random.default_rng(seed)
@@ -69,8 +92,6 @@ def fit_features(rows: list[np.ndarray], positive: np.ndarray, prior: float, epo
     m, v = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     if not len(pos) or not len(unl):
         return Model(weight.astype(np.float32), -np.inf if not len(pos) else 40.0)
-    keep = screened(rows, positive)
-    rows = [r[keep[r]] for r in rows]
     size = np.fromiter(map(len, rows), np.int64, len(rows))
     step = 0
     parts = max(1, -(-len(unl) // batch))
@@ -81,17 +102,7 @@ def fit_features(rows: list[np.ndarray], positive: np.ndarray, prior: float, epo
             own = np.concatenate([p, u])
             feats = np.concatenate([rows[i] for i in own])
             index = np.repeat(np.arange(len(own)), size[own])
-            z = bias + np.bincount(index, weight[feats], len(own))
-            s = _sigmoid(z)
-            loss = np.logaddexp(0, z)
-            negative = loss[len(p) :].mean() - prior * loss[: len(p)].mean()
-            g = np.empty(len(own))
-            if negative >= -beta:
-                g[: len(p)] = -prior / len(p)
-                g[len(p) :] = s[len(p) :] / len(u)
-            else:
-                g[: len(p)] = prior * s[: len(p)] / len(p)
-                g[len(p) :] = -s[len(p) :] / len(u)
+            g = direction(bias + np.bincount(index, weight[feats], len(own)), len(p), prior, beta)
             grad = np.bincount(feats, g[index], 1 << BITS) + decay * weight
             grad = np.append(grad, g.sum())
             step += 1
@@ -135,21 +146,40 @@ def fit(documents: DataFrame, labels: DataFrame, train: F.Column, positives: int
         return Model(np.zeros(1 << BITS, np.float32), -np.inf)
     if prior is None:
         prior = toxic / n
-    own = common.bounded_sample(known.where("toxic = 1").select("doc_id"), "doc_id", positives).withColumn("q_positive", F.lit(True))
-    rest = documents.where(train & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    rest = common.bounded_sample(rest, "doc_id", unlabelled).withColumn("q_positive", F.lit(False))
+    own = common.bounded_sample(known.where("toxic = 1"), "doc_id", positives).withColumn("q_positive", F.lit(True))
+    rest = common.bounded_sample(documents.where(train & F.col("doc_id").isNotNull()), "doc_id", unlabelled).withColumn("q_positive", F.lit(False))
+
+    def counted(batches):
+        count, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            positive = np.asarray(batch.column(1).to_pylist(), bool)
+            doc, feature = features(batch.column(0).to_pylist())
+            for c in (0, 1):
+                count[c] += np.bincount(feature[positive[doc] == bool(c)], minlength=1 << BITS)
+                n[c] += int((positive == bool(c)).sum())
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array([count.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["count", "n"])
+
+    # ids of a bounded sample: broadcasting them is safe; of rows that share an id one is drawn
+    ids = F.broadcast(own.unionByName(rest))
+    drawn = documents.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "q_positive").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    drawn = common.saved(drawn.select("text", "q_positive").coalesce(16), "toxicity")
+    count, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+    for row in drawn.mapInArrow(counted, "count binary, n binary").toLocalIterator():  # one row a task
+        count += np.frombuffer(row["count"], np.int64).reshape(2, -1)
+        n += np.frombuffer(row["n"], np.int64)
+    keep = screened(count[1], int(n[1]), count[0], int(n[0]))
 
     def run(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
             doc, feature = features(texts)
+            doc, feature = doc[keep[feature]], feature[keep[feature]]
             cut = np.searchsorted(doc, np.arange(len(texts) + 1))
             packed = [feature[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1)], ["packed", "q_positive"])
 
-    # the samples are bounded by positives + unlabelled ids: broadcasting them is safe
-    drawn = documents.select("doc_id", "text").join(F.broadcast(own.unionByName(rest)), "doc_id").select("text", "q_positive")
-    got = drawn.mapInArrow(run, "packed binary, q_positive boolean").collect()
+    got = drawn.mapInArrow(run, "packed binary, q_positive boolean").collect()  # screened features of the bounded sample
     rows = [np.frombuffer(r["packed"], "<i4") for r in got]
     return fit_features(rows, np.array([r["q_positive"] for r in got], bool), float(min(max(prior, 1e-4), 0.9)))
 
