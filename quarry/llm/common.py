@@ -69,9 +69,9 @@ def id_bucket(doc_id: Column | str, modulus: int) -> Column:
 def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     """At most ``limit`` distinct keys, the smallest by a hash: the same on every run.
 
-    Only keys below a hash that lets about four times the limit through are made distinct, so few rows are shuffled.
+    Only rows whose key's hash is among about the first four times ``limit`` keys are made distinct, so few are shuffled.
     """
-    top, n = 1 << 62, max(1, df.count())
+    top, n = 1 << 62, max(1, df.agg(F.approx_count_distinct(key)).first()[0])
     own = F.xxhash64(F.col(key)).bitwiseAND(top - 1)
     few = df.select(key).where(own < min(top, int(top / n * 4 * limit)) + 1).distinct()
     return few.orderBy(own, F.col(key)).limit(limit)

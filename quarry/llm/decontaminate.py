@@ -85,7 +85,8 @@ def samples(embedded: np.ndarray, walk: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         for s in range(SAMPLES):
             # the walk moves every other step: positions beyond 1.6 n are mostly padding and tell nothing
-            cols = rng.choice(max(1, int(width * 0.8)), min(SAMPLE_SIZE, width), replace=False)
+            pool = max(1, int(width * 0.8))
+            cols = rng.choice(pool, min(SAMPLE_SIZE, pool), replace=False)
             key = np.full(len(embedded), walk * SAMPLES + s, U)
             for c in cols.tolist():
                 key = scan.mix(key * U(0x9E3779B97F4A7C15) + embedded[:, c])

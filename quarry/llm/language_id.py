@@ -1,7 +1,7 @@
 """Language identification: known words first, then progressively shorter character n-grams for unseen words.
 
 ``fit`` learns, per language, the log frequency of every word of a bounded training sample and of the character
-n-grams (5 down to 1 letters) of its distinct words. ``predict`` scores every whole text: a known word adds its per-language log
+n-grams (5 down to 1 letters) of its distinct words of that language. ``predict`` scores every whole text: a known word adds its per-language log
 frequency; an unseen word adds the mean log frequency of its longest n-grams that are known for any language, with a
 constant penalty per step back. The score is the posterior of the best language (uniform prior, evidence tempered by
 the number of words), 0 to 1.
@@ -76,18 +76,23 @@ def fit_texts(texts: list[str], langs: list[str]) -> Model:
     lang = np.array([code[x] for x in langs], np.int64)
     parts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(MAX_N + 1)]
 
-    def add(level: int, keys: np.ndarray, which: np.ndarray) -> None:
-        for j in range(len(names)):
-            distinct, n = np.unique(keys[which == j], return_counts=True)
-            parts[level].append((distinct, np.full(len(distinct), j), n))
+    def add(level: int, keys: np.ndarray, j: int) -> None:
+        distinct, n = np.unique(keys, return_counts=True)
+        parts[level].append((distinct, np.full(len(distinct), j), n))
 
+    seen = [np.empty(0, U) for _ in names]
     for group in scan.pieces(texts):
         words = scan.Words(group)
-        add(0, words.hash, lang[words.doc])
-        _, one = np.unique(words.hash, return_index=True)
-        for n in range(1, MAX_N + 1):
-            keys, owner = _grams(words, n, one)
-            add(n, keys, lang[words.doc[one][owner]])
+        of = lang[words.doc]
+        for j in range(len(names)):
+            own = np.flatnonzero(of == j)
+            add(0, words.hash[own], j)
+            # n-grams count once for each distinct word of a language
+            distinct, one = np.unique(words.hash[own], return_index=True)
+            fresh = ~_find(seen[j], distinct)[1]
+            seen[j] = np.union1d(seen[j], distinct)
+            for n in range(1, MAX_N + 1):
+                add(n, _grams(words, n, own[one[fresh]])[0], j)
     tables = []
     for level, got in enumerate(parts):
         if not got:
@@ -161,6 +166,7 @@ def fit(documents: DataFrame, train: F.Column | None = None, texts_per_language:
     drawn = rows.dropDuplicates(["lang", "q_hash"]).withColumn("q_rank", F.row_number().over(first)).where(F.col("q_rank") <= texts_per_language)
     drawn = drawn.withColumn("q_sum", F.sum("q_n").over(first.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("q_sum") <= chars_per_language)
     got = drawn.select("text", "lang").collect()
+    got.sort(key=lambda r: (r["lang"], r["text"]))
     return fit_texts([r["text"] for r in got], [r["lang"] for r in got])
 
 

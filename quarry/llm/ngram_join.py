@@ -314,13 +314,16 @@ def keep_one(documents: DataFrame, words: int = 3, num: int = 90, den: int = 100
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("q_gone"), F.col("cls").alias("q_cls")).distinct()
     # rows that repeat an id are few or none: only they are shuffled to find equal ones
     again = found.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("q_again")).agg(F.count("*").alias("n")).where("n > 1").select("q_again")
+    # rows travel as one struct beside their id and text, so no name of their columns can meet a helper's
+    own = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("q_row"), F.col("doc_id").cast("long").alias("q_doc"), F.col("text").alias("q_body"))
+    back = [F.col("q_row").getField(c).alias(c) for c in documents.columns]
     if again.isEmpty():
-        return documents.join(_small(gone.select("q_gone")), F.col("doc_id") == F.col("q_gone"), "left_anti")
+        return own.join(_small(gone.select("q_gone")), F.col("q_doc") == F.col("q_gone"), "left_anti").select(*back)
     again = _small(again)
     once = gone.join(again, F.col("q_gone") == F.col("q_again"), "left_anti").select("q_gone")
-    left = documents.join(_small(once), F.col("doc_id") == F.col("q_gone"), "left_anti")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)) == F.col("q_again")
-    repeated = left.join(again, key, "left_semi").dropDuplicates(["doc_id", "text"])
+    left = own.join(_small(once), F.col("q_doc") == F.col("q_gone"), "left_anti")
+    key = F.coalesce("q_doc", F.lit(_NO_ID)) == F.col("q_again")
+    repeated = left.join(again, key, "left_semi").dropDuplicates(["q_doc", "q_body"])
 
     def classed(batches):
         for batch in batches:
@@ -329,10 +332,10 @@ def keep_one(documents: DataFrame, words: int = 3, num: int = 90, den: int = 100
             yield pa.RecordBatch.from_arrays([*batch.columns, cls], ["q_id", "q_text", "q_own"])
 
     # an id may stand for several texts: each goes by its own class
-    own = repeated.select(F.col("doc_id").cast("long"), "text").mapInArrow(classed, "q_id long, q_text string, q_own long")
-    copies = own.join(gone, (F.col("q_id") == F.col("q_gone")) & (F.col("q_own") == F.col("q_cls"))).select("q_id", "q_text")
-    repeated = repeated.join(copies, (F.col("doc_id").cast("long") == F.col("q_id")) & (F.col("text") == F.col("q_text")), "left_anti")
-    return left.join(again, key, "left_anti").unionByName(repeated)
+    classes = repeated.select("q_doc", "q_body").mapInArrow(classed, "q_id long, q_text string, q_own long")
+    copies = classes.join(gone, (F.col("q_id") == F.col("q_gone")) & (F.col("q_own") == F.col("q_cls"))).select("q_id", "q_text")
+    repeated = repeated.join(copies, (F.col("q_doc") == F.col("q_id")) & (F.col("q_body") == F.col("q_text")), "left_anti")
+    return left.join(again, key, "left_anti").unionByName(repeated).select(*back)
 
 
 def _small(ids: DataFrame) -> DataFrame:
