@@ -66,7 +66,7 @@ def alpha_words(c: Column) -> Column:
 
 
 def content_tokens(c: Column, stop: Sequence[str] = rules.CONTENT_STOPWORDS) -> Column:
-    return F.array_except(F.array_distinct(alpha_words(c)), lits(stop))
+    return F.filter(F.array_distinct(alpha_words(c)), lambda w: ~w.isin(list(stop)))
 
 
 def has_repeated_word(c: Column) -> Column:
@@ -249,9 +249,9 @@ def expand_acronyms(c: Column, pairs: Sequence[tuple[str, str]] = rules.ACRONYMS
 def key_terms(c: Column, stop: Sequence[str] = rules.KEY_TERM_STOPWORDS) -> Column:
     """Words longer than two letters that are no stop words, then adjacent pairs without a stop word."""
     w = split_words(F.lower(text(c)))
-    stops = lits(stop)
-    single = F.filter(w, lambda x: ~F.array_contains(stops, x) & (F.length(x) > 2))
-    pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.when(b.isNotNull() & ~F.array_contains(stops, a) & ~F.array_contains(stops, b), F.concat_ws(" ", a, b)))
+    stops = list(stop)
+    single = F.filter(w, lambda x: ~x.isin(stops) & (F.length(x) > 2))
+    pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.when(b.isNotNull() & ~a.isin(stops) & ~b.isin(stops), F.concat_ws(" ", a, b)))
     return F.concat(single, F.filter(pairs, lambda p: p.isNotNull()))
 
 

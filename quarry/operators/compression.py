@@ -31,6 +31,7 @@ def key_information(passages: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([surroundings(t or "") for t in batch.column(1).to_pylist()], pa.string())], ["id", "key_info"])
 
+    shared.workers(passages.sparkSession)
     return passages.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, key_info string")
 
 

@@ -12,7 +12,7 @@ from quarry.functions import rules, text
 
 def terms(c, stop: Sequence[str] = rules.STOPWORDS):
     """Words of at least two letters or digits that are no stop words, then adjacent pairs of them."""
-    w = F.filter(F.regexp_extract_all(F.lower(text.text(c)), F.lit(r"[a-z0-9]{2,}"), F.lit(0)), lambda x: ~F.array_contains(text.lits(stop), x))
+    w = F.filter(F.regexp_extract_all(F.lower(text.text(c)), F.lit(r"[a-z0-9]{2,}"), F.lit(0)), lambda x: ~x.isin(list(stop)))
     pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
     return F.concat(w, F.filter(pairs, lambda p: p.isNotNull()))
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from quarry.sources import shared
+
 QUERY_BLOCK, ROW_BLOCK = 1024, 16_384
 
 
@@ -54,6 +56,7 @@ def by_blocks(queries: DataFrame, rows: DataFrame, work, schema: str, query_bloc
     blocks is one task, which calls ``work(asked, given, sim)`` with both tables and the cosines, rounded to 9 places so
     that equal vectors tie whatever the order of summation. Nothing is broadcast, and only what ``work`` returns leaves.
     """
+    shared.workers(queries.sparkSession)
     nq, nr = (max(1, -(-d.count() // b)) for d, b in ((queries, query_block), (rows, row_block)))
     doubles = F.col("vector").cast("array<double>")
     left = queries.withColumns({"query_id": F.col("query_id").cast("long"), "vector": doubles, "q": F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")})

@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.sources import shared
 
 DIMENSION = 64
 _WORD = re.compile("[a-z]+")
@@ -39,6 +40,7 @@ def hashed_vector(c: Column, dimension: int = DIMENSION) -> Column:
     def encode(texts: pd.Series) -> pd.Series:
         return pd.Series([vector_of(_WORD.findall((t or "").lower()), dimension).tolist() for t in texts])
 
+    shared.workers()
     return F.pandas_udf(encode, "array<double>").asNondeterministic()(text.text(c))
 
 

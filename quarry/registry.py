@@ -309,7 +309,7 @@ ALPHA = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')"
 @query("content_tokens", f"SELECT doc_id, len(list_filter(list_distinct({ALPHA}), lambda w: NOT list_contains({quoted(rules.CONTENT_STOPWORDS)}, w))) AS n_tokens, list_sort(list_filter(list_distinct({ALPHA}), lambda w: NOT list_contains({quoted(rules.CONTENT_STOPWORDS)}, w))) AS tokens FROM documents")
 def content_tokens(spark, sf_dir):
     tokens = text.content_tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_sort(tokens).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.sort_array(tokens).alias("tokens"))
 
 
 @query("dup_words_flag", f"SELECT doc_id, coalesce(list_bool_or(list_transform(range(1, len(w)), lambda i: w[i] = w[i + 1])), FALSE) AS has_repeat FROM (SELECT doc_id, {ALPHA} AS w FROM documents)")
@@ -787,7 +787,7 @@ def synthetic_questions(spark, sf_dir):
     return made_questions(spark, sf_dir)[2].select("chunk_idx", "question")
 
 
-@query("synthetic_statistics", SYNTHETIC_SQL + " SELECT (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM c WHERE NOT wanted) AS filtered, (SELECT count(*) FROM c WHERE wanted AND NOT long_enough) AS too_short, (SELECT count(*) FROM f WHERE p = 1) AS made, (SELECT count(*) FROM f WHERE p = 1) AS questions, CASE WHEN (SELECT count(*) FROM f WHERE p = 1) > 0 THEN 1.0 ELSE 0.0 END AS average")
+@query("synthetic_statistics", SYNTHETIC_SQL + " SELECT (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM c WHERE NOT wanted) AS filtered, (SELECT count(*) FROM c WHERE wanted AND NOT long_enough) AS too_short, (SELECT count(*) FROM f WHERE p = 1) AS made, (SELECT count(*) FROM f WHERE p = 1) AS questions, CAST(CASE WHEN (SELECT count(*) FROM f WHERE p = 1) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS average")
 def synthetic_statistics(spark, sf_dir):
     synthetic, chunks, asked = made_questions(spark, sf_dir)
     return synthetic.statistics(chunks, synthetic.qa_chunks(chunks, asked), [1, 4], ["/src1"])
@@ -866,7 +866,7 @@ v AS (SELECT *, {_letters.format(c='ans')} AS va, {_letters.format(c='ref')} AS
 m AS (SELECT id, CASE WHEN len(points) = 0 THEN 1.0 WHEN ans = '' THEN 0.0 ELSE len(list_filter(points, lambda p: list_cosine_similarity({_letters.format(c='p')}, va) >= 0.9)) / len(points) END AS r,
   CASE WHEN ans <> '' AND ref <> '' THEN list_cosine_similarity(va, vr) ELSE 0.0 END AS cos, CASE WHEN ref <> '' THEN coalesce(list_max(list_transform(top, lambda t: list_cosine_similarity({_letters.format(c='t')}, vr))), 0.0) ELSE 0.0 END AS chunk,
   CASE WHEN len(wr) > 0 AND len(wa) > 0 THEN 2 * len(list_intersect(wr, wa)) / (len(wr) + len(wa)) ELSE 0.0 END AS f1, wanted, ids FROM v)
-SELECT id, 1.0 AS nugget_precision, round(r, 6) AS nugget_recall, round(2 * r / (1 + r), 6) AS nugget_f1, round(cos, 6) AS sbert_cosine, round(chunk, 6) AS sbert_cosine_chunk, round(f1, 6) AS bertscore_f1, """ + ", ".join(
+SELECT id, CAST(1 AS DOUBLE) AS nugget_precision, round(r, 6) AS nugget_recall, round(2 * r / (1 + r), 6) AS nugget_f1, round(cos, 6) AS sbert_cosine, round(chunk, 6) AS sbert_cosine_chunk, round(f1, 6) AS bertscore_f1, """ + ", ".join(
     [f"round(CASE WHEN len(wanted) > 0 THEN len(list_intersect(list_distinct(ids[1:{k}]), wanted)) / len(wanted) ELSE 0.0 END, 6) AS recall_{k}" for k in (1, 3, 5)]
     + [f"round(CASE WHEN {_gain.format(r='list_reverse_sort(' + _rel.format(k=k) + ')')} > 0 THEN {_gain.format(r=_rel.format(k=k))} / {_gain.format(r='list_reverse_sort(' + _rel.format(k=k) + ')')} ELSE 0.0 END, 6) AS ndcg_{k}" for k in (1, 3, 5)]
 ) + " FROM m"

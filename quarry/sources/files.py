@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.sources import shared
 
 #: Names in the XML of workbooks.
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -96,6 +97,7 @@ def sitemap_workbook(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(" > ".join(c for c in cells[:-1] if c), cells[-1].strip()) for cells in sheet_rows(content.as_py())[1:] if cells and cells[-1].strip()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["title", "url"])
 
+    shared.workers(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "title string, url string")
 
 

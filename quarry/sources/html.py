@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import rules, text, web
+from quarry.sources import shared
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _SKIP = {"script", "style", "template", "noscript"}
@@ -192,6 +193,7 @@ def blocks(pages: DataFrame, domain: str | None = None) -> DataFrame:
                     rows = []
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    shared.workers(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, BLOCKS)
 
 

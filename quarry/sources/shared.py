@@ -1,13 +1,27 @@
-"""The shared folder of a session: intermediate tables that the driver and all executors see."""
+"""What driver and executors share: a folder for intermediate tables, and this package in Python workers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def workers(spark: SparkSession | None = None) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder the driver was started in."""
+    session = spark or SparkSession.getActiveSession()
+    if session is None:
+        return
+    environment = session.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
 
 
 def root(spark: SparkSession) -> str:

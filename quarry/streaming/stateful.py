@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarry.sources import shared
+
 
 def _timeout(idle_ms: int | None) -> str:
     return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
@@ -48,6 +50,7 @@ def last_turns(turns: DataFrame, keep: int = 5, idle_ms: int | None = None) -> D
         if turn:
             yield pd.DataFrame({"conv_id": key[0], "turn": turn, "role": role, "text": said, "recency": range(len(turn), 0, -1)})
 
+    shared.workers(turns.sparkSession)
     grouped = turns.select("conv_id", "turn", "role", "text").groupBy("conv_id")
     return grouped.applyInPandasWithState(run, "conv_id long, turn long, role string, text string, recency int", "floor long, turn array<long>, role array<string>, text array<string>", "update", _timeout(idle_ms))
 
@@ -76,6 +79,7 @@ def downtimes(events: DataFrame, key: str, down: Column, idle_ms: int | None = N
         if len(ended):
             yield pd.DataFrame({"key": k[0], "down_since": begun[: len(ended)], "up_at": ended})
 
+    shared.workers(events.sparkSession)
     own = events.select(F.col(key).cast("long").alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.coalesce(down, F.lit(False)).alias("down"))
     found = own.groupBy("key").applyInPandasWithState(run, "key long, down_since long, up_at long", "is_down boolean, since long", "append", _timeout(idle_ms))
     return found.select(F.col("key").alias(key), F.timestamp_micros("down_since").alias("down_since"), F.timestamp_micros("up_at").alias("up_at"), (F.floor(F.col("up_at") / 1_000_000) - F.floor(F.col("down_since") / 1_000_000)).alias("seconds"))
