@@ -39,13 +39,14 @@ CORRUPT = "_corrupt_record"
 
 
 def json_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """One JSON object a line; blank lines are skipped."""
-    return spark.read.schema(f"{SCHEMAS[kind]}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    """One JSON object a line; blank lines are skipped. The parsed rows are written once, as Spark asks for where what could not
+    be read is looked at alone."""
+    return shared.saved(spark.read.schema(f"{SCHEMAS[kind]}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path), "json")
 
 
 def json_arrays(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Files that each hold one JSON array of objects."""
-    return spark.read.schema(f"{SCHEMAS[kind]}, {CORRUPT} string").option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    return shared.saved(spark.read.schema(f"{SCHEMAS[kind]}, {CORRUPT} string").option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT).json(path), "json")
 
 
 def clean(rows: DataFrame) -> DataFrame:
@@ -228,10 +229,6 @@ def read_index(spark: SparkSession, path: str, gold_on: bool) -> DataFrame | Non
     return chunks
 
 
-def write_catalog(pages: DataFrame, path: str) -> None:
-    pages.write.mode("overwrite").json(path)
-
-
 def migrated_log(spark: SparkSession, path: str, kind: str = "selection_log", backup: str | None = None) -> tuple[DataFrame, bool]:
     """A log read with today's columns, and whether its header is an older, shorter one; such a log is first copied as it is
     to ``backup`` if that is given."""
