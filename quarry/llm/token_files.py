@@ -6,11 +6,11 @@ library itself. ``write`` puts documents in ascending id order into shards of ab
 Re-Pair: pairs of symbols that occur ``LEAST`` times or more become nonterminals, the most frequent first, round by round
 until no pair is that frequent. ``read`` expands the shards again; ``decode_range`` only the symbols that cover a range.
 
-Shard format (all integers little-endian): ``first`` the first nonterminal (ids are below it), ``rules`` pairs of uint32
-(left, right; nonterminal ``first`` + i is rule i), ``expansion`` uint32 per rule (ids it stands for), ``symbols`` the low 16
-bits of every symbol as uint16, then a bit plane for each further bit that the largest symbol needs, ``anchors`` uint64
-per ANCHOR symbols (ids before them), ``ends`` uint64 per document (ids up to its end), ``doc_ids``, ``before`` the ids of the
-shards of the same part before this one.
+Shard format (all integers little-endian): ``first`` the first nonterminal (ids are below it), ``n_rules`` and ``rules`` the
+left sides of all rules, then their right sides (nonterminal ``first`` + i is rule i), ``expansion`` per rule the ids it
+stands for, ``n_symbols`` and ``symbols``; these three hold the low 16 bits of every number as uint16, then a bit plane for
+each further bit that the largest one needs. ``anchors`` uint64 per ANCHOR symbols (ids before them), ``ends`` uint64 per
+document (ids up to its end), ``doc_ids``, ``before`` the ids of the shards of the same part before this one.
 
 Defined results: null and empty texts give the end id alone; null ids come first; rows with equal ids are ordered by a
 hash of their text, then by text; texts of any length are encoded whole; words of any length are told apart by 64-bit
@@ -40,7 +40,7 @@ SHARD_IDS = 1 << 20
 #: Words whose encoding a worker keeps (about 20 bytes each).
 CACHE_WORDS = 400_000
 #: A pair is frequent, and becomes a rule, if it occurs so often in its shard without overlap.
-LEAST = 16
+LEAST = 10
 ANCHOR = 1024
 #: Up to this many parts (16 bytes each) the table of their first ids is broadcast.
 BROADCAST_PARTS = 500_000
@@ -285,16 +285,21 @@ def loaded(data: bytes, n: int, start: int = 0, end: int | None = None) -> np.nd
     return out
 
 
+def loaded_rules(data: bytes, n: int) -> np.ndarray:
+    """Rules (n, 2) of a shard."""
+    return loaded(data, 2 * n).reshape(2, n).T
+
+
 def decode_range(shard: dict, start: int, end: int) -> np.ndarray:
     """Ids start to end of a shard, expanding only the symbols that cover them."""
-    first, rules = shard["first"], np.frombuffer(shard["rules"], "<u4").reshape(-1, 2)
+    first, rules = shard["first"], loaded_rules(shard["rules"], shard["n_rules"])
     anchors = np.frombuffer(shard["anchors"], "<u8")
     if not len(anchors) or end <= start:
         return np.empty(0, np.uint32)
     low = max(0, int(np.searchsorted(anchors, start, side="right")) - 1)
     high = int(np.searchsorted(anchors, end, side="left"))
     own = loaded(shard["symbols"], shard["n_symbols"], low * ANCHOR, high * ANCHOR)
-    lengths = _lengths(own, np.frombuffer(shard["expansion"], "<u4"), first)
+    lengths = _lengths(own, loaded(shard["expansion"], shard["n_rules"]), first)
     before = int(anchors[low]) + np.cumsum(lengths) - lengths
     inside = (before + lengths > start) & (before < end)
     if not inside.any():
@@ -321,8 +326,9 @@ def pack(doc_ids: list[int | None], encoded: list[np.ndarray], first: int) -> di
         "n_ids": len(ids),
         "first": first,
         "n_symbols": len(symbols),
-        "rules": rules.astype("<u4").tobytes(),
-        "expansion": expansion.astype("<u4").tobytes(),
+        "n_rules": len(rules),
+        "rules": stored(rules.T.ravel()),
+        "expansion": stored(expansion.astype(np.uint32)),
         "symbols": stored(symbols),
         "anchors": before[::ANCHOR].astype("<u8").tobytes(),
         "ends": np.cumsum([len(x) for x in encoded]).astype("<u8").tobytes(),
@@ -330,7 +336,7 @@ def pack(doc_ids: list[int | None], encoded: list[np.ndarray], first: int) -> di
     }
 
 
-SHARD_SCHEMA = "part int, shard int, before long, n_ids long, first int, n_symbols long, rules binary, expansion binary, symbols binary, anchors binary, ends binary, doc_ids array<bigint>"
+SHARD_SCHEMA = "part int, shard int, before long, n_ids long, first int, n_symbols long, n_rules long, rules binary, expansion binary, symbols binary, anchors binary, ends binary, doc_ids array<bigint>"
 
 
 def write(documents: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, partitions: int | None = None) -> None:
@@ -384,15 +390,15 @@ def read(spark, path: str) -> DataFrame:
     parts = common.saved(shards.groupBy("part").agg(F.sum("n_ids").alias("n")), "parts")
     begins = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("begins"))
     begins = F.broadcast(begins) if parts.count() <= BROADCAST_PARTS else begins
-    rows = shards.join(begins, "part").select((F.col("begins") + F.col("before")).alias("start"), "first", "n_symbols", "rules", "symbols", "ends", "doc_ids")
+    rows = shards.join(begins, "part").select((F.col("begins") + F.col("before")).alias("start"), "first", "n_symbols", "n_rules", "rules", "symbols", "ends", "doc_ids")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
-                start, first, n = (row[c].as_py() for c in ("start", "first", "n_symbols"))
+                start, first, n, n_rules = (row[c].as_py() for c in ("start", "first", "n_symbols", "n_rules"))
                 symbols = loaded(row["symbols"].as_buffer(), n)
-                ids = expand(np.frombuffer(row["rules"].as_buffer(), "<u4").reshape(-1, 2), symbols, first).astype("<u4", copy=False)
+                ids = expand(loaded_rules(row["rules"].as_buffer(), n_rules), symbols, first).astype("<u4", copy=False)
                 ends = np.frombuffer(row["ends"].as_buffer(), "<u8").astype(np.int64)
                 begin = np.concatenate(([0], ends[:-1]))
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]

@@ -493,7 +493,7 @@ def test_repair():
     for ids in (np.zeros(0, np.uint32), np.array([5]), np.full(1 << 12, 7), np.full(999, 7), rng.integers(0, 9, 20_000), prose, rng.integers(0, 70_000, 3000)):
         first = 70_000
         shard = token_files.pack([1], [ids.astype(np.uint32)], first)
-        rules, symbols = np.frombuffer(shard["rules"], "<u4").reshape(-1, 2), token_files.loaded(shard["symbols"], shard["n_symbols"])
+        rules, symbols = token_files.loaded_rules(shard["rules"], shard["n_rules"]), token_files.loaded(shard["symbols"], shard["n_symbols"])
         assert (token_files.expand(rules, symbols, first) == ids).all()
         for a, b in ((0, len(ids)), (3, 17), (900, 950), (len(ids) - 3, len(ids) + 9)):
             a, b = max(0, min(a, len(ids))), min(b, len(ids))
@@ -502,7 +502,7 @@ def test_repair():
         assert max(pair_counts(symbols.tolist()).values(), default=0) < token_files.LEAST
         assert (token_files.expansions(rules, first) == [len(token_files.expand(rules, np.array([first + i]), first)) for i in range(len(rules))]).all()
     run = token_files.repair(np.full(1 << 12, 7), 100)
-    assert len(run[0]) == 8 and len(run[1]) == 16  # halved as long as the pair occurs 16 times
+    assert len(run[0]) == 8 and len(run[1]) == 16  # halved as long as the pair occurs so often: 16, 8 no more
 
 
 def test_first_rule_is_the_most_frequent_pair():
