@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, decontaminate, embedding_dedup, language_id, mixing, ngram_join, quality, sharding, token_files, toxicity, warc
+from quarry.llm import common, decontaminate, embedding_dedup, language_id, mixing, ngram_join, quality, sharding, substring_dedup, token_files, toxicity, warc
 
 #: The tokenizer file of the token queries; the operator takes any file of the tokenizers library.
 TOKENIZER = "word_bpe_49k.json"
@@ -86,6 +86,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(documents, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of passages of 13 words or more that a smaller document has too."""
+    left = substring_dedup.remove(common.table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
+    "op11_substring_dedup": op11_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_embedding_dedup": embedding_dedup.oracle(), "op5_warc": warc.oracle(), "op6_ngram_join": ngram_join.oracle(), "op7_mixing": mixing.oracle()}
+ORACLE_SQL: dict[str, str] = {"op4_embedding_dedup": embedding_dedup.oracle(), "op5_warc": warc.oracle(), "op6_ngram_join": ngram_join.oracle(), "op7_mixing": mixing.oracle(), "op11_substring_dedup": substring_dedup.oracle()}

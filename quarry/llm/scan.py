@@ -123,9 +123,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def space_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each run of bytes other than blank and 0x09 to 0x0D, A to Z lower-cased."""
-    raw = _LOWER[np.frombuffer(data, np.uint8)]
+def space_words(data: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each run of bytes other than blank and 0x09 to 0x0D; ``fold`` lower-cases A to Z."""
+    raw = np.frombuffer(data, np.uint8)
+    raw = _LOWER[raw] if fold else raw
     inside = ~_SPACE[raw]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
