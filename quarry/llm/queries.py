@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, decontaminate, embedding_dedup, language_id, mixing, ngram_join, quality, sharding, substring_dedup, token_files, toxicity, warc
+from quarry.llm import common, decontaminate, embedding_dedup, language_id, mixing, ngram_join, quality, sharding, spelling, substring_dedup, token_files, toxicity, warc
 
 #: The tokenizer file of the token queries; the operator takes any file of the tokenizers library.
 TOKENIZER = "word_bpe_49k.json"
@@ -92,6 +92,11 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the (damaged) documents with its near words, its form and its root."""
+    return spelling.groups(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_spelling_groups": op12_spelling_groups,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_embedding_dedup": embedding_dedup.oracle(), "op5_warc": warc.oracle(), "op6_ngram_join": ngram_join.oracle(), "op7_mixing": mixing.oracle(), "op11_substring_dedup": substring_dedup.oracle()}
+ORACLE_SQL: dict[str, str] = {"op4_embedding_dedup": embedding_dedup.oracle(), "op5_warc": warc.oracle(), "op6_ngram_join": ngram_join.oracle(), "op7_mixing": mixing.oracle(), "op11_substring_dedup": substring_dedup.oracle(), "op12_spelling_groups": spelling.oracle()}
