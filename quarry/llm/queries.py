@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, decontaminate, embedding_dedup, language_id, mixing, ngram_join, quality, sharding, spelling, substring_dedup, token_files, toxicity, warc
+from quarry.llm import common, conversation_repair, decontaminate, embedding_dedup, language_id, mixing, ngram_join, quality, sharding, spelling, substring_dedup, token_files, toxicity, warc
 
 #: The tokenizer file of the token queries; the operator takes any file of the tokenizers library.
 TOKENIZER = "word_bpe_49k.json"
@@ -97,6 +97,11 @@ def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.groups(common.table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged: its faults, the cheapest edits that repair it and the digest of the result."""
+    return conversation_repair.audit(conversation_repair.damaged(common.table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_substring_dedup": op11_substring_dedup,
     "op12_spelling_groups": op12_spelling_groups,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_embedding_dedup": embedding_dedup.oracle(), "op5_warc": warc.oracle(), "op6_ngram_join": ngram_join.oracle(), "op7_mixing": mixing.oracle(), "op11_substring_dedup": substring_dedup.oracle(), "op12_spelling_groups": spelling.oracle()}
+ORACLE_SQL: dict[str, str] = {"op4_embedding_dedup": embedding_dedup.oracle(), "op5_warc": warc.oracle(), "op6_ngram_join": ngram_join.oracle(), "op7_mixing": mixing.oracle(), "op11_substring_dedup": substring_dedup.oracle(), "op12_spelling_groups": spelling.oracle(), "op13_conversation_repair": conversation_repair.oracle()}
