@@ -3,6 +3,9 @@
 A benchmark item is a sequence of words (lower-cased runs of letters and digits). A document is contaminated by it if
 some window is within ``max_edits`` of it: at most 15 % of its words inserted, deleted or replaced.
 
+Items of fewer than 7 words allow no edit: they are looked up by the hash of their words at every place of a text, and
+the words compared. The others go through four steps:
+
 1. Gate: a window that close to an item of n words keeps at least n - 2 - 3k of its 3-word grams (each edit
    destroys at most three), so only windows with that many grams of items of its size are looked at: nothing is lost.
 2. Embedding: random walks map windows and items to sequences in which k edits become O(k*k) differing
@@ -18,7 +21,7 @@ block's result is written before the next block's index is built, so neither dri
 takes a pass over the documents for each block.
 
 Defined results: null, empty and short texts match nothing; items of fewer than 7 words allow no edit and must match
-exactly; items without any word (or null) are left out; repeated documents are reported row by row; equal items each
+exactly; items without any letter or digit (or null) are left out; repeated documents are reported row by row; equal items each
 report; an empty benchmark or document table gives an empty result; ``report`` reads doc_id and text only and ``clean``
 keeps all columns, so other columns of any name do not matter.
 """
@@ -47,8 +50,8 @@ _END = U(0xE0E0E0E0E0E0E0E1)
 
 
 def words_of(text: str | None) -> np.ndarray:
-    """Hashes of the lower-cased letter runs of a text, in order."""
-    found = [scan.Words(g).hash for g in scan.pieces([text])]
+    """Hashes of the lower-cased runs of letters and digits of a text, in order."""
+    found = [scan.Words(g, digits=True).hash for g in scan.pieces([text])]
     return np.concatenate(found) if found else np.empty(0, U)
 
 
@@ -61,6 +64,15 @@ def grams(h: np.ndarray) -> np.ndarray:
         return scan.mix(h[:-2] * U(0x9E3779B97F4A7C15) + scan.mix(h[1:-1]) * U(3) + scan.mix(h[2:] + U(11))) if len(h) > 2 else np.empty(0, U)
 
 
+def sequences(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every ``n`` consecutive words."""
+    with np.errstate(over="ignore"):
+        out = np.full(max(0, len(h) - n + 1), n, U)
+        for j in range(n):
+            out = scan.mix(out * U(0x9E3779B97F4A7C15) + h[j : len(out) + j])
+    return out
+
+
 def embed(windows: np.ndarray, walk: int) -> np.ndarray:
     """CGK embedding of equally long word sequences (one a row) by one random walk: 2n positions a row."""
     rows, n = windows.shape
@@ -132,8 +144,9 @@ class Size:
 class Index:
     ids: list[int]
     words: list[np.ndarray]
-    grams: np.ndarray
+    grams: np.ndarray  # of the items that allow edits
     sizes: dict[int, Size] = field(default_factory=dict)
+    exact: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # of the others, by words: sorted hashes and whose they are
     maybe: np.ndarray | None = None
 
     def known(self, g: np.ndarray) -> np.ndarray:
@@ -155,9 +168,14 @@ def build(ids: list[int], texts: list[str | None]) -> Index:
     for i, w in enumerate(words):
         if len(w):
             by_size[len(w)].append(i)
-    every = [grams(w) for w in words]
+    every = [grams(w) if max_edits(len(w)) else np.empty(0, U) for w in words]
     index = Index(list(ids), words, np.unique(np.concatenate(every)) if every else np.empty(0, U))
     for n, own in by_size.items():
+        if not max_edits(n):
+            keys = np.concatenate([sequences(words[i], n) for i in own])
+            order = np.argsort(keys, kind="stable")
+            index.exact[n] = keys[order], np.array(own, np.int32)[order]
+            continue
         matrix = np.stack([words[i] for i in own])
         walks, recall = _walks(matrix, max_edits(n))
         keys = np.concatenate([samples(embed(matrix, w), w).ravel() for w in range(walks)]) if walks else np.empty(0, U)
@@ -186,8 +204,6 @@ def _walks(items: np.ndarray, edits: int, trials: int = TRIALS) -> tuple[int, fl
     """Walks that bring the recall of copies with the most edits above RECALL by MARGIN, and that recall; none (all gated
     windows are verified, recall 1) if MAX_WALKS do not."""
     n = items.shape[1]
-    if edits == 0:
-        return 1, 1.0
     rng = np.random.default_rng([SEED, n])
     base = items[rng.integers(0, len(items), trials)]
     other = np.empty_like(base)
@@ -208,13 +224,17 @@ def batch_matches(index: Index, texts: list[str | None]) -> list[list[tuple[int,
 
     One bulk look-up of all grams leaves few texts; their gated windows are embedded together, size by size.
     """
-    if not index.sizes:
-        return [[] for _ in texts]
-    least = min(s.need for s in index.sizes.values()) if min(index.sizes) > 2 else 0
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+    if not index.sizes and not index.exact:
+        return out
+    least = min((s.need for s in index.sizes.values()), default=1 << 62)
     words: dict[int, np.ndarray] = {i: words_of(t) for i, t in enumerate(texts) if t and len(t) > scan.CHUNK}
+    for i, h in words.items():
+        _exact(index, h, np.full(len(h), i), out)
     short = [i for i, t in enumerate(texts) if t and len(t) <= scan.CHUNK]
     for group in scan.pieces([texts[i] for i in short]):
-        found = scan.Words(group)
+        found = scan.Words(group, digits=True)
+        _exact(index, found.hash, np.array(short)[found.doc], out)
         known = index.known(grams(found.hash))
         # grams across two texts count too: that only lets a text through
         n = np.bincount(found.doc[: len(known)][known], minlength=len(short)) if len(known) else np.zeros(len(short), np.int64)
@@ -229,7 +249,6 @@ def batch_matches(index: Index, texts: list[str | None]) -> list[list[tuple[int,
     candidates: dict[tuple[int, int], list[int]] = defaultdict(list)
     for n, own in waiting.items():
         _candidates(index, n, own, words, candidates)
-    out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     for (i, item), starts in sorted(candidates.items()):
         best = _verified(index, item, words[i], starts)
         if best:
@@ -237,6 +256,21 @@ def batch_matches(index: Index, texts: list[str | None]) -> list[list[tuple[int,
     return out
 
 
+def _exact(index: Index, h: np.ndarray, text: np.ndarray, out: list) -> None:
+    """Add the first place of every item without edits to its text's list; ``text`` is that of each word, in ascending order."""
+    for n, (keys, owner) in index.exact.items():
+        own = sequences(h, n)
+        at = np.searchsorted(keys, own)
+        at[at == len(keys)] = 0
+        seen = set()
+        for s in np.flatnonzero((keys[at] == own) & (text[: len(own)] == text[n - 1 :])).tolist():
+            i, first = int(text[s]), int(np.searchsorted(text, text[s]))
+            for item in owner[at[s] : int(np.searchsorted(keys, own[s], side="right"))].tolist():
+                if (i, item) not in seen and (index.words[item] == h[s : s + n]).all():
+                    seen.add((i, item))
+                    out[i].append((item, s - first, s - first + n, 0))
+
+
 def _gated(index: Index, h: np.ndarray):
     """(number of words, start words of windows) where enough grams of items of that size lie."""
     if not len(h):
@@ -247,9 +281,6 @@ def _gated(index: Index, h: np.ndarray):
         k = max_edits(n)
         if len(h) < n - k:
             continue
-        if n < 3:
-            yield n, np.arange(len(h) - n + 1)
-            continue
         if len(spot) < size.need:
             continue
         pos = np.searchsorted(size.grams, g[spot])

@@ -56,6 +56,11 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
+@cache
+def letters_and_digits() -> np.ndarray:
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+
+
 _BREAK = re.compile(r"\s")
 
 
@@ -86,16 +91,16 @@ def pieces(texts: list[str | None], limit: int = CHUNK) -> Iterator[list[tuple[i
 
 
 class Words:
-    """Runs of letters of lower-cased texts.
+    """Runs of letters, or of letters and digits, of lower-cased texts.
 
     ``hash``: of each word; ``doc``: index of its text; ``start``/``length``: its place in ``codes``.
     """
 
-    def __init__(self, group: list[tuple[int, str]]):
+    def __init__(self, group: list[tuple[int, str]], digits: bool = False):
         low = [t.lower() for _, t in group]
         self.codes = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, low), np.int64, len(low)) + 1
-        inside = letters()[self.codes]
+        inside = (letters_and_digits() if digits else letters())[self.codes]
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         self.start = np.flatnonzero(edge == 1)
         self.length = np.flatnonzero(edge == -1) - self.start

@@ -31,6 +31,11 @@ def letter_runs(text):
     return out
 
 
+def letter_and_digit_runs(text):
+    """Runs of letters and digits of a lower-cased text."""
+    return "".join(c if c.isalpha() or c.isdigit() or c.isnumeric() else " " for c in (text or "").lower()).split(" ")
+
+
 @pytest.fixture(scope="module")
 def long_text():
     """More than two pieces of the scanner, with words of any length in it."""
@@ -266,7 +271,37 @@ def least_edits(item, words):
 
 def contaminated(texts, items):
     """(text, item) of all items within their edits, by comparing all with all."""
-    return {(i, k): d for i, t in enumerate(texts) for k, item in enumerate(items) if item and (d := least_edits(item, letter_runs(t))) <= int(0.15 * len(item))}
+    return {(i, k): d for i, t in enumerate(texts) for k, item in enumerate(items) if item and (d := least_edits(item, [w for w in letter_and_digit_runs(t) if w])) <= int(0.15 * len(item))}
+
+
+def test_decontamination_of_items_with_numbers(spark):
+    items = ["Compute 17 times 23 and add 5", "What is 12 + 34 ?", "1 2 3 4 5 6 7 8", "the", "On 2024-05-17 the store at 12 Elm St sold 340 units for $5 each", "?!"]
+    texts = [
+        "Compute 99 times 11 and add 7 please", "so compute 17 times 23, and add 5.", "what is it", "What is 12 34", "what is 12 - 35", "1 2 3 4 5 6 7 8 9", "1 2 3 4 5 6 77 8", "1 2 3 4 55 6 77 8",
+        "On 2024-05-17 a store at 12 Elm St sold 340 units for $5 each", "On 2023-04-16 the store at 99 Elm St sold 10 units for $7 each", "x1 2 3", "THE end", "12 34 what is", "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.report(docs, bench).collect()}
+    want = contaminated(texts, [[w for w in letter_and_digit_runs(t) if w] for t in items])
+    assert got == want == {(1, 0): 0, (3, 1): 0, (5, 2): 0, (6, 2): 1, (8, 4): 1, (9, 3): 0, (11, 3): 0}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench.where("item_id <> 3")).collect()} == set(range(len(texts))) - {1, 3, 5, 6, 8}
+
+
+def test_short_items_open_no_gate():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 200)) for _ in range(50)] + ["here is the 7 word"]
+    longer = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 20)) for _ in range(200)]
+    index = decontaminate.build(list(range(203)), [*longer, "the", "is the", "w1 w2"])
+    asked = []
+    original = decontaminate._gated
+    decontaminate._gated = lambda i, h: asked.append(len(h)) or original(i, h)
+    try:
+        found = decontaminate.batch_matches(index, texts)
+    finally:
+        decontaminate._gated = original
+    assert found[-1] == [(200, 2, 3, 0), (201, 1, 3, 0)] and not asked
+    assert [i for i, x in enumerate(found[:-1]) if any(k == 202 for k, *_ in x)] == [i for i, t in enumerate(texts[:-1]) if " w1 w2 " in f" {t} "]
 
 
 def test_decontamination_against_all_windows(spark, long_text):
