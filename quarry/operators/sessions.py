@@ -37,10 +37,10 @@ def selection_log(rows: DataFrame) -> DataFrame:
 def downtimes(events: DataFrame, group: list[str], down: Column) -> DataFrame:
     """Intervals from the first down event to the next up event of each group; open ones have no end.
 
-    Gaps and islands: a change starts a new island, islands that are down become intervals.
+    Gaps and islands: a change starts a new island, islands that are down become intervals. An unknown state is up.
     """
     w = Window.partitionBy(*group).orderBy("ts", "event_id")
-    marked = events.withColumn("down", down).withColumn("changed", (F.col("down") != F.lag("down", 1, False).over(w)).cast("int"))
+    marked = events.withColumn("down", F.coalesce(down, F.lit(False))).withColumn("changed", (F.col("down") != F.lag("down", 1, False).over(w)).cast("int"))
     changes = marked.where("changed = 1").withColumn("until", F.lead("ts").over(w)).where("down")
     seconds = F.floor(F.unix_micros(F.col("until").cast("timestamp")) / 1_000_000) - F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
     return changes.select(*group, F.col("ts").alias("down_since"), F.col("until").alias("up_at"), seconds.alias("seconds"), text.clock(seconds).alias("duration"))

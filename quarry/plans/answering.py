@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import rules, text, web
-from quarry.operators import chunking, compression, dedup, ranking, tfidf, vectors
+from quarry.operators import chunking, compression, containment, dedup, ranking, tfidf, vectors
 from quarry.plans.models import Models
 from quarry.sources import html, shared
 
@@ -147,14 +147,14 @@ def retrieve(questions: DataFrame, chunks: DataFrame, cfg: Config, models: Model
 
 
 def _gold_signs(found: DataFrame, gold: DataFrame | None, match: DataFrame | None):
-    """``found`` with what tells of gold: whether the address begins one of a gold question, the text holds the answer of the
+    """``found`` with what tells of gold: whether the address lies within one of a gold question, the text holds the answer of the
     very question that was asked, and the chunk is the matched question's own."""
     if gold is None:
         no = F.lit(False)
         return found, no, no, no
-    begins = gold.where("url is not null and url <> ''").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("url")), lambda n: F.substring("url", F.lit(1), n))).alias("url")).distinct()
+    inside = containment.contained(found, "url", gold, "url")
     same = gold.select(F.lower("query").alias("q_asked"), F.lower("reference_answer").alias("q_answer")).where("q_answer <> ''").dropDuplicates(["q_asked"])
-    out = found.join(begins.withColumn("q_known", F.lit(True)), "url", "left").withColumn("q_asked", F.lower("question")).join(same, "q_asked", "left")
+    out = found.join(inside.withColumn("q_known", F.lit(True)), "url", "left").withColumn("q_asked", F.lower("question")).join(same, "q_asked", "left")
     out = out.withColumn("q_says", F.contains(F.lower("text"), F.col("q_answer"))).drop("q_asked", "q_answer")
     out = out.join(match.select("query_id", F.col("gold_id").alias("q_match")), "query_id", "left")
     return out, F.col("q_known"), F.col("q_says"), F.col("gold_id") == F.col("q_match")

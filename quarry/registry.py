@@ -1186,3 +1186,143 @@ def stream_downtime(spark, sf_dir):
 
     out = streamed(spark, sf_dir, "events", lambda s: stateful.downtimes(s, "user_id", F.col("event_type") == "error"), "append")
     return out.select("user_id", F.unix_micros("down_since").alias("down_us"), F.unix_micros("up_at").alias("up_us"), "seconds")
+
+
+@query("stream_downtime_late", ORACLE_SQL["stream_downtime"])
+def stream_downtime_late(spark, sf_dir):
+    """Downtimes of events that arrive up to a day late, in six parts of about five days each."""
+    from quarry.streaming import event_time, replay, sinks
+
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    arriving = replay.stream(events, replay.arrivals(events, "ts", 86_400, 6, end_after=90 * 86_400))
+    own = shared.path(spark, "downtimes")
+    sinks.write_once(event_time.downtimes(arriving, "user_id", F.col("event_type") == "error", "7 days"), f"{own}/log", "events", f"{own}/state").awaitTermination()
+    return sinks.written(spark, f"{own}/log").select("user_id", F.unix_micros("down_since").alias("down_us"), F.unix_micros("up_at").alias("up_us"), "seconds")
+
+
+def arriving_turns(spark, sf_dir: str, end_after: int | None = None) -> tuple[DataFrame, str]:
+    """Turns with a time (conversations begin a minute apart, turns follow by the second), and where they arrive up to an hour late."""
+    from quarry.streaming import replay
+
+    turns = table(spark, sf_dir, "conversations").withColumn("at", F.timestamp_seconds(1_000_000 + F.col("conv_id") * 60 + F.col("turn")))
+    return turns, replay.arrivals(turns, "at", 3_600, 4, end_after=end_after)
+
+
+@query("stream_sessions", ORACLE_SQL["session_state"])
+def stream_sessions(spark, sf_dir):
+    """All sessions that a stream of turns in any order has left in its state."""
+    from quarry.streaming import replay, session_store
+
+    turns, path = arriving_turns(spark, sf_dir)
+    own = shared.path(spark, "sessions")
+    stream = session_store.sessions(replay.stream(turns, path).withColumn("at", F.unix_seconds("at")))
+    stream.writeStream.outputMode("update").format("noop").option("checkpointLocation", own).trigger(availableNow=True).start().awaitTermination()
+    return session_store.all_sessions(spark, own).select("conv_id", "n_turns", "last_turn", "last_question", "last_answer")
+
+
+def _paired(spark, sf_dir: str) -> DataFrame:
+    """Streams of questions and of answers, joined; a delay beyond the whole table's span would keep all, this one does not."""
+    from quarry.streaming import event_time, replay
+
+    turns, path = arriving_turns(spark, sf_dir, 90 * 86_400)
+    span = turns.agg(F.max(F.unix_seconds("at")) - F.min(F.unix_seconds("at"))).first()[0] or 0
+    side = lambda role: replay.stream(turns, path).where(F.col("role").isin(role, ""))
+    return event_time.previous_question(side("user"), side("assistant"), "1 HOUR", f"{span // 4 + 7_200} seconds")
+
+
+@query("stream_prev_question", ORACLE_SQL["prev_user_turn"])
+def stream_prev_question(spark, sf_dir):
+    from quarry.streaming import sinks
+
+    own = shared.path(spark, "pairs")
+    sinks.write_once(_paired(spark, sf_dir), f"{own}/log", "pairs", f"{own}/state").awaitTermination()
+    return sinks.written(spark, f"{own}/log").select("conv_id", "turn", "question")
+
+
+@query("stream_selection_log", ORACLE_SQL["selection_log"])
+def stream_selection_log(spark, sf_dir):
+    """Answers with their questions from two streams, as lines of the selection log in a sink that holds each once."""
+    from quarry.streaming import sinks
+
+    def lines(batch):
+        rows = batch.select(F.col("turn").cast("string").alias("timestamp"), F.col("conv_id").cast("string").alias("session_id"), F.lit("primary").alias("selected_version"), F.lit("assistant").alias("answer_mode"), "question", F.col("answer").alias("primary_answer"), F.lit(None).cast("string").alias("alternative_answer"), (F.length(text.text("answer")) / 1000.0).alias("gold_similarity"))
+        return sessions.selection_log(rows)
+
+    own = shared.path(spark, "selections")
+    schema = ", ".join(f"{c} string" for c in ("timestamp", "session_id", "selected_version", "answer_mode", "question", "primary_answer", "alternative_answer", "gold_similarity"))
+    written = {"header": "true", "escape": '"', "quoteAll": "true", "emptyValue": ""}
+    sinks.write_once(_paired(spark, sf_dir), f"{own}/log", "selections", f"{own}/state", lines, "csv", **written).awaitTermination()
+    log = sinks.written(spark, f"{own}/log", schema, "csv", header="true", escape='"', multiLine="true", emptyValue="", nullValue="\x00")
+    return log.select(F.col("session_id").cast("long").alias("conv_id"), F.col("timestamp").cast("long").alias("turn"), "question", "primary_answer", "gold_similarity")
+
+
+# ---- containment, token matching, beams ----------------------------------------------------------------------------
+
+#: Addresses of gold questions: those of the pages that items are in turn with; asked are whole, relative and partial ones.
+_ADDRESSES = f"""{PLACED}, gold AS (SELECT item_id, url FROM (SELECT item_id, url, row_number() OVER (PARTITION BY item_id ORDER BY page_id) AS r FROM pages, total JOIN placed ON place = page_id % n_items) WHERE r = 1),
+asked AS (SELECT page_id, unnest([url, regexp_replace(url, '^[a-z]+://[^/]*', ''), regexp_extract(url, '/([a-z0-9]*)', 1), coalesce(string_split(url, '/')[3], '')]) AS part FROM pages)"""
+
+
+def _gold_addresses(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    of = in_turn(pages, F.col("page_id"), table(spark, sf_dir, "benchmark").select("item_id"), "item_id")
+    known = of.groupBy("item_id").agg(F.min_by("url", "page_id").alias("url"))
+    parts = F.array("url", F.regexp_replace("url", "^[a-z]+://[^/]*", ""), F.regexp_extract("url", "/([a-z0-9]*)", 1), F.coalesce(F.try_element_at(F.split("url", "/"), F.lit(3)), F.lit("")))
+    return pages.select("page_id", F.explode(parts).alias("part")), known
+
+
+@query("gold_url_contained", f"WITH {_ADDRESSES} SELECT page_id, part, part <> '' AND EXISTS (SELECT 1 FROM gold WHERE contains(gold.url, part)) AS known FROM asked")
+def gold_url_contained(spark, sf_dir):
+    """Whole, relative and partial addresses of all pages: does any gold address hold them?"""
+    from quarry.operators import containment
+
+    asked, known = _gold_addresses(spark, sf_dir)
+    inside = containment.contained(asked, "part", known, "url").withColumn("known", F.lit(True))
+    return asked.join(inside, "part", "left").select("page_id", "part", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query("gold_url_pairs", f"WITH {_ADDRESSES} SELECT DISTINCT part AS needle, gold.url AS within FROM asked JOIN gold ON part <> '' AND contains(gold.url, part)")
+def gold_url_pairs(spark, sf_dir):
+    from quarry.operators import containment
+
+    asked, known = _gold_addresses(spark, sf_dir)
+    return containment.pairs(asked, "part", known, "url")
+
+
+_LETTERS = ", ".join(f"length(t) - length(replace(t, '{x}', ''))" for x in "abcdefghijklmnopqrstuvwxyz")
+_GREEDY = f"""WITH {{source}}, w AS (SELECT id, regexp_extract_all(lower(reference), '[a-z]+') AS r, regexp_extract_all(lower(answer), '[a-z]+') AS a FROM s),
+q AS (SELECT DISTINCT reference FROM s), n AS (SELECT count(*) AS n FROM q),
+d AS (SELECT t, -ln((count(*) + 1) / (any_value(n) + 1)) AS weight FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(reference), '[a-z]+'))) AS t FROM q), n GROUP BY t), m AS (SELECT max(weight) AS most FROM d),
+x AS (SELECT id, 'r' AS side, i, r[i] AS t FROM w, unnest(range(1, len(r) + 1)) AS u(i) UNION ALL SELECT id, 'a', i, a[i] FROM w, unnest(range(1, len(a) + 1)) AS u(i)),
+v AS (SELECT t, [{_LETTERS}]::DOUBLE[] AS v FROM (SELECT DISTINCT t FROM x)), k AS (SELECT DISTINCT id, side, t FROM x),
+p AS (SELECT b.id, b.side, b.t, max(list_cosine_similarity(vb.v, vo.v)) AS best FROM k b JOIN k o ON o.id = b.id AND o.side <> b.side JOIN v vb ON vb.t = b.t JOIN v vo ON vo.t = o.t GROUP BY b.id, b.side, b.t),
+y AS (SELECT x.id, x.side, sum(best * coalesce(weight, most)) / nullif(sum(coalesce(weight, most)), 0) AS s FROM x JOIN p ON p.id = x.id AND p.side = x.side AND p.t = x.t CROSS JOIN m LEFT JOIN d ON d.t = x.t GROUP BY x.id, x.side),
+z AS (SELECT id, coalesce(max(s) FILTER (side = 'a'), 0.0) AS pr, coalesce(max(s) FILTER (side = 'r'), 0.0) AS re FROM y GROUP BY id)
+SELECT w.id, round(coalesce(pr, 0.0), 6) AS "precision", round(coalesce(re, 0.0), 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END, 6) AS f1 FROM w LEFT JOIN z ON z.id = w.id"""
+#: Answers of conversations against the benchmark item in turn, letter counts for token vectors.
+_TOLD = f"{PLACED}, s AS (SELECT conv_id * 1000 + turn AS id, placed.text AS reference, coalesce(c.text, '') AS answer FROM conversations c, total JOIN placed ON place = conv_id % n_items WHERE role = 'assistant')"
+
+
+@query("token_matching", _GREEDY.replace("{source}", _TOLD))
+def token_matching(spark, sf_dir):
+    """Every answer of a conversation against the text of the benchmark item in turn, tokens weighed by rarity."""
+    from quarry.operators import token_matching as matching
+
+    told = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), text.text("text").alias("answer"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("reference"))
+    pairs = shared.saved(in_turn(told, F.col("conv_id"), items, "item_id").select("id", "reference", "answer"), "pairs")
+    found = matching.scores(pairs, matching.document_weights(pairs), matching.letter_counts)
+    return found.select("id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("beam_answers")
+def beam_answers(spark, sf_dir):
+    """Every document answers the benchmark item in turn by beam search; the best of three candidates and its score."""
+    from quarry.operators import beam
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", text.text("text").alias("passage"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    rows = in_turn(documents, F.col("doc_id"), items, "item_id")
+    made = rows.withColumn("candidates", beam.candidates(F.col("question"), F.array("passage")))
+    answered = made.withColumn("answer", beam.best(F.col("candidates"), F.col("passage")))
+    return answered.select("doc_id", "item_id", F.size("candidates").alias("n_candidates"), "answer", F.round(ranking.answer_score(F.col("answer"), F.col("passage")), 6).alias("score"))
