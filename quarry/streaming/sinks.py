@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+#: Spark's CSV writer would cut blanks off.
+_AS_IT_IS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 
 def write_once(rows: DataFrame, sink: str, stream: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None, fmt: str = "parquet", mode: str = "append", **options: str) -> StreamingQuery:
     """Start a query that writes what ``prepare`` makes of each micro-batch to the folder of that batch below ``sink``.
@@ -19,7 +22,7 @@ def write_once(rows: DataFrame, sink: str, stream: str, checkpoint: str, prepare
 
     def write(batch: DataFrame, number: int) -> None:
         out = prepare(batch) if prepare else batch
-        out.write.mode("overwrite").format(fmt).options(**options).save(f"{sink}/stream={stream}/batch={number}")
+        out.write.mode("overwrite").format(fmt).options(**(_AS_IT_IS | options if fmt == "csv" else options)).save(f"{sink}/stream={stream}/batch={number}")
 
     return rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

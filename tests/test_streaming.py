@@ -25,7 +25,7 @@ def event(spark, i, second, user, kind):
 
 def test_downtimes_in_any_order_equal_the_batch_twin(spark, tmp_path):
     rng = random.Random(3)
-    rows = [(i, rng.randrange(100_000, 200_000), rng.randrange(12), rng.choice(["error", "click", None])) for i in range(600)]
+    rows = [(i, rng.randrange(100_000, 200_000), rng.randrange(4), rng.choice(["error", "click", None])) for i in range(300)]
     events = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string").select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "event_type")
     path = replay.arrivals(events, "ts", 20_000, 5, end_after=10**6)
     query = sinks.write_once(event_time.downtimes(replay.stream(events, path), "user_id", F.col("event_type") == "error", "45000 seconds"), str(tmp_path / "s"), "e", str(tmp_path / "c"))
@@ -40,8 +40,8 @@ def test_rows_beyond_the_watermark_are_counted(spark, tmp_path):
     e = lambda *x: event(spark, *x)
     batches = [
         [e(1, 1000, 1, "error"), e(2, 1100, 1, "up"), e(3, 5000, 2, "up")],
-        [e(4, 1050, 1, "up"), e(5, 4990, 1, "error"), e(6, None, 1, "error"), e(7, 5100, None, "error")],  # the first one is late
-        [e(8, 9000, 1, "up")],
+        [e(5, 4990, 1, "error"), e(6, None, 1, "error"), e(7, 5100, None, "error")],
+        [e(8, 9000, 1, "up"), e(4, 1050, 1, "up")],  # the second one is late: all up to 4,900 has been gone through
         [e(9, 99000, 3, "up")],
     ]
     read = parts(spark, str(tmp_path / "in"), EVENTS, batches)
