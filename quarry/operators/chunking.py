@@ -47,19 +47,20 @@ def sections(pages: DataFrame, max_depth: int = 100) -> DataFrame:
     """Flatten section trees: ``page_url``, ``path`` (order), ``title`` and items of every section, parents first.
 
     ``pages`` (page_title, page_url, tree): tree is the JSON text of a page's sections. The recursion is a recursive
-    common table expression over VARIANT, one step a level; its row limit is lifted for large inputs.
+    common table expression over VARIANT, one step a level; its row limit is lifted for large inputs (for the session, as
+    the query runs later). A tree that is no JSON has no sections; a missing title leaves its part of the path out.
     """
     spark = pages.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    pages.select("page_title", "page_url", F.expr("parse_json(tree)").alias("tree")).createOrReplaceTempView("q_section_pages")
+    pages.select("page_title", "page_url", F.expr("try_parse_json(tree)").alias("tree")).createOrReplaceTempView("q_section_pages")
     return spark.sql(
         f"""
         WITH RECURSIVE walk(page_url, depth, path, title, url, node) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT page_url, 1, array(pos), page_title || ' - ' || variant_get(v, '$.title', 'string'),
+          SELECT page_url, 1, array(pos), concat_ws(' - ', page_title, variant_get(v, '$.title', 'string')),
                  coalesce(variant_get(v, '$.page_url', 'string'), page_url), v
           FROM q_section_pages LATERAL VIEW posexplode(variant_get(tree, '$', 'array<variant>')) t AS pos, v
           UNION ALL
-          SELECT page_url, depth + 1, concat(path, array(pos)), title || ' - ' || variant_get(v, '$.title', 'string'),
+          SELECT page_url, depth + 1, concat(path, array(pos)), concat_ws(' - ', title, variant_get(v, '$.title', 'string')),
                  coalesce(variant_get(v, '$.page_url', 'string'), url), v
           FROM walk LATERAL VIEW posexplode(variant_get(node, '$.subsections', 'array<variant>')) t AS pos, v
         )

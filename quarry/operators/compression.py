@@ -40,16 +40,29 @@ def compress(chunks: DataFrame, least: int = 200, aggressive: bool = False, max_
 
     ``chunks`` (id, query, text, tier; with ``max_chunks`` also query_id and rank, of which the first stay). Passages under
     ``least`` characters stay; so do those that compress badly: beyond 0.8 of the length for tier 1 and 0.6 for others, 0.2
-    less if aggressive. The cleaned passages are written once, as two branches read them.
+    less if aggressive. A passage is settled by itself, in Arrow batches: its sentences are weighed only where its key
+    information does not decide.
     """
     if max_chunks is not None:
         first = Window.partitionBy("query_id").orderBy("rank")
         chunks = chunks.withColumn("q_place", F.row_number().over(first)).where(F.col("q_place") <= max_chunks).drop("q_place")
-    cleaned = shared.saved(chunks.select("id", "query", "text", "tier", text.remove_boilerplate(F.col("text")).alias("cleaned")), "cleaned")
-    info = key_information(cleaned.select("id", F.col("cleaned").alias("text")))
-    short = tfidf.relevant_sentences(cleaned.select(F.col("id").alias("group_id"), "query", F.col("cleaned").alias("text"))).withColumnRenamed("group_id", "id")
-    joined = cleaned.join(info, "id").join(short, "id")
-    best = F.when(F.length("key_info") > F.length("cleaned") * 0.3, F.col("key_info")).otherwise(F.col("extract"))
-    ratio = F.when(F.col("tier") == 1, 0.8).otherwise(0.6) - (0.2 if aggressive else 0.0)
-    keep = (F.length(text.text("text")) >= least) & (F.length(best) < F.length("text") * ratio)
-    return joined.select("id", F.when(keep, best).otherwise(F.col("text")).alias("compressed"))
+
+    def run(batches):
+        for batch in batches:
+            out = [_compressed(*row, least, aggressive) for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "compressed"])
+
+    shared.workers(chunks.sparkSession)
+    rows = chunks.select(F.col("id").cast("long").alias("id"), "query", "text", F.col("tier").cast("int").alias("tier"), text.remove_boilerplate(F.col("text")).alias("cleaned"))
+    return rows.mapInArrow(run, "id long, compressed string")
+
+
+def _compressed(query: str | None, passage: str | None, tier: int | None, cleaned: str | None, least: int, aggressive: bool) -> str | None:
+    if passage is None or len(passage) < least:
+        return passage
+    cleaned = cleaned or ""
+    best = surroundings(cleaned)
+    if len(best) <= len(cleaned) * 0.3:
+        best = tfidf.best_sentences(query, cleaned)
+    ratio = (0.8 if tier == 1 else 0.6) - (0.2 if aggressive else 0.0)
+    return best if len(best) < len(passage) * ratio else passage

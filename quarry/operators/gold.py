@@ -12,9 +12,22 @@ def category(id_: Column) -> Column:
     return F.when(F.contains(id_, F.lit(":")), F.split_part(id_, F.lit(":"), F.lit(1))).otherwise("uncategorized")
 
 
-def import_records(existing: DataFrame, records: DataFrame, overwrite: bool = False) -> DataFrame:
-    """Questions after an import: known ids stay as they are, unless everything is overwritten."""
-    new = records.where(F.col("id").isNotNull() & F.col("query").isNotNull()).select("id", "query", "reference_answer", "url", category(F.col("id")).alias("category")).dropDuplicates(["id"])
+def one_record(records: DataFrame, overwrite: bool = False, order: str = "position") -> DataFrame:
+    """Of usable records with one id the first in the order of a column, or the last on overwrite; whole, so that a question,
+    its nuggets and its passages come from the same record.
+
+    Without that column, and among equal places, the smallest (or largest) record by its fields decides: not by chance.
+    """
+    own = records.where(F.col("id").isNotNull() & F.col("query").isNotNull())
+    # a struct of the row's fields, arrays included, has an order of its own
+    whole = F.struct(*[c for c in ([order] if order in records.columns else []) + [c for c in records.columns if c != order]])
+    pick = F.max(whole) if overwrite else F.min(whole)
+    return own.groupBy(F.col("id").alias("q_id")).agg(pick.alias("q_row")).select(*[F.col("q_row").getField(c).alias(c) for c in records.columns])
+
+
+def import_records(existing: DataFrame, records: DataFrame, overwrite: bool = False, order: str = "position") -> DataFrame:
+    """Questions after an import: known ids stay as they are, unless everything is overwritten; ``one_record`` of each id counts."""
+    new = one_record(records, overwrite, order).select("id", "query", "reference_answer", "url", category(F.col("id")).alias("category"))
     return new if overwrite else existing.select(*new.columns).unionByName(new.join(existing, "id", "left_anti"))
 
 
@@ -57,12 +70,12 @@ def store_embeddings(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.unionByName(old.join(new.select("question_id").distinct(), "question_id", "left_anti"))
 
 
-def import_children(existing: DataFrame, records: DataFrame, known: DataFrame, column: str, name: str, overwrite: bool = False) -> DataFrame:
-    """Nuggets or passages after an import: those of new questions are appended; everything is replaced on overwrite.
+def import_children(existing: DataFrame, records: DataFrame, known: DataFrame, column: str, name: str, overwrite: bool = False, order: str = "position") -> DataFrame:
+    """Nuggets or passages after an import, of the record that ``one_record`` chooses: those of new questions are appended; everything is replaced on overwrite.
 
     ``known``: the questions before the import (id).
     """
-    new = children(records.where(F.col("id").isNotNull() & F.col("query").isNotNull()).dropDuplicates(["id"]), column, name)
+    new = children(one_record(records, overwrite, order), column, name)
     if overwrite:
         return new
     return existing.unionByName(new.join(known.select(F.col("id").alias("question_id")).distinct(), "question_id", "left_anti"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import rules, text
+from quarry.sources import shared
 
 
 def terms(c, stop: Sequence[str] = rules.STOPWORDS):
@@ -42,16 +47,51 @@ def scores(items: DataFrame, stop: Sequence[str] = rules.STOPWORDS, max_features
     return summed.where("not is_query").select("group_id", "item_id", F.coalesce(F.col("dot") / both, F.lit(0.0)).alias("tfidf"))
 
 
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_WORD, _END = re.compile("[a-z0-9]{2,}"), re.compile("[.!?]+")
+
+
+def best_sentences(query: str | None, passage: str | None, top_n: int = 3, stop: frozenset[str] = frozenset(rules.STOPWORDS), max_features: int = 500) -> str:
+    """The sentences of a passage nearest to a query by the weights of ``scores``, in text order; the passage if it has none.
+
+    Sentences have more than 20 characters.
+    """
+    parts = [s for s in (x.strip(_SPACES) for x in _END.split(passage or "")) if len(s) > 20]
+    if not parts:
+        return passage or ""
+    counts, df, total = [], Counter(), Counter()
+    for item in [*parts, query or ""]:
+        words = [w for w in _WORD.findall(item.lower()) if w not in stop]
+        own = Counter(words)
+        own.update(map(" ".join, zip(words, words[1:])))
+        counts.append(own)
+        df.update(own.keys())
+        total.update(own)
+    if len(total) > max_features:
+        known = {t for t, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:max_features]}
+        counts = [{t: n for t, n in own.items() if t in known} for own in counts]
+    weight = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in df.items()}
+    asked = {t: n * weight[t] for t, n in counts[-1].items()}
+    size = math.sqrt(sum(w * w for w in asked.values()))
+    near = []
+    for i, own in enumerate(counts[:-1]):
+        dot = sum(n * weight[t] * asked[t] for t, n in own.items() if t in asked)
+        length = math.sqrt(sum((n * weight[t]) ** 2 for t, n in own.items())) if dot else 0.0
+        near.append((-round(dot / (length * size), 9) if length * size else 0.0, i))
+    return ". ".join(parts[i] for i in sorted(i for _, i in sorted(near)[:top_n])) + "."
+
+
 def relevant_sentences(passages: DataFrame, top_n: int = 3, stop: Sequence[str] = rules.STOPWORDS) -> DataFrame:
-    """``group_id``, ``extract``: of each passage the sentences nearest to its query, in text order.
+    """``group_id``, ``extract`` of ``passages`` (group_id, query, text): ``best_sentences`` of each.
 
-    ``passages`` (group_id, query, text). Sentences have more than 20 characters; without one the text stays.
+    A passage is one row and needs no other, so rows go through in Arrow batches and nothing is shuffled.
     """
-    parts = F.filter(F.transform(F.split(text.text("text"), r"[.!?]+"), text.strip), lambda s: F.length(s) > 20)
-    own = passages.select("group_id", F.lit(False).alias("is_query"), F.posexplode(parts).alias("item_id", "text"))
-    asked = passages.select("group_id", F.lit(True).alias("is_query"), F.lit(-1).alias("item_id"), text.text("query").alias("text"))
-    scored = scores(own.unionByName(asked), stop, 500).join(own.select("group_id", "item_id", "text"), ["group_id", "item_id"])
-    w = Window.partitionBy("group_id").orderBy(F.desc(F.round("tfidf", 9)), "item_id")
-    top = scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top_n)
-    joined = top.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("s")).select("group_id", F.concat(F.array_join(F.transform("s", lambda x: x["text"]), ". "), F.lit(".")).alias("extract"))
-    return passages.join(joined, "group_id", "left").select("group_id", F.coalesce("extract", text.text("text")).alias("extract"))
+    words = frozenset(stop)
+
+    def run(batches):
+        for batch in batches:
+            found = [best_sentences(q, t, top_n, words) for q, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["group_id", "extract"])
+
+    shared.workers(passages.sparkSession)
+    return passages.select(F.col("group_id").cast("long").alias("group_id"), "query", "text").mapInArrow(run, "group_id long, extract string")

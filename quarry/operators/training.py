@@ -33,6 +33,12 @@ def answerable(examples: DataFrame) -> DataFrame:
     return kept.select(text.prompt(F.col("question"), F.col("context")).alias("input"), F.element_at("answers", 1).alias("output"))
 
 
+def drawn(key: Column, share: float, seed: int) -> Column:
+    """Whether a row belongs to a random share of the rows, by the seeded digest of its key: the same rows on every run."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / (1 << 32) < share
+
+
 def split(rows: DataFrame, validation: Column) -> DataFrame:
     """Deterministic split by an expression on the id, the same on every run and partitioning."""
     return rows.withColumn("part", F.when(validation, "validation").otherwise("train"))

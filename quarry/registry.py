@@ -132,10 +132,11 @@ def gold_best_match(spark, sf_dir):
     return best.select("query_id", F.col("row_id").alias("gold_id"), F.round("sim", 6).alias("sim"))
 
 
-@query("gold_direct_answer", f"WITH {BEST_GOLD} SELECT row_id AS query_id, item_id, text AS answer, round(sim, 6) AS sim FROM b JOIN benchmark ON item_id = query_id // 100 WHERE p = 1 AND sim >= 0.3")
+@query("gold_direct_answer", f"WITH {BEST_GOLD}, {PLACED} SELECT row_id AS query_id, item_id, text AS answer, round(sim, 6) AS sim FROM b, total JOIN placed ON place = (query_id // 100) % n_items WHERE p = 1 AND sim >= 0.3")
 def gold_direct_answer(spark, sf_dir):
-    best = gold_best_match(spark, sf_dir).where("sim >= 0.3").withColumn("item_id", F.expr("gold_id div 100"))
-    return best.join(table(spark, sf_dir, "benchmark"), "item_id").select("query_id", "item_id", F.col("text").alias("answer"), "sim")
+    """The nearest gold vector answers, with the benchmark item it is in turn with; no match falls out."""
+    best = gold_best_match(spark, sf_dir).where("sim >= 0.3")
+    return in_turn(best, F.expr("gold_id div 100"), table(spark, sf_dir, "benchmark"), "item_id").select("query_id", "item_id", F.col("text").alias("answer"), "sim")
 
 
 _BOOST = "CASE label % 5 WHEN 0 THEN 3.0 WHEN 1 THEN 1.5 WHEN 2 THEN 1.2 ELSE 1.0 END"
@@ -539,7 +540,17 @@ def tfidf_scores(spark, sf_dir):
     return tfidf.scores(items_of(spark, sf_dir)).withColumn("tfidf", F.round("tfidf", 6))
 
 
-@query("compress_sentences")
+_spaces = "' ' || " + " || ".join(f"chr({i})" for i in (9, 10, 11, 12, 13, 133, 160, 8232, 8233, 8239, 12288, *range(0x2000, 0x200B)))
+_SENTENCES = f"""p AS (SELECT doc_id AS group_id, coalesce(d.text, '') AS whole, placed.text AS query, list_filter(list_transform(string_split_regex(coalesce(d.text, ''), '[.!?]+'), lambda x: trim(x, {_spaces})), lambda x: length(x) > 20) AS s FROM documents d, total JOIN placed ON place = doc_id % n_items),
+items AS (SELECT group_id, i - 1 AS item_id, s[i] AS text, FALSE AS is_query FROM p, unnest(range(1, len(s) + 1)) AS u(i) UNION ALL SELECT group_id, -1, query, TRUE FROM p)"""
+_SENTENCES = PLACED + ", " + _SENTENCES + TFIDF_SQL[TFIDF_SQL.index(",\nw AS") :].replace("place <= 1000", "place <= 500")
+
+
+@query(
+    "compress_sentences",
+    f"""WITH {_SENTENCES}, top AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY round(tfidf, 9) DESC, item_id) AS r FROM f), e AS (SELECT group_id, string_agg(text, '. ' ORDER BY item_id) || '.' AS extract FROM top WHERE r <= 3 GROUP BY group_id)
+    SELECT p.group_id, coalesce(extract, whole) AS extract FROM p LEFT JOIN e ON e.group_id = p.group_id""",
+)
 def compress_sentences(spark, sf_dir):
     d = in_turn(table(spark, sf_dir, "documents"), F.col("doc_id"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query")), "item_id")
     return tfidf.relevant_sentences(d.select(F.col("doc_id").alias("group_id"), "query", "text"))
@@ -1073,11 +1084,11 @@ def triplet_mining(spark, sf_dir):
     return training.triplets(q.select("query_id", "label"), c.select("row_id", "label"))
 
 
-@query("train_split", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'validation' ELSE 'train' END AS part FROM documents")
+@query("train_split", "SELECT doc_id, CASE WHEN CAST('0x' || md5('42:' || doc_id)[:8] AS BIGINT) / 4294967296 < 0.2 THEN 'validation' ELSE 'train' END AS part FROM documents")
 def train_split(spark, sf_dir):
     from quarry.operators import training
 
-    return training.split(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id") % 5 == 0)
+    return training.split(table(spark, sf_dir, "documents").select("doc_id"), training.drawn(F.col("doc_id"), 0.2, seed=42))
 
 
 _told = text.prompt_parts()
