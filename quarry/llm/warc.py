@@ -1,22 +1,25 @@
 """WARC archives as a chunked record table: oversized payloads travel as (record, chunk number) rows.
 
-``write`` turns every page into a WARC/1.1 record, a gzip member of its own, and streams members into archives in the
-shared folder. A payload longer than ``CHUNK`` bytes becomes a ``response`` record with WARC-Segment-Number 1 and
-``continuation`` records, each with an id of its own, the origin's id and, in the last one, the total length (segmentation as
-the standard has it). Rows between Python and Spark are blocks of whole members of about ``BLOCK`` bytes, and an archive
-takes ``ARCHIVE_BLOCKS`` of them: an oversized record spans several archives rather than making one large.
+``payload_chunks`` cuts every payload into rows (row, chunk number, at most ``CHUNK`` bytes) in Spark, and saves them.
+Digests are carried from chunk to chunk: a payload of one chunk is digested where it is, chunks of larger ones are dealt by
+row and sorted by number. ``write`` turns every chunk row by itself into a WARC/1.1 record, a gzip member of its own: a
+payload of several chunks is a ``response`` record with WARC-Segment-Number 1 and ``continuation`` records, each with an id of
+its own, the origin's id and, in the last one, the total length (segmentation as the standard has it). So chunks of one
+payload may be written by different tasks, and Python holds a few chunks, never a payload. Rows on their way back are blocks
+of whole members of about ``BLOCK`` bytes, and an archive takes ``archive_blocks`` of them.
 
 ``chunks`` reads archives back into the chunk table: rows (record, chunk number, payload bytes so far, running SHA-256, last
 or not). A record of one chunk is digested while its archive streams by; chunks of oversized ones are dealt by record,
 sorted by chunk number, and the digest is carried from row to row: no task holds more than a chunk and a bounded archive.
 ``records`` keeps the last chunk row of each record.
 
-Of records with equal payloads of at least ``MIN_REVISIT`` bytes the one with the smallest page_id is a ``response``,
-the others are ``revisit`` records without payload that refer to it.
+Of records with equal payloads of at least ``MIN_REVISIT`` bytes the one with the smallest page_id is a ``response`` (of
+repeated rows of that page one), the others are ``revisit`` records without payload that refer to it. Record ids are unique:
+a response that others may refer to is named by page and digest, any other record by its row.
 
 Defined results: a null html is an empty payload; a null or empty url, or one of more than ``MOST_URL`` bytes, is written as
 an empty target, line ends in it as blanks; a null page_id is always a response, is never referred to and comes back as
-null; repeated rows of the smallest page_id of a payload are all responses; an empty table gives an empty result; only
+null; further rows that repeat the smallest page_id of a payload revisit it; an empty table gives an empty result; only
 page_id, url and html are read, so other columns of any name do not matter.
 """
 
@@ -38,19 +41,53 @@ MIN_REVISIT = 100
 MOST_URL = 1 << 16
 #: Bytes of a block of members, about, and blocks of an archive: 16 MB hold an archive in memory.
 BLOCK, ARCHIVE_BLOCKS = 1 << 20, 16
-#: Up to this many revisits (about 100 bytes each) are broadcast, and no payload is shuffled.
+#: Up to this many revisits and payloads of several chunks (about 100 bytes each) are broadcast, and no chunk is shuffled.
 BROADCAST_REVISITS = 500_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = 1 << 16
 
 
-def roles(pages: DataFrame) -> DataFrame:
-    """``page_id``, ``digest``, ``refers_to`` of the pages that revisit another one."""
+def payload_chunks(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``row``, ``page_id``, ``url``, ``n`` (bytes of the payload), ``k`` (from 1), ``data``: the payloads in chunks. Saved."""
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    narrow = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(raw).alias("n"), F.sha2(raw, 256).alias("digest")).where(F.col("n") >= MIN_REVISIT)
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("q_last")).where("refers_to < q_last").drop("q_last")
+    url = F.translate(F.coalesce(F.col("url"), F.lit("")), "\r\n", "  ")
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.when(F.octet_length(url) <= MOST_URL, url).otherwise("").alias("url"), raw.alias("raw"))
+    rows = rows.withColumn("n", F.octet_length("raw").cast("long"))
+    last = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk)).cast("int")
+    each = rows.select("row", "page_id", "url", "n", "raw", F.explode(F.sequence(F.lit(1), last)).alias("k"))
+    return common.saved(each.select("row", "page_id", "url", "n", "k", F.substring("raw", (F.col("k") - 1) * chunk + 1, F.lit(chunk)).alias("data")), "payloads")
+
+
+def digests(table: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``row``, ``page_id``, ``n``, ``digest`` of every payload of a chunk table."""
+    one = table.where(F.col("n") <= chunk).select("row", "page_id", "n", F.sha2("data", 256).alias("digest"))
+    parts = table.where(F.col("n") > chunk).select("row", "page_id", "n", "k", "data").repartition("row").sortWithinPartitions("row", "k")
+
+    def run(batches):
+        row, sha, done = None, hashlib.sha256(), 0
+        for batch in batches:
+            out = []
+            for i, (own, page, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if own != row:
+                    row, sha, done = own, hashlib.sha256(), 0
+                data = batch.column(4)[i].as_buffer()
+                sha.update(data)
+                done += data.size
+                if done == n:
+                    out.append((own, page, n, sha.hexdigest()))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["row", "page_id", "n", "digest"])
+
+    return one.unionByName(parts.mapInArrow(run, "row long, page_id long, n long, digest string"))
+
+
+def roles(found: DataFrame) -> DataFrame:
+    """``row``, ``refers_to`` of the payloads (row, page_id, n, digest) that revisit another one."""
+    narrow = found.where((F.col("n") >= MIN_REVISIT) & F.col("page_id").isNotNull())
+    order = F.struct("page_id", "row")
+    first = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("q_rows")).where("q_rows > 1").select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.row").alias("q_first"))
     # a digest with very many pages is split by adaptive execution: both sides are plain and narrow
-    return narrow.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    return narrow.join(first, "digest").where("row <> q_first").select("row", "refers_to")
 
 
 def _member(head: list[tuple[str, object]], body: bytes | memoryview, more: bytes | memoryview = b"") -> bytes:
@@ -60,71 +97,61 @@ def _member(head: list[tuple[str, object]], body: bytes | memoryview, more: byte
     return b"".join([gz.compress(f"WARC/1.1\r\n{fields}\r\n".encode("utf-8", "surrogatepass")), gz.compress(body), gz.compress(more), gz.compress(b"\r\n\r\n"), gz.flush()])
 
 
-def members(page_id: int | None, url: str, payload: memoryview, refers_to: int | None, row: str, date: str, chunk: int = CHUNK) -> Iterator[bytes]:
-    """The gzip members of one page: its record, or the segments of it. ``row`` is unlike that of any other row."""
-    digest = hashlib.sha256()
-    for at in range(0, len(payload), chunk):
-        digest.update(payload[at : at + chunk])
-    sha = digest.hexdigest()
-    # a page's name follows from its id and payload, so that revisits can tell it; without an id it is the row's
-    name = lambda page: f"<urn:page:{page}:{sha}>" if page is not None else f"<urn:row:{row}>"
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    if refers_to is not None:
-        again = [("WARC-Refers-To", name(refers_to)), ("WARC-Profile", PROFILE)]
-    else:
-        again = []
+def member(page_id: int | None, url: str, data: memoryview, k: int, n: int, sha: str, refers_to: int | None, row: int, date: str, chunk: int = CHUNK) -> bytes | None:
+    """The gzip member of chunk ``k`` of a payload of ``n`` bytes and digest ``sha``; none for further chunks of a revisit."""
+    # a page's name follows from its id and payload, so that revisits can tell it; others have the row's
+    named = page_id is not None and refers_to is None and n >= MIN_REVISIT
+    name = f"<urn:page:{page_id}:{sha}>" if named else f"<urn:row:{row}>"
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     shared = [("WARC-Target-URI", url), ("WARC-Date", date)]
-    own = [("WARC-Payload-Digest", f"sha256:{sha}"), ("X-Payload-Length", len(payload)), ("X-Page-Id", "" if page_id is None else page_id), ("X-Row", row)]
-    kind = [("WARC-Type", "revisit" if again else "response"), ("WARC-Record-ID", name(page_id)), *shared, ("Content-Type", "application/http; msgtype=response")]
-    if again or len(payload) <= chunk:
-        yield _member([*kind, *again, *own], http, b"" if again else payload)
-        return
-    yield _member([*kind, *own, ("WARC-Segment-Number", 1)], http, payload[:chunk])
-    last = -(-len(payload) // chunk)
-    for k in range(2, last + 1):
-        head = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:segment:{row}:{k}>"), *shared, ("WARC-Segment-Origin-ID", name(page_id)), ("WARC-Segment-Number", k), *own]
-        yield _member(head + ([("WARC-Segment-Total-Length", len(http) + len(payload))] if k == last else []), payload[(k - 1) * chunk : k * chunk])
-
-
-def write(pages: DataFrame, path: str, date: str | None = None, chunk: int = CHUNK, block: int = BLOCK) -> None:
-    """Write archives below ``path``. ``date``: WARC-Date of the records, by default now."""
+    own = [("WARC-Payload-Digest", f"sha256:{sha}"), ("X-Payload-Length", n), ("X-Page-Id", "" if page_id is None else page_id), ("X-Row", row)]
+    kind = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", name), *shared, ("Content-Type", "application/http; msgtype=response")]
+    if refers_to is not None:
+        again = [("WARC-Refers-To", f"<urn:page:{refers_to}:{sha}>"), ("WARC-Profile", PROFILE)]
+        return _member([*kind, *again, *own], http) if k == 1 else None
+    if n <= chunk:
+        return _member([*kind, *own], http, data)
+    if k == 1:
+        return _member([*kind, *own, ("WARC-Segment-Number", 1)], http, data)
+    head = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:segment:{row}:{k}>"), *shared, ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k), *own]
+    return _member(head + ([("WARC-Segment-Total-Length", len(http) + n)] if k == -(-n // chunk) else []), data)
+
+
+def write(pages: DataFrame, path: str, date: str | None = None, chunk: int = CHUNK, block: int = BLOCK, archive_blocks: int | None = None) -> None:
+    """Write archives below ``path``. ``date``: WARC-Date of the records, by default now; ``archive_blocks``: blocks of an archive."""
     spark = pages.sparkSession
     common.prepare(spark)
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    revisit = common.saved(roles(pages), "revisits").select(F.col("page_id").alias("q_id"), F.col("digest").alias("q_digest"), "refers_to")
-    if revisit.count() <= BROADCAST_REVISITS:
-        revisit = F.broadcast(revisit)
-    # beyond that payloads are shuffled once, by all keys of the join; null ids spread by digest
-    rows = own.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("q_key", F.coalesce("page_id", F.xxhash64("digest")))
-    same = (F.col("q_key") == F.col("q_id")) & (F.col("digest") == F.col("q_digest")) & F.col("page_id").isNotNull()
-    joined = rows.join(revisit, same, "left").select("page_id", "url", "html", "refers_to")
+    table = payload_chunks(pages, chunk)
+    found = common.saved(digests(table, chunk), "digests")
+    # what a chunk cannot tell of its payload: of which page it is a copy, and the digest of several chunks
+    told = found.where(F.col("n") > chunk).select("row", "digest").join(roles(found), "row", "full_outer")
+    told = common.saved(told, "revisits")
+    if told.count() <= BROADCAST_REVISITS:
+        told = F.broadcast(told)
+    joined = table.join(told, "row", "left").select("page_id", "url", "data", "k", "n", "digest", "refers_to", "row")
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part, n = TaskContext.get().partitionId(), 0
         held, size = [], 0
         for batch in batches:
-            ids, urls, refers = (batch.column(k).to_pylist() for k in (0, 1, 3))
-            for i in range(batch.num_rows):
-                url = urls[i].replace("\r", " ").replace("\n", " ")
-                url = url if len(url.encode("utf-8", "surrogatepass")) <= MOST_URL else ""
-                payload = memoryview(batch.column(2)[i].as_buffer() or b"")
-                for data in members(ids[i], url, payload, refers[i], f"{part}-{n}", date, chunk):
-                    held.append(data)
-                    size += len(data)
-                    if size >= block:
-                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
-                        held, size = [], 0
-                n += 1
+            columns = [batch.column(c).to_pylist() if c != 2 else batch.column(c) for c in range(8)]
+            for page_id, url, data, k, n, digest, refers_to, row in zip(*columns, strict=True):
+                payload = memoryview(data.as_buffer() or b"")
+                made = member(page_id, url, payload, k, n, digest or hashlib.sha256(payload).hexdigest(), refers_to, row, date, chunk)
+                if made is None:
+                    continue
+                held.append(made)
+                size += len(made)
+                if size >= block:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+                    held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
 
-    # a member ends with its size, whose last byte is 0 below 16 MB: as the line end of Spark's text writer it comes after
-    # every block, so what is written are whole members and nothing else
+    # a member ends with its size, whose last byte is 0 as it holds a chunk: as the line end of Spark's text writer it comes
+    # after every block, so what is written are whole members and nothing else
     blocks = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    blocks.write.option("lineSep", "\0").option("maxRecordsPerFile", ARCHIVE_BLOCKS).text(path)
+    blocks.write.option("lineSep", "\0").option("maxRecordsPerFile", archive_blocks or ARCHIVE_BLOCKS).text(path)
 
 
 class _Stream:

@@ -87,9 +87,6 @@ def test_quality(spark, corpus):
     assert all(0 <= r.score <= 1 for r in got)
     bare = quality.fit(quality.statistics(empty(spark)), labels, F.lit(True))
     assert {r.score for r in quality.score(stats, bare).collect()} == {0.5}
-    y = np.random.default_rng(0).normal(size=(50, quality.N_STATS))
-    own = quality.fit_moments(np.array([25.0, 25.0]), np.stack([y[:25].sum(0), y[25:].sum(0)]), np.stack([y[:25].T @ y[:25], y[25:].T @ y[25:]]))
-    assert np.allclose(own.cholesky[0] @ own.cholesky[0].T, (own.cholesky[0] @ own.cholesky[0].T).T)
 
 
 def test_language(spark, corpus):
@@ -342,16 +339,16 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
         assert len(got) == len(rows) and all(r.intact for r in got)
         want = Counter((i, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h in rows)
         assert Counter((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == want
-        assert {r.page_id: r.refers_to for r in got if r.record_type == "revisit"} == {1: 0, 8: 0, 9: 6}
+        assert sorted((r.page_id, r.refers_to) for r in got if r.record_type == "revisit") == [(1, 0), (6, 6), (8, 0), (9, 6)]
         assert all(r.refers_to is None for r in got if r.record_type == "response")
         table = warc.chunks(spark, str(path)).where("page_id = 6").collect()
-        assert sorted((r.chunk, r.bytes) for r in table) == sorted([(k, min(1000 * k, 11_000)) for k in range(1, 12)] * 2)
+        assert sorted((r.chunk, r.bytes) for r in table) == sorted([(k, min(1000 * k, 11_000)) for k in range(1, 12)] + [(1, 0)])
         raw = html[6].encode()
-        assert all(r.digest == hashlib.sha256(raw[: r.bytes]).hexdigest() for r in table)
+        assert all(r.digest == hashlib.sha256(raw[: r.bytes]).hexdigest() for r in table if r.record_type == "response")
         # an independent reader: distinct ids, origins and totals of segments, references, payloads put together again
         found = [r for f in sorted(path.glob("part-*")) for r in read_warc(f.read_bytes())]
         names = [f["WARC-Record-ID"] for f, _ in found if f["WARC-Type"] != "continuation"]
-        assert len(set(f["WARC-Record-ID"] for f, _ in found)) == len(found) - 2  # two rows repeat a page and its payload
+        assert len(set(f["WARC-Record-ID"] for f, _ in found)) == len(found)
         whole = defaultdict(dict)
         for f, block in found:
             if f["WARC-Type"] == "revisit":
@@ -373,7 +370,13 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
 def test_warc_reads_members_of_any_size():
     rng = random.Random(4)
     pages = [(i, "".join(rng.choice("abcdé <>/") for _ in range(rng.choice([0, 10, 900, 70_000, 400_000])))) for i in range(40)]
-    data = b"".join(m for i, h in pages for m in warc.members(i, "u", memoryview(h.encode()), None, f"0-{i}", "2024-01-01T00:00:00Z"))
+
+    def members(i, h):
+        raw, size = memoryview(h.encode()), warc.CHUNK
+        digest = hashlib.sha256(raw).hexdigest()
+        return [warc.member(i, "u", raw[k * size : (k + 1) * size], k + 1, len(raw), digest, None, i, "2024-01-01T00:00:00Z") for k in range(max(1, -(-len(raw) // size)))]
+
+    data = b"".join(m for i, h in pages for m in members(i, h))
     sizes, whole = defaultdict(int), defaultdict(bytes)
     for r in warc.parse(data):
         sizes[r["page_id"]] += r["bytes"]
@@ -383,7 +386,18 @@ def test_warc_reads_members_of_any_size():
     with pytest.raises(ValueError):
         list(warc.parse(data[: len(data) // 2]))
     again = b"".join(f"WARC/1.1\r\n{''.join(f'{k}: {v}' + chr(13) + chr(10) for k, v in f.items())}\r\n".encode() + b + b"\r\n\r\n" for f, b in read_warc(data))
-    assert again == b"".join(gzip.decompress(m) for i, h in pages for m in warc.members(i, "u", memoryview(h.encode()), None, f"0-{i}", "2024-01-01T00:00:00Z"))
+    assert again == b"".join(gzip.decompress(m) for i, h in pages for m in members(i, h))
+
+
+def test_warc_payload_of_many_chunks_stays_in_chunks(spark, tmp_path):
+    """No row between Spark and Python, and no task of the writing side, holds more of a payload than a chunk."""
+    pages = spark.createDataFrame([(1, "u", "small"), (2, "v", "seed")], "page_id long, url string, html string").selectExpr("page_id", "url", "case when page_id = 2 then repeat('0123456789abcdef', 2000000) else html end as html")
+    table = warc.payload_chunks(pages)
+    sizes = table.selectExpr("page_id", "k", "octet_length(data) as n").collect()
+    assert max(r.n for r in sizes) == warc.CHUNK and sum(r.n for r in sizes if r.page_id == 2) == 32_000_000 and len(sizes) == 124
+    warc.write(pages, str(tmp_path / "w"), archive_blocks=2)
+    got = {r.page_id: r for r in warc.records(spark, str(tmp_path / "w")).collect()}
+    assert got[2].intact and got[2].payload_bytes == 32_000_000 and got[2].payload_digest == hashlib.sha256(b"0123456789abcdef" * 2_000_000).hexdigest()
 
 
 def poisson_count(u, rate):
