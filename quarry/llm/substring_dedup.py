@@ -14,6 +14,8 @@ in a document with a smaller id. Windows are judged on the input.
    with the reference of smaller documents from the current word is a factor; factors of a window or more are duplicate
    spans. The parse goes on at the first window that the factor does not hold, so windows across a factor's boundary are
    looked up too. An anchor with more than ``MOST_TEXTS`` texts is divided by window, so no reference outgrows a task.
+   Anchors that stand in many texts of a sample of documents are divided from the start, so no anchor's phrases fill a
+   task of the sorted pass either (a phrase of one window is never the first of several texts). The sample only spreads work.
 4. Spans of a document meet its text in one join, and covered words are left out.
 
 Words are compared by 64-bit hashes, and texts at one anchor by another 64 bits.
@@ -40,6 +42,8 @@ WINDOW, GRAM = 13, 5
 MOST_TEXTS = 4096
 #: Up to this many anchors (8 bytes each) with more texts than that are broadcast; beyond it the join shuffles.
 BROADCAST_ANCHORS = 1_000_000
+#: Documents sampled for frequent anchors, texts that make one, and how many the tasks get to know (8 bytes each).
+SAMPLE_DOCS, SAMPLE_TEXTS, SAMPLE_ANCHORS = 2_000, 20, 100_000
 #: Words of phrases that one parsing step turns into window hashes at once.
 STEP_WORDS = 1 << 18
 _NO_ID = (1 << 63) - 1
@@ -97,14 +101,55 @@ _PHRASE = "a long, c long, d long, t long, s int, n int, done boolean"
 _FOUND = "a long, d long, t long, s int, n int, open boolean"
 
 
-def _cut(window: int):
+def frequent(docs: DataFrame, window: int) -> np.ndarray:
+    """Sorted anchors with many texts in a sample of documents; any may be missing."""
+
+    def run(batches):
+        for batch in batches:
+            parts = [phrases(words_of(text.as_py()), window, min(GRAM, window))[:2] for text in batch.column(0)]
+            pairs = np.unique(np.concatenate([np.stack(x, axis=1) for x in parts]), axis=0) if parts else np.empty((0, 2), U)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.ascontiguousarray(pairs.T).view(np.int64)], ["a", "c"])
+
+    rows = docs.count()
+    if not rows:
+        return np.empty(0, U)
+    few = docs.select("text").sample(fraction=min(1.0, SAMPLE_DOCS / rows), seed=11).mapInArrow(run, "a long, c long").distinct()
+    many = few.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_TEXTS).orderBy(F.desc("n"), "a").limit(SAMPLE_ANCHORS)
+    return np.sort(np.array([r["a"] for r in many.collect()], np.int64).view(U))
+
+
+def _window_keys(h: np.ndarray, anchor: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """What windows divided from an anchor are dealt by, and their fingerprints."""
+    own = sequence_hashes(h, at, at + window)
+    return scan.mix(own ^ scan.mix(anchor)), own
+
+
+def divided(h: np.ndarray, found: tuple, anchors: np.ndarray, window: int) -> tuple:
+    """The phrases ``found`` in ``h``, those at the given anchors as one phrase a window."""
+    a, c, s, n = found
+    if not len(anchors) or not len(a):
+        return found
+    place = np.minimum(np.searchsorted(anchors, a), len(anchors) - 1)
+    hot = anchors[place] == a
+    if not hot.any():
+        return found
+    at = np.arange(s[0], s[-1] + n[-1])  # phrases split all windows
+    whole = np.repeat(hot, n)
+    keys, own = _window_keys(h, np.repeat(a, n)[whole], at[whole], window)
+    rows = [np.concatenate(x) for x in ((a[~hot], keys), (c[~hot], own), (s[~hot], at[whole]), (n[~hot], np.ones(len(own), np.int64)))]
+    order = np.argsort(rows[2], kind="stable")
+    return tuple(x[order] for x in rows)
+
+
+def _cut(window: int, anchors: np.ndarray):
     """Phrases of documents; those equal to one of a smaller document of the batch leave as spans (``done``)."""
 
     def run(batches):
         for batch in batches:
             parts, docs, times = [], batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, text in enumerate(batch.column(2)):
-                a, c, s, n = phrases(words_of(text.as_py()), window, min(GRAM, window))
+                h = words_of(text.as_py())
+                a, c, s, n = divided(h, phrases(h, window, min(GRAM, window)), anchors, window)
                 parts.append((a, c, np.full(len(a), i), s, n))
             if not parts:
                 continue
@@ -250,7 +295,7 @@ def _fetched(window: int):
                 for x in own:
                     if x["divided"]:
                         at = np.arange(x["s"], x["s"] + x["n"])
-                        keys = scan.mix(sequence_hashes(h, at, at + window) ^ scan.mix(np.array([x["a"]], np.int64).view(U))).view(np.int64).tolist()
+                        keys = _window_keys(h, np.array([x["a"]], np.int64).view(U), at, window)[0].view(np.int64).tolist()
                         rows += [(k, d, t, s, h[s : s + window].tobytes()) for k, s in zip(keys, at.tolist(), strict=True)]
                     else:
                         rows.append((x["a"], d, t, x["s"], h[x["s"] : x["s"] + x["n"] + window - 1].tobytes()))
@@ -266,7 +311,7 @@ def spans(documents: DataFrame, window: int = WINDOW, most_texts: int = MOST_TEX
     spark = documents.sparkSession
     common.prepare(spark)
     docs = documents.select(*_key(), "text")
-    cut = docs.mapInArrow(_cut(window), _PHRASE)
+    cut = docs.mapInArrow(_cut(window, frequent(docs, window)), _PHRASE)
     found = common.saved(cut.repartition("a").sortWithinPartitions("a", "c", "d").mapInArrow(_first_texts, _FOUND), "phrases")
     common.release(spark)
     opened = found.where("open")

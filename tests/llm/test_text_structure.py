@@ -52,7 +52,8 @@ def passages(seed, n):
 
 
 @pytest.mark.parametrize(("seed", "most", "window"), [(1, 4096, 13), (2, 2, 13), (3, 1, 13), (4, 3, 4)])
-def test_removal_equals_all_windows(spark, seed, most, window):
+def test_removal_equals_all_windows(spark, seed, most, window, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SAMPLE_TEXTS", {1: 2, 2: 10**9, 3: 4, 4: 6}[seed])
     rows = passages(seed, 60) + [(1000, None), (1001, ""), (1002, " \n "), (1003, "one two"), (None, None)]
     rows += rows[:5] + [(2000, rows[7][1]), (None, rows[7][1])]
     names = "doc_id long, text string, a long, d string, own int, s int"
