@@ -8,7 +8,7 @@ virtual node whose shard has room. Only rows beyond a shard's bound move, and ba
 The walk needs counts only: rows are counted by cell (RING numbers, whatever the input), the driver plays the
 overflow over these counts, and its plan - intervals of ranks within a cell - joins back as a broadcast of at most
 RING + overflow splits rows. A row's cell is made of its id, size and checksum, so rows that share an id or have none spread
-over the ring; rows that repeat all three are added up before the shuffle and made rows again at the end. Ranks within a
+over the ring; rows that repeat all three are added up before the shuffle and made rows again at the end, in pieces of ``PIECE``. Ranks within a
 cell come from one window partitioned by cell, ordered by key hash, so no task sees more than one cell's rows at a time
 and the result does not depend on the input's partitioning.
 
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 RING = 1 << 14
 VNODES = 64
+#: Equal rows that one array holds at most.
+PIECE = 1 << 14
 
 
 def _points(shards: int, vnodes: int, ring: int) -> list[tuple[int, int]]:
@@ -86,6 +88,11 @@ def assign(documents: DataFrame, shards: int = 40, vnodes: int = VNODES, ring: i
     # the plan has at most one row a cell plus one for each virtual node passed: a bounded broadcast
     start = F.col("q_end") - F.col("n")
     joined = ranked.join(F.broadcast(intervals), (F.col("q_cell") == F.col("c")) & (start < F.col("b")) & (F.col("q_end") > F.col("a")))
-    own = F.sequence(F.greatest("a", start), F.least("b", "q_end") - 1)
-    each = joined.select("doc_id", "size", "text_crc32", "s", "a", "f", F.explode(own).alias("q_rank"))
+    pieces = joined.select("doc_id", "size", "text_crc32", "s", "a", "f", F.greatest("a", start).alias("q_from"), F.least("b", "q_end").alias("q_to"))
+    # very many equal rows are dealt out in pieces before they become rows again: no array and no task grows with their number
+    large = pieces.where(F.col("q_to") - F.col("q_from") > PIECE)
+    large = large.select("*", F.explode(F.sequence("q_from", F.col("q_to") - 1, F.lit(PIECE))).alias("q_piece")).repartition("q_piece", "doc_id", "text_crc32", "s")
+    large = large.withColumns({"q_to": F.least(F.col("q_piece") + PIECE, "q_to"), "q_from": F.col("q_piece")}).drop("q_piece")
+    rows = pieces.where(F.col("q_to") - F.col("q_from") <= PIECE).unionByName(large)
+    each = rows.select("doc_id", "size", "text_crc32", "s", "a", "f", F.explode(F.sequence("q_from", F.col("q_to") - 1)).alias("q_rank"))
     return each.select("doc_id", "size", "text_crc32", F.col("s").alias("shard"), (F.col("f") + F.col("q_rank") - F.col("a")).alias("slot"))

@@ -552,6 +552,53 @@ def test_sharding_of_rows_that_share_an_id(spark):
     assert max(Counter(r.shard for r in got if r.doc_id is None).values()) < 350
 
 
+def test_very_many_equal_rows_become_rows_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 100)
+    docs = spark.range(20_000).selectExpr("case when id < 19000 then 7 else id end as doc_id", "case when id < 19000 then 'same' else concat('t', id) end as text")
+    got = sharding.assign(docs, 6).collect()
+    per = defaultdict(list)
+    for r in got:
+        per[r.shard].append(r.slot)
+    assert sorted(len(x) for x in per.values()) == [3333] * 4 + [3334] * 2 and all(sorted(s) == list(range(len(s))) for s in per.values())
+    assert Counter(r.doc_id for r in got) == Counter([7] * 19_000 + list(range(19_000, 20_000)))
+
+
+def test_rows_are_where_the_walk_puts_them(spark):
+    """``assign`` end to end: every row's rank within its cell by its key hash, placed by the plan over the counted cells."""
+    docs = spark.createDataFrame([(i, f"text {i % 900}") for i in range(1500)], "doc_id long, text string").repartition(5)
+    raw = F.col("text").cast("binary")
+    key = F.xxhash64(F.col("doc_id").cast("string"), (F.octet_length(raw) + 16).cast("long"), F.crc32(raw))
+    keyed = sorted((r.k, r.doc_id) for r in docs.select("doc_id", key.alias("k")).collect())
+    cells = defaultdict(list)
+    for k, i in keyed:
+        cells[((k & (1 << 64) - 1) >> 20) % 512].append(i)
+    placed = sharding.plan({c: len(x) for c, x in cells.items()}, 9, 16, 512)
+    want = {cells[c][r]: (s, f + r - a) for c, a, b, s, f in placed for r in range(a, b)}
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.assign(docs, 9, 16, 512).collect()} == want
+
+
+def test_one_more_shard_moves_few_rows():
+    """Counts of a million rows by cell: with 41 instead of 40 shards few rows move, and most stand at their first node."""
+    rng = np.random.default_rng(5)
+    counts = dict(enumerate(np.bincount(rng.integers(0, sharding.RING, 1_000_000), minlength=sharding.RING).tolist()))
+
+    def places(shards):
+        out = np.full(1_000_000, -1)
+        first = dict(zip(counts, np.cumsum([0, *counts.values()][:-1]).tolist(), strict=True))
+        for c, a, b, s, _ in sharding.plan(counts, shards):
+            out[first[c] + a : first[c] + b] = s
+        return out, first
+
+    (old, first), (new, _) = places(40), places(41)
+    assert (old >= 0).all() and (new >= 0).all()
+    moved = (old != new).mean()
+    assert 1 / 41 < moved < 0.07
+    nodes = sharding._points(40, sharding.VNODES, sharding.RING)
+    at = np.searchsorted([c for c, _ in nodes], list(counts)) % len(nodes)
+    home = np.repeat([nodes[i][1] for i in at.tolist()], list(counts.values()))
+    assert (home == old).mean() > 0.9
+
+
 def test_ring_against_a_walk():
     """Row by row and round by round: whoever finds its shard full walks on to the next virtual node with room."""
     for seed in range(20):
