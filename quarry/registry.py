@@ -1337,3 +1337,64 @@ def beam_answers(spark, sf_dir):
     made = rows.withColumn("candidates", beam.candidates(F.col("question"), F.array("passage")))
     answered = made.withColumn("answer", beam.best(F.col("candidates"), F.col("passage")))
     return answered.select("doc_id", "item_id", F.size("candidates").alias("n_candidates"), "answer", F.round(ranking.answer_score(F.col("answer"), F.col("passage")), 6).alias("score"))
+
+
+# ---- codes, addresses and scores that rested on tests alone ---------------------------------------------------------
+
+_CODED = f"SELECT doc_id, upper({T} || ' ' || coalesce(lang, '') || ' ' || n_chars) AS u FROM documents"
+_CODE = "\\b([A-Z]{2,5})\\s*-?\\s*(\\d{3}[A-Z]?)\\b"
+
+
+@query(
+    "course_codes",
+    f"WITH u AS ({_CODED}), c AS (SELECT doc_id, u, regexp_extract(u, '{_CODE}', 1) AS s, regexp_extract(u, '{_CODE}', 2) AS n FROM u) "
+    "SELECT doc_id, nullif(s, '') AS subj, CASE WHEN s <> '' THEN n END AS num, CASE WHEN s <> '' THEN s || ' ' || n END AS norm, CASE WHEN s <> '' THEN 'https://catalog.example/search/?P=' || s || '+' || n END AS url, nullif(regexp_extract(s || n, '^\\s*([A-Z]{2,5})\\s*[- ]?\\s*\\d{3}[A-Z]?', 1), '') AS title_subject FROM c",
+)
+def course_codes(spark, sf_dir):
+    """The first course code of every document, its language and size appended, with the address of its search."""
+    whole = F.concat(ascii_text("text"), F.lit(" "), F.coalesce("lang", F.lit("")), F.lit(" "), F.col("n_chars").cast("string"))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.course_code(whole).alias("c"))
+    code = F.concat_ws("", "c.subj", "c.num")
+    return d.select("doc_id", "c.subj", "c.num", "c.norm", text.course_search_url(F.col("c.norm"), "https://catalog.example").alias("url"), text.title_subject(code).alias("title_subject"))
+
+
+@query("category_colours", "SELECT doc_id, CAST(abs(list_reduce(list_concat([CAST(0 AS BIGINT)], list_transform(list_filter(string_split(coalesce(source, '') || doc_id, ''), lambda x: x <> ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, x: (((a * 31 + x + 2147483648) % 4294967296) + 4294967296) % 4294967296 - 2147483648)) % 10 AS INTEGER) AS colour FROM documents")
+def category_colours(spark, sf_dir):
+    """The colour of every document's source and number."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.category_colour(F.concat(F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"))).alias("colour"))
+
+
+_LINE = "'- ' || regexp_extract(html, '<title>([^<]*)', 1) || CASE WHEN page_id % 3 = 0 THEN '' ELSE ' (' || url || ')' END"
+_SOURCE = "^-\\s*(.+?)\\s*\\(([^)]+)\\)\\s*$"
+
+
+@query("source_lines", f"WITH l AS (SELECT page_id, {ASCII.format(c=_LINE)} AS l FROM pages) SELECT page_id, CASE WHEN regexp_matches(l, '{_SOURCE}') THEN regexp_extract(l, '{_SOURCE}', 1) ELSE trim(regexp_replace(l, '^-+\\s*', '')) END AS title, nullif(regexp_extract(l, '{_SOURCE}', 2), '') AS url FROM l")
+def source_lines(spark, sf_dir):
+    """Title and address of every page's line in a list of sources; every third has no address."""
+    shown = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit(" ("), "url", F.lit(")")))
+    line = ascii_text(F.concat(F.lit("- "), F.regexp_extract("html", "<title>([^<]*)", 1), shown))
+    return table(spark, sf_dir, "pages").select("page_id", text.source_line(line).alias("s")).select("page_id", "s.title", "s.url")
+
+
+@query(
+    "url_flags",
+    f"SELECT page_id, CASE WHEN contains({_P}, '/graduate/course-descriptions/') THEN 3 WHEN contains({_P}, '/graduate/programs-study/') THEN 4 WHEN contains({_P}, '/graduate/academic-regulations-degree-requirements/') THEN 1 ELSE 2 END AS crawl_tier, contains({FOLDERED}, '/graduate/programs-study/') AND NOT contains({FOLDERED}, '/search/?') AND NOT contains({FOLDERED}, '/academic-regulations-degree-requirements/') AS is_program, contains({FOLDERED}, '/graduate/general-information/admissions/') AS is_admissions, contains({FOLDERED}, '/graduate/academic-regulations-degree-requirements/degree-requirements/') AS is_degree FROM pages",
+)
+def url_flags(spark, sf_dir):
+    u = foldered(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", web.crawl_tier(u).alias("crawl_tier"), web.is_program_url(u).alias("is_program"), web.is_admissions_url(u).alias("is_admissions"), web.is_degree_requirements_url(u).alias("is_degree"))
+
+
+_WORDS3 = "list_distinct(regexp_extract_all(lower({c}), '\\b\\w{{3,}}\\b'))"
+
+
+@query(
+    "answer_scores",
+    f"""WITH {PLACED}, s AS (SELECT conv_id, turn, {ASCII.format(c='c.text')} AS a, {ASCII.format(c='placed.text')} AS x FROM conversations c, total JOIN placed ON place = conv_id % n_items WHERE role = 'assistant')
+    SELECT conv_id, turn, round(CAST(CASE WHEN len({WORDS.format(c='a')}) < 3 THEN -5.0 ELSE 0.0 END + 0.1 * len(list_intersect({_WORDS3.format(c='a')}, {_WORDS3.format(c='x')})) AS DOUBLE), 6) AS score FROM s""",
+)
+def answer_scores(spark, sf_dir):
+    """Every answer of a conversation scored against the benchmark item in turn as its context."""
+    told = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", ascii_text("text").alias("answer"))
+    rows = in_turn(told, F.col("conv_id"), table(spark, sf_dir, "benchmark").select("item_id", ascii_text("text").alias("context")), "item_id")
+    return rows.select("conv_id", "turn", F.round(ranking.answer_score(F.col("answer"), F.col("context")), 6).alias("score"))

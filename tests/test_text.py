@@ -75,3 +75,25 @@ def test_metrics(one):
     assert one(ranking.tier_boost(F.lit(0))) == 3.0 and one(ranking.tier_boost(F.lit(0), gold_on=False)) == 1.2
     assert round(one(ranking.tier_boost(F.lit(1), F.lit("the grading policy"))), 6) == 1.95
     assert one(ranking.answer_score(F.lit(text.UNKNOWN), F.lit("x"))) == -100.0
+
+
+def test_enhanced_queries_and_their_parts(one):
+    assert one(text.policy_rewrite(F.lit("Can I drop? How many credits? What are the rules?"))) == "student policy for drop? requirement for credits? policy regarding rules?"
+    both = one(text.enhance(F.lit("What is the degree?"), "policy"))
+    assert both["original"] == "What is the degree?" and both["rewritten"] == "policy regarding degree? degree" and both["key_terms"] == ["degree?"]
+    assert one(text.enhance(F.lit("fees")))["rewritten"] == "fees" == one(text.enhance(F.lit("fees")))["expanded"]
+    assert one(text.sub_queries(F.lit("fees and housing"))) == ["fees and housing", "fees", "housing"]
+    assert one(text.sub_queries(F.lit("What is due? When is it due? Thanks."))) == ["What is due? When is it due? Thanks.", "What is due", "When is it due"]
+    assert one(text.sub_queries(F.lit("a and b and c"))) == ["a and b and c"] and one(text.sub_queries(F.lit(""))) == []
+
+
+def test_course_codes_and_colours(one):
+    assert tuple(one(text.course_code(F.lit("take comp - 725a or CS 101")))) == ("COMP", "725A", "COMP 725A")
+    assert one(text.course_code(F.lit("no code 12"))) is None
+    assert one(text.url_has_course(F.lit("https://x/search/?P=COMP%20725"), F.lit("COMP 725"))) and not one(text.url_has_course(F.lit("https://x/COMP"), F.lit("COMP 725")))
+    assert one(text.title_starts_with(F.lit(" comp 725 Networks"), F.lit("COMP 725")))
+    value = 0
+    for c in "a longer category name, é":
+        value = (value * 31 + ord(c) + (1 << 31)) % (1 << 32) - (1 << 31)
+    assert one(text.category_colour(F.lit("a longer category name, é"))) == abs(value) % 10
+    assert tuple(one(text.source_line(F.lit("- A title (http://x)")))) == ("A title", "http://x")
