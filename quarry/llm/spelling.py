@@ -11,12 +11,11 @@ the other.
    is so frequent that a shard outgrows a task, and no pair is lost. A pair that keeps both halves counts in the first.
 2. Index. In a shard, positional 2-grams of the words (with both ends marked) are the postings. One edit destroys two of a
    word's n + 1 grams and moves the others by one place at most, so a near word is in the posting of one of any three
-   of its grams: the three rarest are merged, under the limits of one place and one code point of length.
+   of its grams: the three rarest are heap-merged, under the limits of one place and one code point of length.
 3. Count filter. Merged words must share max(n) - 1 grams with the word within a place.
 4. Verification compares the words left code point by code point.
 
-Merging, counting and verifying run over many words at once: a stable sort of the concatenated postings takes the place of
-a heap, with the same order and counts. Of a shard only the number of near words and the most frequent one leave for each word.
+Counting and verifying run over many words at once. Of a shard only the number of near words and the most frequent one leave for each word.
 
 Defined results: null and empty texts hold no words; a null id counts as the empty text in the damage; repeated rows count
 each; words of any length are kept whole; ties of the most frequent near word go to the smallest in code-point order; an
@@ -25,8 +24,10 @@ empty table gives an empty result; only id and text are read.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from functools import reduce
 
@@ -46,8 +47,8 @@ MOST_WORDS = 256
 HELD_WORDS = 200_000
 #: Rows of shards indexed at once, and code points of their words.
 STEP_ROWS, STEP_POINTS = 1 << 14, 1 << 22
-#: Posting entries merged at once.
-STEP_ENTRIES = 1 << 21
+#: Candidates counted and verified at once.
+STEP_ENTRIES = 1 << 20
 #: Up to this many keys of large shards (about 30 bytes each) are broadcast; beyond it the join shuffles.
 BROADCAST_KEYS = 500_000
 #: Letters, A to Z lower-cased, in runs long enough to count.
@@ -149,21 +150,13 @@ def near_pairs(own: list[bytes], full: int, shard: np.ndarray, veto: np.ndarray)
     posting[at_row, at_place] = which
     often = np.where(gram >= 0, count[posting], len(key) + 1)
     rare = np.argpartition(often, 2, axis=1)[:, :3]
-    ask = np.repeat(np.arange(rows), 3)
-    lists, ask_place = posting[ask, rare.ravel()], rare.ravel()
-    total = np.concatenate(([0], np.cumsum(count[lists])))
+    # a posting holds its words in order, each with the gram's place
+    width = m + 2
+    entries, first, end = (row * width + place).tolist(), start.tolist(), (start + count).tolist()
     out = []
-    lo = 0
-    while lo < len(ask):
-        hi = max(lo + 3, int(np.searchsorted(total, total[lo] + STEP_ENTRIES, side="right")) - 1)
-        hi = min(len(ask), hi - (hi - lo) % 3)
-        n = count[lists[lo:hi]]
-        a, spot = np.repeat(ask[lo:hi], n), np.repeat(ask_place[lo:hi], n)
-        entry = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[lists[lo:hi]], n)
-        b = row[entry]
-        fit = (b > a) & (np.abs(place[entry] - spot) <= 1) & ~(short[a] & short[b])
-        merged = np.unique(a[fit] * rows + b[fit])
-        a, b = merged // rows, merged % rows
+    for a, b in _merged(entries, first, end, np.take_along_axis(posting, rare, 1).tolist(), rare.tolist(), width):
+        fit = ~(short[a] & short[b])
+        a, b = a[fit], b[fit]
         for c in range(0, len(a), STEP_POINTS // (m + 1) + 1):
             x, y = a[c : c + STEP_POINTS // (m + 1) + 1], b[c : c + STEP_POINTS // (m + 1) + 1]
             gx, gy = gram[x], gram[y]
@@ -176,10 +169,30 @@ def near_pairs(own: list[bytes], full: int, shard: np.ndarray, veto: np.ndarray)
             if veto.shape[1]:
                 yes &= (veto[x] != veto[y]).all(1)
             out.append((x[yes], y[yes]))
-        lo = hi
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def _merged(entries: list[int], first: list[int], end: list[int], lists: list[list[int]], spots: list[list[int]], width: int):
+    """(words, candidates) in steps: the words that follow a word in the heap-merge of its postings, within a place of its grams."""
+    left, right = [], []
+    for a, (own, at) in enumerate(zip(lists, spots, strict=True)):
+        beyond, runs = (a + 1) * width, []
+        for g, spot in zip(own, at, strict=True):
+            lo = bisect_left(entries, beyond, first[g], end[g])
+            if lo < end[g] and (run := [e // width for e in entries[lo : end[g]] if -1 <= e % width - spot <= 1]):
+                runs.append(run)
+        last = -1
+        for b in heapq.merge(*runs) if len(runs) > 1 else runs[0] if runs else ():
+            if b != last:
+                left.append(a)
+                right.append(b)
+                last = b
+        if len(left) >= STEP_ENTRIES:
+            yield np.array(left, np.int64), np.array(right, np.int64)
+            left, right = [], []
+    yield np.array(left, np.int64), np.array(right, np.int64)
+
+
 def _one_edit(code: np.ndarray, size: np.ndarray, m: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether the words differ by exactly one code point replaced, or left out of the longer one."""
     yes = (code[x] != code[y]).sum(1) == 1
