@@ -1267,6 +1267,19 @@ def stream_selection_log(spark, sf_dir):
     return log.select(F.col("session_id").cast("long").alias("conv_id"), F.col("timestamp").cast("long").alias("turn"), "question", "primary_answer", "gold_similarity")
 
 
+@query("stream_answer_memo")
+def stream_answer_memo(spark, sf_dir):
+    """User turns of all conversations, arriving in four parts, rewritten as questions; what the last 128 asked is remembered."""
+    from quarry.streaming import memo, replay
+
+    turns, path = arriving_turns(spark, sf_dir)
+    own = shared.path(spark, "memo")
+    asked = replay.stream(turns, path).where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), (F.col("conv_id") * 1000 + F.col("turn")).alias("place"))
+    rewritten = F.coalesce(text.canned_reply(F.col("question")), text.transform_query(F.col("question")))
+    memo.answer_stream(asked, lambda rows: rows.select("key", rewritten.alias("answer")), "place", own, f"{own}/state").awaitTermination()
+    return memo.answers(spark, own).select("conv_id", "turn", "answer", "hit")
+
+
 # ---- containment, token matching, beams ----------------------------------------------------------------------------
 
 #: Addresses of gold questions: those of the pages that items are in turn with; asked are whole, relative and partial ones.

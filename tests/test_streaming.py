@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import sessions
-from quarry.streaming import event_time, replay, session_store, sinks
+from quarry.streaming import event_time, memo, replay, session_store, sinks
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string"
 TURNS = "conv_id long, turn long, role string, text string, at long"
@@ -152,3 +152,50 @@ def test_arrivals_keep_all_rows_within_their_delay(spark):
         assert min(own) >= newest - 3000 - 54_000 / 4
         newest = max([newest, *own])
     assert newest == 49_900 + 5000
+
+
+class PlainMemo:
+    def __init__(self, size):
+        self.size, self.keys = size, {}
+
+    def ask(self, question):
+        hit = question in self.keys
+        self.keys.pop(question, None)
+        self.keys[question] = True
+        while len(self.keys) > self.size:
+            del self.keys[next(iter(self.keys))]
+        return hit
+
+
+def test_memo_over_batches_equals_a_cache_over_rows(spark, tmp_path):
+    rng = random.Random(1)
+    asked, calls = [rng.choice("abcdefg") for _ in range(14)], []
+
+    def answer(rows):
+        calls.append(sorted(r.question for r in rows.collect()))
+        return rows.select("key", F.upper("question").alias("answer"))
+
+    read = parts(spark, str(tmp_path / "in"), "at long, question string", [[(i, q)] for i, q in enumerate(asked)])
+    memo.answer_stream(read, answer, "at", str(tmp_path / "m"), str(tmp_path / "c"), 3).awaitTermination(300)
+    plain = PlainMemo(3)
+    found = sorted(memo.answers(spark, str(tmp_path / "m")).collect(), key=lambda r: r.at)
+    assert [r.hit for r in found] == [plain.ask(q) for q in asked] and [r.answer for r in found] == [q.upper() for q in asked]
+    assert [c for c in calls if c] == [[r.question] for r in found if not r.hit]
+
+
+def test_memo_after_larger_batches(spark):
+    rng = random.Random(2)
+    plain, held = PlainMemo(4), spark.createDataFrame([], memo._MEMO)
+    for turn in range(4):
+        asked = [rng.choice([*"abcdefgh", None]) for _ in range(9)]
+        before = set(plain.keys)
+        batch = spark.createDataFrame([(i, q, "x") for i, q in enumerate(asked)], "at long, question string, answer_mode string")
+        out, held = memo.remembered(batch, held, lambda rows: rows.select("key", F.lit("y").alias("answer")), "at", turn, 4)
+        found = sorted(out.collect(), key=lambda r: r.at)
+        assert [r.hit for r in found] == [(q or "") in before or (q or "") in [x or "" for x in asked[:i]] for i, q in enumerate(asked)]
+        for q in asked:
+            plain.ask(q or "")
+        names = {r.k: q for q in [*"abcdefgh", ""] for r in [spark.sql(f"select sha2('{q}', 256) as k").first()]}
+        rows = held.orderBy("used").collect()
+        assert [names[r.key] for r in rows] == list(plain.keys)
+        held = spark.createDataFrame(rows, memo._MEMO)
