@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_scopes: list[list[str]] = []
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -42,7 +45,27 @@ def root(spark: SparkSession) -> str:
 
 
 def path(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder of the shared folder; an open ``scope`` will delete it."""
+    own = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(own)
+    return own
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables made within, at its end: write the result first, elsewhere.
+
+    Without a scope they stay until the shared folder is cleared, as a result that has not been read yet needs them.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        conf = spark._jsc.hadoopConfiguration()
+        for own in _scopes.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(own)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

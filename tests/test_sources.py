@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import zipfile
 
 import numpy as np
@@ -332,3 +333,17 @@ def test_streams(spark, tmp_path):
 @pytest.mark.parametrize("ms", [None, 60_000])
 def test_state_times_out_only_where_asked(ms):
     assert stateful._timeout(ms) == ("NoTimeout" if ms is None else "ProcessingTimeTimeout")
+
+
+def test_a_scope_deletes_its_own_tables(spark):
+    rows = spark.range(10)
+    before = shared.saved(rows, "kept")
+    with pytest.raises(ValueError), shared.scope(spark):
+        made = shared.saved(rows, "gone")
+        with shared.scope(spark):
+            inner = shared.path(spark, "inner")
+            rows.write.parquet(inner)
+        assert made.count() == 10 and not os.path.exists(inner)
+        files = made.inputFiles()
+        raise ValueError
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files) and before.count() == 10
