@@ -87,12 +87,13 @@ def latency_percentiles(measured: DataFrame, c: str, group: list[str]) -> DataFr
     return ranked.groupBy(*group).agg(F.max("n").alias("n"), ((low + high) / 2).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
-def evaluate(gold: DataFrame, predictions: DataFrame, models: Models | None = None, threshold: float = 0.7) -> DataFrame:
+def evaluate(gold: DataFrame, predictions: DataFrame, models: Models | None = None, threshold: float = 0.7, undefined: float = 0.0) -> DataFrame:
     """``id`` and the twelve ``METRICS`` of every gold question.
 
     ``gold`` (id, reference_answer, nuggets, gold_passages), ``predictions`` (id, model_answer, retrieved: an array of
     struct(idx, url, text) in rank order). Questions without a prediction count as answered by nothing. Retrieved rows are
-    known by the slug of their address, which is what gold passages name; of texts the first three count.
+    known by the slug of their address, which is what gold passages name; of texts the first three count. ``undefined`` is
+    the cosine of a vector of norm 0: 0, or NaN as a plain division gives, which in SQL is above every number.
     """
     own = models or Models()
     told = predictions.select("id", text.strip(text.text("model_answer")).alias("answer"), F.col("retrieved").alias("found"))
@@ -111,7 +112,8 @@ def evaluate(gold: DataFrame, predictions: DataFrame, models: Models | None = No
     embedded = shared.saved(q.select("id", F.explode(texts).alias("x")).select("id", "x.kind", own.embed(F.col("x.t")).alias("v")).where("v is not null"), "vectors")
     sides = embedded.groupBy("id").agg(*[F.max(F.when(F.col("kind") == k, F.struct("v")))["v"].alias(k) for k in ("answer", "reference")])
     sims = embedded.where("kind in ('point', 'chunk')").join(sides, "id")
-    sims = sims.withColumn("sim", vectors.cosine(F.col("v"), F.when(F.col("kind") == "point", F.col("answer")).otherwise(F.col("reference")), "none"))
+    cosine = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.coalesce(vectors.cosine(a, b, "none"), F.lit(undefined)))
+    sims = sims.withColumn("sim", cosine(F.col("v"), F.when(F.col("kind") == "point", F.col("answer")).otherwise(F.col("reference"))))
     near = sims.groupBy("id").agg(F.count_if((F.col("kind") == "point") & (F.col("sim") >= threshold)).alias("hits"), F.max(F.when(F.col("kind") == "chunk", F.col("sim"))).alias("chunk"))
     found = q.join(sides, "id", "left").join(near, "id", "left")
     empty = F.col("answer_text") == ""
@@ -122,7 +124,7 @@ def evaluate(gold: DataFrame, predictions: DataFrame, models: Models | None = No
         "nugget_precision": F.lit(1.0),
         "nugget_recall": recall,
         "nugget_f1": 2 * recall / (1 + recall),
-        "sbert_cosine": F.when(both, F.coalesce(vectors.cosine(F.col("va"), F.col("vr"), "none"), F.lit(0.0))).otherwise(0.0),
+        "sbert_cosine": F.when(both, F.coalesce(cosine(F.col("va"), F.col("vr")), F.lit(0.0))).otherwise(0.0),
         "sbert_cosine_chunk": F.when(F.col("reference_text") != "", F.coalesce("chunk", F.lit(0.0))).otherwise(0.0),
         "bertscore_f1": F.when(both, own.similarity(F.col("reference_text"), F.col("answer_text"))).otherwise(0.0),
     })

@@ -347,3 +347,12 @@ def test_a_scope_deletes_its_own_tables(spark):
         files = made.inputFiles()
         raise ValueError
     assert not any(os.path.exists(f.removeprefix("file://")) for f in files) and before.count() == 10
+
+
+def test_cosine_of_a_text_without_letters(spark):
+    g = spark.createDataFrame([(1, "aab", ["aab", "11"], ["p"])], "id long, reference_answer string, nuggets array<string>, gold_passages array<string>")
+    p = spark.createDataFrame([(1, "aab", [(0, "http://x/p", "22")])], "id long, model_answer string, retrieved array<struct<idx:long,url:string,text:string>>")
+    plain = evaluation.evaluate(g, p, Models(embed=letter_vector), 0.9).first()
+    divided = evaluation.evaluate(g, p, Models(embed=letter_vector), 0.9, float("nan")).first()
+    assert (plain.nugget_recall, plain.sbert_cosine_chunk) == (0.5, 0.0)
+    assert divided.nugget_recall == 1.0 and np.isnan(divided.sbert_cosine_chunk)
