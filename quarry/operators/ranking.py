@@ -135,7 +135,7 @@ def program_match(messages: DataFrame, programs: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["query_id", "pool", "row_id", "sim", "shared", "combined"])
 
-    found = vectors.by_blocks(wants, shows, best, "query_id long, pool int, row_id long, sim double, shared long, combined double")
+    found = vectors.by_blocks(wants, shows, best, "query_id long, pool int, row_id long, sim double, shared long, combined double", vectors.QUERY_BLOCK, vectors.ROW_BLOCK)
     w = Window.partitionBy("query_id", "pool").orderBy(F.desc("combined"), "row_id")
     first = found.withColumn("q_place", F.row_number().over(w)).where("q_place = 1")
     good = first.where((F.col("sim") >= 0.68) | ((F.col("sim") >= 0.62) & (F.col("shared") >= 1)))

@@ -13,6 +13,8 @@ from pyspark.sql.types import _parse_datatype_string
 from quarry.sources import shared
 
 QUERY_BLOCK, ROW_BLOCK = 1024, 16_384
+#: Bytes of the vectors of a block of each side, and cosines that are in memory at once.
+QUERY_BYTES, ROW_BYTES, CELLS = 1 << 26, 1 << 27, 1 << 22
 
 
 def norm(v: Column) -> Column:
@@ -49,15 +51,30 @@ def matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
     return np.where(norms[:, None] > 1e-8, out / np.where(norms > 1e-8, norms, 1)[:, None], 0.0)
 
 
-def by_blocks(queries: DataFrame, rows: DataFrame, work, schema: str, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
+def block_counts(queries: DataFrame, rows: DataFrame) -> tuple[int, int]:
+    """Into how many blocks ``by_blocks`` deals both sides: of so many bytes of vectors each, and enough pairs for all cores."""
+    sized = [d.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first() for d in (queries, rows)]
+    (m, dq), (n, dr) = ((int(c), max(1, int(d))) for c, d in sized)
+    nq = max(1, -(-m * dq * 8 // QUERY_BYTES))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    return nq, max(1, -(-n * dr * 8 // ROW_BYTES), min(-(-n // ROW_BLOCK), -(-cores // nq)))
+
+
+def by_blocks(queries: DataFrame, rows: DataFrame, work, schema: str, query_block: int | None = None, row_block: int | None = None) -> DataFrame:
     """What ``work`` makes of every pair of a block of queries and a block of rows.
 
     ``queries`` (query_id, vector, ...) and ``rows`` (row_id, vector, ...) are dealt into blocks by hash; each pair of
-    blocks is one task, which calls ``work(asked, given, sim)`` with both tables and the cosines, rounded to 9 places so
-    that equal vectors tie whatever the order of summation. Nothing is broadcast, and only what ``work`` returns leaves.
+    blocks is one task, which calls ``work(asked, given, sim)`` with some of the queries, all rows and the cosines, rounded to
+    9 places so that equal vectors tie whatever the order of summation. Nothing is broadcast, and only what ``work`` returns
+    leaves. Without given sizes blocks are as large as a task can hold (``block_counts``), since a row goes to as many
+    blocks as there are of queries and the other way round; with sizes ``work`` gets a block of queries at once.
     """
     shared.workers(queries.sparkSession)
-    nq, nr = (max(1, -(-d.count() // b)) for d, b in ((queries, query_block), (rows, row_block)))
+    if query_block and row_block:
+        nq, nr = (max(1, -(-d.count() // b)) for d, b in ((queries, query_block), (rows, row_block)))
+    else:
+        nq, nr = block_counts(queries, rows)
+    cells = None if query_block else CELLS
     doubles = F.col("vector").cast("array<double>")
     left = queries.withColumns({"query_id": F.col("query_id").cast("long"), "vector": doubles, "q": F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")})
     right = rows.withColumns({"row_id": F.col("row_id").cast("long"), "vector": doubles, "r": F.pmod(F.xxhash64("row_id"), F.lit(nr)).cast("int")})
@@ -68,13 +85,15 @@ def by_blocks(queries: DataFrame, rows: DataFrame, work, schema: str, query_bloc
         if not asked.num_rows or not given.num_rows:
             return empty.empty_table()
         size = pc.max(pc.list_value_length(asked.column("vector"))).as_py() or 0
-        return work(asked, given, np.round(matrix(asked.column("vector"), size) @ matrix(given.column("vector"), size).T, 9))
+        others = matrix(given.column("vector"), size).T
+        step = max(1, cells // given.num_rows) if cells else asked.num_rows
+        return pa.concat_tables([work(part, given, np.round(matrix(part.column("vector"), size) @ others, 9)) for part in (asked.slice(i, step) for i in range(0, asked.num_rows, step))])
 
     empty = to_arrow_schema(_parse_datatype_string(schema))
     return left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(block, schema)
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
+def top_k(queries: DataFrame, rows: DataFrame, k: int, query_block: int | None = None, row_block: int | None = None) -> DataFrame:
     """``query_id``, ``row_id``, ``sim``, ``rank`` of the k nearest rows of each query; ties go to the smaller row id.
 
     A pair of blocks keeps k rows a query, and a window ranks what the blocks kept.

@@ -131,33 +131,39 @@ def retrieve(questions: DataFrame, chunks: DataFrame, cfg: Config, models: Model
         direct = shared.saved(direct, "direct")
         asked = asked.join(direct.select("query_id"), "query_id", "left_anti")
     rows = chunks.select(F.col("chunk_idx").alias("row_id"), F.col("embedding").alias("vector"))
-    near = vectors.top_k(asked.select("query_id", F.col("search").alias("vector")), rows, 2 * cfg.topn).drop("rank")
-    joined = near.join(info, "row_id").join(questions.select("query_id", "question"), "query_id")
-    factor = ranking.tier_boost(F.col("tier"), F.col("question"), cfg.boosts, cfg.tiers_on, cfg.gold_on)
+    near = shared.saved(vectors.top_k(asked.select("query_id", F.col("search").alias("vector")), rows, 2 * cfg.topn).drop("rank"), "near")
+    # candidates are many: they carry ids and what decides, texts are joined to the few that stay
+    signs = info.select("row_id", "tier", "gold_id", "url", "is_synthetic_qa")
+    told = questions.select("query_id", "question")
+    factor = ranking.tier_boost(F.col("tier"), F.col("question") if cfg.tiers_on else None, cfg.boosts, cfg.tiers_on, cfg.gold_on)
     factor = factor * F.when(F.col("is_synthetic_qa"), cfg.synthetic_boost).otherwise(1.0)
     if cfg.gold_on:
-        joined, known, says, is_match = _gold_signs(joined, gold, match)
-        factor = factor * ranking.gold_boost(F.col("tier") == 0, known, says, is_match)
-    boosted = shared.saved(joined.withColumn("boosted", F.round(F.col("sim") * factor, 9)).drop("q_known", "q_says", "q_match"), "boosted")
+        signs, told, says = _gold_signs(near, info, signs, told, gold, match)
+        factor = factor * ranking.gold_boost(F.col("tier") == 0, F.col("q_known"), F.col("q_says"), F.col("gold_id") == F.col("q_match"))
+    joined = near.join(told if cfg.tiers_on else told.drop("question"), "query_id").join(signs.drop("url"), "row_id")
+    if cfg.gold_on:
+        joined = joined.join(says, ["query_id", "row_id"], "left") if says is not None else joined.withColumn("q_says", F.lit(False))
+    boosted = shared.saved(joined.select("query_id", "row_id", "sim", "tier", F.round(F.col("sim") * factor, 9).alias("boosted")), "boosted")
     deep = min(cfg.topn, 20) if cfg.rerank_on else cfg.k
     best = ranking.ensure_gold(boosted, deep).drop("original_rank", "moved") if cfg.gold_on and cfg.ensure_gold else ranking.rank_boosted(boosted, deep)
+    best = best.join(info.drop("tier"), "row_id").join(questions.select("query_id", "question"), "query_id")
     if cfg.rerank_on:
         best = rerank(best, cfg, own)
     return best if direct is None else best.unionByName(direct.select(*best.columns))
 
 
-def _gold_signs(found: DataFrame, gold: DataFrame | None, match: DataFrame | None):
-    """``found`` with what tells of gold: whether the address lies within one of a gold question, the text holds the answer of the
-    very question that was asked, and the chunk is the matched question's own."""
+def _gold_signs(near: DataFrame, info: DataFrame, signs: DataFrame, told: DataFrame, gold: DataFrame | None, match: DataFrame | None):
+    """What tells of gold: of chunks whether the address lies within one of a gold question (``q_known``), of questions the matched
+    gold question (``q_match``), and of the pairs of questions that are gold ones whether the text holds the answer (``q_says``)."""
     if gold is None:
-        no = F.lit(False)
-        return found, no, no, no
-    inside = containment.contained(found, "url", gold, "url")
+        return signs.withColumn("q_known", F.lit(False)), told.withColumn("q_match", F.lit(None).cast("string")), None
+    inside = containment.contained(signs, "url", gold, "url")
     same = gold.select(F.lower("query").alias("q_asked"), F.lower("reference_answer").alias("q_answer")).where("q_answer <> ''").dropDuplicates(["q_asked"])
-    out = found.join(inside.withColumn("q_known", F.lit(True)), "url", "left").withColumn("q_asked", F.lower("question")).join(same, "q_asked", "left")
-    out = out.withColumn("q_says", F.contains(F.lower("text"), F.col("q_answer"))).drop("q_asked", "q_answer")
-    out = out.join(match.select("query_id", F.col("gold_id").alias("q_match")), "query_id", "left")
-    return out, F.col("q_known"), F.col("q_says"), F.col("gold_id") == F.col("q_match")
+    answered = told.withColumn("q_asked", F.lower("question")).join(same, "q_asked").select("query_id", "q_answer")
+    pairs = near.join(answered, "query_id").join(info.select("row_id", "text"), "row_id")
+    says = pairs.select("query_id", "row_id", F.contains(F.lower("text"), F.col("q_answer")).alias("q_says"))
+    known = signs.join(inside.withColumn("q_known", F.lit(True)), "url", "left")
+    return known, told.join(match.select("query_id", F.col("gold_id").alias("q_match")), "query_id", "left"), says
 
 
 def rerank(path: DataFrame, cfg: Config, models: Models | None = None) -> DataFrame:

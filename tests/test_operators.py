@@ -78,3 +78,16 @@ def test_references_without_a_semicolon_are_text():
     blocks = html.page_blocks("http://x.example/p", "<h1>a&amp;&amp</h1><p>R&D &copy 1 &ampx; &lt;b&gt; <a href='/q?a=1&copy=2'>c</a></p>")
     assert [b["text"] for b in blocks] == ["a&&amp", "R&D &copy 1 &ampx; <b> c"]
     assert blocks[1]["links"][0]["url"] == "http://x.example/q?a=1&copy=2"
+
+
+def test_blocks_grow_with_both_sides_and_slices_agree(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 8)))], "query_id long, vector array<double>")
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))], "row_id long, vector array<double>")
+    assert vectors.block_counts(queries, rows) == (1, 1)  # 45,000 queries took 45 copies of each row before, now a block has 64 MB
+    want = {(x.query_id, x["rank"]): (x.row_id, x.sim) for x in vectors.top_k(queries, rows, 5).collect()}
+    monkeypatch.setattr(vectors, "CELLS", 700)
+    monkeypatch.setattr(vectors, "QUERY_BYTES", 1024)
+    monkeypatch.setattr(vectors, "ROW_BYTES", 8192)
+    assert vectors.block_counts(queries, rows) == (3, 3)
+    assert {(x.query_id, x["rank"]): (x.row_id, x.sim) for x in vectors.top_k(queries, rows, 5).collect()} == want and len(want) == 200
