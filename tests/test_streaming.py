@@ -199,3 +199,13 @@ def test_memo_after_larger_batches(spark):
         rows = held.orderBy("used").collect()
         assert [names[r.key] for r in rows] == list(plain.keys)
         held = spark.createDataFrame(rows, memo._MEMO)
+
+
+def test_parts_have_as_many_files_as_rows_need(spark):
+    import glob
+
+    from quarry.streaming import replay
+
+    rows = spark.range(4000).repartition(9).selectExpr("id", "timestamp_seconds(id * 10) AS at")
+    path = replay.arrivals(rows, "at", 60, 4)
+    assert [len(glob.glob(f"{path}/{i:04d}/part-*")) for i in range(4)] == [1] * 4
