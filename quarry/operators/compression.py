@@ -28,7 +28,7 @@ def key_information(passages: DataFrame) -> DataFrame:
     """``id``, ``key_info``: surroundings may overlap, which regular expressions of columns cannot return; Arrow batches do."""
 
     def run(batches):
-        for batch in batches:
+        for batch in shared.slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([surroundings(t or "") for t in batch.column(1).to_pylist()], pa.string())], ["id", "key_info"])
 
     shared.workers(passages.sparkSession)
@@ -48,7 +48,7 @@ def compress(chunks: DataFrame, least: int = 200, aggressive: bool = False, max_
         chunks = chunks.withColumn("q_place", F.row_number().over(first)).where(F.col("q_place") <= max_chunks).drop("q_place")
 
     def run(batches):
-        for batch in batches:
+        for batch in shared.slices(batches):
             out = [_compressed(*row, least, aggressive) for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "compressed"])
 
