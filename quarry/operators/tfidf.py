@@ -28,11 +28,12 @@ def scores(items: DataFrame, stop: Sequence[str] = rules.STOPWORDS, max_features
     ``items`` (group_id, item_id, is_query, text), one query a group. idf = ln((1+n)/(1+df)) + 1 over the group's
     items and query; the ``max_features`` most frequent terms of a group (ties: alphabetical) take part. A group is a
     short list (the results of a query, the sentences of a passage): all is one shuffle by group, and every
-    window and aggregate after it keeps that distribution.
+    window and aggregate after it keeps that distribution. Tasks are as many as the items need, and are not merged again: an
+    item becomes a row for each of its terms.
     """
     every = Window.partitionBy("group_id")
     by_term = Window.partitionBy("group_id", "term")
-    dealt = items.select("group_id", "item_id", "is_query", terms("text", stop).alias("terms")).repartition("group_id")
+    dealt = items.select("group_id", "item_id", "is_query", terms("text", stop).alias("terms")).repartition(max(1, -(-items.count() // TASK_ITEMS)), "group_id")
     each = dealt.withColumn("n", F.count("*").over(every)).select("group_id", "item_id", "is_query", "n", F.explode_outer("terms").alias("term"))
     counted = each.groupBy("group_id", "item_id", "is_query", "n", "term").agg(F.count("term").alias("tf"))
     known = counted.withColumns({"df": F.count("*").over(by_term), "total": F.sum("tf").over(by_term)})
@@ -47,6 +48,9 @@ def scores(items: DataFrame, stop: Sequence[str] = rules.STOPWORDS, max_features
     return summed.where("not is_query").select("group_id", "item_id", F.coalesce(F.col("dot") / both, F.lit(0.0)).alias("tfidf"))
 
 
+#: Items that a task of ``scores`` gets, about.
+TASK_ITEMS = 2_000
+
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _WORD, _END = re.compile("[a-z0-9]{2,}"), re.compile("[.!?]+")
 
@@ -89,7 +93,7 @@ def relevant_sentences(passages: DataFrame, top_n: int = 3, stop: Sequence[str]
     words = frozenset(stop)
 
     def run(batches):
-        for batch in batches:
+        for batch in shared.slices(batches):
             found = [best_sentences(q, t, top_n, words) for q, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["group_id", "extract"])
 

@@ -91,3 +91,21 @@ def test_blocks_grow_with_both_sides_and_slices_agree(spark, monkeypatch):
     monkeypatch.setattr(vectors, "ROW_BYTES", 8192)
     assert vectors.block_counts(queries, rows) == (3, 3)
     assert {(x.query_id, x["rank"]): (x.row_id, x.sim) for x in vectors.top_k(queries, rows, 5).collect()} == want and len(want) == 200
+
+
+def test_term_weights_take_tasks_by_items(spark, monkeypatch):
+    from quarry.operators import tfidf
+
+    monkeypatch.setattr(tfidf, "TASK_ITEMS", 10)
+    items = spark.createDataFrame([(i // 4, i % 4, i % 4 == 0, f"word{i % 3} other text") for i in range(100)], "group_id long, item_id long, is_query boolean, text string")
+    found = tfidf.scores(items)
+    assert found.count() == 75 and found.rdd.getNumPartitions() == 10  # whatever their sizes, tasks are not merged
+
+
+def test_batches_are_cut_into_slices():
+    import pyarrow as pa
+
+    from quarry.sources import shared
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600))], ["x"])
+    assert [b.num_rows for b in shared.slices([batch])] == [256, 256, 88]
