@@ -109,3 +109,10 @@ def test_batches_are_cut_into_slices():
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(600))], ["x"])
     assert [b.num_rows for b in shared.slices([batch])] == [256, 256, 88]
+
+
+def test_parities_differ_at_most_as_words_do(spark):
+    rows = spark.createDataFrame([([1, 2, 3, 513], [1, 2, 3]), ([8, 16, -5], [8, -5, 99]), ([], [7])], "x array<long>, y array<long>")
+    side = lambda c: F.array(*dedup.parities(F.col(c)))
+    found = rows.select("x", "y", F.aggregate(F.zip_with(side("x"), side("y"), lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("int")), F.lit(0), lambda s, n: s + n).alias("d")).collect()
+    assert [r.d for r in found] == [1, 2, 1] == [len(set(r.x) ^ set(r.y)) for r in found]
