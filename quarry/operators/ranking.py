@@ -95,10 +95,14 @@ def best_variant(variants: DataFrame) -> DataFrame:
     return variants.withColumn("q_place", F.row_number().over(w)).where("q_place = 1").drop("q_place")
 
 
-def answer_score(answer: Column, context: Column, unknown: str = text.UNKNOWN) -> Column:
-    """-100 for no answer, -5 below three words, 0.1 a word shared with the context."""
-    terms = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(text.text(c)), F.lit(r"(?U)\b\w{3,}\b"), F.lit(0)))
-    shared = F.size(F.array_intersect(terms(answer), terms(context))) * 0.1
+def answer_terms(c: Column) -> Column:
+    """The distinct words of three letters or more of an answer or a context."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text.text(c)), F.lit(r"(?U)\b\w{3,}\b"), F.lit(0)))
+
+
+def answer_score(answer: Column, context: Column | None = None, unknown: str = text.UNKNOWN, known: Column | None = None) -> Column:
+    """-100 for no answer, -5 below three words, 0.1 a word shared with the context, or with ``known``, its ``answer_terms``."""
+    shared = F.size(F.array_intersect(answer_terms(answer), answer_terms(context) if known is None else known)) * 0.1
     short = F.when(F.size(text.split_words(text.text(answer))) < 3, -5.0).otherwise(0.0)
     return F.when(text.strip(text.text(answer)) == unknown, -100.0).otherwise(short + shared)
 

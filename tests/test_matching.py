@@ -91,6 +91,30 @@ def test_questions_lead_the_pairs():
     assert beam.decode(beam.pair_model(passages, "What about housing, costly?"))[0] == "Housing is costly."
 
 
+def test_a_sequence_has_few_continuations():
+    """What a decoder does not come to is not put in order, and no sequence is grown by all that may follow."""
+    asked = []
+
+    class Told(beam.PairModel):
+        def get(self, word, default=None):
+            asked.append(word)
+            return super().get(word, default)
+
+    passage = " ".join(f"go w{i} w{i % 7} end." for i in range(3000)) + "\u00a0 Odd\tlast! ?x \x1c\u03a3\u03a3."
+    told = Told([passage, None, ""], "go W1 \u03c3\u03c2?")
+    found = beam.decode(told)
+    assert found == beam.decode(beam.pair_model([passage, None, ""], "go W1 \u03c3\u03c2?")) and len(found) == 3 and len(set(asked)) < 60
+    counted = beam.pair_model(["b a a. c a a! b", "b c"], "a")
+    assert [w for w, _ in counted[beam.START]] == ["b", "c"] and counted["a"] == [("a!", math.log(0.5)), ("a.", math.log(0.5))] and counted["c"][0] == ("a", math.log(2 / 3))
+
+
+def test_passages_are_dealt_by_their_bytes(spark):
+    rows = spark.range(400).select("id", F.repeat(F.lit("x"), 40_000).alias("passage")).coalesce(1)
+    dealt = beam.dealt(rows, "id", "passage")
+    assert dealt.rdd.getNumPartitions() == max(4, -(-400 * 40_000 // beam.TASK_BYTES)) and dealt.count() == 400
+    assert beam.dealt(rows.limit(0), "id", "passage").count() == 0
+
+
 def test_best_candidate_by_score(spark):
     rows = [("q", ["The fee is due now. Pay the fee in May."]), ("q", []), (None, None)]
     df = spark.createDataFrame(rows, "question string, passages array<string>").withColumn("found", beam.candidates(F.col("question"), F.col("passages")))
