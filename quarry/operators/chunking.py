@@ -23,7 +23,7 @@ def overlapping(items: Column, size: int = 3, overlap: int = 1) -> Column:
 
 def good_chunk(c: Column) -> Column:
     """At least three words, and a sentence mark or 30 characters."""
-    return (F.size(text.split_words(text.text(c))) >= 3) & (text.text(c).rlike("[.!?]") | (F.length(c) >= 30))
+    return text.text(c).rlike(r"(?U)\S\s++\S++\s++\S") & (text.text(c).rlike("[.!?]") | (F.length(c) >= 30))
 
 
 def header(title: Column) -> Column:
@@ -32,8 +32,13 @@ def header(title: Column) -> Column:
     return F.array_join(F.filter(parts, lambda p, i: (i == 0) | (p != F.element_at(parts, F.greatest(i, F.lit(1))))), " - ")
 
 
+def under(made: Column, c: Column) -> Column:
+    """A text under a header that was made before."""
+    return F.concat(made, F.lit("\n\n"), c)
+
+
 def with_header(title: Column, c: Column) -> Column:
-    return F.concat(header(title), F.lit("\n\n"), c)
+    return under(header(title), c)
 
 
 def first_of_equals(chunks: DataFrame, c: str = "text", order: str = "chunk_idx", scope: tuple[str, ...] = ()) -> DataFrame:

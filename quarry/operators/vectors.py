@@ -42,10 +42,13 @@ def matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
     lists = column.combine_chunks()
     length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     values = lists.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(length), size))
-    own = np.flatnonzero(length == size) if size else np.empty(0, np.int64)
-    start = np.cumsum(length) - length
-    out[own] = values[start[own][:, None] + np.arange(size)]
+    if size and (length == size).all():
+        out = values.reshape(-1, size).astype(np.float64)
+    else:
+        out = np.zeros((len(length), size))
+        own = np.flatnonzero(length == size) if size else np.empty(0, np.int64)
+        start = np.cumsum(length) - length
+        out[own] = values[start[own][:, None] + np.arange(size)]
     out[~np.isfinite(out).all(1)] = 0
     norms = np.sqrt((out * out).sum(1))
     return np.where(norms[:, None] > 1e-8, out / np.where(norms > 1e-8, norms, 1)[:, None], 0.0)

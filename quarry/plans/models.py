@@ -5,13 +5,14 @@ They keep the dataflow of embedding, cross-scoring, generating and rewriting; th
 
 from __future__ import annotations
 
-import re
+import string
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,16 +20,20 @@ from quarry.functions import text
 from quarry.sources import shared
 
 DIMENSION = 64
-_WORD = re.compile("[a-z]+")
+#: Texts that are taken apart at once.
+TEXTS = 1024
+#: All bytes but a to z become blanks.
+_LETTERS = bytes(i if chr(i) in string.ascii_lowercase else 32 for i in range(256))
 
 
-def vector_of(words: list[str], dimension: int = DIMENSION) -> np.ndarray:
-    out = np.zeros(dimension)
-    for w in words:
-        h = zlib.crc32(w.encode())
-        out[h % dimension] += 1.0 if h >> 31 else -1.0
-    size = np.sqrt(out @ out)
-    return out / size if size > 0 else out
+def vectors_of(texts: list[str | None], dimension: int = DIMENSION) -> np.ndarray:
+    """A unit vector a text, zero where it has no words. Sums before the division are whole numbers, so their order does not matter."""
+    words = [(t or "").lower().encode().translate(_LETTERS).split() for t in texts]
+    hashes = np.fromiter(map(zlib.crc32, chain.from_iterable(words)), np.uint32)
+    row = np.repeat(np.arange(len(words)), [len(own) for own in words])
+    sums = np.bincount(row * dimension + hashes % dimension, np.where(hashes >> 31, 1.0, -1.0), len(words) * dimension).reshape(-1, dimension)
+    size = np.sqrt((sums * sums).sum(1))
+    return sums / np.where(size > 0, size, 1.0)[:, None]
 
 
 def hashed_vector(c: Column, dimension: int = DIMENSION) -> Column:
@@ -37,11 +42,12 @@ def hashed_vector(c: Column, dimension: int = DIMENSION) -> Column:
     An Arrow-batched function, as an embedding model would be; marked so that plans neither repeat nor merge it.
     """
 
-    def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series([vector_of(_WORD.findall((t or "").lower()), dimension).tolist() for t in texts])
+    def encode(texts: pa.Array) -> pa.Array:
+        parts = [vectors_of(texts.slice(i, TEXTS).to_pylist(), dimension).ravel() for i in range(0, len(texts), TEXTS)]
+        return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * dimension, np.concatenate([np.empty(0), *parts]))
 
     shared.workers()
-    return F.pandas_udf(encode, "array<double>").asNondeterministic()(text.text(c))
+    return F.arrow_udf(encode, "array<double>").asNondeterministic()(text.text(c))
 
 
 def overlap_score(query: Column, passage: Column, most: int = 512) -> Column:

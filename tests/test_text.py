@@ -1,3 +1,8 @@
+import random
+import re
+import zlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.functions import rules, text, web
@@ -97,3 +102,31 @@ def test_course_codes_and_colours(one):
         value = (value * 31 + ord(c) + (1 << 31)) % (1 << 32) - (1 << 31)
     assert one(text.category_colour(F.lit("a longer category name, é"))) == abs(value) % 10
     assert tuple(one(text.source_line(F.lit("- A title (http://x)")))) == ("A title", "http://x")
+
+
+def test_vectors_of_many_texts_at_once(spark):
+    """Each text has the vector that it has alone, word by word, whatever the batch; null and wordless texts have zeros."""
+    from quarry.plans import models
+
+    told = ["Fees are due, FEES!", "", None, "123 \u00c9\u00c8", "\u212a \u0130x Stra\u00dfe z\u00e9z", "a b " * 700, *(f"w{i} go{'a' * (i % 9)}" for i in range(2500))]
+    want = []
+    for t in told:
+        own = np.zeros(64)
+        for w in re.findall("[a-z]+", (t or "").lower()):
+            h = zlib.crc32(w.encode())
+            own[h % 64] += 1.0 if h >> 31 else -1.0
+        want.append((own / np.sqrt(own @ own) if own.any() else own).tolist())
+    assert models.vectors_of(told).tolist() == want and models.vectors_of([]).shape == (0, 64)
+    df = spark.createDataFrame(list(enumerate(told)), "i int, t string").withColumn("v", models.hashed_vector(F.col("t")))
+    assert df.schema["v"].dataType.simpleString() == "array<double>" and [r.v for r in df.orderBy("i").collect()] == want
+    assert df.where("i < 0").count() == 0
+
+
+def test_three_words_of_any_white_space(spark):
+    """What ``good_chunk`` counts as words is what ``split_words`` makes."""
+    rng = random.Random(2)
+    told = ["".join(rng.choice(["a", "bc", ".", " ", "\t", "\u00a0", "\u3000", "\x85", "\x1c", "\U0001f600", "\n"]) for _ in range(rng.randrange(0, 16))) for _ in range(800)] + [None, "x" * 40, "a  b  c."]
+    df = spark.createDataFrame([(t,) for t in told], "t string")
+    want = (F.size(text.split_words(text.text("t"))) >= 3) & (text.text("t").rlike("[.!?]") | (F.length("t") >= 30))
+    got = df.select("t", want.alias("want"), chunking.good_chunk(F.col("t")).alias("got"))
+    assert got.where("not want <=> got").count() == 0 and got.where("got").count() > 50
