@@ -93,6 +93,35 @@ def test_blocks_grow_with_both_sides_and_slices_agree(spark, monkeypatch):
     assert {(x.query_id, x["rank"]): (x.row_id, x.sim) for x in vectors.top_k(queries, rows, 5).collect()} == want and len(want) == 200
 
 
+def test_nearest_rows_of_copies_ties_and_queries_without_direction(spark):
+    rng = np.random.default_rng(5)
+    words = rng.integers(-1, 2, size=(3000, 6)).astype(float)  # few distinct vectors: copies and ties abound
+    ids = rng.permutation(9000)[:3000] - 1000
+    queries = [(i, v.tolist()) for i, v in enumerate([words[0], words[0], np.zeros(6), *rng.normal(size=(20, 6))])]
+    rows = list(zip(ids.tolist(), words.tolist(), strict=True))
+    made = vectors.top_k(spark.createDataFrame(queries, "query_id long, vector array<double>"), spark.createDataFrame(rows, "row_id long, vector array<double>"), 30)
+    got = {(x.query_id, x["rank"]): (x.row_id, x.sim) for x in made.collect()}
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    sims = np.round(unit(np.array([v for _, v in queries])) @ unit(words).T, 9)
+    assert len(got) == 30 * len(queries)
+    for i, s in enumerate(sims):
+        want = np.lexsort((ids, -s))[:30]
+        assert [got[i, k + 1] for k in range(30)] == [(ids[j], s[j]) for j in want]
+
+
+def test_equal_vectors_are_compared_once_and_few_cosines_are_made_in_double_precision(monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(20_000, 16))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    place, ids, start, n = vectors.distinct(np.concatenate([rows, rows, -rows[:5]]), np.arange(40_005)[::-1].copy(), 3)
+    assert len(place) == 20_005 and len(ids) == 40_005 and sorted(set(n.tolist())) == [1, 2]
+    made = []
+    real = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, a, b: made.append(len(a)) or real(how, a, b))
+    found = [x for _, r, _ in vectors.nearest_distinct(rows[:300], rows, 10) for x in r.reshape(-1, 10)[:, 0]]
+    assert found == list(range(300)) and sum(made) < 300 * 20_000 // 50
+
+
 def test_term_weights_take_tasks_by_items(spark, monkeypatch):
     from quarry.operators import tfidf
 
