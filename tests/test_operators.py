@@ -122,6 +122,28 @@ def test_equal_vectors_are_compared_once_and_few_cosines_are_made_in_double_prec
     assert found == list(range(300)) and sum(made) < 300 * 20_000 // 50
 
 
+def test_words_of_one_set_are_not_moved_and_keep_their_place(spark):
+    import pyarrow as pa
+
+    counts = np.array([1, 9, 2, 5, 1, 3, 7, 70], np.uint16)  # a word's bucket is the word modulo 8; 4 and 0 occur once
+    got = dedup.rarest(pa.array([[0, 1, 2, 3, 4, -3], [7], [1, 2, 3, 6, 7, 9, 10, 11, 14, 15]], pa.list_(pa.int64())), counts, 0.5)
+    assert got.to_pylist() == [[None, None, 2, -3], [7], [2, 10, 3, 11, 6, 14]]
+    assert dedup.rarest(pa.array([], pa.list_(pa.int64())), counts, 0.5).to_pylist() == []
+
+
+def test_similar_pairs_whatever_the_table_of_counts(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.choice(60, size=int(rng.integers(1, 40)), replace=False)) for _ in range(60)]
+    texts += [" ".join([*t.split()[: max(1, len(t.split()) - i % 4)], f"own{i}"]) for i, t in enumerate(texts)] + ["", None]
+    sets = [set((t or "").split()) for t in texts]
+    first = {frozenset(x): i for i, x in reversed(list(enumerate(sets))) if x}.values()
+    want = {(a, b) for a in first for b in first if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.8}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert len(want) > 20
+    for buckets in (3, 1 << 22):
+        assert {(x.a, x.b) for x in dedup.similar_pairs(docs, buckets=buckets).collect()} == want
+
+
 def test_term_weights_take_tasks_by_items(spark, monkeypatch):
     from quarry.operators import tfidf
 
