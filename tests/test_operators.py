@@ -131,7 +131,7 @@ def test_words_of_one_set_are_not_moved_and_keep_their_place(spark):
     assert dedup.rarest(pa.array([], pa.list_(pa.int64())), counts, 0.5).to_pylist() == []
 
 
-def test_similar_pairs_whatever_the_table_of_counts(spark):
+def test_similar_pairs_whatever_the_table_of_counts_and_groups(spark, monkeypatch):
     rng = np.random.default_rng(9)
     texts = [" ".join(f"w{x}" for x in rng.choice(60, size=int(rng.integers(1, 40)), replace=False)) for _ in range(60)]
     texts += [" ".join([*t.split()[: max(1, len(t.split()) - i % 4)], f"own{i}"]) for i, t in enumerate(texts)] + ["", None]
@@ -140,8 +140,12 @@ def test_similar_pairs_whatever_the_table_of_counts(spark):
     want = {(a, b) for a in first for b in first if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.8}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert len(want) > 20
-    for buckets in (3, 1 << 22):
-        assert {(x.a, x.b) for x in dedup.similar_pairs(docs, buckets=buckets).collect()} == want
+    for buckets, words, labelled in ((3, dedup.GROUP_WORDS, dedup.LABELLED), (1 << 22, 40, 1)):
+        monkeypatch.setattr(dedup, "GROUP_WORDS", words)
+        monkeypatch.setattr(dedup, "LABELLED", labelled)
+        found = dedup.similar_pairs(docs, buckets=buckets).collect()
+        assert {(x.a, x.b) for x in found} == want and len(found) == len(want)
+        assert all(x.jaccard == len(sets[x.a] & sets[x.b]) / len(sets[x.a] | sets[x.b]) for x in found)
 
 
 def test_term_weights_take_tasks_by_items(spark, monkeypatch):
